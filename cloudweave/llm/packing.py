@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudweave.llm.common import map_arrow, table, written
-from cloudweave.llm.word_ids import WordEncoder
+from cloudweave.llm.word_ids import encoder_of
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length are ranked in cells of about this many, in at most MOST_CELLS cells, so that no length is ranked
 #: by one task and the driver gets at most window * MOST_CELLS counts.
-CELL_ROWS, MOST_CELLS = 10_000, 512
+CELL_ROWS, MOST_CELLS = 1_000, 512
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     """Cuts each text's ids (and end_id) into full windows and one rest: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def make():
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch) -> dict:
             rows: list[tuple] = []

@@ -97,3 +97,13 @@ class WordEncoder:
         for w in wanted if room < 0 else [w for w in other if len(w) > LONGEST]:
             del known[w]
         return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder for a file: kept from task to task with the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
