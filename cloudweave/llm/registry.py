@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cloudweave.llm import packing
+from cloudweave.llm import packing, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing}
+    return {"op1_packing": packing.op1_packing, "op4_simhash": simhash.op4_simhash, "op6_toxicity": toxicity.op6_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
