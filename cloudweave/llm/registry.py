@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cloudweave.llm import bpe, packing, rules, simhash, toxicity
+from cloudweave.llm import bpe, packing, rules, sharding, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op4_simhash": simhash.op4_simhash, "op6_toxicity": toxicity.op6_toxicity, "op7_bpe": bpe.op7_bpe, "op9_rules": rules.op9_rules}
+    return {"op1_packing": packing.op1_packing, "op4_simhash": simhash.op4_simhash, "op6_toxicity": toxicity.op6_toxicity, "op7_bpe": bpe.op7_bpe, "op8_sharding": sharding.op8_sharding, "op9_rules": rules.op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:
