@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm.common import held_out, map_arrow, table
+from cloudweave.llm.common import held_out, labelled, map_arrow, table
 
 #: At most this many labelled texts of either class, least crc32 of the id first, are fitted on.
 SAMPLE = 1000
@@ -275,18 +275,6 @@ def spans(text: str, p: np.ndarray, least: float = SPAN) -> list[tuple[int, int,
     return [(m.start(), m.end(), float(q)) for m, q in zip(WORD.finditer(low), p, strict=True) if q >= least and m.end() <= len(source)]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int]]:
-    """Texts and labels to fit on: at most `sample` of either label, never of the held-out fold, never without both."""
-    own = labels.where(~held_out() & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
-    order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
-    chosen = None
-    for value in (0, 1):
-        part = own.where(F.col("_label") == value).orderBy(order, "doc_id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").toPandas().sort_values(["doc_id", "text"])
-    return rows["text"].tolist(), rows["_label"].tolist()
-
-
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, marginal: double>>"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])))])
 
