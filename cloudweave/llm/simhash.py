@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -43,17 +42,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, of: Callable[[str | None], int] = fingerprint) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row."""
+def fingerprints(docs: DataFrame, extra: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of each row, and a long column that goes along."""
+    along = [extra] if extra else []
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            prints = np.array([of(t) for t in batch.column("text").to_pylist()], np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}
+            prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            return {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)} | {c: batch.column(c) for c in along}
 
         return step
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+    names = ["doc_id", "fp", *along]
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *along), make, ", ".join(f"{c} long" for c in names), pa.schema([(c, pa.int64()) for c in names]))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -69,6 +70,19 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    """fp, component of each distinct fingerprint of prints (doc_id, fp), and component_id, the component's least doc_id."""
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    found = components(links(firsts.select("fp")))
+    grouped = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    return grouped.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of docs (doc_id, text).
 
@@ -78,12 +92,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are not looked at. Equal fingerprints are linked once, as one, whatever the number of their rows.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    found = components(links(firsts.select("fp")))
-    grouped = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = grouped.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component the row of the least doc_id (a null one last, then the least hash of the text), all columns.
+
+    Rows that repeat the kept one's doc_id and text go too.
+    """
+    prints = written(fingerprints(_keyed(docs), extra="text_key"), "fingerprints")
+    pick = prints.join(_components(prints), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))).alias("kept"))
+    kept = pick.select(F.col("kept.none").alias("_none"), F.col("kept.id").alias("_id"), F.col("kept.key").alias("_key"))
+    named = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": F.xxhash64(F.col("text").cast("string"))})
+    return named.join(kept, ["_none", "_id", "_key"], "left_semi").dropDuplicates(["_none", "_id", "_key"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

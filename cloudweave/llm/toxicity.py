@@ -302,6 +302,20 @@ def score(docs: DataFrame, fitted: Field, threshold: float = THRESHOLD) -> DataF
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out")), make, SCORED, _SCORED)
 
 
+def clean(docs: DataFrame, fitted: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches):
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                s = tagger.score([t or "" for t in batch.column("text").to_pylist()])[0]
+                yield batch.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     return fit(*labelled(docs, labels, "toxic", sample))
 

@@ -1 +1,46 @@
-STAGES = []
+"""A corpus from documents to packed sequences: each stage works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cloudweave.llm import packing, rules, simhash, toxicity
+from cloudweave.llm.common import table, written
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the toxicity field rejects; it is fitted on labelled rows of docs itself."""
+    return toxicity.clean(docs, toxicity.fit_table(docs, table(spark, sf_dir, "labels")))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, judged with their hosts."""
+    return rules.judged(docs).where("kept").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [("toxicity", clean), ("quality rules", good), ("near-dedup", distinct), ("packing", packed)]
+
+#: The field of the first stage is fitted, so SQL can't express it; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name.replace(' ', '-')}")
+    return docs
