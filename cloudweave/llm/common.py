@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: far below Spark's default; at 100 kB a row it stays near 100 MB.
 ARROW_ROWS = 1000
 
+#: Narrow rows in a file, where their number is known beforehand.
+FILE_ROWS = 100_000
+
 #: Labelled rows whose crc32(doc_id) has this remainder (mod 5) are held out of every fit.
 FOLDS, HELD_OUT = 5, 0
 
@@ -33,11 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, sort_by: str | None = None, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing.
+
+    rows: about how many rows df has; where they are narrow and few, they go to few files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cloudweave/{name}-{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(sort_by) if sort_by else df
+    out = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
+    out = out.sortWithinPartitions(sort_by) if sort_by else out
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

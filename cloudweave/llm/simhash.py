@@ -76,8 +76,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _components(prints: DataFrame) -> DataFrame:
     """fp, component of each distinct fingerprint of prints (doc_id, fp), and component_id, the component's least doc_id."""
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    found = components(links(firsts.select("fp")))
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts", rows=prints.count())
+    found = components(links(firsts.select("fp")), firsts.count())
     grouped = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     return grouped.join(least, "component").select("fp", "component", "component_id")
