@@ -1,3 +1,181 @@
-"""Queries of residency, sweeps and sources."""
-def queries():
-    return {}
+"""Queries of residency, sweeps, history and sources, with their SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cloudweave.model import multiply
+from cloudweave.operators import pack, select
+from cloudweave.operators.tables import shared_folder
+from cloudweave.plans import sql as q
+from cloudweave.sources import ply
+from cloudweave.sources import points as src
+from cloudweave.streaming import residency, sweep
+
+BUDGET = 3000
+SIDE = 20
+
+
+def deltas(spark, sf_dir):
+    """Events as change records: a user is a chunk, an error removes it, another event adds it."""
+    e = src.load(spark, sf_dir, "events")
+    return e.select(
+        F.lit("cloud").alias("cloud_id"),
+        F.col("event_id").cast("bigint").alias("seq"),
+        F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
+        F.col("user_id").cast("string").alias("chunk_id"),
+        (F.col("user_id") % 5).cast("int").alias("depth"),
+        (F.col("event_id") % 700 + 1).cast("int").alias("num_points"),
+    )
+
+
+_DELTA = "del AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op, user_id::VARCHAR AS chunk_id, user_id % 5 AS depth, event_id % 700 + 1 AS num_points FROM events)"
+_LAST = "lst_ AS (SELECT chunk_id, arg_max(op, seq) AS op, arg_max(depth, seq) AS depth, arg_max(num_points, seq) AS num_points FROM del {where} GROUP BY chunk_id)"
+
+
+def pool_apply_delta(spark, sf_dir):
+    return residency.latest_residents(deltas(spark, sf_dir)).select("chunk_id", "depth", "num_points")
+
+
+def pinned_counts(spark, sf_dir):
+    r = residency.latest_residents(deltas(spark, sf_dir))
+    return r.agg(F.count("*").alias("chunks"), F.sum("num_points").alias("points"), F.count_if(F.col("depth") <= 1).alias("pinned"))
+
+
+def pending_antijoin(spark, sf_dir):
+    """Records that would still be placed: additions whose chunk is neither resident before them nor removed later."""
+    d = deltas(spark, sf_dir)
+    early = residency.latest_residents(d.where("seq % 2 = 0")).select("chunk_id")
+    gone = d.where("seq % 2 = 1 and op = 'remove'").select("chunk_id", F.col("seq").alias("at")).groupBy("chunk_id").agg(F.max("at").alias("at"))
+    late = d.where("seq % 2 = 1 and op = 'add'").join(early, "chunk_id", "left_anti")
+    return late.join(gone.withColumnRenamed("chunk_id", "c"), (F.col("chunk_id") == F.col("c")) & (F.col("seq") < F.col("at")), "left_anti").select("seq", "chunk_id")
+
+
+def evicted_semijoin(spark, sf_dir):
+    d = deltas(spark, sf_dir)
+    early = residency.latest_residents(d.where("seq % 2 = 0"))
+    return early.join(d.where("seq % 2 = 1 and op = 'remove'"), "chunk_id", "left_semi").select("chunk_id", "num_points")
+
+
+def starvation(spark, sf_dir):
+    """The pool's own telling of all records, a hundred a tick."""
+    d = deltas(spark, sf_dir).withColumn("tick", F.floor(F.col("seq") / 100))
+    return residency.replay(d, 100, points_per_batch=256, pinned_depth=1)
+
+
+def settle_state(spark, sf_dir):
+    rows = [(s, p, b, c) for s in (True, False) for p in (0, 3) for b in (True, False) for c in (True, False)]
+    t = spark.createDataFrame(rows, "settled boolean, pending int, blocked boolean, budget boolean")
+    return t.withColumn("state", residency.settle_column(*(F.col(c) for c in ("settled", "pending", "blocked", "budget"))))
+
+
+_SETTLE = """SELECT s AS settled, p::BIGINT AS pending, b AS blocked, c AS budget,
+CASE WHEN NOT s OR (p > 0 AND NOT b) THEN 'streaming' WHEN NOT c AND NOT b THEN 'settled(full)'
+ELSE 'settled(clamped(byBudget=' || c::VARCHAR || ', byPool=' || b::VARCHAR || '))' END AS state
+FROM (VALUES (true), (false)) t1(s), (VALUES (0), (3)) t2(p), (VALUES (true), (false)) t3(b), (VALUES (true), (false)) t4(c)"""
+
+
+def sweep_chunks(spark, sf_dir):
+    from cloudweave.plans.catalog import packed
+
+    return sweep.chunk_table(packed(spark, sf_dir).batches, BUDGET)
+
+
+def sweep_publish(spark, sf_dir):
+    """The front set after a first full sweep, a restart, and one sweep in budgeted chunks."""
+    from cloudweave.plans.catalog import CLOSE, IMAGE, packed
+
+    c = packed(spark, sf_dir)
+    sizes = [r["num_points"] for r in c.batches.select("new_id", "num_points").orderBy("new_id").collect()]
+
+    def part(first: int, stop: int):
+        chosen = c.batches.where((F.col("new_id") >= first) & (F.col("new_id") < stop))
+        return select.select_points(pack.PackedCloud(c.points, chosen, c.bounds, c.config), CLOSE, IMAGE)
+
+    driver = sweep.SweepDriver(sizes, part, budget=max(1, sum(sizes) // 2))
+    driver.advance()
+    driver.restart()
+    while not driver.advance():
+        pass
+    return driver.front.select("src_idx", "point_id")
+
+
+def running_budget(spark, sf_dir):
+    """The first chunk of each supplier's line items as batches of their quantities."""
+    rows = src.load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("num_points"))
+    named = rows.select(F.col("l_suppkey").alias("sweep"), F.col("l_partkey").alias("new_id"), "num_points")
+    return sweep.running_chunks(named, 40)
+
+
+def frame_history(spark, sf_dir):
+    """Each event with the former value of its user, as a frame with the former view of its camera."""
+    e = src.load(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")).alias("before"))
+
+
+def view_union(spark, sf_dir):
+    rows = src.load(spark, sf_dir, "lineitem")
+    a = rows.select(F.col("l_partkey").alias("node"), F.col("l_quantity").cast("double").alias("score"))
+    b = rows.select(F.col("l_suppkey").alias("node"), (F.col("l_tax") * 100.0).alias("score"))
+    return residency.merged_views([a, b])
+
+
+def timing_summary(spark, sf_dir):
+    e = src.load(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+
+
+def frame_matrices(spark, sf_dir):
+    from cloudweave.plans.catalog import CAMERA, MOVED
+
+    m = multiply(CAMERA.projection, CAMERA.view, MOVED)
+    return spark.createDataFrame([(k, round(v, 9)) for k, v in enumerate(m)], "k int, v double")
+
+
+def ply_roundtrip(spark, sf_dir):
+    """A grid as a PLY file in the shared folder, read back."""
+    from pyarrow import fs
+
+    grid = [(x / (SIDE - 1) - 0.5, y / (SIDE - 1) - 0.5, z / (SIDE - 1) - 0.5, 255 * x // (SIDE - 1), 255 * y // (SIDE - 1), 255 * z // (SIDE - 1)) for z in range(SIDE) for y in range(SIDE) for x in range(SIDE)]
+    folder = f"{shared_folder(spark)}/cloudweave/ply-{uuid.uuid4().hex}"
+    system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    system.create_dir(inner)
+    with system.open_output_stream(f"{inner}/grid.ply") as f:
+        f.write(ply.ply_bytes(grid))
+    ply.register(spark)
+    return spark.read.format("ply").option("range_rows", 3000).load(f"{folder}/grid.ply").select("point_id", "x", "y", "z", "r", "g", "b", "a")
+
+
+def _grid_sql() -> str:
+    n = SIDE - 1
+    at = {"x": f"(i % {SIDE})", "y": f"(i // {SIDE} % {SIDE})", "z": f"(i // {SIDE * SIDE})"}
+    place = ", ".join(f"({c} / {n}.0::DOUBLE - 0.5::DOUBLE)::REAL::DOUBLE AS {a}" for a, c in at.items())
+    colour = ", ".join(f"(255 * {c} // {n}) / 255.0::DOUBLE AS {k}" for k, c in zip("rgb", at.values(), strict=True))
+    return f"SELECT i AS point_id, {place}, {colour}, 1.0::DOUBLE AS a FROM range({SIDE**3}) t(i)"
+
+
+def queries() -> dict[str, tuple[Callable, str | None]]:
+    from cloudweave.plans import catalog as c
+
+    take = -(-BUDGET // c.PACK.points_per_batch)
+    early = _LAST.format(where="WHERE seq % 2 = 0")
+    return {
+        "pool_apply_delta": (pool_apply_delta, f"WITH {_DELTA}, {_LAST.format(where='')} SELECT chunk_id, depth, num_points FROM lst_ WHERE op = 'add'"),
+        "pinned_counts": (pinned_counts, f"WITH {_DELTA}, {_LAST.format(where='')} SELECT count(*) AS chunks, sum(num_points)::BIGINT AS points, count(*) FILTER (depth <= 1) AS pinned FROM lst_ WHERE op = 'add'"),
+        "pending_antijoin": (pending_antijoin, f"WITH {_DELTA}, {early}, res AS (SELECT chunk_id FROM lst_ WHERE op = 'add') SELECT seq, chunk_id FROM del WHERE seq % 2 = 1 AND op = 'add' AND chunk_id NOT IN (SELECT chunk_id FROM res) AND NOT EXISTS (SELECT 1 FROM del g WHERE g.seq % 2 = 1 AND g.op = 'remove' AND g.chunk_id = del.chunk_id AND g.seq > del.seq)"),
+        "evicted_semijoin": (evicted_semijoin, f"WITH {_DELTA}, {early} SELECT chunk_id, num_points FROM lst_ WHERE op = 'add' AND chunk_id IN (SELECT chunk_id FROM del WHERE seq % 2 = 1 AND op = 'remove')"),
+        "starvation": (starvation, None),
+        "settle_state": (settle_state, _SETTLE),
+        "sweep_chunks": (sweep_chunks, "WITH " + c._PACKED + f"\nSELECT new_id::BIGINT AS new_id, num_points, (new_id // {take})::BIGINT AS chunk FROM zon"),
+        "sweep_publish": (sweep_publish, "WITH " + ",\n".join(c._SELECTED) + "\nSELECT src_idx::BIGINT AS src_idx, point_id FROM sel"),
+        "running_budget": (running_budget, "WITH g AS (SELECT l_suppkey AS sweep, l_partkey AS new_id, count(*) AS num_points FROM lineitem GROUP BY 1, 2) SELECT sweep, new_id, num_points FROM (SELECT *, coalesce(sum(num_points) OVER (PARTITION BY sweep ORDER BY new_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g) WHERE before < 40"),
+        "frame_history": (frame_history, "SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events"),
+        "view_union": (view_union, "SELECT node, max(score) AS score FROM (SELECT l_partkey AS node, l_quantity::DOUBLE AS score FROM lineitem UNION ALL SELECT l_suppkey, l_tax * 100.0::DOUBLE FROM lineitem) GROUP BY node"),
+        "timing_summary": (timing_summary, "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type"),
+        "frame_matrices": (frame_matrices, "SELECT k, v FROM (VALUES " + ", ".join(f"({k}::BIGINT, {q.d(round(v, 9))})" for k, v in enumerate(multiply(c.CAMERA.projection, c.CAMERA.view, c.MOVED))) + ") t(k, v)"),
+        "ply_roundtrip": (ply_roundtrip, _grid_sql()),
+    }
