@@ -7,7 +7,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudweave.llm.common import map_arrow, table, written
@@ -18,6 +18,8 @@ RADIUS = 2
 SEED = 42
 #: Hashes whose bits are unpacked at once.
 BLOCK = 8192
+#: Fingerprints in a task that emits their balls: 65 rows of each.
+BALL_ROWS = 10_000
 #: The bytes that part words are those at which bytes.split() splits; bytes.lower() lowers A-Z alone.
 _FLIPS = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
 
@@ -61,12 +63,12 @@ def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints at 1 or 2 differing bits that connect all such fingerprints of prints (fp, distinct).
 
     Every fingerprint emits the 65 values within half the radius. Two fingerprints within the radius meet at one of
-    them, and all that meet at one are within the radius of each other, so it is enough to link each with the least of
-    those it meets. At most 65 distinct fingerprints meet at a value. The distances of the pairs are checked.
+    them, and all that meet at one are within the radius of each other, so it is enough to link each with the next lower
+    of those it meets. At most 65 distinct fingerprints meet at a value. The distances of the pairs are checked.
     """
     ball = prints.select("fp", F.explode(F.lit(_FLIPS)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = ball.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+    lower = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
+    pairs = ball.select(lower.alias("a"), F.col("fp").alias("b")).where("a is not null").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
@@ -76,7 +78,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _components(prints: DataFrame) -> DataFrame:
     """fp, component of each distinct fingerprint of prints (doc_id, fp), and component_id, the component's least doc_id."""
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts", rows=prints.count())
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts", rows=prints.count(), in_file=BALL_ROWS)
     found = components(links(firsts.select("fp")), firsts.count())
     grouped = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
