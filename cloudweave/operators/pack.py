@@ -127,13 +127,15 @@ class PackedCloud:
     config: PackConfig
 
 
-def pack(points: DataFrame, config: PackConfig = PackConfig()) -> PackedCloud:
+def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds | None = None) -> PackedCloud:
     """Packs points (point_id, x, y, z, rgba): every point in a batch, batches in their shuffled order.
 
-    An empty cloud has no batches and zero bounds. The packed points are written to the shared folder.
+    An empty cloud has no batches and zero bounds. The keyed points, which ranks are taken of in several passes, and the
+    packed points are written to the shared folder. within: the bounds, where they are known.
     """
-    b = bounds(points)
-    levelled = lod_levels(written(morton_ranks(points, b), "ranks"), b, config)
+    b = within or bounds(points)
+    keyed = written(morton_keys(points, b), "keyed")
+    levelled = lod_levels(written(ranked(keyed, "mk", ["point_id"], "pk", dense_tie="point_id"), "ranks"), b, config)
     rows = written(quantised(batched(levelled, config.points_per_batch)), "packed")
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:

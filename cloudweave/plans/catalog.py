@@ -75,21 +75,20 @@ def _(spark, sf_dir):
 
 @query("morton_key", with_(q.NUM, q.BOUNDS, q.morton(), select="SELECT point_id, mk FROM rnk"))
 def _(spark, sf_dir):
-    p = numbered(spark, sf_dir)
-    return pack.morton_keys(p, pack.bounds(p)).select("point_id", "mk")
+    return pack.morton_keys(numbered(spark, sf_dir), pack.bounds(line(spark, sf_dir))).select("point_id", "mk")
 
 
 @query("morton_rank", with_(q.NUM, q.BOUNDS, q.morton(), select="SELECT point_id, mk, pk FROM rnk"))
 def _(spark, sf_dir):
-    p = numbered(spark, sf_dir)
-    return pack.morton_ranks(p, pack.bounds(p)).select("point_id", "mk", "pk")
+    keyed = raster.written(pack.morton_keys(numbered(spark, sf_dir), pack.bounds(line(spark, sf_dir))), "keyed")
+    return pack.ranked(keyed, "mk", ["point_id"], "pk", dense_tie="point_id").select("point_id", "mk", "pk")
 
 
 _PACKED = q.packed(PACK.lod_levels, PACK.coarse_divisions, PACK.points_per_batch)
 
 
 def packed(spark, sf_dir) -> pack.PackedCloud:
-    return pack.pack(src.numbered_lineitem_points(spark, sf_dir), PACK)
+    return pack.pack(src.numbered_lineitem_points(spark, sf_dir), PACK, pack.bounds(line(spark, sf_dir)))
 
 
 @query("lod_levels", with_(_PACKED, select="SELECT point_id, pk, lod_level::BIGINT AS lod_level FROM lod"))
@@ -192,9 +191,9 @@ def _(spark, sf_dir):
     return b.select("batch_id", "file_index", (m[0] * F.col("min_x") + m[1] * F.col("min_y") + m[2] * F.col("min_z") + m[3]).alias("world_x"))
 
 
-@query("precision_level", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, precision::BIGINT AS precision, round(pixel_size, 6) AS pixel_size FROM vis"))
+@query("precision_level", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, precision::BIGINT AS precision, pixel_size FROM vis"))
 def _(spark, sf_dir):
-    return select.visible_batches(packed(spark, sf_dir).batches, CLOSE, IMAGE).select("batch_id", "precision", F.round("pixel_size", 6).alias("pixel_size"))
+    return select.visible_batches(packed(spark, sf_dir).batches, CLOSE, IMAGE).select("batch_id", "precision", "pixel_size")
 
 
 @query("prefix_select", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, active_points::BIGINT AS active_points FROM vis WHERE active_points > 0"))
@@ -322,10 +321,10 @@ def _oit(source: str, alpha: str, samples: str = "1") -> str:
 _COVER = IMAGE.but(apply_tint=True, tint_alpha_is_coverage=True)
 
 
-@query("oit_image", with_(_TINTED, *_SPLATS[1:], q.depths(), _oit("spl", "least(greatest(1 - tint_a, 0), 1)"), select="SELECT oit.px, oit.py, depth, sum_r, sum_g, sum_b, cnt, round(sum_r / cnt::DOUBLE, 9) AS r FROM oit JOIN dep USING (px, py)"))
+@query("oit_image", with_(_TINTED, *_SPLATS[1:], q.depths(), _oit("spl", "least(greatest(1 - tint_a, 0), 1)"), select="SELECT oit.px, oit.py, depth, sum_r, sum_g, sum_b, cnt, sum_r / cnt::DOUBLE AS r FROM oit JOIN dep USING (px, py)"))
 def _(spark, sf_dir):
     sums = raster.accumulate([Cloud(tinted(spark, sf_dir))], CAMERA, _COVER)
-    return sums.withColumn("r", F.round(F.col("sum_r") / F.col("cnt").cast("double"), 9))
+    return sums.withColumn("r", F.col("sum_r") / F.col("cnt").cast("double"))
 
 
 _MIX = ", ".join(f"floor(least(greatest({q.channel(k)} * {q.d(1 / 255)} + (least(greatest({t}, 0), 1) - {q.channel(k)} * {q.d(1 / 255)}) * least(greatest(tint_a, 0), 1), 0), 1) * 255.0::DOUBLE + 0.5)::BIGINT AS m{n}" for k, n, t in ((0, "r", "tint_r"), (1, "g", "tint_g"), (2, "b", "0.25::DOUBLE")))
