@@ -23,7 +23,7 @@ DELTA = "cloud_id string, seq bigint, op string, chunk_id string, depth int, num
 TELEMETRY = (
     "cloud_id string, tick bigint, resident_chunks bigint, resident_batches bigint, resident_points bigint, pinned_chunks bigint, pending_chunks bigint, "
     "uploaded_chunks bigint, evicted_chunks bigint, dropped_chunks bigint, starved_ticks bigint, free_slots bigint, blocked_on_full_pool boolean, "
-    "generation bigint, last_error string, resident string"
+    "generation bigint, last_error string, resident string, slots string"
 )
 
 
@@ -137,7 +137,7 @@ class Pool:
             "cloud_id": cloud_id, "tick": self.tick, "resident_chunks": len(self.resident), "resident_batches": sum(len(c["slots"]) for c in self.resident.values()),
             "resident_points": sum(c["num_points"] for c in self.resident.values()), "pinned_chunks": sum(c["depth"] <= self.pinned_depth for c in self.resident.values()),
             "pending_chunks": len(self.pending), "uploaded_chunks": self.uploaded, "evicted_chunks": self.evicted, "dropped_chunks": self.dropped, "starved_ticks": self.starved,
-            "free_slots": len(self.free), "blocked_on_full_pool": self.blocked, "generation": self.generation, "last_error": self.last_error, "resident": ",".join(sorted(self.resident)),
+            "free_slots": len(self.free), "blocked_on_full_pool": self.blocked, "generation": self.generation, "last_error": self.last_error, "resident": ",".join(sorted(self.resident)), "slots": json.dumps(self.batches()),
         }
 
 
@@ -208,6 +208,19 @@ def replay(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> D
     return deltas.groupBy("cloud_id").applyInPandas(run, TELEMETRY)
 
 
+SLOTS = "array<struct<chunk_id: string, slot: int, first_point: bigint, num_points: int, state: int>>"
+
+
+def resident_batches(told: DataFrame) -> DataFrame:
+    """The resident batches of each cloud (and the generation they are of) by its latest telemetry.
+
+    Queries join points to them by slot; a pool has at most capacity rows here. In a stream's foreachBatch this is the
+    table to publish.
+    """
+    last = told.groupBy("cloud_id").agg(F.max_by(F.struct("generation", "slots"), "tick").alias("last"))
+    return last.select("cloud_id", "last.generation", F.inline(F.from_json("last.slots", SLOTS)))
+
+
 def latest_residents(deltas: DataFrame) -> DataFrame:
     """The chunks that are there after all records, if the pool is large enough: those whose last record adds them."""
     return deltas.groupBy("cloud_id", "chunk_id").agg(F.max_by(F.struct("op", "depth", "num_points"), "seq").alias("last")).where("last.op = 'add'").select("cloud_id", "chunk_id", "last.depth", "last.num_points")

@@ -1,0 +1,61 @@
+import zlib
+
+import pytest
+
+from cloudweave import cli
+from cloudweave.model import PackConfig, RasterConfig, scale_translate, standard_camera
+from cloudweave.operators.scene import Scene, png
+from cloudweave.sources import ply
+from cloudweave.sources import points as src
+
+CAMERA = standard_camera()
+
+
+def keys(df):
+    return {(r.px, r.py) for r in df.collect()}
+
+
+def test_scene_keeps_clouds_and_selections(spark):
+    scene = Scene(RasterConfig(width=48, height=48))
+    grid = src.cube_grid(spark, 8)
+    scene.add("packed", grid, packing=PackConfig(points_per_batch=128, coarse_divisions=4))
+    scene.add("plain", grid, model=scale_translate((0.2, 0.2, 0.2), (0.7, 0.0, 0.0)), visible=False)
+    assert scene.clouds == ["packed", "plain"] and scene.visible_clouds == ["packed"]
+    one = keys(scene.render(CAMERA))
+    assert one == keys(scene.render(CAMERA)) and (scene.cache.ran, scene.cache.skipped) == (1, 1)
+    scene.show("plain", True)
+    assert len(keys(scene.render(CAMERA))) > len(one)
+    assert scene.pick("packed", (0.0, 0.0), CAMERA) is not None and scene.pick("none", (0.0, 0.0), CAMERA) is None
+    scene.move("packed", scale_translate((1, 1, 1), (0.3, 0, 0)))
+    scene.resize(40, 30)
+    scene.render(CAMERA)
+    ran = scene.cache.ran
+    scene.add("packed", src.cube_grid(spark, 3), packing=PackConfig())
+    assert scene.generation("packed") == 1 and scene.clouds == ["packed", "plain"]
+    scene.render(CAMERA)
+    assert scene.cache.ran == ran + 1
+    scene.remove("packed")
+    assert scene.visible_clouds == ["plain"]
+
+
+def test_picture(spark):
+    config = RasterConfig(width=32, height=20)
+    scene = Scene(config)
+    scene.add("c", src.cube_grid(spark, 6))
+    image = scene.render(CAMERA)
+    data = png(image, config)
+    at = data.index(b"IDAT")
+    raw = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
+    assert data.startswith(b"\x89PNG") and len(raw) == 20 * (1 + 32 * 4)
+    assert sum(raw[y * 129 + 1 + x * 4 + 3] == 255 for y in range(20) for x in range(32)) == image.count()
+    with pytest.raises(ValueError):
+        png(image, config.but(width=100000, height=100000))
+
+
+def test_command_line(spark, tmp_path):
+    path = tmp_path / "a.ply"
+    path.write_bytes(ply.ply_bytes([(x, y, 0, 1, 2, 3) for x in range(9) for y in range(9)]))
+    assert cli.main(["--ply", str(path), "--ply", str(tmp_path / "missing.ply"), "--out", str(tmp_path / "out"), "--size", "64", "--points-per-batch", "16"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 81
+    with pytest.raises(SystemExit):
+        cli.main(["--ply", "nowhere.ply", "--out", "x"])

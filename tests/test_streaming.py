@@ -71,6 +71,9 @@ def test_stream_is_the_replay(spark, tmp_path):
     ticked = spark.createDataFrame([(*r, i // 30) for i, r in enumerate(rows)], residency.DELTA + ", tick int")
     want = residency.replay(ticked, 9, points_per_batch=256, pinned_depth=1).collect()
     assert len(want) == 6 and all(told[r.cloud_id, r.tick] == r for r in want)
+    slots = residency.resident_batches(spark.sql("select * from told")).collect()
+    last = {r.cloud_id: r for r in want if r.tick == 3}
+    assert len(slots) == sum(r.resident_batches for r in last.values()) and sum(r.num_points for r in slots) == sum(r.resident_points for r in last.values())
 
 
 def test_plan_chunk_and_sweeps(spark):
