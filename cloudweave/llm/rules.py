@@ -17,6 +17,9 @@ from cloudweave.llm.common import table, written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
+INTERNAL = ("_words", "_lines", "_grams", "_twice", "_at", "_n_lines", "_host", "_bad")
+#: Bad hosts that are broadcast at most.
+BROADCAST_HOSTS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -99,10 +102,12 @@ def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits(), dro
     null doc_id is kept and an empty table gives no rows. Columns of docs that have a result's name are replaced. The
     counted rows are written to the shared folder once, so texts are counted once.
     """
-    clash = [c for c in docs.columns if c in (*FEATURES, "base_failed", "kept") or c.startswith("_")]
+    clash = [c for c in docs.columns if c in (*FEATURES, "base_failed", "kept", *INTERNAL)]
     counted = written(counts(docs.drop(*clash)).drop(*drop), "counts")
-    verdicts = host_verdicts(counted, host, limits)
-    joined = counted.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(verdicts, "_host", "left")
+    bad = host_verdicts(counted, host, limits).where("_bad")
+    # Bad hosts are counted first; few are broadcast, so that no text is shuffled for them, and many are joined by shuffles.
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+    joined = counted.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(bad, "_host", "left")
     strict = soft_failed(limits.strict_symbols, limits.strict_dup_lines)
     lenient = soft_failed(limits.symbols, limits.dup_lines)
     out = joined.withColumn("base_failed", base_failed(limits))

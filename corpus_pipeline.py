@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudweave.llm import packing, rules, simhash, toxicity
 from cloudweave.llm.common import table, written
@@ -14,8 +15,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, judged with their hosts."""
-    return rules.judged(docs).where("kept").select(*docs.columns)
+    """Documents that pass the quality rules, judged with their hosts; rows go along as structs, so no column clashes."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "source")
+    return rules.judged(rows, drop=("text",)).where("kept").select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

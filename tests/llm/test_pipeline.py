@@ -59,6 +59,17 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_extra_columns_that_clash_go_along(spark, tmp_path):
+    rows, labels = documents()
+    extra = "kept string, id long, _bad string, n_words string, _host string, fp string, text_key string, held_out int"
+    docs = spark.createDataFrame([(*r, "k", 5, "b", "w", "h", "f", "t", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert {tuple(r)[5:] for r in docs.collect()} == {("k", 5, "b", "w", "h", "f", "t", 3)}
+    assert docs.count() == docs.select("doc_id").distinct().count() > 100 and corpus_pipeline.packed(spark, docs, "").count() > 0
+
+
 def test_one_of_each_with_nulls(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (4, "A b c"), (None, "other words here now"), (None, "other words here now"), (4, "A b c")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect())
