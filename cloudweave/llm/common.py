@@ -36,14 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str, sort_by: str | None = None, rows: int | None = None, in_file: int = FILE_ROWS) -> DataFrame:
+def written(df: DataFrame, name: str, sort_by: str | None = None, rows: int | None = None, in_file: int = FILE_ROWS, gather: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing.
 
-    rows: about how many rows df has; where they are narrow and few, they go to few files, of about in_file rows.
+    rows: about how many rows df has; where they are narrow and few, they go to few files, of about in_file rows. That
+    takes a small shuffle if what makes them is costly and must stay spread (gather=True).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cloudweave/{name}-{uuid.uuid4().hex}"
-    out = df if rows is None else df.coalesce(1 + rows // in_file)
+    files = None if rows is None else 1 + rows // in_file
+    out = df if files is None else df.repartition(files) if gather else df.coalesce(files)
     out = out.sortWithinPartitions(sort_by) if sort_by else out
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     Other columns are not looked at. An empty table gives no rows. The pieces are written to the shared folder once, so
     texts are encoded once.
     """
-    return place(written(pieces(docs, tokenizer, window, end_id), "pieces"), window)
+    return place(written(pieces(docs, tokenizer, window, end_id), "pieces", rows=docs.count(), gather=True), window)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

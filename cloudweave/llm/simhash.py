@@ -78,8 +78,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _components(prints: DataFrame) -> DataFrame:
     """fp, component of each distinct fingerprint of prints (doc_id, fp), and component_id, the component's least doc_id."""
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts", rows=prints.count(), in_file=BALL_ROWS)
-    found = components(links(firsts.select("fp")), firsts.count())
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts", rows=prints.count())
+    n = firsts.count()
+    found = components(links(firsts.select("fp").repartition(1 + n // BALL_ROWS)), n)
     grouped = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     return grouped.join(least, "component").select("fp", "component", "component_id")
@@ -93,7 +94,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept and is never a component's id unless no row of the component has one. An empty table gives no rows. Other
     columns are not looked at. Equal fingerprints are linked once, as one, whatever the number of their rows.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs), "fingerprints", rows=docs.count(), gather=True)
     return prints.join(_components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -102,11 +103,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the kept one's doc_id and text go too.
     """
-    prints = written(fingerprints(_keyed(docs), extra="text_key"), "fingerprints")
+    prints = written(fingerprints(_keyed(docs), extra="text_key"), "fingerprints", rows=docs.count(), gather=True)
     pick = prints.join(_components(prints), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))).alias("kept"))
-    kept = pick.select(F.col("kept.none").alias("_none"), F.col("kept.id").alias("_id"), F.col("kept.key").alias("_key"))
-    named = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": F.xxhash64(F.col("text").cast("string"))})
-    return named.join(kept, ["_none", "_id", "_key"], "left_semi").dropDuplicates(["_none", "_id", "_key"]).select(*docs.columns)
+    kept = pick.select(F.col("kept.none").alias("none"), F.col("kept.id").alias("id"), F.col("kept.key").alias("key"))
+    # The rows go along as structs, so no column of theirs can clash. Texts are streamed past a hash table of what is
+    # kept in each partition, not sorted; only where rows repeat are they grouped.
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    found = named.join(kept.hint("shuffle_hash"), ["none", "id", "key"], "left_semi")
+    repeated = prints.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    return (found.dropDuplicates(["none", "id", "key"]) if repeated else found).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
