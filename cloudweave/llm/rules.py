@@ -17,7 +17,7 @@ from cloudweave.llm.common import table, written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-INTERNAL = ("_words", "_lines", "_grams", "_twice", "_at", "_n_lines", "_host", "_bad")
+INTERNAL = ("_words", "_lines", "_hashes", "_grams", "_twice", "_at", "_n_lines", "_host", "_bad")
 #: Bad hosts that are broadcast at most.
 BROADCAST_HOSTS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -51,12 +51,12 @@ def counts(docs: DataFrame) -> DataFrame:
         "_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     )
     n = F.size("_words")
-    grams = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get("_words", i + k) for k in range(WINDOW))).alias("h"), i.alias("i"))),
-    )
-    # Two hashes of 64 bits that are equal within one text stand for equal windows; the structs sort by hash, then place.
-    with_grams = with_arrays.withColumn("_grams", F.sort_array(grams))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(WINDOW))))
+    # Two hashes of 64 bits that are equal within one text stand for equal windows. Most texts repeat none and are done;
+    # of the others the windows are sorted by hash, then place.
+    with_hashes = with_arrays.withColumn("_hashes", F.when(n >= WINDOW, hashes))
+    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    with_grams = with_hashes.withColumn("_grams", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(placed)))
     twice = F.filter(F.sequence(F.lit(1), F.size("_grams") - 1), lambda k: F.get("_grams", k)["h"] == F.get("_grams", k - 1)["h"])
     with_twice = with_grams.withColumn("_twice", F.when(F.size("_grams") > 1, twice))
     at = F.array_union(F.transform("_twice", lambda k: F.get("_grams", k)["i"]), F.transform("_twice", lambda k: F.get("_grams", k - 1)["i"]))
