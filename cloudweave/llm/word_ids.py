@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker remembers; further words are encoded again in each batch in which they occur.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Longer words are encoded but never remembered.
 LONGEST = 48
 #: White space on which str.split() and the tokenizer's own pattern might disagree, or which is rare.
