@@ -7,7 +7,7 @@ from cloudweave.llm import bpe, language, media, packing, quality, rules, shardi
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op2_warc": warc.op2_warc, "op3_quality": quality.op3_quality, "op4_simhash": simhash.op4_simhash, "op5_media": media.op5_media, "op6_toxicity": toxicity.op6_toxicity, "op7_bpe": bpe.op7_bpe, "op8_sharding": sharding.op8_sharding, "op9_rules": rules.op9_rules, "op10_language": language.op10_language, "pipeline": corpus_pipeline.run}
+    return {"op1_packing": packing.op1_packing, "op2_warc": warc.op2_warc, "op3_quality": quality.op3_quality, "op4_simhash": simhash.op4_simhash, "op5_media": media.op5_media, "op6_toxicity": toxicity.op6_toxicity, "op7_bpe": bpe.op7_bpe, "op8_sharding": sharding.op8_sharding, "op9_rules": rules.op9_rules, "op10_language": language.op10_language, "pipeline": corpus_pipeline.run, "pipeline_near": corpus_pipeline.run_near}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,19 +24,22 @@ BALL_ROWS = 10_000
 _FLIPS = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a text: a bit is 1 if set in over half of its shingles' hashes; 0 without words."""
+def slices(text: str | None, shingle: int) -> tuple[bytes, list[slice]]:
+    """The words of a text with one space between them, and where in them its shingles are."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) < shingle:
-        starts, stops = [0], [len(line)]
-    else:
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        stops = ends[shingle - 1 :].tolist()
-    grams = map(line.__getitem__, map(slice, starts, stops))
+        return line, [slice(0, len(line))]
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    return line, list(map(slice, [0, *(ends[: len(words) - shingle] + 1).tolist()], ends[shingle - 1 :].tolist()))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text: a bit is 1 if set in over half of its shingles' hashes; 0 without words."""
+    line, cuts = slices(text, shingle)
+    if not line:
+        return 0
+    grams = map(line.__getitem__, cuts)
     hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(seed))), np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), BLOCK):
@@ -59,6 +62,12 @@ def fingerprints(docs: DataFrame, extra: str | None = None) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *along), make, ", ".join(f"{c} long" for c in names), pa.schema([(c, pa.int64()) for c in names]))
 
 
+def neighbours(met: DataFrame) -> DataFrame:
+    """Pairs (a, b): each fp of met (fp, variant) with the next lower one at a variant."""
+    lower = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
+    return met.select(lower.alias("a"), F.col("fp").alias("b")).where("a is not null").distinct()
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints at 1 or 2 differing bits that connect all such fingerprints of prints (fp, distinct).
 
@@ -67,12 +76,10 @@ def links(prints: DataFrame) -> DataFrame:
     of those it meets. At most 65 distinct fingerprints meet at a value. The distances of the pairs are checked.
     """
     ball = prints.select("fp", F.explode(F.lit(_FLIPS)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    lower = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
-    pairs = ball.select(lower.alias("a"), F.col("fp").alias("b")).where("a is not null").distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    return neighbours(ball).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
 
 
@@ -98,13 +105,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(_components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the row of the least doc_id (a null one last, then the least hash of the text), all columns.
-
-    Rows that repeat the kept one's doc_id and text go too.
-    """
-    prints = written(fingerprints(_keyed(docs), extra="text_key"), "fingerprints", rows=docs.count(), gather=True)
-    pick = prints.join(_components(prints), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))).alias("kept"))
+def kept_rows(docs: DataFrame, placed: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of docs that are kept of the components in placed (doc_id, text_key, component), all columns."""
+    pick = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))).alias("kept"))
     kept = pick.select(F.col("kept.none").alias("none"), F.col("kept.id").alias("id"), F.col("kept.key").alias("key"))
     # The rows go along as structs, so no column of theirs can clash. Texts are streamed past a hash table of what is
     # kept in each partition, not sorted; only where rows repeat are they grouped.
@@ -114,6 +117,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return (found.dropDuplicates(["none", "id", "key"]) if repeated else found).select("row.*")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component the row of the least doc_id (a null one last, then the least hash of the text), all columns.
+
+    Rows that repeat the kept one's doc_id and text go too.
+    """
+    prints = written(fingerprints(keyed(docs), extra="text_key"), "fingerprints", rows=docs.count(), gather=True)
+    return kept_rows(docs, prints.join(_components(prints), "fp"), prints)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm import packing, rules, simhash, toxicity
+from cloudweave.llm import packing, rules, similar, simhash, toxicity
 from cloudweave.llm.common import table, written
 
 
@@ -25,6 +25,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts at a similarity of 0.8 on five-word shingles."""
+    return similar.one_of_each(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -33,16 +38,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", clean), ("quality rules", good), ("near-dedup", distinct), ("packing", packed)]
+#: The same with near-duplicates by five-word similarity instead of op4's contract.
+NEAR_STAGES = [(name, dissimilar if stage is distinct else stage) for name, stage in STAGES]
 
 #: The field of the first stage is fitted, so SQL can't express it; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if k < len(stages) - 1:
             docs = written(docs, f"stage-{name.replace(' ', '-')}")
     return docs
+
+
+def run_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As run, with near-duplicates by five-word similarity."""
+    return run(spark, sf_dir, NEAR_STAGES)
