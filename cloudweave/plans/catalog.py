@@ -173,6 +173,13 @@ def _(spark, sf_dir):
     return pack.point_to_batch(spark.range(n).select((F.col("id") * 7).alias("i")), c.batches)
 
 
+@query("point_to_batch_all", with_(_PACKED, select="SELECT i, batch_id::BIGINT AS batch_id, (i - first_point)::BIGINT AS local_idx FROM range((SELECT count(*) FROM pts)) t(i) JOIN zon ON first_point <= i AND i < first_point + num_points"))
+def _(spark, sf_dir):
+    """Every pack index; point_to_batch_range_join looks up each seventh."""
+    c = packed(spark, sf_dir)
+    return pack.point_to_batch(spark.range(c.points.count()).withColumnRenamed("id", "i"), c.batches)
+
+
 # --- selection ---
 
 _VISIBLE = q.visible(CLOSE, IMAGE)

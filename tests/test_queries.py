@@ -42,6 +42,14 @@ def test_every_query_has_sql_but_the_pools_telling():
     assert PACKED | SLOW < set(catalog.queries()) and set(streams.queries()) < set(catalog.queries())
 
 
+def test_all_points_are_looked_up(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the generated tables are not here")
+    found = catalog.queries()["point_to_batch_all"](spark, SF).collect()
+    assert sorted(r.i for r in found) == list(range(spark.read.parquet(f"{SF}/lineitem.parquet").count()))
+    assert len({(r.batch_id, r.local_idx) for r in found}) == len(found)
+
+
 def test_scans_read_only_what_they_need(spark):
     if not os.path.isdir(SF):
         pytest.skip("the generated tables are not here")
