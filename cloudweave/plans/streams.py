@@ -36,6 +36,8 @@ def deltas(spark, sf_dir):
 _DELTA = "del AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op, user_id::VARCHAR AS chunk_id, user_id % 5 AS depth, event_id % 700 + 1 AS num_points FROM events)"
 _LAST = "lst_ AS (SELECT chunk_id, arg_max(op, seq) AS op, arg_max(depth, seq) AS depth, arg_max(num_points, seq) AS num_points FROM del {where} GROUP BY chunk_id)"
 
+_BEFORE = "bef AS (SELECT d.seq, d.chunk_id, d.op, arg_max(g.op, g.seq) AS former, arg_max(g.num_points, g.seq) AS points FROM del d LEFT JOIN del g ON g.chunk_id = d.chunk_id AND g.seq < d.seq GROUP BY d.seq, d.chunk_id, d.op)"
+
 
 def pool_apply_delta(spark, sf_dir):
     return residency.latest_residents(deltas(spark, sf_dir)).select("chunk_id", "depth", "num_points")
@@ -61,6 +63,25 @@ def evicted_semijoin(spark, sf_dir):
     return early.join(d.where("seq % 2 = 1 and op = 'remove'"), "chunk_id", "left_semi").select("chunk_id", "num_points")
 
 
+def _former(d, column):
+    return F.lag(column).over(Window.partitionBy("chunk_id").orderBy("seq"))
+
+
+def pending_all(spark, sf_dir):
+    """As pending_antijoin, of all records: each addition is judged by its chunk's earlier and later records."""
+    d = deltas(spark, sf_dir)
+    gone = F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(Window.partitionBy("chunk_id"))
+    judged = d.select("seq", "chunk_id", "op", _former(d, "op").alias("former"), gone.alias("gone"))
+    return judged.where("op = 'add' and coalesce(former, 'remove') <> 'add' and coalesce(seq > gone, true)").select("seq", "chunk_id")
+
+
+def evicted_all(spark, sf_dir):
+    """Removals of chunks that are resident before them, with the points that go."""
+    d = deltas(spark, sf_dir)
+    judged = d.select("seq", "chunk_id", "op", _former(d, "op").alias("former"), _former(d, "num_points").alias("points"))
+    return judged.where("op = 'remove' and former = 'add'").select("seq", "chunk_id", F.col("points").alias("num_points"))
+
+
 def starvation(spark, sf_dir):
     """The pool's own telling of all records, a hundred a tick."""
     d = deltas(spark, sf_dir).withColumn("tick", F.floor(F.col("seq") / 100))
@@ -168,6 +189,8 @@ def queries() -> dict[str, tuple[Callable, str | None]]:
         "pinned_counts": (pinned_counts, f"WITH {_DELTA}, {_LAST.format(where='')} SELECT count(*) AS chunks, sum(num_points)::BIGINT AS points, count(*) FILTER (depth <= 1) AS pinned FROM lst_ WHERE op = 'add'"),
         "pending_antijoin": (pending_antijoin, f"WITH {_DELTA}, {early}, res AS (SELECT chunk_id FROM lst_ WHERE op = 'add') SELECT seq, chunk_id FROM del WHERE seq % 2 = 1 AND op = 'add' AND chunk_id NOT IN (SELECT chunk_id FROM res) AND NOT EXISTS (SELECT 1 FROM del g WHERE g.seq % 2 = 1 AND g.op = 'remove' AND g.chunk_id = del.chunk_id AND g.seq > del.seq)"),
         "evicted_semijoin": (evicted_semijoin, f"WITH {_DELTA}, {early} SELECT chunk_id, num_points FROM lst_ WHERE op = 'add' AND chunk_id IN (SELECT chunk_id FROM del WHERE seq % 2 = 1 AND op = 'remove')"),
+        "pending_all": (pending_all, f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id FROM bef WHERE op = 'add' AND coalesce(former, 'remove') <> 'add' AND NOT EXISTS (SELECT 1 FROM del g WHERE g.op = 'remove' AND g.chunk_id = bef.chunk_id AND g.seq > bef.seq)"),
+        "evicted_all": (evicted_all, f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id, points AS num_points FROM bef WHERE op = 'remove' AND former = 'add'"),
         "starvation": (starvation, None),
         "settle_state": (settle_state, _SETTLE),
         "sweep_chunks": (sweep_chunks, "WITH " + c._PACKED + f"\nSELECT new_id::BIGINT AS new_id, num_points, (new_id // {take})::BIGINT AS chunk FROM zon"),

@@ -50,6 +50,24 @@ def test_all_points_are_looked_up(spark):
     assert len({(r.batch_id, r.local_idx) for r in found}) == len(found)
 
 
+def test_all_records_are_judged(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the generated tables are not here")
+    resident, pending, evicted = {}, {}, []
+    for r in streams.deltas(spark, SF).orderBy("seq").collect():
+        if r.op == "add":
+            if r.chunk_id not in resident:
+                pending[r.chunk_id] = r.seq
+            resident[r.chunk_id] = r.num_points
+        else:
+            pending.pop(r.chunk_id, None)
+            if r.chunk_id in resident:
+                evicted.append((r.seq, r.chunk_id, resident.pop(r.chunk_id)))
+    assert sorted((r.seq, r.chunk_id) for r in catalog.queries()["pending_all"](spark, SF).collect()) == sorted((s, c) for c, s in pending.items())
+    assert sorted(tuple(r) for r in catalog.queries()["evicted_all"](spark, SF).select("seq", "chunk_id", "num_points").collect()) == sorted(evicted)
+    assert {s % 2 for s in pending.values()} == {0, 1} == {s % 2 for s, _, _ in evicted}
+
+
 def test_scans_read_only_what_they_need(spark):
     if not os.path.isdir(SF):
         pytest.skip("the generated tables are not here")
