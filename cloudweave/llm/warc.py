@@ -26,6 +26,8 @@ PORTS = {"http": 80, "https": 443}
 #: Intervals into which the time of all records is cut; a URL's records are carried on from one to the next.
 INTERVALS = 4096
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+#: Kinds of records whose block may be an HTTP response.
+HTTP_KINDS = ("response", "revisit")
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 
@@ -57,6 +59,14 @@ def record(kind: str, record_id: str, url: str, when: datetime, status: str, hea
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + b"\r\n\r\n"
 
 
+def other_record(kind: str, record_id: str, when: datetime, content_type: str, block: bytes, url: str | None = None) -> bytes:
+    """A WARC/1.1 record of another kind (warcinfo, request, metadata)."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%SZ"))]
+    head += [("WARC-Target-URI", url)] if url else []
+    head += [("Content-Type", content_type), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
 def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
     head, _, rest = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
@@ -68,8 +78,27 @@ def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, fields, rest
 
 
+def _status(line: str) -> int | None:
+    """The code of a status line; None where it has none of three digits."""
+    found = re.match(r"HTTP/\S+ +([0-9]{3})(?: |$)", line)
+    return int(found[1]) if found else None
+
+
+def _micros(date: str | None) -> int | None:
+    """Microseconds since the epoch of a WARC-Date; None where it is missing or no date. Without a zone it is in UTC."""
+    try:
+        when = datetime.fromisoformat((date or "").strip())
+    except ValueError:
+        return None
+    return ((when if when.tzinfo else when.replace(tzinfo=UTC)) - EPOCH) // timedelta(microseconds=1)
+
+
 def records(data: bytes):
-    """The records of WARC bytes, in order: (WARC fields, HTTP status, HTTP fields, body)."""
+    """The records of WARC bytes, in order: (WARC fields, HTTP status, HTTP fields, body).
+
+    Only responses and revisits have an HTTP response's head; others, and those of another protocol, have no status and
+    no HTTP fields, and their body is the block.
+    """
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -77,8 +106,12 @@ def records(data: bytes):
             return
         _, fields, _ = _head(data[at : end + 4])
         length = int(fields.get("content-length") or 0)
-        status, headers, body = _head(data[end + 4 : end + 4 + length])
-        yield fields, int((status.split(" ") + ["", ""])[1] or 0), headers, body
+        block = data[end + 4 : end + 4 + length]
+        if fields.get("warc-type") in HTTP_KINDS and block.startswith(b"HTTP/"):
+            first, headers, body = _head(block)
+            yield fields, _status(first), headers, body
+        else:
+            yield fields, None, {}, block
         at = end + 4 + length
 
 
@@ -94,7 +127,7 @@ def captures(archives: DataFrame) -> DataFrame:
             out: dict[str, list] = {n: [] for n in _CAPTURES.names}
             for data in batch.column("warc").to_pylist():
                 for fields, status, headers, body in records(data or b""):
-                    ts = (datetime.fromisoformat(fields["warc-date"]) - EPOCH) // timedelta(microseconds=1)
+                    ts = _micros(fields.get("warc-date"))
                     full = fields.get("warc-type") == "response"
                     row = (fields.get("warc-record-id", "").strip("<>"), canonical(fields.get("warc-target-uri")), fields.get("warc-type"), ts, status, list(headers.items()), hashlib.sha1(body).hexdigest() if full else None, len(body))
                     for name, value in zip(_CAPTURES.names, row, strict=True):
@@ -129,7 +162,7 @@ def resolve(found: DataFrame) -> DataFrame:
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull()
     response = F.when(full, F.struct("ts", "record_id", "headers_json", "body_sha1", "body_bytes"))
     # Maps can't be compared; the struct of which the greatest is sought has them as text, behind the time and id.
-    rows = found.withColumn("headers_json", F.to_json("headers")).withColumn("_at", F.floor((F.col("ts") - low) / F.lit(width))).withColumn("_full", response)
+    rows = found.where(F.col("kind").isin(*HTTP_KINDS)).withColumn("headers_json", F.to_json("headers")).withColumn("_at", F.floor((F.col("ts") - low) / F.lit(width))).withColumn("_full", response)
     by_interval = rows.groupBy("url", "_at").agg(F.max("_full").alias("_last"))
     carried = by_interval.select("url", "_at", F.max("_last").over(Window.partitionBy("url").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     inside = F.max("_full").over(Window.partitionBy("url", "_at").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1))
@@ -149,11 +182,11 @@ def resolve(found: DataFrame) -> DataFrame:
     )
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, others: bool = False) -> DataFrame:
     """A WARC of each page (page_id, url, html): its response, between an earlier revisit and two later ones.
 
     The first revisit names the tag of the page's own body before the response came, the third a tag that has changed.
-    Null URLs and texts count as empty.
+    Null URLs and texts count as empty. others: a warcinfo, a request and a metadata record are written too.
     """
 
     def make():
@@ -170,6 +203,11 @@ def archived(pages: DataFrame) -> DataFrame:
                     record("revisit", f"{name}:same", url or "", start + timedelta(minutes=4), "304 Not Modified", [("ETag", f"W/{tag}"), ("Date", date[2]), ("Cache-Control", "max-age=60"), ("Content-Length", "0"), ("Server", "x")]),
                     record("revisit", f"{name}:changed", url or "", start + timedelta(minutes=7), "304 Not Modified", [("ETag", '"changed"'), ("Date", date[3])]),
                 ]
+                if others:
+                    info = other_record("warcinfo", f"{name}:info", start, "application/warc-fields", b"software: cloudweave\r\nformat: WARC File Format 1.1\r\n")
+                    request = other_record("request", f"{name}:request", start + timedelta(minutes=1), "application/http;msgtype=request", b"GET / HTTP/1.1\r\nUser-Agent: cloudweave\r\n\r\n", url)
+                    metadata = other_record("metadata", f"{name}:metadata", start + timedelta(minutes=1), "application/warc-fields", b"fetchTimeMs: 5\r\n", url)
+                    parts = [info, parts[0], request, parts[1], metadata, *parts[2:]]
                 out.append(b"".join(parts))
             return {"warc": out}
 
@@ -180,6 +218,6 @@ def archived(pages: DataFrame) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The revisits of the archives of all pages, resolved; headers as JSON text in order of their names."""
-    found = written(captures(archived(table(spark, sf_dir, "pages"))), "captures")
+    found = written(captures(archived(table(spark, sf_dir, "pages"), others=True)), "captures")
     ordered = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
     return resolve(found).withColumn("headers", ordered)

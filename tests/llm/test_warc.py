@@ -20,6 +20,26 @@ def test_records_round_trip():
     assert got[0][2] == {"etag": '"1"'} and not list(warc.records(b"")) and not list(warc.records(b"WARC/1.1 cut"))
 
 
+def test_other_kinds_and_bad_dates(spark):
+    when = warc.EPOCH + timedelta(days=1)
+    info = warc.other_record("warcinfo", "i", when, "application/warc-fields", b"software: x\r\nformat: y\r\n")
+    request = warc.other_record("request", "q", when, "application/http;msgtype=request", b"GET /x HTTP/1.1\r\nHost: x\r\n\r\n", "http://x/")
+    dns = warc.other_record("response", "d", when, "text/dns", b"20200101\r\nx. 60 IN A 1.2.3.4\r\n", "dns:x")
+    full = warc.record("response", "f", "http://x/", when, "200 OK", [], b"body")
+    undated = warc.record("revisit", "u", "http://x/", when, "304", []).replace(b"WARC-Date: 1970-01-02T00:00:00.000000Z\r\n", b"")
+    bad = warc.record("revisit", "b", "http://x/", when, "Not a code", []).replace(b"1970-01-02T00", b"soon")
+    found = warc.captures(spark.createDataFrame([(bytearray(info + request + dns + full + undated + bad),)], "warc binary")).collect()
+    day = 86_400_000_000
+    assert [(r.record_id, r.kind, r.ts, r.status) for r in found] == [("i", "warcinfo", day, None), ("q", "request", day, None), ("d", "response", day, None), ("f", "response", day, 200), ("u", "revisit", None, 304), ("b", "revisit", None, None)]
+
+
+def test_archives_with_other_records_resolve_alike(spark):
+    pages = spark.createDataFrame([(1, "http://a/x", "<p>1"), (2, None, None)], "page_id long, url string, html string")
+    mixed = warc.captures(warc.archived(pages, others=True))
+    assert mixed.groupBy("kind").count().where("kind in ('warcinfo', 'request', 'metadata') and count = 2").count() == 3
+    assert sorted(map(repr, warc.resolve(mixed).collect())) == sorted(map(repr, warc.resolve(warc.captures(warc.archived(pages))).collect()))
+
+
 def plain(rows):
     out = []
     for i, u, k, t, _, h, _, _ in rows:
