@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cloudweave.llm.common import held_out, labelled, map_arrow, table
 
 #: At most this many labelled texts of either class, least crc32 of the id first, are fitted on.
-SAMPLE = 700
+SAMPLE = 1000
 #: Words and beginnings (of so many letters) are features of the field.
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature marks words if it is so many times likelier in toxic texts than in others, by a split of its texts between

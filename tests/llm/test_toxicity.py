@@ -60,3 +60,7 @@ def test_one_class_alone(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.score(docs, toxicity.fit(["a b"], [0])).first().predicted == 0
     assert toxicity.score(docs, toxicity.fit([], [])).first().predicted == 0
+
+
+def test_the_sample_is_not_cut_for_memory():
+    assert toxicity.SAMPLE >= 1000
