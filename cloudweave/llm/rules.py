@@ -2,12 +2,12 @@
 
 All of it is DataFrame operations. Each document's counts are found within its row. Rule failures are then summed by
 host, the hosts' rates are shrunk by a beta prior fitted to all hosts by moments, and each document takes its host's
-verdict: in a host that is judged bad, the stricter limits hold.
+verdict: the higher the host's shrunk rate is against the mean of all hosts, the lower are the limits for its documents.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +17,33 @@ from cloudweave.llm.common import table, written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-INTERNAL = ("_words", "_lines", "_hashes", "_grams", "_twice", "_at", "_n_lines", "_host", "_bad")
-#: Bad hosts that are broadcast at most.
+INTERNAL = ("_words", "_lines", "_hashes", "_grams", "_twice", "_at", "_same", "_sure", "_n_lines", "_host", "_symbols", "_dups")
+#: Hosts whose limits are broadcast at most; more are joined by a shuffle of the rows that hang on them.
 BROADCAST_HOSTS = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Least words and largest percentages; the first two are the base rule, which holds in every host."""
+    """Least words and largest percentages; the first two are the base rule, which holds in every host.
+
+    Of symbols and repeated lines, a host without failures has the first limit of each pair, a host that fails twice as
+    often as hosts do on the mean (or more) the second, and between them the limit falls in proportion to the rate. What
+    fails, for the hosts' rates, is judged by the middle of each pair, which is the limit of a host at the mean.
+    """
 
     least_words: int = 50
     repeat_words: int = 50
-    symbols: int = 10
-    dup_lines: int = 50
-    strict_symbols: int = 5
-    strict_dup_lines: int = 25
-    #: A host is bad if its shrunk rate of failures is over this.
-    host_rate: float = 0.5
+    symbols: tuple[int, int] = (15, 5)
+    dup_lines: tuple[int, int] = (75, 25)
     #: Documents that the prior weighs as, at most and at least.
     most_prior: float = 1000.0
     least_prior: float = 2.0
 
+    def without_hosts(self) -> Limits:
+        """The same with the middle limits in every host."""
+        return replace(self, symbols=(sum(self.symbols) / 2,) * 2, dup_lines=(sum(self.dup_lines) / 2,) * 2)
+
 
 def _shifted(name: str, by: int) -> Column:
     return F.transform(name, lambda i: i + by)
@@ -52,23 +57,28 @@ def counts(docs: DataFrame) -> DataFrame:
     )
     n = F.size("_words")
     hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(WINDOW))))
-    # Two hashes of 64 bits that are equal within one text stand for equal windows. Most texts repeat none and are done;
-    # of the others the windows are sorted by hash, then place.
+    # Most texts repeat no hash of a window and are done. Of the others the windows are sorted by hash, then place, and
+    # those that share a hash are sorted once more by their words, which alone decide.
     with_hashes = with_arrays.withColumn("_hashes", F.when(n >= WINDOW, hashes))
     placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     with_grams = with_hashes.withColumn("_grams", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(placed)))
     twice = F.filter(F.sequence(F.lit(1), F.size("_grams") - 1), lambda k: F.get("_grams", k)["h"] == F.get("_grams", k - 1)["h"])
     with_twice = with_grams.withColumn("_twice", F.when(F.size("_grams") > 1, twice))
     at = F.array_union(F.transform("_twice", lambda k: F.get("_grams", k)["i"]), F.transform("_twice", lambda k: F.get("_grams", k - 1)["i"]))
-    with_at = with_twice.withColumn("_at", F.when(F.size("_twice") > 0, at))
-    covered = F.array_distinct(F.flatten(F.array(*(_shifted("_at", k) for k in range(WINDOW)))))
-    return with_at.select(
+    spelled = F.transform(at, lambda i: F.struct(F.concat_ws(" ", *(F.get("_words", i + k) for k in range(WINDOW))).alias("g"), i.alias("i")))
+    with_at = with_twice.withColumn("_at", F.when(F.size("_twice") > 0, F.sort_array(spelled)))
+    same = F.filter(F.sequence(F.lit(1), F.size("_at") - 1), lambda k: F.get("_at", k)["g"] == F.get("_at", k - 1)["g"])
+    with_same = with_at.withColumn("_same", F.when(F.size("_at") > 1, same))
+    sure = F.array_union(F.transform("_same", lambda k: F.get("_at", k)["i"]), F.transform("_same", lambda k: F.get("_at", k - 1)["i"]))
+    with_sure = with_same.withColumn("_sure", F.when(F.size("_same") > 0, sure))
+    covered = F.array_distinct(F.flatten(F.array(*(_shifted("_sure", k) for k in range(WINDOW)))))
+    return with_sure.select(
         *docs.columns,
         n.cast("long").alias("n_words"),
         F.char_length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("_at").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.when(F.col("_sure").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("_n_lines"),
     )
 
@@ -77,13 +87,18 @@ def base_failed(limits: Limits) -> Column:
     return (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_words * F.col("n_words"))
 
 
-def soft_failed(symbols: int, dup_lines: int) -> Column:
-    return (100 * F.col("n_symbols") > symbols * F.col("word_chars")) | (100 * F.col("n_dup_lines") > dup_lines * F.col("_n_lines"))
+def soft_failed(symbols: Column, dup_lines: Column) -> Column:
+    """Whether symbols or repeated lines are over limits given in thousandths of a percent, so all is whole numbers."""
+    return (100_000 * F.col("n_symbols") > symbols * F.col("word_chars")) | (100_000 * F.col("n_dup_lines") > dup_lines * F.col("_n_lines"))
+
 
+def _fixed(*percent: float) -> list[Column]:
+    return [F.lit(round(1000 * p)).cast("long") for p in percent]
 
-def host_verdicts(counted: DataFrame, host: str, limits: Limits) -> DataFrame:
-    """_host, _bad of each host of counted rows; one row of moments comes to the driver."""
-    failed = base_failed(limits) | soft_failed(limits.symbols, limits.dup_lines)
+
+def host_limits(counted: DataFrame, host: str, limits: Limits) -> DataFrame:
+    """_host, _symbols, _dups (thousandths of a percent) of each host of counted rows; one row of moments comes to the driver."""
+    failed = base_failed(limits) | soft_failed(*_fixed(sum(limits.symbols) / 2, sum(limits.dup_lines) / 2))
     hosts = counted.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")).agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("k"))
     rate = F.col("k") / F.col("n")
     m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread"), F.avg(1 / F.col("n")).alias("noise")).first()
@@ -92,7 +107,12 @@ def host_verdicts(counted: DataFrame, host: str, limits: Limits) -> DataFrame:
     between = max(0.0, spread - mean * (1 - mean) * (m["noise"] or 0.0))
     weight = min(limits.most_prior, max(limits.least_prior, mean * (1 - mean) / between - 1)) if between > 0 else limits.most_prior
     shrunk = (F.col("k") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("_host", (shrunk > limits.host_rate).alias("_bad"))
+    against = F.least(shrunk / F.lit(2 * mean), F.lit(1.0)) if mean > 0 else F.lit(0.5)
+
+    def between_(pair: tuple[float, float]) -> Column:
+        return F.round(1000 * (F.lit(float(pair[0])) - F.lit(float(pair[0] - pair[1])) * against)).cast("long")
+
+    return hosts.select("_host", between_(limits.symbols).alias("_symbols"), between_(limits.dup_lines).alias("_dups"))
 
 
 def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits(), drop: tuple[str, ...] = ()) -> DataFrame:
@@ -100,18 +120,20 @@ def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits(), dro
 
     Null texts count as empty and fail the base rule; a null host is the empty host. Repeated rows are judged each, a
     null doc_id is kept and an empty table gives no rows. Columns of docs that have a result's name are replaced. The
-    counted rows are written to the shared folder once, so texts are counted once.
+    counted rows are written to the shared folder once, so texts are counted once. Rows that fail the base rule or every
+    host's limits, or pass every host's, are judged as they are; only the others are joined to their host's limits.
     """
     clash = [c for c in docs.columns if c in (*FEATURES, "base_failed", "kept", *INTERNAL)]
     counted = written(counts(docs.drop(*clash)).drop(*drop), "counts")
-    bad = host_verdicts(counted, host, limits).where("_bad")
-    # Bad hosts are counted first; few are broadcast, so that no text is shuffled for them, and many are joined by shuffles.
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
-    joined = counted.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(bad, "_host", "left")
-    strict = soft_failed(limits.strict_symbols, limits.strict_dup_lines)
-    lenient = soft_failed(limits.symbols, limits.dup_lines)
-    out = joined.withColumn("base_failed", base_failed(limits))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.when(F.col("_bad"), strict).otherwise(lenient)).drop("_host", "_bad", "_n_lines")
+    by_host = host_limits(counted, host, limits)
+    by_host = F.broadcast(by_host) if by_host.count() <= BROADCAST_HOSTS else by_host
+    based = counted.withColumn("base_failed", base_failed(limits))
+    never = F.col("base_failed") | soft_failed(*_fixed(limits.symbols[0], limits.dup_lines[0]))
+    always = ~soft_failed(*_fixed(limits.symbols[1], limits.dup_lines[1]))
+    plain = based.where(never | always).withColumn("kept", ~never)
+    open_ = based.where(~never & ~always).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    settled = open_.join(by_host, "_host").withColumn("kept", ~soft_failed(F.col("_symbols"), F.col("_dups")))
+    return plain.drop("_n_lines").unionByName(settled.drop("_host", "_symbols", "_dups", "_n_lines"))
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +157,14 @@ counted AS (SELECT d.*, len(w)::BIGINT AS n_words,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, coalesce(source, '') AS host
   FROM d JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS lenient,
-    100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 25 * n_lines AS strict FROM counted),
-hosts AS (SELECT host, count(*) AS n, sum((base_failed OR lenient)::BIGINT) AS k FROM failing GROUP BY host),
+    100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS middle FROM counted),
+hosts AS (SELECT host, count(*) AS n, sum((base_failed OR middle)::BIGINT) AS k FROM failing GROUP BY host),
 moments AS (SELECT avg(k / n) AS mean, var_pop(k / n) AS spread, avg(1 / n) AS noise FROM hosts),
 prior AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
     THEN least(1000, greatest(2, mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1)) ELSE 1000 END AS weight FROM moments),
-verdict AS (SELECT host, (k + mean * weight) / (n + weight) > 0.5 AS bad FROM hosts, prior),
-judged AS (SELECT failing.*, NOT base_failed AND NOT CASE WHEN bad THEN strict ELSE lenient END AS kept
+shrunk AS (SELECT host, CASE WHEN mean > 0 THEN least((k + mean * weight) / (n + weight) / (2 * mean), 1) ELSE 0.5 END AS against FROM hosts, prior),
+verdict AS (SELECT host, round(1000 * (15 - 10 * against))::BIGINT AS symbols, round(1000 * (75 - 50 * against))::BIGINT AS dups FROM shrunk),
+judged AS (SELECT failing.*, NOT base_failed AND 100000 * n_symbols <= symbols * word_chars AND 100000 * n_dup_lines <= dups * n_lines AS kept
   FROM failing JOIN verdict USING (host))
 """
 

@@ -2,6 +2,7 @@ import random
 import re
 
 from cloudweave.llm import rules
+from cloudweave.llm.common import table
 
 
 def plain(text):
@@ -42,3 +43,29 @@ def test_host_verdicts(spark):
 
 def test_empty_table(spark):
     assert rules.judged(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_hosts_decide_on_the_registered_table(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "source", "text")
+    got = {r.doc_id: (r.kept, r.base_failed) for r in rules.judged(docs, drop=("text",)).collect()}
+    without = {r.doc_id: r.kept for r in rules.judged(docs, limits=rules.Limits().without_hosts(), drop=("text",)).collect()}
+    changed = [d for d in got if got[d][0] != without[d]]
+    assert changed and not any(got[d][1] for d in changed)
+    good = [r.doc_id for r in table(spark, "/root/testdata/sf0.1", "labels").where("quality = 1").collect()]
+    assert all(got[d][0] or got[d][1] for d in good)
+
+
+def test_limits_fall_with_the_rate(spark):
+    rows = [(i, f"h{h}", 60, 600, 120 if i % 10 < h else 0, 0, 0, 5) for h in range(5) for i in range(2000)]
+    counted = spark.createDataFrame(rows, "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _n_lines long")
+    got = {r._host: (r._symbols, r._dups) for r in rules.host_limits(counted, "source", rules.Limits()).collect()}
+    assert sorted(got.values(), reverse=True) == [got[f"h{h}"] for h in range(5)] and 5000 <= got["h4"][0] < 5050 and 14900 < got["h0"][0] <= 15000
+    assert abs(got["h2"][0] - 10000) < 50 and len(set(got.values())) == 5
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *words: rules.F.lit(7).cast("long"))
+    texts = ["a b c d e f", "a b c x a b c", "a b c x y z a b d x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in rules.counts(docs).collect()}
+    assert [got[i] for i in range(3)] == [plain(t)[4] for t in texts]
