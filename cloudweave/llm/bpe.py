@@ -1,11 +1,17 @@
-"""Byte-level BPE by an automaton over tokens, compiled from the merges.
-
-The automaton accepts exactly the token sequences that the merges produce. It starts as one state with an arc for each
-byte. For each merge (u, v) in turn, if the state that u leads to has an arc v, a gadget is put in: that state is forked
-into one without v, to which all arcs u now lead, and every state with an arc u gets an arc uv to where v leads. Arcs of
-one label always lead to one state, so a fork differs from its origin by one arc alone, and the states after all merges
-are kept as the forks' removals: whether a state has an arc is found from them, and the found arcs form the table by
-which words are encoded. A word has exactly one accepted sequence that spells it; decoding emits the arcs' labels.
+"""Byte-level BPE by a deterministic automaton, compiled from the merges.
+
+The automaton over tokens accepts exactly the token sequences that the merges produce. It starts as one state with an
+arc for each byte. For each merge (u, v) in turn, if the state that u leads to has an arc v, a gadget is put in: that
+state is forked into one without v, to which all arcs u now lead, and every state with an arc u gets an arc uv to where
+v leads. Arcs of one label always lead to one state, so a fork differs from its origin by one arc alone, and the states
+after all merges are kept as the forks' removals.
+
+Words are read byte by byte, so the automaton is made deterministic over bytes: a state of the table is the set of
+places that reading may be at, each a node of the trie of labels with the token state in which that label was begun. A
+beginning of a word has one accepted sequence, so at every byte just one label ends by a valid arc; the arc of the table
+emits it. The rows that spell the labels are compiled when a worker starts, further ones when they are first reached; a
+word is encoded by one transition a byte, and its sequence read off the emitted labels from the end. Decoding emits the
+arcs' labels.
 """
 
 from __future__ import annotations
@@ -19,17 +25,23 @@ import regex
 from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cloudweave.llm.common import map_arrow, table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words and longest word that a worker remembers, and arcs of its table; beyond, they are worked out again.
-REMEMBERED, LONGEST, ARCS = 800_000, 64, 2_000_000
-#: How the byte-level pre-tokenizer splits a text (fixed value of the public byte-level BPE scheme).
+#: Words and longest word that a worker remembers, and states of its table beyond those that spell labels; when there
+#: are more they are dropped and compiled again as they are reached.
+REMEMBERED, LONGEST, STATES = 800_000, 64, 200_000
+#: How the byte-level pre-tokenizer splits a text (fixed value of the public byte-level BPE scheme). The classes of the
+#: regex package are those of the tokenizer below this character; texts that go beyond are split by the tokenizer's own.
+SAME_CLASSES = "\u0530"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 OTHER_SPACE = regex.compile(r"[\s\x1c-\x1f\p{Z}--[ \n]]", regex.V1)
 RUNS = ("  ", " \n", "\n ", "\n\n")
 FOREVER = 1 << 60
+#: Where a row of the table holds its places; bytes are from 0 on.
+PLACES = -1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,15 +76,58 @@ class Automaton:
             self.after[u] = states
             states += 1
         self.states = states
-        usable = [t for t, i in vocab.items() if len(t) == 1 or self.born[i] >= 0]
-        self.ids = {t: vocab[t] for t in usable}
-        #: The longest label that begins with each byte or pair of bytes.
-        self.longest: dict[bytes, int] = {}
-        for t in usable:
-            for n in (1, 2):
-                if len(t) >= n:
-                    self.longest[t[:n]] = max(self.longest.get(t[:n], 0), len(t))
-        self.arcs: dict[int, bool] = {}
+        self.ids = {t: i for t, i in vocab.items() if len(t) == 1 or self.born[i] >= 0}
+        #: One label for each token state; labels that lead to one state have the same arcs.
+        one = {}
+        self.stand_in = [one.setdefault(q, i) for i, q in enumerate(self.after)]
+        self.lengths = list(map(len, self.labels))
+        #: The trie of the labels: node << 8 | byte to node; the label that ends at a node; whether labels go on from it.
+        self.trie: dict[int, int] = {}
+        self.ends, self.goes_on = [-1], [True]
+        for token, i in self.ids.items():
+            node = 0
+            for b in token:
+                self.goes_on[node] = True
+                to = self.trie.setdefault(node << 8 | b, len(self.ends))
+                if to == len(self.ends):
+                    self.ends.append(-1)
+                    self.goes_on.append(False)
+                node = to
+            self.ends[node] = i
+        self._spell()
+
+    def _spell(self) -> None:
+        """Begins the table with the rows that spell the labels.
+
+        A row gives for a byte the next row and the emitted label, and at PLACES its own places: pairs of a node and the
+        label after which it was begun, -1 at the word's beginning.
+        """
+        self.first = {PLACES: ((0, -1),)}
+        self.rows = {self.first[PLACES]: self.first}
+        self.spelled = 1 << 62
+        for token in self.ids:
+            self.encode(token)
+        self.spelled = len(self.rows)
+
+    def _step(self, row: dict, byte: int) -> tuple[dict, int]:
+        """Compiles the arc of a row at a byte, and puts it into the table."""
+        emitted, places = -1, []
+        ends, goes_on, trie = self.ends, self.goes_on, self.trie
+        for node, last in row[PLACES]:
+            to = trie.get(node << 8 | byte)
+            if to is None:
+                continue
+            if emitted < 0 and ends[to] >= 0 and (last < 0 or self._has(last, ends[to])):
+                emitted = ends[to]
+            if goes_on[to]:
+                places.append((to, last))
+        if emitted < 0:
+            raise ValueError("the vocabulary has no token for a byte")
+        key = (*places, (0, self.stand_in[emitted]))
+        if key not in self.rows and len(self.rows) - self.spelled >= STATES:
+            self._spell()
+        row[byte] = self.rows.setdefault(key, {PLACES: key}), emitted
+        return row[byte]
 
     def _has(self, last: int, token: int) -> bool:
         """Whether the state after `last` has an arc `token`, by the gadgets so far.
@@ -95,45 +150,19 @@ class Automaton:
         return True
 
     def encode(self, word: bytes) -> list[int]:
-        """The accepted sequence that spells the word: longest arcs first, never twice from the same place."""
-        ids, longest, arcs, after = self.ids, self.longest, self.arcs, self.after
-        n = len(word)
-        if not n:
-            return []
-        path: list[int] = []
-        place, length = 0, min(n, longest.get(word[:2]) or 1)
-        dead = set()
-        while True:
-            found = -1
-            while length:
-                end = place + length
-                if end not in dead:
-                    token = ids.get(word[place:end])
-                    if token is not None:
-                        if not path:
-                            found = token
-                            break
-                        key = after[path[-1]] << 20 | token
-                        good = arcs.get(key)
-                        if good is None:
-                            good = self._has(path[-1], token)
-                            if len(arcs) < ARCS:
-                                arcs[key] = good
-                        if good:
-                            found = token
-                            break
-                length -= 1
-            if found >= 0:
-                path.append(found)
-                place += length
-                if place == n:
-                    return path
-                length = min(n - place, longest.get(word[place : place + 2]) or 1)
-            else:
-                dead.add(place)
-                length = len(self.labels[path.pop()])
-                place -= length
-                length -= 1
+        """The accepted sequence that spells the word."""
+        row, emitted = self.first, []
+        for b in word:
+            arc = row.get(b)
+            row, token = arc or self._step(row, b)
+            emitted.append(token)
+        lengths, out, at = self.lengths, [], len(word)
+        while at:
+            token = emitted[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -153,6 +182,9 @@ class Codec:
         self.automaton.labels += [b""] * (max([*special.values(), *vocab.values()]) + 1 - len(self.automaton.labels))
         for text, i in special.items():
             self.automaton.labels[i] = text.encode()
+        #: The tokenizer's own pre-tokenizer, which knows its classes of characters; it only splits.
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        self.letters = {c: bytes([b]) for c, b in of.items()}
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         self.between = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.known: dict[str, bytes] = {}
@@ -161,7 +193,14 @@ class Codec:
     def _ids(self, text: str) -> bytes:
         """Ids of a text without special tokens, by its pre-split words."""
         encode = self.automaton.encode
-        return np.array([i for w in SPLIT.findall(text) for i in encode(w.encode())], "<u4").tobytes()
+        return np.fromiter(chain.from_iterable(map(encode, self.pieces(text))), "<u4").tobytes()
+
+    def pieces(self, text: str) -> list[bytes]:
+        """The pre-split words of a text without special tokens."""
+        if text.isascii() or max(text) < SAME_CLASSES:
+            return [w.encode() for w in SPLIT.findall(text)]
+        letters = self.letters
+        return [b"".join(map(letters.__getitem__, w)) for w, _ in self.splitter.pre_tokenize_str(text)]
 
     @staticmethod
     def words(text: str) -> list[str] | None:

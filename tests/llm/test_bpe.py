@@ -74,3 +74,65 @@ def test_table(spark):
     back = bpe.decode_column(bpe.encode_column(docs, path), path).where("doc_id < 90").orderBy("doc_id").collect()
     assert [r.text for r in back] == ODD
     assert bpe.round_trip(docs.limit(0), path).count() == 0
+
+
+def points():
+    return [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+
+
+def test_every_code_point(pair):
+    every = points()
+    check(pair, [" ".join(f"q{c}w" for c in every[lo : lo + 2000]) for lo in range(0, len(every), 2000)])
+    check(pair, ["\x87\U00018dc8觇", "a՘b ֋࢏", "՘" * 9])
+
+
+def test_white_space_of_the_tokenizer_is_known(pair):
+    codec = pair[0]
+
+    def whole(around, chars):
+        """The characters that the tokenizer doesn't split from what is around them."""
+        cut = codec.splitter.pre_tokenize_str("".join(f"{around}{c}{around}\n" for c in chars))
+        spans = {s for _, s in cut}
+        return {c for i, c in enumerate(chars) if (4 * i, 4 * i + 3) in spans}
+
+    every = points()
+    for lo in range(0, len(every), 10000):
+        part = every[lo : lo + 10000]
+        space = set(part) - whole("!", part) - whole("a", part) - whole("1", part)
+        assert all(c in " \n" or bpe.OTHER_SPACE.match(c) for c in space)
+        low = [c for c in part if c < bpe.SAME_CLASSES]
+        for around in ("!", "a", "1", " ", "\n", "'"):
+            text = "".join(f"{around}{c}{around}" for c in low)
+            assert codec.pieces(text) == [b"".join(map(codec.letters.__getitem__, w)) for w, _ in codec.splitter.pre_tokenize_str(text)]
+
+
+def arcs(automaton):
+    return sum(len(row) - 1 for row in automaton.rows.values())
+
+
+def test_table_of_transitions(pair):
+    automaton = bpe.Codec(__import__("public_tokenizers").path(bpe.TOKENIZER)).automaton
+    states, first = len(automaton.rows), arcs(automaton)
+    assert states == automaton.spelled > len(automaton.ids) and first >= states - 1
+    steps = []
+    step = automaton._step
+    automaton._step = lambda row, byte: steps.append(byte) or step(row, byte)
+    assert all(automaton.encode(t) == [i] for t, i in automaton.ids.items()) and not steps
+    word = b"antidisestablishmentarianisms" * 50
+    once = automaton.encode(word)
+    compiled = len(steps)
+    assert 0 < compiled <= len(word) and arcs(automaton) == first + compiled
+    assert automaton.encode(word) == once and len(steps) == compiled
+    assert b"".join(automaton.labels[i] for i in once) == word
+
+
+def test_table_is_dropped_when_it_is_full(monkeypatch):
+    rng = random.Random(3)
+    vocab = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"ca": 258}
+    merges = [(b"a", b"b"), (b"ab", b"c"), (b"c", b"a")]
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    want = list(map(bpe.Automaton(vocab, merges).encode, words))
+    monkeypatch.setattr(bpe, "STATES", 5)
+    small = bpe.Automaton(vocab, merges)
+    for word, ids in zip(words, want, strict=True):
+        assert small.encode(word) == ids and len(small.rows) <= small.spelled + 5
