@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,19 +12,40 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where it is unset and all of Spark is on this machine, a temporary one is set, which goes when Python ends; on a
+    cluster there must be one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cloudweave-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="cloudweave-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing."""
+def written_at(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it back, with where it is.
+
+    The lineage is cut, and a lost executor loses nothing.
+    """
     path = f"{shared_folder(df.sparkSession)}/cloudweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that no frame in use reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
