@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloudweave.operators import tables
+
 #: Rows in one Arrow batch that goes to a Python worker. Documents may be long, so the batch is kept
 #: far below Spark's default; at 100 kB a row it stays near 100 MB.
 ARROW_ROWS = 1000
@@ -27,28 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one is set only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cloudweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str, sort_by: str | None = None, rows: int | None = None, in_file: int = FILE_ROWS, gather: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing.
+def written_at(df: DataFrame, name: str, sort_by: str | None = None, rows: int | None = None, in_file: int = FILE_ROWS, gather: bool = False, compression: str | None = None) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it back, with where it is.
 
     rows: about how many rows df has; where they are narrow and few, they go to few files, of about in_file rows. That
     takes a small shuffle if what makes them is costly and must stay spread (gather=True).
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cloudweave/{name}-{uuid.uuid4().hex}"
     files = None if rows is None else 1 + rows // in_file
     out = df if files is None else df.repartition(files) if gather else df.coalesce(files)
-    out = out.sortWithinPartitions(sort_by) if sort_by else out
-    out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.written_at(out.sortWithinPartitions(sort_by) if sort_by else out, name, compression)
+
+
+def written(df: DataFrame, name: str, **how) -> DataFrame:
+    return written_at(df, name, **how)[0]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -68,13 +59,35 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int]]:
-    """Texts and labels to fit on: at most `sample` of either label, never of the held-out fold, never without both."""
+#: Bytes of texts that a model is fitted on at most (of each label), and of one of them.
+FIT_BYTES, FIT_TEXT = 32 << 20, 4 << 20
+
+
+def fitting(rows: DataFrame, group: str, order: str, sample: int) -> DataFrame:
+    """Of rows (doc_id, text, a group, an order), one of each doc_id, in each group the first by order: at most `sample`
+    whole texts of FIT_BYTES together. Texts of over FIT_TEXT bytes are left out.
+
+    rows should be few: what may be chosen of a group is ordered in one task.
+    """
+    single = rows.where(F.octet_length("text") <= FIT_TEXT).groupBy("doc_id", group, order).agg(F.min("text").alias("text"))
+    by = Window.partitionBy(group).orderBy(order, "doc_id")
+    placed = single.withColumn("_place", F.row_number().over(by)).withColumn("_bytes", F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.where((F.col("_place") <= sample) & (F.col("_bytes") <= FIT_BYTES)).drop("_place", "_bytes")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int], float]:
+    """Texts and labels to fit on, and the share of label 1; never of the held-out fold, never without both.
+
+    At most `sample` texts of either label, one for an id, within the bounds of fitting(). The share is that of all
+    labels outside the fold (one half where there are none).
+    """
     own = labels.where(~held_out() & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
     chosen = None
     for value in (0, 1):
-        part = own.where(F.col("_label") == value).orderBy(order, "doc_id").limit(sample)
+        part = own.where(F.col("_label") == value).withColumn("_order", order).orderBy("_order", "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").toPandas().sort_values(["doc_id", "text"])
-    return rows["text"].tolist(), rows["_label"].tolist()
+    texts = docs.select("doc_id", F.col("text").cast("string")).where(~held_out() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = fitting(texts, "_label", "_order", sample).select("doc_id", "text", "_label").toPandas().sort_values(["doc_id", "text"])
+    counts = own.agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).first()
+    return rows["text"].tolist(), rows["_label"].tolist(), ((counts["ones"] or 0) + 0.5) / (counts["n"] + 1)

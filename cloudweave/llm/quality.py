@@ -183,9 +183,8 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    share = labels.where(~held_out()).agg(F.avg("quality")).first()[0]
-    texts, marks = labelled(docs, labels, "quality", sample)
-    return fit([t.encode() for t in texts], marks, 0.5 if share is None else share)
+    texts, marks, share = labelled(docs, labels, "quality", sample)
+    return fit([t.encode() for t in texts], marks, share)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

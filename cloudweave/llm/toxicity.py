@@ -31,9 +31,8 @@ LEAST_RATIO, LEAST_NATS = 12.0, 12.0
 ONE_WORD = 0.8
 #: Words of lower marginals don't count in a document's expected number of toxic words.
 LEAST_MARGINAL = 0.2
-#: Share of the toxic texts in the weight of the document calibration; near their share of a corpus.
-TOXIC_SHARE = 0.1
-#: Features kept for the field: the marking ones, and the commonest others of the sample.
+#: Features kept for the field: all marking ones, and so many of the commonest other words of the sample. A word outside
+#: them has no weight of its own, as if it were new.
 COMMON = 4000
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -134,19 +133,25 @@ def mark(words: list[list[str]], toxic: list[int]) -> set[str]:
     A word counts once for each pair of neighbours that it has in texts of a class, so what a text repeats, and what
     copies of a text repeat, counts once.
     """
-    seen, most = (Counter(), Counter()), Counter()
+    numbers: dict[str, int] = {"": 0}
+    texts = []
+    for ws in words:
+        texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int64, len(ws)))
+    names = list(numbers)
+    seen, most, cases = (Counter(), Counter()), Counter(), [0, 0]
     for value in (0, 1):
-        own = {}
-        for ws, label in zip(words, toxic, strict=True):
-            if label == value:
-                own.update(((hash(x), w)) for x in zip(["", *ws], ws, [*ws[1:], ""], strict=False) for w in x[1:2])
-        for w, k in Counter(own.values()).items():
-            for f in features(w):
-                seen[value][f] += k
-                most[f] = max(most[f], k)
-        if value == 0:
-            clean, most = len(own), Counter()
-    n = [max(1, clean), max(1, len(own))]
+        own = [t for t, label in zip(texts, toxic, strict=True) if label == value and len(t)]
+        flat = np.concatenate([np.concatenate([[0], t, [0]]) for t in own]) if own else np.zeros(0, np.int64)
+        around = np.stack([flat[:-2], flat[1:-1], flat[2:]], axis=1) if len(flat) else np.zeros((0, 3), np.int64)
+        around = np.unique(around[around[:, 1] > 0], axis=0)  # zero stands between texts
+        cases[value] = len(around)
+        for i, k in enumerate(np.bincount(around[:, 1], minlength=len(names)).tolist()):
+            if k:
+                for f in features(names[i]):
+                    seen[value][f] += k
+                    if value:
+                        most[f] = max(most[f], k)
+    n = [max(1, c) for c in cases]
     share = n[1] / sum(n)
 
     def marks(f: str, k: int) -> bool:
@@ -159,8 +164,11 @@ def mark(words: list[list[str]], toxic: list[int]) -> set[str]:
     return {f for f, k in seen[1].items() if marks(f, k)}
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 40, l2: float = 1e-4) -> Field:
-    """Fits the field on labelled texts; without a toxic or a clean text its scores are one half or near none."""
+def fit(texts: list[str], toxic: list[int], share: float | None = None, steps: int = 40, l2: float = 1e-4) -> Field:
+    """Fits the field on labelled texts; without a toxic or a clean text its scores are one half or near none.
+
+    share: of toxic texts among all that are labelled, by which documents are calibrated; that of the texts if None.
+    """
     f = Field()
     if not sum(toxic) or sum(toxic) == len(toxic):
         f.calibration = (-4.0 if not sum(toxic) else 4.0, 0.0, 0.0)
@@ -206,7 +214,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40, l2: float = 1e-4) -
     f.weight, f.bias, f.pair, f.start = {n: float(v) for n, v in zip(names, theta, strict=True) if abs(v) > 1e-3}, bias, pair, start
     p = marginals((np.bincount(rows, theta[cols], minlength=len(own)) + bias)[ids], firsts, pair, start)
     x = document_features(p, [len(ws) for ws in words])
-    f.calibration = _logistic(x, np.array(toxic))
+    f.calibration = _logistic(x, np.array(toxic), sum(toxic) / len(toxic) if share is None else share)
     return f
 
 
@@ -222,9 +230,9 @@ def document_features(p: np.ndarray, lengths: list[int]) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, l2: float = 0.5) -> tuple[float, ...]:
-    """Newton's method, with the classes weighed by TOXIC_SHARE."""
-    weight = np.where(y == 1, TOXIC_SHARE / max(1, (y == 1).sum()), (1 - TOXIC_SHARE) / max(1, (y == 0).sum())) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, steps: int = 30, l2: float = 0.5) -> tuple[float, ...]:
+    """Newton's method, with the classes weighed by the share of 1."""
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -269,10 +277,13 @@ def spans(text: str, p: np.ndarray, least: float = SPAN) -> list[tuple[int, int,
     """(start, end, marginal) in code points of the words whose marginal is at least `least`."""
     if not (p >= least).any():
         return []
-    # lower() may change a text's length; offsets are of the text itself where it does not
     low = text.lower()
-    source = text if len(low) == len(text) else low
-    return [(m.start(), m.end(), float(q)) for m, q in zip(WORD.finditer(low), p, strict=True) if q >= least and m.end() <= len(source)]
+    found = [(m.start(), m.end(), float(q)) for m, q in zip(WORD.finditer(low), p, strict=True) if q >= least]
+    if len(low) == len(text):
+        return found
+    # A character may be several in lower case: each of these stands at the place of the one that it comes from.
+    at = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
+    return [(at[a], at[b - 1] + 1, q) for a, b, q in found]
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, marginal: double>>"
@@ -303,7 +314,11 @@ def score(docs: DataFrame, fitted: Field, threshold: float = THRESHOLD) -> DataF
 
 
 def clean(docs: DataFrame, fitted: Field, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold.
+
+    Null, empty and wordless texts are scored as those without a toxic word. Repeated rows are judged each, a null
+    doc_id makes no difference, an empty table gives no rows, and further columns go along whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
@@ -317,7 +332,8 @@ def clean(docs: DataFrame, fitted: Field, threshold: float = THRESHOLD) -> DataF
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    return fit(*labelled(docs, labels, "toxic", sample))
+    texts, toxic, share = labelled(docs, labels, "toxic", sample)
+    return fit(texts, toxic, share)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,68 @@ def test_one_class_alone(spark):
 
 def test_the_sample_is_not_cut_for_memory():
     assert toxicity.SAMPLE >= 1000
+
+
+def test_offsets_where_lower_case_is_longer():
+    text = "İİİ bad, İbad İ"
+    p = np.array([0.1, 0.2, 0.3, 0.9, 0.6, 0.7, 0.1])
+    assert [w for w in toxicity.tokens(text)] == ["i", "i", "i", "bad", "i", "bad", "i"]
+    assert toxicity.spans(text, p) == [(4, 7, 0.9), (9, 10, 0.6), (10, 13, 0.7)]
+    assert [text[a:b] for a, b, _ in toxicity.spans(text, p)] == ["bad", "İ", "bad"]
+    assert toxicity.spans("İx " * 3000 + "bad", np.array([0.0] * 6000 + [1.0])) == [(9000, 9003, 1.0)]
+
+
+def plain_mark(words, toxic):
+    import math
+
+    around = [{(a, w, b) for ws, t in zip(words, toxic) if t == v for a, w, b in zip(["", *ws], ws, [*ws[1:], ""])} for v in (0, 1)]
+    n = [max(1, len(a)) for a in around]
+    share = n[1] / sum(n)
+    out = set()
+    for f in {f for _, w, _ in around[1] for f in toxicity.features(w)}:
+        k, rest = (sum(f in toxicity.features(w) for _, w, _ in around[v]) for v in (1, 0))
+        most = max(sum(w == x for _, x, _ in around[1]) for w in {w for _, w, _ in around[1] if f in toxicity.features(w)})
+        if f.endswith("*") and most > toxicity.ONE_WORD * k or k / n[1] < toxicity.LEAST_RATIO * (rest + 0.5) / n[0]:
+            continue
+        if k * math.log(k / ((k + rest) * share)) + (rest * math.log(rest / ((k + rest) * (1 - share))) if rest else 0) >= toxicity.LEAST_NATS:
+            out.add(f)
+    return out
+
+
+def test_marks_against_plain_counting():
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30)]
+    words, toxic = [], []
+    for i in range(60):
+        ws = [rng.choice(plain) for _ in range(rng.randint(0, 30))]
+        if i % 3 == 0:
+            ws += [rng.choice(["rottenest", "rottenly", "rottenish", "rottenful", "vilename"]), rng.choice(plain)] * 3
+        words.append(ws)
+        toxic.append(int(i % 3 == 0))
+    got = toxicity.mark(words, toxic)
+    assert got == plain_mark(words, toxic) and "rotten*" in got
+
+
+def test_share_comes_from_the_labels(spark):
+    rows = sample()
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    few = spark.createDataFrame([(d, t) for d, _, t in rows] + [(d, 0) for d in range(10_000, 14_000)], "doc_id long, toxic int")
+    from cloudweave.llm.common import labelled
+
+    share = labelled(docs, few, "toxic", 5)[2]
+    assert 0.015 < share < 0.03
+    texts, toxic, _ = labelled(docs, few, "toxic", 50)
+    assert toxicity.fit(texts, toxic, share).calibration[0] < toxicity.fit(texts, toxic, 0.5).calibration[0]
+
+
+def test_fit_sample_is_one_text_an_id_within_its_bytes(spark, monkeypatch):
+    from cloudweave.llm import common
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "x" * 500), (3, "y" * 40), (4, "z" * 40), (6, "w" * 40), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    texts, toxic, _ = common.labelled(docs, labels, "toxic", 10)
+    assert len(texts) == len(set(texts)) and "b" not in texts
+    monkeypatch.setattr(common, "FIT_TEXT", 100)
+    monkeypatch.setattr(common, "FIT_BYTES", 60)
+    less, ones, _ = common.labelled(docs, labels, "toxic", 10)
+    assert "x" * 500 not in less and set(less) < set(texts) and all(sum(len(t) for t, v in zip(less, ones) if v == k) <= 60 for k in (0, 1))
