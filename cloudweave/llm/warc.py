@@ -28,7 +28,13 @@ INTERVALS = 4096
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 #: Kinds of records whose block may be an HTTP response.
 HTTP_KINDS = ("response", "revisit")
-NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+PROFILES = "http://netpreserve.org/warc/1.1/revisit/"
+NOT_MODIFIED, SAME_PAYLOAD = f"{PROFILES}server-not-modified", f"{PROFILES}identical-payload-digest"
+#: The kind that captures give a record whose length is missing, no number, or more than is left of the archive; and
+#: what is put before the profile's last part for revisits that aren't of the not-modified profile.
+MALFORMED, OTHER_REVISIT = "malformed", "revisit:"
+#: Pages after which the times that archived() gives begin again.
+TIMES = 1_000_000
 
 
 def canonical(url: str | None) -> str:
@@ -49,11 +55,11 @@ def canonical(url: str | None) -> str:
     return host + (f":{port}" if port and port != PORTS.get(parts.scheme) else "") + (path.rstrip("/") or "/") + (f"?{urlencode(query)}" if query else "")
 
 
-def record(kind: str, record_id: str, url: str, when: datetime, status: str, headers: list[tuple[str, str]], body: bytes = b"", refers_to: str | None = None) -> bytes:
+def record(kind: str, record_id: str, url: str, when: datetime, status: str, headers: list[tuple[str, str]], body: bytes = b"", refers_to: str | None = None, profile: str | None = NOT_MODIFIED) -> bytes:
     """A WARC/1.1 response or revisit record with an HTTP block."""
     http = f"HTTP/1.1 {status}\r\n{''.join(f'{k}: {v}\r\n' for k, v in headers)}\r\n".encode() + body
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", url), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%S.%fZ"))]
-    head += [("WARC-Payload-Digest", f"sha1:{hashlib.sha1(body).hexdigest()}")] if kind == "response" else [("WARC-Profile", NOT_MODIFIED)]
+    head += [("WARC-Payload-Digest", f"sha1:{hashlib.sha1(body).hexdigest()}")] if kind == "response" else [("WARC-Profile", profile)] if profile else []
     head += [("WARC-Refers-To-Target-URI", refers_to)] if refers_to else []
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(http)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + b"\r\n\r\n"
@@ -97,7 +103,8 @@ def records(data: bytes):
     """The records of WARC bytes, in order: (WARC fields, HTTP status, HTTP fields, body).
 
     Only responses and revisits have an HTTP response's head; others, and those of another protocol, have no status and
-    no HTTP fields, and their body is the block.
+    no HTTP fields, and their body is the block. A record without a whole number of bytes that are there has the type
+    MALFORMED and no body; the next one is looked for behind its head.
     """
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
@@ -105,14 +112,24 @@ def records(data: bytes):
         if end < 0:
             return
         _, fields, _ = _head(data[at : end + 4])
-        length = int(fields.get("content-length") or 0)
-        block = data[end + 4 : end + 4 + length]
+        length = fields.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", length) or end + 4 + int(length) > len(data):
+            yield fields | {"warc-type": MALFORMED}, None, {}, b""
+            at = end + 4
+            continue
+        block = data[end + 4 : end + 4 + int(length)]
         if fields.get("warc-type") in HTTP_KINDS and block.startswith(b"HTTP/"):
             first, headers, body = _head(block)
             yield fields, _status(first), headers, body
         else:
             yield fields, None, {}, block
-        at = end + 4 + length
+        at = end + 4 + int(length)
+
+
+def _kind(fields: dict[str, str]) -> str | None:
+    """The type, with the profile of revisits that aren't of the not-modified one (as those without a profile are)."""
+    kind, profile = fields.get("warc-type"), fields.get("warc-profile", "").strip("<>").rstrip("/").rpartition("/")[2]
+    return f"{OTHER_REVISIT}{profile}" if kind == "revisit" and profile not in ("", "server-not-modified") else kind
 
 
 CAPTURES = "record_id string, url string, kind string, ts long, status int, headers map<string,string>, body_sha1 string, body_bytes long"
@@ -120,7 +137,12 @@ _CAPTURES = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("kind"
 
 
 def captures(archives: DataFrame) -> DataFrame:
-    """The records of archives (warc binary), by canonical URL, ts in microseconds; null archives have none."""
+    """The records of archives (warc binary), by canonical URL, ts in microseconds; null archives have none.
+
+    A revisit that names the URL of the response which it refers to goes by that. kind is the record's type, MALFORMED
+    for records that can't be read, and OTHER_REVISIT with the profile's last part for revisits of other profiles.
+    Dates and status codes that aren't such are null. Bodies may be of any length that fits a task's memory.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -128,8 +150,10 @@ def captures(archives: DataFrame) -> DataFrame:
             for data in batch.column("warc").to_pylist():
                 for fields, status, headers, body in records(data or b""):
                     ts = _micros(fields.get("warc-date"))
-                    full = fields.get("warc-type") == "response"
-                    row = (fields.get("warc-record-id", "").strip("<>"), canonical(fields.get("warc-target-uri")), fields.get("warc-type"), ts, status, list(headers.items()), hashlib.sha1(body).hexdigest() if full else None, len(body))
+                    kind = _kind(fields)
+                    full = kind == "response"
+                    named = fields.get("warc-refers-to-target-uri") if kind == "revisit" else None
+                    row = (fields.get("warc-record-id", "").strip("<>"), canonical((named or fields.get("warc-target-uri") or "").strip("<>")), kind, ts, status, list(headers.items()), hashlib.sha1(body).hexdigest() if full else None, len(body))
                     for name, value in zip(_CAPTURES.names, row, strict=True):
                         out[name].append(value)
             return out
@@ -150,8 +174,10 @@ def resolve(found: DataFrame) -> DataFrame:
     The response is the latest strictly earlier full response (status 200) of the URL; of several at one time that of
     the greatest record_id. verdict: resolved; mismatch (validators differ: the entity tags if both have one, else the
     times of modification; the response is named, its body is not taken); unchecked (no validator to hold against, the
-    body is taken); orphan (no earlier response). Merged headers are the response's with the permitted ones of the
-    revisit; an orphan or mismatch keeps its own. Rows without a time or URL are orphans. Repeated revisits are repeated.
+    body is taken); orphan (no earlier response); other (a revisit of another profile, which says nothing of validators
+    and is looked up nowhere). Merged headers are the response's with the permitted ones of the
+    revisit; any other verdict keeps its own. Rows without a time or URL are orphans. Repeated revisits are repeated, and
+    other columns are not looked at.
 
     A URL that holds much of the corpus is spread over up to INTERVALS intervals of time: a response is looked for in
     the interval of the revisit, and else the latest of the intervals before is carried on to it.
@@ -162,17 +188,19 @@ def resolve(found: DataFrame) -> DataFrame:
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull()
     response = F.when(full, F.struct("ts", "record_id", "headers_json", "body_sha1", "body_bytes"))
     # Maps can't be compared; the struct of which the greatest is sought has them as text, behind the time and id.
-    rows = found.where(F.col("kind").isin(*HTTP_KINDS)).withColumn("headers_json", F.to_json("headers")).withColumn("_at", F.floor((F.col("ts") - low) / F.lit(width))).withColumn("_full", response)
+    other = F.col("kind").startswith(OTHER_REVISIT)
+    own = found.select("record_id", "url", "kind", "ts", "status", "headers", "body_sha1", "body_bytes")
+    rows = own.where(F.col("kind").isin(*HTTP_KINDS) | other).withColumn("headers_json", F.to_json("headers")).withColumn("_at", F.floor((F.col("ts") - low) / F.lit(width))).withColumn("_full", response)
     by_interval = rows.groupBy("url", "_at").agg(F.max("_full").alias("_last"))
     carried = by_interval.select("url", "_at", F.max("_last").over(Window.partitionBy("url").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     inside = F.max("_full").over(Window.partitionBy("url", "_at").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1))
-    revisits = rows.withColumn("_inside", inside).where(F.col("kind") == "revisit")
+    revisits = rows.withColumn("_inside", inside).where(F.col("kind") != "response")
     joined = revisits.join(carried, ["url", "_at"], "left")
-    paired = joined.withColumn("r", F.when(F.col("ts").isNotNull() & (F.col("url") != ""), F.coalesce("_inside", "_carried"))).withColumn("theirs", F.from_json("r.headers_json", "map<string,string>"))
+    paired = joined.withColumn("r", F.when(F.col("ts").isNotNull() & (F.col("url") != "") & ~other, F.coalesce("_inside", "_carried"))).withColumn("theirs", F.from_json("r.headers_json", "map<string,string>"))
     both_tags = F.col("headers")["etag"].isNotNull() & F.col("theirs")["etag"].isNotNull()
     both_times = F.col("headers")["last-modified"].isNotNull() & F.col("theirs")["last-modified"].isNotNull()
     same = F.when(both_tags, _tag("headers") == _tag("theirs")).when(both_times, F.col("headers")["last-modified"] == F.col("theirs")["last-modified"])
-    verdict = F.when(F.col("r").isNull(), "orphan").when(same, "resolved").when(~same, "mismatch").otherwise("unchecked")
+    verdict = F.when(other, "other").when(F.col("r").isNull(), "orphan").when(same, "resolved").when(~same, "mismatch").otherwise("unchecked")
     taken = F.col("verdict").isin("resolved", "unchecked")
     fresh = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
     kept = F.map_filter("theirs", lambda k, _: ~F.array_contains(F.map_keys(fresh), k))
@@ -186,7 +214,7 @@ def archived(pages: DataFrame, others: bool = False) -> DataFrame:
     """A WARC of each page (page_id, url, html): its response, between an earlier revisit and two later ones.
 
     The first revisit names the tag of the page's own body before the response came, the third a tag that has changed.
-    Null URLs and texts count as empty. others: a warcinfo, a request and a metadata record are written too.
+    Null URLs and texts count as empty; ids may be of any size, and pages whose ids are TIMES apart have one time. others: a warcinfo, a request and a metadata record are written too.
     """
 
     def make():
@@ -195,7 +223,7 @@ def archived(pages: DataFrame, others: bool = False) -> DataFrame:
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 body, name = (html or "").encode(), f"urn:page:{page}"
                 tag = f'"{hashlib.sha1(body).hexdigest()[:16]}"'
-                start = EPOCH + timedelta(seconds=1_600_000_000) + timedelta(minutes=10 * (page or 0))
+                start = EPOCH + timedelta(seconds=1_600_000_000) + timedelta(minutes=10 * ((page or 0) % TIMES))
                 date = [(start + timedelta(minutes=m)).strftime("%a, %d %b %Y %H:%M:%S GMT") for m in (0, 1, 4, 7)]
                 parts = [
                     record("revisit", f"{name}:before", url or "", start, "304 Not Modified", [("ETag", tag), ("Date", date[0])]),

@@ -87,3 +87,45 @@ def test_pages_to_revisits(spark):
     assert same.verdict == "resolved" and same.response_id == "urn:page:2:full" and same.headers["cache-control"] == "max-age=60" and "server" not in same.headers
     assert got["urn:page:2:changed"].verdict == "mismatch" and got["urn:page:3:same"].verdict == "orphan"
     assert warc.resolve(found.limit(0)).count() == 0
+
+
+def test_malformed_records_are_passed_by(spark):
+    when = warc.EPOCH + timedelta(days=1)
+    full = warc.record("response", "f", "http://x/", when, "200 OK", [("ETag", "1")], b"body")
+    long = warc.record("response", "l", "http://x/", when, "200 OK", [], b"WARC/1.1\r\n" + b"x" * 3_000_000)
+    bad = [full.replace(b"Content-Length: ", b"Content-Length: " + w).replace(b"<f>", b"<b>") for w in (b"x", b"-", b"1.", b"99999999", b"9" * 30)]
+    none = full.replace(b"Content-Length", b"Length").replace(b"<f>", b"<b>")
+    archives = [b"".join(bad[:3]) + full + none + full, long + full + bad[3], bad[4] + full, full[:-12], None, b"", b"WARC/1.1\r\n\r\n", b"no archive"]
+    rows = [(bytearray(a) if a is not None else None, "u", 5) for a in archives]
+    found = warc.captures(spark.createDataFrame(rows, "warc binary, url string, ts int"))
+    counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    assert counts == {"response": 5, warc.MALFORMED: 8}
+    assert {(r.record_id, r.body_bytes) for r in found.where("kind = 'response'").collect()} == {("f", 4), ("l", 3_000_010)}
+    assert found.where("kind = 'malformed' and (status is not null or body_bytes > 0)").count() == 0 and warc.resolve(found).count() == 0
+
+
+def test_profiles_and_named_urls(spark):
+    when = warc.EPOCH + timedelta(days=1)
+    late = when + timedelta(minutes=1)
+    data = b"".join(
+        [
+            warc.record("response", "f", "http://x/a", when, "200 OK", [("ETag", "1")], b"body"),
+            warc.record("revisit", "same", "http://x/a", late, "304", [("ETag", "1")]),
+            warc.record("revisit", "plain", "http://x/a", late, "304", [("ETag", "1")], profile=None),
+            warc.record("revisit", "old", "http://x/a", late, "304", [("ETag", "1")], profile="http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+            warc.record("revisit", "digest", "http://x/a", late, "200 OK", [("ETag", "1")], profile=warc.SAME_PAYLOAD),
+            warc.record("revisit", "elsewhere", "http://y/b", late, "304", [("ETag", "1")], refers_to="https://x/a/"),
+            warc.record("revisit", "lost", "http://y/b", late, "304", [("ETag", "1")]),
+        ]
+    )
+    found = warc.captures(spark.createDataFrame([(bytearray(data),)], "warc binary")).selectExpr("*", "5 as verdict", "'x' as response_id", "1 as _at", "2 as r")
+    got = {r.record_id: (r.verdict, r.response_id, r.body_bytes) for r in warc.resolve(found).collect()}
+    resolved = ("resolved", "f", 4)
+    assert got == {"same": resolved, "plain": resolved, "old": resolved, "elsewhere": resolved, "digest": ("other", None, None), "lost": ("orphan", None, None)}
+
+
+def test_ids_of_any_size(spark):
+    ids = [0, -1, 420_000_000, 2**62, -(2**63), 2**63 - 1]
+    pages = spark.createDataFrame([(i, f"http://h{k}/", "<p>", "clash") for k, i in enumerate(ids)], "page_id long, url string, html string, warc string")
+    got = warc.resolve(warc.captures(warc.archived(pages, others=True))).collect()
+    assert len(got) == 3 * len(ids) and sum(r.verdict == "resolved" for r in got) == len(ids)
