@@ -3,7 +3,8 @@
 The text's likelihood is that of its letter trigrams under a model of each language. Pages are first labelled by text
 alone; counts of declared languages, suffixes and hosts by those labels, all grouped aggregations over all pages, give
 the other factors: a declaration's and a suffix's likelihood under each language, and a prior for each host that is
-smoothed towards its domain's, which is smoothed towards that of all pages.
+smoothed towards its domain's, which is smoothed towards that of all pages. A page's own label is taken out of all
+counts by which it is judged, so that its text speaks once.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm.common import map_arrow, table, written
+from cloudweave.llm.common import fitting, map_arrow, table, written
 
-#: Labelled texts of a language that the trigram model is fitted on at most, least crc32 of the id first.
-SAMPLE = 400
+#: Labelled texts of a language that the trigram model is fitted on at most, least crc32 of the id first, and languages
+#: that it knows at most, those of the most documents.
+SAMPLE, MOST_LANGUAGES = 400, 200
 BUCKETS = 1 << 14
-#: A text counts as this many trigrams at most: trigrams of one text are not independent evidence.
+#: A text counts as this many trigrams at most (all are read): trigrams of one text are not independent evidence, and
+#: with more weight no other evidence could ever speak against it.
 MOST_TRIGRAMS = 40.0
 #: Pages that a prior weighs as: of a domain for its hosts, of all pages for a domain; and added to each count.
 HOST_WEIGHT, DOMAIN_WEIGHT, ADDED = 8.0, 8.0, 0.5
+#: Second labels under a country's suffix that are registries' own, so the domain has three labels.
+REGISTRY = {"ac", "co", "com", "edu", "gob", "gov", "gouv", "net", "or", "org"}
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
@@ -58,14 +63,16 @@ def likelihoods(model: np.ndarray, text: str) -> list[float]:
 
 
 def address(url: str | None) -> tuple[str, str, str]:
-    """Host, domain (the last two labels) and suffix (the last) of a URL; empty where it has none."""
+    """Host, domain (the last two labels; three if the second of a country's is a registry's) and suffix (the last label)
+    of a URL; empty where it has none."""
     text = (url or "").strip()
     try:
         host = (urlsplit(text if "://" in text else f"//{text}").hostname or "").strip(".")
     except ValueError:
         host = ""
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1]
+    n = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRY else 2
+    return host, ".".join(labels[-n:]), labels[-1]
 
 
 EVIDENCE = "page_id long, host string, domain string, suffix string, declared string, text_ll array<double>"
@@ -97,45 +104,56 @@ def evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
     return map_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), make, EVIDENCE, _EVIDENCE)
 
 
-def _counts(by: Column, labelled: DataFrame, names: list[str], key: str) -> DataFrame:
+def _counts(by: Column, labelled: DataFrame, k: int, key: str) -> DataFrame:
     """For each value of a column, how many pages of each language, as an array."""
-    return labelled.groupBy(by.alias(key)).agg(F.array(*(F.count_if(F.col("_label") == i) for i in range(len(names)))).alias(f"{key}_n"))
+    return labelled.groupBy(by.alias(key)).agg(F.array(*(F.count_if(F.col("_label") == i) for i in range(k))).alias(f"{key}_n"))
 
 
-def _softened(counts: str, prior: Column, weight: float) -> Column:
-    """(counts + weight * prior) / (sum + weight), where counts may be null."""
-    n = F.coalesce(F.col(counts), F.array_repeat(F.lit(0).cast("long"), F.size(prior).cast("int")))
-    total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.zip_with(n, prior, lambda x, p: (x + weight * p) / (total + weight))
+def _others(counts: Column, k: int) -> list[Column]:
+    """Counts of each language without the page's own label."""
+    return [F.get(counts, F.lit(i)) - F.coalesce((F.col("_label") == i).cast("long"), F.lit(0)) for i in range(k)]
+
+
+def _softened(counts: list[Column], prior: list[Column], weight: float) -> list[Column]:
+    """(counts + weight * prior) / (sum + weight)."""
+    total = sum(counts[1:], counts[0])
+    return [(n + weight * p) / (total + weight) for n, p in zip(counts, prior, strict=True)]
 
 
 def fuse(found: DataFrame, names: list[str]) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared, suffix, host of each row of evidence.
 
-    Ties go to the first language in order. Pages without any evidence take the prior of their host, domain or all.
+    Ties go to the first language in order. Pages without any evidence take the prior of their host, domain or all. A
+    declaration or suffix is as likely under a language as it is among the other pages of it, each value that occurs
+    counted ADDED times more.
     """
     k = len(names)
     # The label by text: the first of the greatest likelihoods; pages whose text tells nothing have none.
     tells = F.array_min("text_ll") < 0
     labelled = found.withColumn("_label", F.when(tells, F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1))
-    sums = labelled.agg(*(F.sum((F.col("_label") == i).cast("long")).alias(str(i)) for i in range(k))).first()
-    total = [int(sums[str(i)] or 0) for i in range(k)]
-    overall = F.lit([(n + ADDED) / (sum(total) + ADDED * k) for n in total])
-
-    def likelihood(column: str) -> DataFrame:
-        counts = _counts(F.col(column), labelled, names, column)
-        terms = [F.log((F.get(f"{column}_n", F.lit(i)) + ADDED) / F.lit(total[i] + ADDED * 50)) for i in range(k)]
-        return counts.select(column, F.array(*terms).alias(f"{column}_ll"))
-
-    hosts = _counts(F.struct("host", "domain"), labelled, names, "place")
+    by = {c: _counts(F.col(c), labelled, k, c) for c in ("suffix", "declared")}
+    values = {c: f.where(F.col(c) != "").count() for c, f in by.items()}
+    sums = labelled.agg(*(F.count_if(F.col("_label") == i).alias(str(i)) for i in range(k))).first()
+    total = F.array(*(F.lit(int(sums[str(i)])) for i in range(k)))
+    hosts = _counts(F.struct("host", "domain"), labelled, k, "place")
     domains = hosts.groupBy("place.domain").agg(F.array(*(F.sum(F.get("place_n", F.lit(i))) for i in range(k))).alias("domain_n"))
-    domain_prior = domains.select("domain", _softened("domain_n", overall, DOMAIN_WEIGHT).alias("domain_prior"))
-    prior = hosts.select("place.host", "place.domain", "place_n").join(domain_prior, "domain").select("host", F.transform(_softened("place_n", F.col("domain_prior"), HOST_WEIGHT), lambda p: F.log(p)).alias("host_ll"))
-    joined = labelled.join(prior, "host").join(likelihood("suffix"), "suffix").join(likelihood("declared"), "declared")
-    declared = F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), k)).otherwise(F.col("declared_ll"))
-    suffix = F.when(F.col("suffix") == "", F.array_repeat(F.lit(0.0), k)).otherwise(F.col("suffix_ll"))
-    joined = joined.withColumn("_d", declared).withColumn("_s", suffix)
-    score = F.array(*(F.get("text_ll", F.lit(i)) + F.get("_d", F.lit(i)) + F.get("_s", F.lit(i)) + F.get("host_ll", F.lit(i)) for i in range(k)))
+    places = hosts.select("place.host", "place.domain", "place_n").join(domains, "domain").select("host", "place_n", "domain_n")
+    # A host of many pages is one row of counts; the pages' side of the join may be split by Spark.
+    joined = labelled.join(places, "host").join(by["suffix"], "suffix").join(by["declared"], "declared")
+    joined = joined.withColumn("_total", F.array(*_others(total, k)))
+    all_but = [F.get("_total", F.lit(i)) for i in range(k)]
+    overall = _softened([n + ADDED for n in all_but], [F.lit(0.0)] * k, 0.0)
+    joined = joined.withColumn("_overall", F.array(*overall))
+    domain = _softened(_others(F.col("domain_n"), k), [F.get("_overall", F.lit(i)) for i in range(k)], DOMAIN_WEIGHT)
+    joined = joined.withColumn("_domain", F.array(*domain))
+    host = _softened(_others(F.col("place_n"), k), [F.get("_domain", F.lit(i)) for i in range(k)], HOST_WEIGHT)
+
+    def likelihood(c: str) -> list[Column]:
+        terms = [F.log((n + ADDED) / (t + ADDED * max(1, values[c]))) for n, t in zip(_others(F.col(f"{c}_n"), k), all_but, strict=True)]
+        return [F.when(F.col(c) != "", x).otherwise(0.0) for x in terms]
+
+    terms = zip(host, likelihood("suffix"), likelihood("declared"), strict=True)
+    score = F.array(*(F.get("text_ll", F.lit(i)) + s + d + F.log(h) for i, (h, s, d) in enumerate(terms)))
     scored = joined.withColumn("_score", score).withColumn("_best", F.array_max("_score"))
     pick = F.array_position("_score", F.col("_best")).cast("int") - 1
     mass = F.aggregate(F.transform("_score", lambda s: F.exp(s - F.col("_best"))), F.lit(0.0), lambda a, x: a + x)
@@ -156,17 +174,18 @@ def identify(pages: DataFrame, names: list[str], model: np.ndarray) -> DataFrame
 
 
 def fit_table(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The trigram model from at most `sample` texts of each language."""
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    """The trigram model from at most `sample` texts of each of MOST_LANGUAGES languages, within the bounds of fitting().
+
+    Documents are counted by language; then one pass takes those whose crc32 is so small that about twice the sample
+    has it, of which fitting() orders each language's.
+    """
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    most = sizes.select("lang", (F.lit(2.0**32) * F.least(F.lit(1.0), (2 * sample + 100) / F.col("n"))).alias("_most"))
     order = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    texts: list[str] = []
-    languages: list[str] = []
-    for lang in sorted(r["lang"] for r in named.select("lang").distinct().collect()):
-        chosen = named.where(F.col("lang") == lang).orderBy(order, "doc_id").limit(sample)
-        rows = docs.select("doc_id", "lang", "text").where((F.col("lang") == lang) & F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("text").toPandas()
-        texts += rows["text"].tolist()
-        languages += [lang] * len(rows)
-    return fit(texts, languages)
+    near = named.withColumn("_order", order).join(F.broadcast(most), "lang").where("_order < _most").drop("_most")
+    rows = fitting(near, "lang", "_order", sample).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
+    return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

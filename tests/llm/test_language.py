@@ -1,5 +1,5 @@
 import math
-from collections import Counter
+import re
 
 import numpy as np
 
@@ -12,30 +12,44 @@ def model():
     return L.fit([t * 5 for t in TEXTS.values()], list(TEXTS))
 
 
+def plain_evidence(page, url, html, m):
+    """page_id, host, domain, suffix, declared, text likelihoods, by loops."""
+    html, url = html or "", url or ""
+    text = re.sub(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html, flags=re.S | re.I)
+    words = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    line = f" {words} " if words else ""
+    buckets = []
+    for i in range(len(line) - 2):
+        h = (ord(line[i]) * 1_000_003 + ord(line[i + 1])) * 1_000_003 + ord(line[i + 2])
+        buckets.append((h ^ h >> 17) % L.BUCKETS)
+    sums = [sum(float(row[t]) for t in buckets) * min(1.0, L.MOST_TRIGRAMS / max(1, len(buckets))) for row in m]
+    ll = [s - max(sums) for s in sums]
+    host = re.sub(r"^\w+://|/.*$", "", url)
+    found = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", html, re.I)
+    return page, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], found[1].lower() if found else "", ll
+
+
 def plain_fuse(rows, names):
     k = len(names)
     label = [None if min(r[5]) >= 0 else r[5].index(max(r[5])) for r in rows]
-    total = [label.count(i) for i in range(k)]
-    overall = [(n + L.ADDED) / (sum(total) + L.ADDED * k) for n in total]
-    count = lambda col: {v: [sum(1 for r, y in zip(rows, label) if r[col] == v and y == i) for i in range(k)] for v in {r[col] for r in rows}}
-    host, domain, suffix, declared = (count(c) for c in (1, 2, 3, 4))
+    values = {c: len({r[c] for r in rows} - {""}) for c in (3, 4)}
     soft = lambda n, p, w: [(x + w * q) / (sum(n) + w) for x, q in zip(n, p)]
     out = []
-    for r, y in zip(rows, label):
-        prior = soft(host[r[1]], soft(domain[r[2]], overall, L.DOMAIN_WEIGHT), L.HOST_WEIGHT)
-        s = [
-            r[5][i] + math.log(prior[i])
-            + (math.log((suffix[r[3]][i] + L.ADDED) / (total[i] + L.ADDED * 50)) if r[3] else 0)
-            + (math.log((declared[r[4]][i] + L.ADDED) / (total[i] + L.ADDED * 50)) if r[4] else 0)
-            for i in range(k)
-        ]
+    for j, r in enumerate(rows):
+        others = [(s, y) for i, (s, y) in enumerate(zip(rows, label)) if i != j]
+        count = lambda col: [sum(1 for s, y in others if y == i and (col is None or s[col] == r[col])) for i in range(k)]
+        total = count(None)
+        overall = [(n + L.ADDED) / (sum(total) + L.ADDED * k) for n in total]
+        prior = soft(count(1), soft(count(2), overall, L.DOMAIN_WEIGHT), L.HOST_WEIGHT)
+        s = [r[5][i] + math.log(prior[i]) + sum(math.log((count(c)[i] + L.ADDED) / (total[i] + L.ADDED * values[c])) for c in (3, 4) if r[c]) for i in range(k)]
         best = max(s)
-        out.append((r[0], names[s.index(best)], round(1 / sum(math.exp(x - best) for x in s), 5), None if y is None else names[y]))
+        out.append((r[0], names[s.index(best)], round(1 / sum(math.exp(x - best) for x in s), 5), None if label[j] is None else names[label[j]]))
     return sorted(out, key=repr)
 
 
 def test_address():
     assert L.address("HTTP://WWW.Example.de:80/x") == ("www.example.de", "example.de", "de")
+    assert L.address("http://a.b.shop.co.uk/x") == ("a.b.shop.co.uk", "shop.co.uk", "uk") and L.address("co.uk")[1] == "co.uk"
     assert L.address("a.co/x") == ("a.co", "a.co", "co") and L.address(None) == L.address("http://[") == ("", "", "")
 
 
@@ -57,7 +71,10 @@ def test_fusion_against_brute_force(spark):
         rows.append((i, f"https://{host}/p/{i}", page(declared, TEXTS[lang][: 5 + i % 40] if i % 6 else "123"), "x"))
     rows += [(None, None, None, "x"), (500, "", "", "x"), (501, "http://h1.page.com/", "<p>" + TEXTS["fr"] * 3000, "x"), (3, rows[3][1], rows[3][2], "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string")
-    seen = [tuple(r) for r in L.evidence(pages, m).collect()]
+    seen = [plain_evidence(*r[:3], m) for r in rows]
+    by = {s[0]: s for s in seen}
+    for r in L.evidence(pages, m).collect():
+        assert tuple(r)[:5] == by[r.page_id][:5] and np.allclose(r.text_ll, by[r.page_id][5], atol=1e-3)
     got = sorted(((r.page_id, r.lang, round(r.confidence, 5), r.text_lang) for r in L.identify(pages, names, m).collect()), key=repr)
     want = plain_fuse(seen, names)
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-5)
@@ -69,3 +86,46 @@ def test_table_model(spark):
     docs = spark.createDataFrame([(i, TEXTS[x] * 3, x) for i, x in enumerate(list(TEXTS) * 5)] + [(99, None, "en"), (98, "text", None)], "doc_id long, text string, lang string")
     names, m = L.fit_table(docs, 3)
     assert names == ["de", "en", "fr"] and m.shape == (3, L.BUCKETS)
+
+
+def test_ties_go_to_the_first_language(spark):
+    names, m = ["aa", "bb", "cc"], np.zeros((3, L.BUCKETS), np.float32)
+    m[0] -= 1.0
+    rows = [(i, f"http://h{i}.com/", "<p>some text") for i in range(5)] + [(9, "http://h9.com/", "<p>123"), (10, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text_lang, r.lang) for r in L.identify(pages, names, m).collect()}
+    # bb and cc are equally likely by text, and bb comes first; then the others' labels all speak for bb
+    assert all(got[i] == ("bb", "bb") for i in range(5)) and got[9] == (None, "bb") and got[10] == (None, "bb")
+    alone = L.identify(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), names, m).first()
+    assert (alone.text_lang, alone.lang, alone.confidence) == ("bb", "bb", round(1 / (2 + math.exp(-9)), 6))
+
+
+def test_own_label_does_not_vote(spark):
+    names, m = model()
+    rows = [(1, "http://one.org/", "<p>" + TEXTS["de"]), (2, "http://two.com/", "<p>" + TEXTS["en"] * 2)]
+    got = [r.confidence for r in L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), names, m).orderBy("page_id").collect()]
+    rows += [(3, "http://one.org/", "<p>" + TEXTS["de"])]
+    more = [r.confidence for r in L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), names, m).orderBy("page_id").collect()]
+    assert more[0] >= got[0] and [tuple(r) for r in L.fuse(L.evidence(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), m), names).select("lang", "text_lang").collect()] == [("de", "de")]
+
+
+def test_fit_takes_the_least_checksums_of_each_language(spark):
+    import zlib
+
+    rows = [(i, f"{'xyz'[i % 3]} text {i}", ["de", "en", "fr"][min(2, i % 40)]) for i in range(4000)] + [(5, "again", "fr"), (77, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    fit = L.fit
+    try:
+        L.fit = lambda texts, langs: seen.update(rows=sorted(zip(langs, texts))) or fit(texts, langs)
+        L.fit_table(docs, 60)
+    finally:
+        L.fit = fit
+    want = []
+    for lang in ("de", "en", "fr"):
+        own = {}
+        for d, t, g in rows:
+            if g == lang and t is not None:
+                own[d] = min(t, own.get(d, t))
+        want += [(lang, own[d]) for d in sorted(own, key=lambda d: (zlib.crc32(str(d).encode()), d))[:60]]
+    assert seen["rows"] == sorted(want)
