@@ -1,14 +1,16 @@
 """Interleaved document sequences: ordered text and media references of HTML, with payloads resolved by digest.
 
 Pages are parsed into sequences of text and media items, each with its position and, for media, its caption and the
-digest by which its source names the payload. References are joined to a media table by digest; only what describes a
-payload crosses the network, never the payload. Payloads are stored as raster images of 64 pixels a row, losslessly.
+digest by which its source names the payload. References are joined to a media table by digest and put back into their
+sequences in place; only what describes a payload crosses the network, never the payload. Payloads are stored as raster
+images of 64 pixels a row, losslessly.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -93,29 +95,56 @@ def parse(html: str | None) -> list[dict]:
 
 
 _ITEM = [("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("source", pa.string()), ("digest", pa.string()), ("caption", pa.string())]
-ITEMS = "doc_id long, items array<struct<position: int, kind: string, text: string, source: string, digest: string, caption: string>>"
+ITEMS = "items array<struct<position: int, kind: string, text: string, source: string, digest: string, caption: string>>"
 
 
-def sequences(pages: DataFrame) -> DataFrame:
-    """doc_id, items of each row of pages (doc_id, html); null and empty pages have no items."""
+def sequences(pages: DataFrame, row_id: str | None = None) -> DataFrame:
+    """doc_id, items of each row of pages (doc_id, html), with its row_id (long) if named; null and empty pages have no items."""
+    names = ["doc_id"] + ([row_id] if row_id else [])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column("doc_id"), "items": [parse(h) for h in batch.column("html").to_pylist()]}
+            return {n: batch.column(n) for n in names} | {"items": [parse(h) for h in batch.column("html").to_pylist()]}
 
         return step
 
-    return map_arrow(pages.select(F.col("doc_id").cast("long"), F.col("html").cast("string")), make, ITEMS, pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.struct(_ITEM)))]))
+    longs = [F.col(n).cast("long").alias(n) for n in names]
+    schema = pa.schema([(n, pa.int64()) for n in names] + [("items", pa.list_(pa.struct(_ITEM)))])
+    return map_arrow(pages.select(*longs, F.col("html").cast("string")), make, ", ".join(f"{n} long" for n in names) + f", {ITEMS}", schema)
+
+
+def _referred(refs: DataFrame, media: DataFrame) -> DataFrame:
+    """refs (digest, ...) with the columns of media, nulls where there is none.
+
+    References without a digest are no part of the join, as they would all be one key of it; a digest that a third of
+    all pages name is one row of media and many references, which Spark may split.
+    """
+    named = refs.where(F.col("digest").isNotNull()).join(media, "digest", "left")
+    return named.unionByName(refs.where(F.col("digest").isNull()), allowMissingColumns=True)
 
 
 def resolved(sequenced: DataFrame, media: DataFrame) -> DataFrame:
     """One row for each media item: doc_id, position, caption, digest and the columns of media (one row a digest).
 
-    Items without a digest, or with one that media lacks, have nulls there. A digest that a third of all pages name
-    is one row of media and many references, which a sort-merge join may split.
+    Items without a digest, or with one that media lacks, have nulls there.
     """
     refs = sequenced.select("doc_id", F.explode("items").alias("item")).where("item.kind = 'media'").select("doc_id", "item.position", "item.caption", "item.digest")
-    return refs.join(media, "digest", "left")
+    return _referred(refs, media)
+
+
+def interleaved(sequenced: DataFrame, media: DataFrame) -> DataFrame:
+    """row_id, doc_id, items of each row of sequenced (row_id, which no other row has; doc_id; items).
+
+    items are all of the row's texts and media in their order: position, kind, text, caption, digest, and payload, a
+    struct of what media (one row a digest) has for a medium's digest, null for texts and where there is nothing. A row
+    without items has an empty array.
+    """
+    described = [c for c in media.columns if c != "digest"]
+    each = sequenced.select("row_id", "doc_id", F.explode_outer("items").alias("item")).select("row_id", "doc_id", "item.position", "item.kind", "item.text", "item.caption", "item.digest")
+    payloads = media.select("digest", F.struct(*described).alias("payload"))
+    item = F.struct("position", "kind", "text", "caption", "digest", "payload")
+    gathered = _referred(each, payloads).groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("items"))
+    return gathered
 
 
 def store(data: bytes) -> bytes:
@@ -142,21 +171,36 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};" + ",".join(map(str, sums)) + f";{edges};" + ",".join(map(str, bins))
 
 
-STORED = "doc_id long, html string, digest string, stored binary"
-_STORED = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("stored", pa.binary())])
-DESCRIBED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_DESCRIBED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+STORED = "doc_id long, html string, digest string, images array<struct<digest: string, stored: binary>>"
+_STORED = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("images", pa.list_(pa.struct([("digest", pa.string()), ("stored", pa.binary())])))])
+DESCRIBED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
+_DESCRIBED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
+
+
+def page_of(text: str, digest: str, tail: str) -> str:
+    """A page about a text: a heading (its first words), its image with a caption, a paragraph, and its last row's image."""
+    heading = escape(" ".join(text[:400].split())[:80])
+    size = f"{len(text.encode())} bytes"
+    return (
+        f'<article><h1>{heading}</h1><figure><img src="{SCHEME}{digest}" alt="image"><figcaption>Text of {size}</figcaption></figure>'
+        f'<p>The last row of {size}:</p><img src="{SCHEME}{tail}" alt="last row"><p>End</p></article>'
+    )
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, html (a page that shows the text's image), digest (of the stored form), stored of each row."""
+    """doc_id, html (a page that shows the text's image and its last row's), digest (of the first), images of each row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            ids, images = batch.column("doc_id").to_pylist(), [store((t or "").encode()) for t in batch.column("text").to_pylist()]
-            digests = [hashlib.sha256(i).hexdigest() for i in images]
-            pages = [f'<article><h1>Document {d}</h1><figure><img src="{SCHEME}{g}" alt="image"><figcaption>Text of document {d}</figcaption></figure></article>' for d, g in zip(ids, digests, strict=True)]
-            return {"doc_id": batch.column("doc_id"), "html": pages, "digest": digests, "stored": images}
+            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "html": [], "digest": [], "images": []}
+            for text in batch.column("text").to_pylist():
+                data = (text or "").encode()
+                images = [store(data), store(data[max(0, len(data) - 1) // ROW * ROW :])]
+                digests = [hashlib.sha256(i).hexdigest() for i in images]
+                out["html"].append(page_of(text or "", *digests))
+                out["digest"].append(digests[0])
+                out["images"].append([{"digest": d, "stored": i} for d, i in zip(digests, images, strict=True)][: len(set(digests))])
+            return out
 
         return step
 
@@ -164,36 +208,41 @@ def stored_documents(docs: DataFrame) -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """What the stored bytes of media (digest, stored) hold, read back; one row for each digest."""
+    """What the stored bytes of media (stored) hold, read back, by the digest of these bytes; one row for each digest."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {n: [] for n in _DESCRIBED.names}
-            for digest, stored in zip(batch.column("digest").to_pylist(), batch.column("stored").to_pylist(), strict=True):
+            for stored in batch.column("stored").to_pylist():
                 n, samples = read_back(stored)
                 payload = samples.tobytes()
-                row = (digest, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples))
+                row = (hashlib.sha256(stored).hexdigest(), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), feature(samples))
                 for name, value in zip(_DESCRIBED.names, row, strict=True):
                     out[name].append(value)
             return out
 
         return step
 
-    return map_arrow(media.select("digest", "stored"), make, DESCRIBED, _DESCRIBED).dropDuplicates(["digest"])
+    return map_arrow(media.select("stored"), make, DESCRIBED, _DESCRIBED).dropDuplicates(["digest"])
 
 
 def image_sequences(docs: DataFrame) -> DataFrame:
-    """Each row's text as an image in a page, the page as a sequence, and the image resolved by its digest.
+    """Each row's text as an image in a page, the page as a sequence with its media resolved in place.
 
-    Null texts count as empty, and an empty text is a row of blanks. Equal texts are stored with one digest and are
+    doc_id, what is known of the text's image, its position and caption, and items, the whole sequence. Null texts count
+    as empty, and an empty text is a row of blanks. Equal texts have equal pages, are stored with one digest and are
     described alike. Repeated rows are repeated, a null doc_id is kept, an empty table gives no rows, and other columns
     are not looked at. The stored images are written to the shared folder and read back from there.
     """
-    kept = written(stored_documents(docs), "media")
-    return resolved(sequences(kept.select("doc_id", "html")), described(kept))
+    # The rows' own numbers are written with them, so they are the same for all who read them.
+    kept = written(stored_documents(docs).withColumn("row_id", F.monotonically_increasing_id()), "media", compression="zstd")
+    media = described(kept.select(F.explode("images.stored").alias("stored")))
+    found = interleaved(sequences(kept.select("row_id", "doc_id", "html"), "row_id"), media)
+    own = found.withColumn("own", F.get(F.filter("items", lambda i: i["kind"] == "media"), F.lit(0)))
+    return own.select("doc_id", "own.payload.*", F.col("own.digest").alias("media_sha256"), "own.position", "own.caption", "items")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as images in interleaved sequences, with features of the images."""
     found = image_sequences(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "items")
