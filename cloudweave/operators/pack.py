@@ -51,35 +51,47 @@ def morton_keys(points: DataFrame, b: Bounds) -> DataFrame:
 
 def morton_ranks(points: DataFrame, b: Bounds) -> DataFrame:
     """pk: the place in Z-order, ties by point_id."""
-    return ranked(morton_keys(points, b), "mk", ["point_id"], "pk", dense_tie="point_id")
+    return ranked(morton_keys(points, b), "mk", ["point_id"], "pk")
 
 
 def voxel_edge(b: Bounds, divisions: int, level: int) -> float:
     return max(max(b.extent), g.TINY) / divisions * 0.5**level
 
 
-def lod_levels(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
-    """lod_level of rows with pk: at each level the unclaimed row of the least pk in each voxel; the rest are finest.
+def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
+    """pk, lod_level of the rows (with pk) that a level but the finest claims: at each level the unclaimed row of the least
+    pk in each voxel.
 
-    The least pk of each voxel is a partial aggregation, and its join back is by voxel, so a voxel that holds much of
-    the cloud is one small row there, and its rows may be split by the join. Each level reads the rows twice, so they
-    are written to the shared folder between levels; else plans would double from level to level.
+    A voxel halves from level to level, so those of a finer level lie within one of a coarser, and of the finest voxels
+    that claim none but the first few rows, one for each level, can ever be claimed. Only these, with their pk and voxel
+    alone, are shuffled (each task sends no more of a voxel), by their coarsest voxel, in which all levels are settled.
     """
-    out = rows.withColumn("lod_level", F.lit(None).cast("int"))
-    for level in range(config.lod_levels - 1):
-        edge = voxel_edge(b, config.coarse_divisions, level)
-        cell = F.struct(*(g.voxel(F.col(a), b.low[k], edge).alias(a) for k, a in enumerate(AXES)))
-        celled = out.withColumn("_cell", cell)
-        claims = celled.where("lod_level is null").groupBy("_cell").agg(F.min("pk").alias("_first"))
-        won = F.when(F.col("lod_level").isNull() & (F.col("pk") == F.col("_first")), F.lit(level))
-        out = written(celled.join(claims, "_cell", "left").withColumn("lod_level", F.coalesce("lod_level", won)).drop("_cell", "_first"), "lod")
-    return out.withColumn("lod_level", F.coalesce("lod_level", F.lit(config.lod_levels - 1)))
-
-
-def batched(rows: DataFrame, points_per_batch: int) -> DataFrame:
-    """batch_id by pk, and local_idx in the order of level, then pk. A batch is points_per_batch rows at most."""
-    w = Window.partitionBy("batch_id").orderBy("lod_level", "pk")
-    return rows.withColumn("batch_id", F.floor(F.col("pk") / F.lit(points_per_batch)).cast("bigint")).withColumn("local_idx", F.row_number().over(w).cast("bigint") - 1)
+    claiming = config.lod_levels - 1
+    if not claiming:
+        return rows.select("pk", F.lit(0).alias("lod_level")).where(F.lit(False))
+    edge = voxel_edge(b, config.coarse_divisions, claiming - 1)
+    finest = {f"_{a}": g.voxel(F.col(a), b.low[k], edge).cast("bigint") for k, a in enumerate(AXES)}
+    first = F.row_number().over(Window.partitionBy(*finest).orderBy("pk"))
+    few = pinned(rows, finest).select("pk", *finest).withColumn("_place", first).where(F.col("_place") <= claiming).drop("_place")
+    coarsest = [F.shiftright(n, claiming - 1).alias(f"_c{n}") for n in finest]
+    out = few.select("pk", *finest, *coarsest).repartition(*(f"_c{n}" for n in finest)).withColumn("lod_level", F.lit(None).cast("int"))
+    for level in range(claiming):
+        voxel = Window.partitionBy(*(f"_c{n}" for n in finest), *(F.shiftright(n, claiming - 1 - level) for n in finest if level))
+        least = F.min(F.when(F.col("lod_level").isNull(), F.col("pk"))).over(voxel)
+        out = out.withColumn("_least", least).withColumn("lod_level", F.coalesce("lod_level", F.when(F.col("pk") == F.col("_least"), F.lit(level)))).drop("_least")
+    return out.where("lod_level is not null").select("pk", "lod_level")
+
+
+def batched(rows: DataFrame, claims: DataFrame, config: PackConfig) -> DataFrame:
+    """lod_level of rows with pk, batch_id by pk, and local_idx in the order of level, then pk.
+
+    A batch is points_per_batch rows at most. Claims come to the rows in the one shuffle that puts batches together.
+    """
+    batch = F.floor(F.col("pk") / F.lit(config.points_per_batch)).cast("bigint").alias("batch_id")
+    both = rows.select("*", batch, F.lit(None).cast("int").alias("_claim"), F.lit(True).alias("_row")).unionByName(claims.select("pk", batch, F.col("lod_level").alias("_claim"), F.lit(False).alias("_row")), allowMissingColumns=True).repartition("batch_id")
+    level = F.coalesce(F.max("_claim").over(Window.partitionBy("batch_id", "pk")), F.lit(config.lod_levels - 1))
+    levelled = both.withColumn("lod_level", level).where("_row").drop("_claim", "_row")
+    return levelled.withColumn("local_idx", F.row_number().over(Window.partitionBy("batch_id").orderBy("lod_level", "pk")).cast("bigint") - 1)
 
 
 def zone_maps(rows: DataFrame) -> DataFrame:
@@ -130,13 +142,12 @@ class PackedCloud:
 def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds | None = None) -> PackedCloud:
     """Packs points (point_id, x, y, z, rgba): every point in a batch, batches in their shuffled order.
 
-    An empty cloud has no batches and zero bounds. The keyed points, which ranks are taken of in several passes, and the
-    packed points are written to the shared folder. within: the bounds, where they are known.
+    An empty cloud has no batches and zero bounds. The cloud is written to the shared folder twice: sorted by its ranks,
+    and packed. within: the bounds, where they are known.
     """
     b = within or bounds(points)
-    keyed = written(morton_keys(points, b), "keyed")
-    levelled = lod_levels(written(ranked(keyed, "mk", ["point_id"], "pk", dense_tie="point_id"), "ranks"), b, config)
-    rows = written(quantised(batched(levelled, config.points_per_batch)), "packed")
+    ranks = morton_ranks(points, b)
+    rows = written(quantised(batched(ranks, lod_claims(ranks, b, config), config)), "packed")
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:
         zones = shuffle_batches(zones, config.points_per_batch)

@@ -57,34 +57,26 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*(F.col(c) for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-#: Buckets into which a global order is cut, by quantiles of its first key.
-RANK_BUCKETS = 64
+#: Rows of a global order that a task sorts, about.
+RANK_ROWS = 1_000_000
 
 
-def ranked(df: DataFrame, key: str, ties: list[str | Column], name: str, dense_tie: str | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Adds the row number (from 0) in the order of key (a bigint), then ties, without gathering all rows in a task.
+def ranked(df: DataFrame, key: str, ties: list[str | Column], name: str, buckets: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds the row number (from 0) in the order of key, then ties, without gathering all rows in a task.
 
-    Rows are cut into ordered buckets by approximate quantiles of the key, numbered within each, and moved on by the
-    counts of the buckets before. A key so common that several quantiles meet at it is a bucket of its own; if
-    dense_tie (the next in order after the key, integers without large gaps) is given, that bucket is cut further by it.
-    At most a few thousand counts are broadcast.
+    keep: the columns that are left, where others are there only to order by.
+
+    Rows are cut into ordered ranges of about RANK_ROWS rows by sampled bounds of key and ties together, so a key that
+    holds much of all rows is cut by its ties. The sorted ranges are written, numbered within, and moved on by the
+    counts of the ranges before; one count for each range is broadcast. So there are as many tasks as the rows ask for.
     """
-    stats = df.agg(
-        F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 1000).alias("q"), *([F.min(dense_tie).alias("low"), F.max(dense_tie).alias("high")] if dense_tie else [])
-    ).first()
-    marks = sorted(stats["q"] or [])
-    bounds = sorted(set(marks))
-    hot = sorted({a for a, b in zip(marks, marks[1:], strict=False) if a == b})
-    at = F.lit(0)
-    for b in bounds:  # comparisons in codegen; a lambda over an array of bounds would be interpreted
-        at = at + (F.col(key) >= b).cast("int")
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    sub = F.lit(0).cast("bigint")
-    if dense_tie and hot:
-        width = max(1, -(-(stats["high"] - stats["low"] + 1) // buckets))
-        sub = F.when(is_hot, F.floor((F.col(dense_tie) - stats["low"]) / F.lit(width))).otherwise(sub)
-    placed = df.withColumn("_bucket", F.struct(at.cast("int").alias("at"), (~is_hot).alias("rest"), sub.alias("sub")))
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties))
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_bucket").withColumn(name, (F.col("_own") - 1 + F.col("_before")).cast("bigint")).drop("_bucket", "_own", "_before")
+    spark = df.sparkSession
+    n = buckets or max(spark.sparkContext.defaultParallelism, -(-df.count() // RANK_ROWS))
+    order = [key, *ties]
+    # The number of a row's range, and 33 bits for its place there.
+    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at")), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_part", "_at", "_before")

@@ -80,8 +80,7 @@ def _(spark, sf_dir):
 
 @query("morton_rank", with_(q.NUM, q.BOUNDS, q.morton(), select="SELECT point_id, mk, pk FROM rnk"))
 def _(spark, sf_dir):
-    keyed = raster.written(pack.morton_keys(numbered(spark, sf_dir), pack.bounds(line(spark, sf_dir))), "keyed")
-    return pack.ranked(keyed, "mk", ["point_id"], "pk", dense_tie="point_id").select("point_id", "mk", "pk")
+    return pack.morton_ranks(numbered(spark, sf_dir), pack.bounds(line(spark, sf_dir))).select("point_id", "mk", "pk")
 
 
 _PACKED = q.packed(PACK.lod_levels, PACK.coarse_divisions, PACK.points_per_batch)

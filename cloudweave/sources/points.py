@@ -36,7 +36,8 @@ def _rgba(r: str, gr: str, b: str):
 def numbered_lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with point_id, the place in the order of all columns of the table."""
     rows = load(spark, sf_dir, "lineitem")
-    ordered = ranked(rows, "l_orderkey", [c for c in rows.columns if c != "l_orderkey"], "point_id")
+    places = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+    ordered = ranked(rows, "l_orderkey", [c for c in rows.columns if c != "l_orderkey"], "point_id", keep=places)
     return ordered.select("point_id", *_lineitem_place())
 
 

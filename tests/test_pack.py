@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
 from cloudweave.model import PackConfig
-from cloudweave.operators import pack
+from cloudweave.operators import pack, tables
 from cloudweave.operators.tables import ranked
 from cloudweave.sources import points as src
 
@@ -111,8 +111,8 @@ def test_hot_keys_rank_as_a_plain_sort(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k bigint, i bigint, v double")
     want = {i: n for n, (_, i, _) in enumerate(sorted(rows))}
-    for dense in ("i", None):
-        assert {r.i: r.n for r in ranked(df, "k", ["i"], "n", dense_tie=dense, buckets=16).collect()} == want
+    for buckets in (16, 1, None):
+        assert {r.i: r.n for r in ranked(df, "k", ["i"], "n", buckets=buckets).collect()} == want
     assert ranked(df.limit(0), "k", ["i"], "n").count() == 0
 
 
@@ -140,3 +140,32 @@ def test_config_limits():
     assert PackConfig(lod_levels=99).lod_levels == 8 and PackConfig(lod_levels=0, coarse_divisions=0).coarse_divisions == 1
     with pytest.raises(ValueError):
         PackConfig(points_per_batch=70000)
+
+
+def test_ranges_grow_with_the_rows_and_cut_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(tables, "RANK_ROWS", 500)
+    sizes = []
+    write = tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: sizes.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) or write(df, name))
+    df = spark.range(20_000).select(F.lit(7).cast("bigint").alias("k"), F.col("id").alias("i"))
+    assert {r.n - r.i for r in ranked(df, "k", ["i"], "n").collect()} == {0}
+    assert len(sizes) == 40 and max(sizes) < 1500
+
+
+def test_levels_of_crowded_and_of_no_voxels(spark):
+    rng = random.Random(4)
+    rows = [(i, *(rng.choice([0.0, 0.01, 0.02, rng.random()]) for _ in range(3)), 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "point_id bigint, x double, y double, z double, rgba bigint")
+    for levels in (1, 2, 5, 8):
+        config = PackConfig(points_per_batch=64, coarse_divisions=3, lod_levels=levels)
+        packed = pack.pack(df, config)
+        claimed = {}
+        points = sorted(packed.points.collect(), key=lambda r: r.pk)
+        for level in range(levels - 1):
+            edge, seen = pack.voxel_edge(packed.bounds, 3, level), set()
+            for r in points:
+                cell = tuple(int((r[a] - packed.bounds.low[k]) // edge) for k, a in enumerate("xyz"))
+                if r.pk not in claimed and cell not in seen:
+                    seen.add(cell)
+                    claimed[r.pk] = level
+        assert [r.lod_level for r in points] == [claimed.get(r.pk, levels - 1) for r in points]
