@@ -2,10 +2,12 @@
 
 A footprint makes tens of pixel rows of a point, so points are aggregated by the pixel of their centre before they are
 splatted wherever the sums allow it: the largest depth of a pixel is the largest of the centres around it; translucent
-sums add up the same way. For depth-tested colour a centre's points are told apart by the depths around it: those
-nearer than all of them count everywhere in the footprint and are summed before the splat, those behind all of them
-nowhere, and only the rest are splatted one by one. So no shuffle moves more than image-sized rows for each task,
-whatever the number of points.
+sums add up the same way. For depth-tested colour a centre's points are told apart by which pixels of the footprint they
+pass in: nearer points pass wherever farther ones do, so a centre has at most one class for each pixel of its footprint
+(and one for none), and its points are summed by class before the splat. Edge weights are of few kinds, and a class has
+sums for each. So no shuffle moves more than image-sized rows for each task, whatever the number of points. Footprints
+of very many pixels, or of sizes that differ from point to point, know two classes: points that pass everywhere, and
+points that are splatted one by one.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Cloud, Matrix, RasterConfig
-from cloudweave.operators.tables import written
+from cloudweave.operators.tables import pinned, written
 
-#: Images of at most this many pixels are broadcast to the points; larger ones are joined by shuffles.
-BROADCAST_PIXELS = 1 << 22
+#: Images of at most this many pixels (times the columns of a pixel) are broadcast to the points; larger ones are joined
+#: by shuffles, unless Spark finds them small.
+BROADCAST_PIXELS = 1 << 18
+#: Pixels of a footprint whose points are classed by a mask, and different weights of one.
+MASK_PIXELS, MASK_WEIGHTS = 63, 8
 
 
 def project(points: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
@@ -26,8 +31,8 @@ def project(points: DataFrame, camera: Camera, config: RasterConfig, model: Matr
     width, height = config.size
     m = camera.clip(model)
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    clip = points.withColumns({f"_{n}": g.transform_row(m, k, x, y, z) for k, n in enumerate("xyzw")}).where("_w > 0")
-    ndc = clip.withColumns({"_nx": F.col("_x") / F.col("_w"), "_ny": F.col("_y") / F.col("_w"), "ndc_z": F.col("_z") / F.col("_w")})
+    clip = pinned(points, {f"_{n}": g.transform_row(m, k, x, y, z) for k, n in enumerate("xyzw")}).where("_w > 0")
+    ndc = pinned(clip, {"_nx": F.col("_x") / F.col("_w"), "_ny": F.col("_y") / F.col("_w"), "ndc_z": F.col("_z") / F.col("_w")})
     seen = ndc.where("_nx between -1 and 1 and _ny between -1 and 1 and ndc_z between 0 and 1")
     px = F.floor((F.col("_nx") * 0.5 + 0.5) * width).cast("int")
     py = F.floor((F.col("_ny") * 0.5 + 0.5) * height).cast("int")
@@ -105,20 +110,64 @@ def near_enough(depth: Column, config: RasterConfig) -> Column:
     return F.when(depth > 0, g.decode_depth(depth) * g.num(1.0 - config.depth_tolerance)).otherwise(float("inf"))
 
 
+def _asked(depths: DataFrame, config: RasterConfig) -> DataFrame:
+    return depths.select("px", "py", near_enough(F.col("depth"), config).alias("_least"))
+
+
+def _cells(radius: int | None, weighted: bool = False) -> list[tuple[int, int, float]] | None:
+    """The footprint of one radius, if its points may be classed by a mask of its pixels."""
+    if radius is None:
+        return None
+    cells = [(dx, dy, g.coverage(dx, dy, radius) if weighted else 1.0) for dx, dy in g.disc(radius)]
+    cells = [c for c in cells if c[2] > 0]
+    return cells if len(cells) <= MASK_PIXELS and len({c[2] for c in cells}) <= MASK_WEIGHTS else None
+
+
+def _masked(coloured: DataFrame, depths: DataFrame, cells: list[tuple[int, int, float]], config: RasterConfig) -> DataFrame:
+    """Adds _mask, in which bit k is set if a point passes in the k-th pixel of its footprint; those that pass nowhere go."""
+    at = F.expr("array(" + ", ".join(f"named_struct('dx', {dx}, 'dy', {dy}, 'k', {k})" for k, (dx, dy, _) in enumerate(cells)) + ")")
+    around = _asked(depths, config).withColumn("_o", F.explode(at)).select((F.col("px") - F.col("_o.dx")).alias("cx"), (F.col("py") - F.col("_o.dy")).alias("cy"), F.col("_o.k").alias("k"), "_least")
+    limits = around.groupBy("cx", "cy").agg(*(F.max(F.when(F.col("k") == k, F.col("_least"))).alias(f"_t{k}") for k in range(len(cells))))
+    bits = [F.when(F.col("ndc_z") >= F.col(f"_t{k}"), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in range(len(cells))]
+    judged = coloured.join(_sized(limits, config), ["cx", "cy"])
+    return pinned(judged, {"_mask": sum(bits[1:], bits[0])}).where("_mask <> 0").drop(*(f"_t{k}" for k in range(len(cells))))
+
+
+def _spread(classes: DataFrame, cells: list[tuple[int, int, float]], config: RasterConfig) -> DataFrame:
+    """px, py, sum_r, sum_g, sum_b, cnt of classes (cx, cy, and these sums as arrays by weight), where their _mask allows."""
+    width, height = config.size
+    kinds = sorted({c for *_, c in cells})
+    at = F.expr("array(" + ", ".join(f"named_struct('dx', {dx}, 'dy', {dy}, 'k', {k}, 'w', {kinds.index(c)})" for k, (dx, dy, c) in enumerate(cells)) + ")")
+    spread = classes.withColumn("_o", F.explode(at))
+    if "_mask" in classes.columns:
+        spread = spread.where(F.expr("shiftright(_mask, _o.k) & 1 = 1"))
+    names = ("sum_r", "sum_g", "sum_b", "cnt")
+    placed = spread.select((F.col("cx") + F.col("_o.dx")).alias("px"), (F.col("cy") + F.col("_o.dy")).alias("py"), *(F.get(n, F.col("_o.w")).alias(n) for n in names))
+    return _added(placed.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)))
+
+
+def _radii(config: RasterConfig, camera: Camera) -> list[int]:
+    """All radii that points may have where they have their own."""
+    s = max(1.0, config.render_scale)
+    low = max(min(config.minimum_point_size * s, config.maximum_point_size * s), 1.0)
+    return list(range(g.radius_of(low), g.radius_of(max(config.maximum_point_size * s, config.minimum_point_size * s, low)) + 1))
+
+
 def average_sums(projected: DataFrame, depths: DataFrame, config: RasterConfig, camera: Camera) -> DataFrame:
     """px, py, sum_r, sum_g, sum_b, cnt of all points in the depth band of each pixel."""
     fixed = _fixed_radius(config, camera)
     coloured = colours(projected, config)
-    if fixed is None:
-        rows = splat(coloured, config, camera)
-        kept = rows.join(_sized(depths.select("px", "py", near_enough(F.col("depth"), config).alias("_least")), config), ["px", "py"]).where("ndc_z >= _least")
-        return kept.groupBy("px", "py").agg(*_sums())
+    cells = _cells(fixed)
+    if cells:
+        classes = _masked(coloured, depths, cells, config).groupBy("cx", "cy", "_mask").agg(*_sums())
+        return _spread(classes.select("cx", "cy", "_mask", *(F.array(n).alias(n) for n in ("sum_r", "sum_g", "sum_b", "cnt"))), cells, config)
     # What the depths around a centre ask of its points: footprints are symmetric, so pixels splat to centres alike.
-    asked = depths.select("px", "py", near_enough(F.col("depth"), config).alias("_least"))
-    around = splat(asked.select(F.col("px").alias("cx"), F.col("py").alias("cy"), F.lit(fixed).alias("radius"), "_least"), config, camera)
-    limits = around.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.min("_least").alias("_some"), F.max("_least").alias("_all"))
-    # For each point: 2 if it counts in the whole footprint, 1 if in some pixels of it.
-    judged = coloured.join(_sized(limits, config), ["cx", "cy"]).where("ndc_z >= _some")
+    asked = _asked(depths, config)
+    radius = F.lit(fixed) if fixed is not None else F.explode(F.lit(_radii(config, camera)))
+    around = splat(asked.select(F.col("px").alias("cx"), F.col("py").alias("cy"), radius.alias("radius"), "_least"), config, camera)
+    limits = around.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy"), "radius").agg(F.min("_least").alias("_some"), F.max("_least").alias("_all"))
+    # For each point: whether it counts in the whole footprint, or in some pixels of it.
+    judged = coloured.join(_sized(limits, config), ["cx", "cy", "radius"]).where("ndc_z >= _some")
     partly = F.when(F.col("ndc_z") < F.col("_all"), F.col("ndc_z"))
     # One pass over the points: points of a centre that count everywhere are one group, the others a group for each depth.
     centres = judged.groupBy("cx", "cy", "radius", partly.alias("_z")).agg(*_sums())
@@ -126,15 +175,27 @@ def average_sums(projected: DataFrame, depths: DataFrame, config: RasterConfig,
     return _added(rows)
 
 
+def _weights(w: Column) -> dict[str, Column]:
+    """Colour and weight of a point at a weight, in fixed point."""
+    parts = {f"sum_{n}": F.floor(F.col(f"c{n}") * g.num(1.0 / 255.0) * w * g.num(g.WEIGHT) + 0.5).cast("bigint") for n in "rgb"}
+    return parts | {"cnt": F.floor(w * g.num(g.WEIGHT) + 0.5).cast("bigint")}
+
+
 def weighted_sums(projected: DataFrame, depths: DataFrame | None, config: RasterConfig, camera: Camera) -> DataFrame:
     """Edge-antialiased sums in fixed point; depth-tested where depths are given."""
-    rows = colours(projected, config).withColumn("_w1", F.coalesce("alpha", g.num(1.0)) / F.coalesce("samples", F.lit(1))) if "alpha" in projected.columns else colours(projected, config).withColumn("_w1", g.num(1.0))
+    own = F.coalesce("alpha", g.num(1.0)) / F.coalesce("samples", F.lit(1)) if "alpha" in projected.columns else g.num(1.0)
+    rows = colours(projected, config).withColumn("_w1", own)
+    cells = _cells(_fixed_radius(config, camera), weighted=True)
+    if cells:
+        rows = rows if depths is None else _masked(rows, depths, cells, config)
+        kinds = sorted({c for *_, c in cells})
+        sums = {n: [F.sum(_weights(g.num(c) * F.col("_w1"))[n]) for c in kinds] for n in ("sum_r", "sum_g", "sum_b", "cnt")}
+        keys = ["cx", "cy"] + ([] if depths is None else ["_mask"])
+        return _spread(rows.groupBy(*keys).agg(*(F.array(*c).alias(n) for n, c in sums.items())), cells, config)
     rows = splat(rows, config, camera, weighted=True)
     if depths is not None:
-        rows = rows.join(_sized(depths.select("px", "py", near_enough(F.col("depth"), config).alias("_least")), config), ["px", "py"]).where("ndc_z >= _least")
-    w = F.col("cov") * F.col("_w1")
-    parts = {f"c{n}": F.floor(F.col(f"c{n}") * g.num(1.0 / 255.0) * w * g.num(g.WEIGHT) + 0.5).cast("bigint") for n in "rgb"}
-    return rows.withColumn("_wn", F.floor(w * g.num(g.WEIGHT) + 0.5).cast("bigint")).withColumns(parts).groupBy("px", "py").agg(*(F.sum(f"c{n}").alias(f"sum_{n}") for n in "rgb"), F.sum("_wn").alias("cnt"))
+        rows = rows.join(_sized(_asked(depths, config), config), ["px", "py"]).where("ndc_z >= _least")
+    return rows.groupBy("px", "py").agg(*(F.sum(c).alias(n) for n, c in _weights(F.col("cov") * F.col("_w1")).items()))
 
 
 def translucent_sums(projected: DataFrame, config: RasterConfig, camera: Camera) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Matrix, RasterConfig
 from cloudweave.operators.pack import PackedCloud
-from cloudweave.operators.tables import written
+from cloudweave.operators.tables import ranked, written
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
@@ -48,8 +48,11 @@ def select_points(packed: PackedCloud, camera: Camera, config: RasterConfig, mod
 
 
 def capped(selected: DataFrame, capacity: int) -> DataFrame:
-    """The points of the least src_idx, `capacity` at most (the cap is the feature: a fixed survivor buffer)."""
-    return selected.orderBy("src_idx").limit(capacity)
+    """The points of the least src_idx, `capacity` at most (the cap is the feature: a fixed survivor buffer).
+
+    A capacity may be as large as the cloud, so points are numbered in ranges, not gathered in one task.
+    """
+    return ranked(selected, "src_idx", [], "_place").where(F.col("_place") < capacity).drop("_place")
 
 
 def selection_stats(selected: DataFrame, capacity: int) -> DataFrame:
