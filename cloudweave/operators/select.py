@@ -25,6 +25,18 @@ def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, mo
     return levelled.withColumn("active_points", F.coalesce(F.get("lod_cum", top), F.col("num_points"))).where("active_points > 0")
 
 
+def visible_batches_of_files(batches: DataFrame, camera: Camera, config: RasterConfig, models: dict[int, Matrix]) -> DataFrame:
+    """As visible_batches, of batches whose file_index names the file that they come from, each file with its own model.
+
+    Matrices are literals, one part of the plan for each file; files without one stand where they are.
+    """
+    rest = batches if not models else batches.where(~F.coalesce(F.col("file_index").isin(*models), F.lit(False)))
+    out = visible_batches(rest, camera, config)
+    for index, model in models.items():
+        out = out.unionByName(visible_batches(batches.where(F.col("file_index") == index), camera, config, model))
+    return out
+
+
 def kept_level(lod_level: Column, threshold: Column, index: Column, dither: bool) -> Column:
     """Whether a point's level is within the threshold, dithered by a hash of its pack index."""
     by = g.hash_unit(index.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))) if dither else g.num(0.5)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
-from cloudweave.model import IDENTITY, Camera, Cloud, PackConfig, PointSize, RasterConfig, look_at, perspective, scale_translate, standard_camera
+from cloudweave.model import IDENTITY, Camera, Cloud, PackConfig, PointSize, RasterConfig, look_at, multiply, perspective, scale_translate, standard_camera
 from cloudweave.operators import features, pack, raster, resolve, select
 from cloudweave.plans import sql as q
 from cloudweave.plans import streams
@@ -197,6 +197,18 @@ def _(spark, sf_dir):
     return b.select("batch_id", "file_index", (m[0] * F.col("min_x") + m[1] * F.col("min_y") + m[2] * F.col("min_z") + m[3]).alias("world_x"))
 
 
+_IN_FILES = "fil AS (SELECT *, batch_id % 3 AS file_no FROM zon), fil0 AS (SELECT * FROM fil WHERE file_no <> 1), fil1 AS (SELECT * FROM fil WHERE file_no = 1)"
+_CLOSE_MOVED = Camera(multiply(CLOSE.view, MOVED), CLOSE.projection)
+_FILE_COLUMNS = "batch_id::BIGINT AS batch_id, file_no::BIGINT AS file_index, precision::BIGINT AS precision, active_points::BIGINT AS active_points"
+
+
+@query("file_visible_batches", with_(_PACKED, _IN_FILES, q.visible(CLOSE, IMAGE, source="fil0", name="vis"), q.visible(_CLOSE_MOVED, IMAGE, source="fil1", name="vim"), select=f"SELECT {_FILE_COLUMNS} FROM vis WHERE active_points > 0 UNION ALL SELECT {_FILE_COLUMNS} FROM vim WHERE active_points > 0"))
+def _(spark, sf_dir):
+    """Batches of three files, of which the second stands elsewhere."""
+    b = packed(spark, sf_dir).batches.withColumn("file_index", (F.col("batch_id") % 3).cast("int"))
+    return select.visible_batches_of_files(b, CLOSE, IMAGE, {1: MOVED}).select("batch_id", "file_index", "precision", "active_points")
+
+
 @query("precision_level", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, precision::BIGINT AS precision, pixel_size FROM vis"))
 def _(spark, sf_dir):
     return select.visible_batches(packed(spark, sf_dir).batches, CLOSE, IMAGE).select("batch_id", "precision", "pixel_size")
@@ -441,10 +453,10 @@ def _(spark, sf_dir):
     return resolve.composite_depth(resolve.render([Cloud(line(spark, sf_dir))], CAMERA, IMAGE), scene(spark, sf_dir))
 
 
-@query("composite_viewport", with_(*_SCENE, "big AS (SELECT px * 2 + dx + 30 AS px, py * 2 + dy + 12 AS py, r, g, b, a, depth FROM img, range(2) u(dx), range(2) v(dy))", select="SELECT coalesce(c.px, s.px) AS px, coalesce(c.py, s.py) AS py, " + f"CASE WHEN {_FRONT} THEN c.r ELSE s.r END AS r, {_FRONT} AS from_cloud FROM big c FULL JOIN scn s ON c.px = s.px AND c.py = s.py"))
+@query("composite_viewport", with_(*_SCENE, "big AS (SELECT px * 2 + dx + 30 AS px, py * 2 + dy + 12 AS py, r, g, b, a, depth FROM img, range(2) u(dx), range(2) v(dy))", select="SELECT coalesce(c.px, s.px) AS px, coalesce(c.py, s.py) AS py, " + ", ".join(f"CASE WHEN {_FRONT} THEN c.{n} ELSE s.{n} END AS {n}" for n in ("r", "g", "b", "depth")) + f", {_FRONT} AS from_cloud FROM big c FULL JOIN scn s ON c.px = s.px AND c.py = s.py"))
 def _(spark, sf_dir):
     part = resolve.in_viewport(resolve.render([Cloud(line(spark, sf_dir))], CAMERA, IMAGE), (30, 12), 2)
-    return resolve.composite_depth(part, scene(spark, sf_dir)).select("px", "py", "r", "from_cloud")
+    return resolve.composite_depth(part, scene(spark, sf_dir)).select("px", "py", "r", "g", "b", "depth", "from_cloud")
 
 
 _BOTH = "both_ AS (SELECT x, y, z, rgba FROM pts UNION ALL SELECT " + ", ".join(f"{q.row(MOVED, k)} AS {a}" for k, a in enumerate("xyz")) + ", rgba FROM pts2)"

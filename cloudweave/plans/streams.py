@@ -111,13 +111,17 @@ def sweep_publish(spark, sf_dir):
     from cloudweave.plans.catalog import CLOSE, IMAGE, packed
 
     c = packed(spark, sf_dir)
-    sizes = [r["num_points"] for r in c.batches.select("new_id", "num_points").orderBy("new_id").collect()]
+    total = c.batches.agg(F.sum("num_points").alias("n")).first()["n"] or 0
+    chunks = sweep.chunk_table(c.batches, max(1, total // 2))
+    # One number for each frame of a sweep, not for each batch.
+    sizes = [r["n"] for r in chunks.groupBy("chunk").agg(F.sum("num_points").alias("n")).orderBy("chunk").collect()]
+    placed = c.batches.join(chunks.select("new_id", "chunk"), "new_id")
 
     def part(first: int, stop: int):
-        chosen = c.batches.where((F.col("new_id") >= first) & (F.col("new_id") < stop))
+        chosen = placed.where((F.col("chunk") >= first) & (F.col("chunk") < stop)).drop("chunk")
         return select.select_points(pack.PackedCloud(c.points, chosen, c.bounds, c.config), CLOSE, IMAGE)
 
-    driver = sweep.SweepDriver(sizes, part, budget=max(1, sum(sizes) // 2))
+    driver = sweep.SweepDriver(sizes, part, budget=1)
     driver.advance()
     driver.restart()
     while not driver.advance():
@@ -179,6 +183,17 @@ def _grid_sql() -> str:
     return f"SELECT i AS point_id, {place}, {colour}, 1.0::DOUBLE AS a FROM range({SIDE**3}) t(i)"
 
 
+def _matrix_sql(factors: dict) -> str:
+    """The product of column-major matrices, worked out from their cells."""
+    cells = ",\n".join(f"{n} AS (SELECT k % 4 AS r, k // 4 AS c, v FROM (VALUES " + ", ".join(f"({k}, {q.d(v)})" for k, v in enumerate(m)) + ") t(k, v))" for n, m in factors.items())
+    first, *rest = factors
+    steps, done = [], first
+    for n in rest:
+        steps.append(f"{done}{n} AS (SELECT a.r, b.c, sum(a.v * b.v) AS v FROM {done} a JOIN {n} b ON a.c = b.r GROUP BY a.r, b.c)")
+        done += n
+    return f"WITH {cells},\n" + ",\n".join(steps) + f"\nSELECT (c * 4 + r)::BIGINT AS k, round(v, 9) + 0.0 AS v FROM {done}"
+
+
 def queries() -> dict[str, tuple[Callable, str | None]]:
     from cloudweave.plans import catalog as c
 
@@ -199,6 +214,6 @@ def queries() -> dict[str, tuple[Callable, str | None]]:
         "frame_history": (frame_history, "SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events"),
         "view_union": (view_union, "SELECT node, max(score) AS score FROM (SELECT l_partkey AS node, l_quantity::DOUBLE AS score FROM lineitem UNION ALL SELECT l_suppkey, l_tax * 100.0::DOUBLE FROM lineitem) GROUP BY node"),
         "timing_summary": (timing_summary, "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type"),
-        "frame_matrices": (frame_matrices, "SELECT k, v FROM (VALUES " + ", ".join(f"({k}::BIGINT, {q.d(round(v, 9))})" for k, v in enumerate(multiply(c.CAMERA.projection, c.CAMERA.view, c.MOVED))) + ") t(k, v)"),
+        "frame_matrices": (frame_matrices, _matrix_sql({"p": c.CAMERA.projection, "v": c.CAMERA.view, "m": c.MOVED})),
         "ply_roundtrip": (ply_roundtrip, _grid_sql()),
     }
