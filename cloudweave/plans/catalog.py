@@ -492,9 +492,10 @@ def _(spark, sf_dir):
 _SUPER = SMALL.but(render_scale=2.0)
 
 
-@query("supersampled_image", with_(q.PTS, q.average_pixels(CAMERA, _SUPER, g.radius_of(6.0)), select=f"SELECT px // 2 AS px, py // 2 AS py, count(*) / 4.0::DOUBLE AS a, max(depth) / {q.d(g.DEPTH_STEPS)} AS depth FROM pix GROUP BY 1, 2"))
+@query("supersampled_image", with_(q.PTS, q.average_pixels(CAMERA, _SUPER, g.radius_of(6.0)), _IMG, select="SELECT px // 2 AS px, py // 2 AS py, " + ", ".join(f"round(avg({n}), 9) AS {n}" for n in "rgb") + ", count(*) / 4.0::DOUBLE AS a, max(depth) AS depth FROM img GROUP BY 1, 2"))
 def _(spark, sf_dir):
-    return resolve.downsampled(resolve.render([Cloud(line(spark, sf_dir))], CAMERA, _SUPER), 2).select("px", "py", "a", "depth")
+    image = resolve.downsampled(resolve.render([Cloud(line(spark, sf_dir))], CAMERA, _SUPER), 2)
+    return image.select("px", "py", *(F.round(n, 9).alias(n) for n in "rgb"), "a", "depth")
 
 
 # --- displacement ---
@@ -511,6 +512,15 @@ def _(spark, sf_dir):
     return raster.accumulate([Cloud(features.with_displacement(line(spark, sf_dir), wave))], CAMERA, _MOVE)
 
 
+_WAVE = f"pts AS (SELECT x, y + sin(x * {q.d(4.0)} + {q.d(3.0 * 0.5)}) * {q.d(0.05)} AS y, z, rgba FROM raw)"
+
+
+@query("displace_wave", with_(_RAW, _WAVE, q.average_pixels(CAMERA, IMAGE, RADIUS), select=q.PIXELS))
+def _(spark, sf_dir):
+    """The sine itself; displace_sine has its polynomial."""
+    return raster.accumulate([Cloud(features.with_displacement(line(spark, sf_dir), features.sine_wave(4.0, 0.05, 0.5)))], CAMERA, _MOVE)
+
+
 @query("displace_nan_cull", with_(_RAW, "pts AS (SELECT x + 0.1::DOUBLE AS x, y, z, rgba FROM raw WHERE z < 0.2::DOUBLE)", q.average_pixels(CAMERA, IMAGE, RADIUS), select=q.PIXELS))
 def _(spark, sf_dir):
     gone = F.when(F.col("z") < 0.2, 0.1).otherwise(F.lit(float("nan")))
