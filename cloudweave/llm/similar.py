@@ -21,6 +21,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEED = 42
 #: Two texts are candidates if all ROWS least hashes of one of BANDS bands agree: at a similarity of 0.8 all but one in 2,800 are.
 BANDS, ROWS = 20, 5
+#: Shingles of a block of texts; a task holds two blocks of a torn cluster against each other.
+CELL = 250_000
 #: Shingles that are hashed at once by all functions.
 BLOCK = 4096
 _TIMES = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,11 +104,43 @@ def joins(fps: list[int], groups: list[int], sets: list[np.ndarray], similarity:
     return out
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def cells(texts: DataFrame, cell: int) -> DataFrame:
+    """texts (cluster, piece, fp, grams) of the clusters in several pieces, dealt to cells that hold all of their pairs.
+
+    A piece of over `cell` shingles is parted into blocks of about so many, and the smaller ones of a cluster share
+    blocks of that size. Two blocks make a cell, unless they are of one large piece: such pairs needn't be tried. So a
+    cell is of bounded size whatever the size of a cluster, and a cluster that is one block is one cell.
+    """
+    sizes = written(texts.groupBy("cluster", "piece").agg(F.sum(F.size("grams").cast("long")).alias("size")), "piece-sizes")
+    torn = sizes.groupBy("cluster").agg(F.count("*").alias("pieces"), F.sum(F.when(F.col("size") <= cell, F.col("size")).otherwise(0)).alias("small")).where("pieces > 1")
+    known = sizes.join(torn, "cluster").withColumn("large", F.when(F.col("size") > cell, F.col("piece"))).withColumn("parts", F.ceil(F.when(F.col("large").isNull(), F.col("small")).otherwise(F.col("size")) / cell))
+    # Small pieces are kept whole in a block; large ones are dealt by text.
+    dealt = F.pmod(F.xxhash64(F.when(F.col("large").isNull(), F.col("piece")).otherwise(F.col("fp"))), F.col("parts"))
+    placed = texts.join(known.select("cluster", "piece", "large", "parts"), ["cluster", "piece"]).withColumn("block", F.xxhash64("large", dealt))
+    placed = written(placed.select("cluster", "piece", "large", "block", "fp", "grams"), "blocks")
+    blocks = placed.select("cluster", "large", "block").distinct()
+    low, high = blocks.toDF("cluster", "large_a", "a"), blocks.toDF("cluster", "large_b", "b")
+    pairs = low.join(high, "cluster").where("a <= b and (large_a is null or large_b is null or large_a <> large_b)").select("cluster", "a", "b")
+    pairs = pairs.withColumn("cell", F.struct("cluster", "a", "b"))
+    sides = pairs.select("cluster", F.col("a").alias("block"), "cell").unionByName(pairs.where("a < b").select("cluster", F.col("b").alias("block"), "cell"))
+    return placed.join(sides, ["cluster", "block"]).select("cell", "piece", "fp", "grams")
+
+
+def mend(texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of texts (cluster, piece, fp, grams) that connect all pieces of each cluster which similar texts connect."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = joins(rows["fp"].tolist(), rows["piece"].tolist(), rows["grams"].tolist(), similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return cells(texts, cell).groupBy("cell").applyInPandas(run, "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """prints (doc_id, fp, text_key) of docs (with text_key), and fp, component of each fp that is similar to another.
 
     Texts that share a band are one cluster. In each bucket of a band neighbours are verified; where that leaves a
-    cluster in more than one piece, all texts of the cluster are held against each other in one task.
+    cluster in more than one piece, the texts of different pieces are held against each other, in blocks.
     """
     total = docs.count()
     prints = written(_sketches(docs, shingle), "sketches", rows=total, gather=True)
@@ -125,13 +159,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     true = written(both.where(common * (1 + similarity) >= similarity * (F.size("ga") + F.size("gb")) - 1e-9).select("a", "b"), "links")
     pieces = components(true, n).withColumnRenamed("node", "fp").withColumnRenamed("component", "piece")
     placed = written(clusters.withColumnRenamed("node", "fp").join(pieces, "fp", "left").withColumn("piece", F.coalesce("piece", "fp")), "pieces", rows=n)
-    torn = placed.groupBy("cluster").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("cluster")
-
-    def mend(rows: pd.DataFrame) -> pd.DataFrame:
-        found = joins(rows["fp"].tolist(), rows["piece"].tolist(), rows["grams"].tolist(), similarity)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    mended = placed.join(torn, "cluster").join(sets, "fp").groupBy("cluster").applyInPandas(mend, "a long, b long")
+    mended = mend(placed.join(sets, "fp"), similarity, cell)
     return prints, components(true.unionByName(mended), n).withColumnRenamed("node", "fp")
 
 

@@ -53,6 +53,27 @@ def test_torn_clusters_are_mended():
     assert len(set(lead)) == len(plain_kept(rows))
 
 
+def test_clusters_of_any_size_are_mended_in_blocks(spark):
+    rows = texts()
+    sets = {i: [h - (1 << 64) if h >> 63 else h for h in similar.grams(t).tolist()] for i, (_, t) in enumerate(rows)}
+    # one cluster of all texts: a large piece (every chain's even copies are linked to the first), the rest alone
+    piece = {i: -1 if i % 8 == 0 and i < 240 else i for i in sets}
+    table = spark.createDataFrame([(7, piece[i], i, g) for i, g in sets.items()], "cluster long, piece long, fp long, grams array<long>")
+    want = {frozenset(p) for i in sets for j in sets if i < j and piece[i] != piece[j] and 10 * len(set(sets[i]) & set(sets[j])) >= 8 * len(set(sets[i]) | set(sets[j])) for p in [(piece[i], piece[j])]}
+
+    def pieces(links):
+        lead = {p: p for p in piece.values()}
+        for a, b in links:
+            lead = {p: lead[a] if g == lead[b] else g for p, g in lead.items()}
+        return {frozenset(p for p in lead if lead[p] == g) for g in lead.values()}
+
+    for cell in (1000, 10**9):
+        dealt = similar.cells(table, cell)
+        assert (dealt.select("cell").distinct().count() > 100) == (cell == 1000)
+        assert pieces((piece[r.a], piece[r.b]) for r in similar.mend(table, 0.8, cell).collect()) == pieces(map(tuple, want))
+    assert similar.mend(table.where("piece = -1")).count() == 0
+
+
 def test_shingle_and_similarity_are_parameters(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x"), (2, "a b c d e f g x"), (None, "a b c d e f g h")], "doc_id long, text string")
     assert [r.doc_id for r in similar.one_of_each(docs, shingle=1, similarity=0.7).collect()] == [1]
