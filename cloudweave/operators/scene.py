@@ -30,6 +30,7 @@ class Scene:
         self._clouds: dict[str, Cloud] = {}
         self._packed: dict[str, pack.PackedCloud] = {}
         self._generation: dict[str, int] = {}
+        self._seen: dict[str, Camera] = {}
         self.cache = SelectCache()
 
     def add(self, name: str, points: DataFrame, model: Matrix = IDENTITY, visible: bool = True, packing: PackConfig | None = None) -> None:
@@ -78,8 +79,14 @@ class Scene:
             out.append(c)
         return out
 
-    def render(self, camera: Camera, camera_then: Camera | None = None) -> DataFrame:
-        return resolve.render(self.selected(camera), camera, self.config, camera_then)
+    def render(self, camera: Camera, camera_then: Camera | None = None, view: str = "main") -> DataFrame:
+        """The image of a frame; motion is measured from the last frame of the same view, if no other camera is given."""
+        then, self._seen[view] = camera_then or self._seen.get(view), camera
+        return resolve.render(self.selected(camera), camera, self.config, then)
+
+    def forget(self, view: str = "main") -> None:
+        """The next frame of a view has none before it."""
+        self._seen.pop(view, None)
 
     def pick(self, name: str, ndc: tuple[float, float], camera: Camera, radius: int = 10) -> int | None:
         """The src_idx of a cloud's point at a place on screen."""

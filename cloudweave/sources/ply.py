@@ -3,14 +3,15 @@
 The header is read on the driver and gives the schema's columns by their names' meaning; the body is cut into byte ranges
 (binary) or row ranges found at line ends (ASCII) that tasks read by themselves. Paths may be of any file system that
 pyarrow opens; several, separated by commas, are scanned together. Option skip_bad_files=true leaves out files that
-can't be read instead of failing.
+can't be read instead of failing. point_id begins at 0 in each file, with option unique_ids=true after the last of the
+file before.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,7 @@ class Range(InputPartition):
     rows: int
     start: int
     stop: int
+    base: int = 0
 
 
 def _open(path: str):
@@ -198,7 +200,7 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
         data = f.read(part.stop - part.start)
     if not header.ascii:
         table = np.frombuffer(data, header.dtype, part.rows)
-        yield _batch(part.path, part.first, header, lambda i: table[str(i)])
+        yield _batch(part.path, part.base + part.first, header, lambda i: table[str(i)])
         return
     lines = data.decode("ascii", "replace").split("\n")[: part.rows]
     fields = [[w for w in line.rstrip("\r").split(" ") if w] for line in lines]
@@ -210,7 +212,7 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
                 values[i].append(float(words[i]))
             except (IndexError, ValueError):
                 raise BadValue(f"{part.path}: line {part.first + k + 1} of the body has no number for {header.names[i]}") from None
-    yield _batch(part.path, part.first, header, lambda i: np.array(values[i]))
+    yield _batch(part.path, part.base + part.first, header, lambda i: np.array(values[i]))
 
 
 class PlyReader(DataSourceReader):
@@ -218,12 +220,15 @@ class PlyReader(DataSourceReader):
         self.paths = [p for p in options["path"].split(",") if p]
         self.rows = int(options.get("range_rows", RANGE_ROWS))
         self.skip = str(options.get("skip_bad_files", "false")).lower() == "true"
+        self.unique = str(options.get("unique_ids", "false")).lower() == "true"
 
     def partitions(self) -> list[Range]:
-        out = []
+        out, base = [], 0
         for path in self.paths:
             try:
-                out += ranges(path, self.rows)
+                found = ranges(path, self.rows)
+                out += [replace(r, base=base) for r in found]
+                base += sum(r.rows for r in found) if self.unique else 0
             except (PlyError, OSError) as e:
                 if not self.skip:
                     raise

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudweave.model import RasterConfig
 from cloudweave.operators.tables import written
 
 
@@ -55,8 +56,8 @@ def running_chunks(batches: DataFrame, budget: int) -> DataFrame:
 class SweepDriver:
     """Selects a cloud's batches chunk by chunk into a back set; the front set is always one complete sweep.
 
-    select(batch_ids): the selection of those batches. A change of selection settings restarts the sweep; a replaced
-    cloud starts with a full one.
+    select(batch_ids): the selection of those batches. A change of the settings that advance is told restarts the sweep;
+    a replaced cloud starts with a full one.
     """
 
     sizes: list[int]
@@ -66,6 +67,7 @@ class SweepDriver:
     back: list[DataFrame] = field(default_factory=list)
     front: DataFrame | None = None
     sweeps: int = 0
+    settings: tuple | None = None
 
     @property
     def progress(self) -> float:
@@ -78,8 +80,13 @@ class SweepDriver:
         self.sizes, self.select, self.front = sizes, select, None
         self.restart()
 
-    def advance(self) -> bool:
-        """One frame; whether it published a new front set."""
+    def advance(self, config: RasterConfig | None = None) -> bool:
+        """One frame; whether it published a new front set. Other levels of detail than in the last frame restart the sweep."""
+        if config:
+            now = (config.enable_clod, config.lod_bias, config.enable_lod_dither)
+            if self.settings not in (None, now):
+                self.restart()
+            self.settings = now
         if not self.sizes:
             return False
         chunk = plan_chunk(self.sizes, self.cursor, self.budget, self.front is not None)

@@ -59,3 +59,17 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() > 81
     with pytest.raises(SystemExit):
         cli.main(["--ply", "nowhere.ply", "--out", "x"])
+
+
+def test_motion_is_measured_from_the_last_frame_of_a_view(spark):
+    scene = Scene(RasterConfig(width=48, height=48, motion_blur=1.0))
+    scene.add("grid", src.cube_grid(spark, 4))
+    there = standard_camera((1.2, 1.2, 2.2))
+    image = lambda df: sorted(map(tuple, df.collect()))
+    still, moved = image(scene.render(CAMERA, CAMERA)), image(scene.render(CAMERA, there))
+    assert still != moved
+    scene.forget()
+    assert image(scene.render(CAMERA)) == still and image(scene.render(CAMERA)) == still
+    scene.render(there)
+    assert image(scene.render(CAMERA, view="other")) == still
+    assert image(scene.render(CAMERA)) == moved and image(scene.render(CAMERA)) == still

@@ -107,3 +107,14 @@ def test_cube_grid(spark):
     assert src.cube_grid(spark, 4).count() == 64 and src.cube_grid(spark, 1).count() == 8
     ends = src.cube_grid(spark, 3).agg(F.min("x"), F.max("z"), F.max("rgba")).first()
     assert tuple(ends) == (-0.5, 0.5, 0xFFFFFFFF)
+
+
+def test_ids_over_several_files_are_unique_if_asked(read, tmp_path):
+    for k, kind in enumerate(("ascii", "binary_little_endian")):
+        (tmp_path / f"{k}.ply").write_bytes(ply.ply_bytes([(i, k, 0, 1, 2, 3) for i in range(5)], kind))
+    paths = ",".join(str(tmp_path / f"{k}.ply") for k in range(2))
+    reader = ply.PlyReader({"path": paths, "unique_ids": "true", "range_rows": "2"})
+    got = [(y, i, x) for part in reader.partitions() for b in reader.read(part) for x, y, i in zip(*(b.column(c).to_pylist() for c in ("x", "y", "point_id")))]
+    assert sorted(got) == [(k, 5 * k + i, i) for k in range(2) for i in range(5)]
+    plain = ply.PlyReader({"path": paths})
+    assert sorted(i for part in plain.partitions() for b in plain.read(part) for i in b.column("point_id").to_pylist()) == sorted([*range(5)] * 2)

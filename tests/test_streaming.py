@@ -1,3 +1,4 @@
+import json
 import logging
 import random
 
@@ -5,6 +6,7 @@ import pytest
 
 from cloudweave.model import RasterConfig, standard_camera
 from cloudweave.operators import pack, resolve, select
+from cloudweave.sources import chunks
 from cloudweave.sources import points as src
 from cloudweave.streaming import residency, sweep
 
@@ -112,3 +114,34 @@ def test_capacity_and_warning(spark, caplog):
     with caplog.at_level(logging.WARNING, "cloudweave"):
         assert resolve.warn_overflow("grid", s.overflow, 100) and not resolve.warn_overflow("grid", s.overflow, 100)
     assert len(caplog.records) == 1
+
+
+def test_sweep_restarts_on_other_levels_of_detail(spark):
+    driver, config = sweep.SweepDriver([4, 4, 4], lambda a, b: spark.range(4 * a, 4 * b), budget=4), RasterConfig()
+    assert driver.advance(config) and not driver.advance(config) and driver.cursor == 1
+    assert not driver.advance(config.but(point_size_scale=3.0)) and driver.cursor == 2
+    assert not driver.advance(config.but(lod_bias=1)) and driver.cursor == 1
+    assert [driver.advance(config.but(lod_bias=1)) for _ in range(2)] == [False, True]
+    assert sorted(r.id for r in driver.front.collect()) == list(range(12))
+
+
+def test_chunk_deltas_within_a_budget(spark, tmp_path):
+    for cloud in "ab":
+        (tmp_path / cloud).mkdir()
+        for k in range(3):
+            row = {"cloud_id": cloud, "seq": k, "op": "add", "chunk_id": f"{k}-0-0-0", "depth": 1, "num_points": 10}
+            (tmp_path / cloud / f"{k}.json").write_text(json.dumps(row) + "\n")
+    paths = [str(tmp_path / c) for c in "ab"]
+
+    def ticks(total_bytes, name):
+        seen = []
+        query = chunks.chunk_deltas(spark, paths, total_bytes).writeStream.foreachBatch(lambda df, k: seen.append(sorted((r.cloud_id, r.seq) for r in df.collect())))
+        query.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+        return seen
+
+    everything = [(c, k) for c in "ab" for k in range(3)]
+    small = ticks(2, "small")
+    assert len(small) == 3 and [len(t) for t in small] == [2, 2, 2] and sorted(sum(small, [])) == everything
+    assert ticks(None, "all") == [everything]
+    with pytest.raises(ValueError):
+        chunks.chunk_deltas(spark, [])
