@@ -80,3 +80,27 @@ def ranked(df: DataFrame, key: str, ties: list[str | Column], name: str, buckets
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_part", "_at", "_before")
+
+
+def ranked_within(df: DataFrame, key: str, ties: list[str | Column], name: str, keep: list[str], of_key: dict[str, Column]) -> DataFrame:
+    """Rows of df (key, and the columns to keep) with the row number (from 0) in their key's order, and aggregates of_key.
+
+    The order is of ties; a key may hold any share of all rows, as numbers are taken from the global order.
+    """
+    placed = ranked(df, key, ties, name, keep=list(dict.fromkeys([key, *keep])))
+    sizes = placed.groupBy(F.col(key).alias("_key")).agg(F.min(name).alias("_first"), *(c.alias(n) for n, c in of_key.items()))
+    return placed.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col(name) - F.col("_first")).drop("_key", "_first")
+
+
+def quantiles(df: DataFrame, key: str, value: str, ties: list[str], of: dict[str, float]) -> DataFrame:
+    """key, mean and the interpolated quantiles of value, nulls apart, by name.
+
+    A quantile lies between two places of the order, each of which counts the more the nearer it is. So no key's values
+    are gathered: rows are ranked in ranges and summed up by partial sums. ties tell rows of equal values apart, by which
+    a common value is cut too.
+    """
+    # Nulls come first in the order; places are counted from the first value on.
+    placed = ranked_within(df, key, [value, *ties], "_place", [value], {"_nulls": F.count_if(F.col(value).isNull()), "_known": F.count(value)})
+    at = F.col("_place") - F.col("_nulls")
+    off = {n: F.abs(at - F.lit(float(q)) * (F.col("_known") - 1)) for n, q in of.items()}
+    return placed.groupBy(key).agg(F.avg(value).alias("mean"), *(F.sum(F.when((at >= 0) & (o < 1), F.col(value) * (1 - o))).alias(n) for n, o in off.items()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudweave.model import multiply
 from cloudweave.operators import pack, select
-from cloudweave.operators.tables import shared_folder
+from cloudweave.operators.tables import quantiles, shared_folder
 from cloudweave.plans import sql as q
 from cloudweave.sources import ply
 from cloudweave.sources import points as src
@@ -150,8 +150,21 @@ def view_union(spark, sf_dir):
 
 
 def timing_summary(spark, sf_dir):
+    e = src.load(spark, sf_dir, "events").select("event_type", "value", "event_id")
+    found = quantiles(e, "event_type", "value", ["event_id"], {"median": 0.5, "p90": 0.9})
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p90")))
+
+
+def decode_rates(spark, sf_dir):
+    """Events as decoded chunks of a stream for each user, their values as hundredths of a second."""
     e = src.load(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    samples = e.select("user_id", "event_id", (F.col("event_id") % 700 + 1).alias("points"), (F.col("value") / 100).alias("seconds"))
+    return residency.decode_rates(samples, "user_id", "event_id").select("user_id", F.round("decode_rate", 4).alias("decode_rate"))
+
+
+_RATES = """WITH s AS (SELECT user_id, event_id, CASE WHEN value / 100 >= 0.05 THEN (event_id % 700 + 1) / (value / 100) END AS rate FROM events),
+l AS (SELECT user_id, list(rate ORDER BY event_id) FILTER (rate IS NOT NULL) AS rates FROM s GROUP BY user_id)
+SELECT user_id, round(CASE WHEN len(rates) > 0 THEN list_reduce(rates, lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b) END, 4) AS decode_rate FROM l"""
 
 
 def frame_matrices(spark, sf_dir):
@@ -214,6 +227,7 @@ def queries() -> dict[str, tuple[Callable, str | None]]:
         "frame_history": (frame_history, "SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events"),
         "view_union": (view_union, "SELECT node, max(score) AS score FROM (SELECT l_partkey AS node, l_quantity::DOUBLE AS score FROM lineitem UNION ALL SELECT l_suppkey, l_tax * 100.0::DOUBLE FROM lineitem) GROUP BY node"),
         "timing_summary": (timing_summary, "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type"),
+        "decode_rates": (decode_rates, _RATES),
         "frame_matrices": (frame_matrices, _matrix_sql({"p": c.CAMERA.projection, "v": c.CAMERA.view, "m": c.MOVED})),
         "ply_roundtrip": (ply_roundtrip, _grid_sql()),
     }

@@ -10,11 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudweave.operators.tables import ranked_within
+
 UPLOAD_LIMIT = 32
 #: Share of a new sample in the running decode rate, and the shortest time that makes a sample, in seconds.
 RATE_SHARE, LEAST_SAMPLE = 0.2, 0.05
@@ -165,6 +168,22 @@ def decode_rate(old: float | None, points: int, seconds: float) -> float | None:
     return now if old is None else (1 - RATE_SHARE) * old + RATE_SHARE * now
 
 
+def decode_rates(samples: DataFrame, key: str, order: str) -> DataFrame:
+    """key, decode_rate: what decode_rate comes to after all samples (key, order, points, seconds) of a key, in order.
+
+    A sample's share of the running rate depends on how many come after it, so rates are sums over ranked rows and no
+    key's samples are gone through one after another. Keys whose samples are all too short have a null rate.
+    """
+    long_enough = F.col("seconds") >= LEAST_SAMPLE
+    rows = samples.withColumn("_rate", F.when(long_enough, F.col("points") / F.col("seconds")))
+    # Samples that don't count come first, as nulls, then the others in order.
+    of_key = {"_n": F.count("*"), "_known": F.count("_rate")}
+    placed = ranked_within(rows, key, [F.col("_rate").isNotNull(), order], "_place", ["_rate"], of_key)
+    first = F.col("_place") == F.col("_n") - F.col("_known")
+    share = F.pow(F.lit(1 - RATE_SHARE), F.col("_n") - 1 - F.col("_place")) * F.when(first, 1.0).otherwise(RATE_SHARE)
+    return placed.groupBy(key).agg(F.sum(F.col("_rate") * share).alias("decode_rate"))
+
+
 def tick_of(rows: pd.DataFrame) -> tuple[list[dict], list[str]]:
     rows = rows.sort_values("seq", kind="stable")
     added = [{"chunk_id": r.chunk_id, "depth": int(r.depth), "num_points": int(r.num_points)} for r in rows[rows["op"] == "add"].itertuples()]
@@ -194,18 +213,30 @@ def follow(deltas: DataFrame, capacity: int, **options) -> DataFrame:
     return deltas.groupBy("cloud_id").transformWithStateInPandas(Follow(), outputStructType=TELEMETRY, outputMode="Append", timeMode="None")
 
 
+def _parts(batches: Iterator[pd.DataFrame], tick: str) -> Iterator[tuple]:
+    """(cloud_id, tick, records) in the order of the batches; what a batch's end cuts comes in two."""
+    for rows in batches:
+        for (cloud, at), part in rows.groupby(["cloud_id", tick], sort=False, dropna=False):
+            yield None if pd.isna(cloud) else cloud, at, part
+
+
 def replay(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> DataFrame:
-    """What `follow` would tell of a table of records with a tick column: one row for each cloud and tick."""
+    """What `follow` would tell of a table of records with a tick column: one row for each cloud and tick.
+
+    A cloud's records come to one worker, but sorted by Spark and a batch at a time: it holds one tick of them, and the
+    pool, however long the history. Records without a tick are passed by.
+    """
     names = [c.split()[0] for c in TELEMETRY.split(", ")]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pool, out = Pool.new(capacity, **options), []
-        for _, part in sorted(rows.groupby(tick), key=lambda x: x[0]):
-            pool.apply(*tick_of(part))
-            out.append(pool.telemetry(key[0]))
-        return pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cloud, ticks in groupby(_parts(batches, tick), key=lambda p: p[0]):
+            pool = Pool.new(capacity, **options)
+            for _, parts in groupby(ticks, key=lambda p: p[1]):
+                pool.apply(*tick_of(pd.concat([records for _, _, records in parts])))
+                yield pd.DataFrame([pool.telemetry(cloud)], columns=names)
 
-    return deltas.groupBy("cloud_id").applyInPandas(run, TELEMETRY)
+    ordered = deltas.where(F.col(tick).isNotNull()).repartition("cloud_id").sortWithinPartitions("cloud_id", tick, "seq")
+    return ordered.mapInPandas(run, TELEMETRY)
 
 
 SLOTS = "array<struct<chunk_id: string, slot: int, first_point: bigint, num_points: int, state: int>>"

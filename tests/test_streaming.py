@@ -3,9 +3,10 @@ import logging
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloudweave.model import RasterConfig, standard_camera
-from cloudweave.operators import pack, resolve, select
+from cloudweave.operators import pack, resolve, select, tables
 from cloudweave.sources import chunks
 from cloudweave.sources import points as src
 from cloudweave.streaming import residency, sweep
@@ -145,3 +146,80 @@ def test_chunk_deltas_within_a_budget(spark, tmp_path):
     assert ticks(None, "all") == [everything]
     with pytest.raises(ValueError):
         chunks.chunk_deltas(spark, [])
+
+
+def told_by_hand(ticks, slots, batch, limit):
+    """Figures after each tick of (op, chunk, points) records, from nothing but who holds each slot and who waits."""
+    holder, kept, size, queue, out = [None] * slots, {}, {}, [], []
+    order = list(range(slots))
+    up = down = lost = hungry = 0
+    for records in ticks:
+        gone = [c for op, c, _ in records if op == "remove"]
+        for c in gone:
+            if c in size:
+                order = kept[c][::-1] + order
+                holder = [None if h == c else h for h in holder]
+                del size[c]
+                down += 1
+        lost += sum(c in gone for c, _ in queue)
+        queue = [w for w in queue if w[0] not in gone] + [(c, n) for op, c, n in records if op == "add"]
+        placed, stuck = 0, False
+        while queue and placed < limit:
+            c, n = queue[0]
+            need = max(1, (n + batch - 1) // batch)
+            if c not in size and need > slots:
+                lost += 1
+            elif c not in size and need > len(order):
+                hungry, stuck = hungry + 1, True
+                break
+            elif c not in size:
+                kept[c], order = order[:need], order[need:]
+                for s in kept[c]:
+                    holder[s] = c
+                size[c], up, placed = n, up + 1, placed + 1
+            queue = queue[1:]
+        firsts = [(c, s) for c in size for s in kept[c]]
+        assert sorted(s for _, s in firsts) == [s for s, h in enumerate(holder) if h] and holder.count(None) == len(order)
+        out.append((len(size), sum(size.values()), len(queue), up, down, lost, hungry, len(order), stuck, firsts))
+    return out
+
+
+@pytest.mark.parametrize("rows_at_once", [7, 10_000])
+def test_replay_against_a_pool_kept_by_hand(spark, rows_at_once):
+    rng = random.Random(5)
+    records = {c: [[(rng.choice(["add", "add", "add", "remove"]), f"k{rng.randint(0, 30)}", rng.randint(1, 2800)) for _ in range(rng.randint(1, 20))] for _ in range(25)] for c in ("a", "b", None)}
+    rows = [(c, 100 * t + i, op, k, 0, n, t) for c, ticks in records.items() for t, part in enumerate(ticks) for i, (op, k, n) in enumerate(part)]
+    rows += [("a", 1, "add", "never", 0, 1, None)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        told = residency.replay(spark.createDataFrame(rows, residency.DELTA + ", tick int"), 10, points_per_batch=256, upload_limit=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for cloud, ticks in records.items():
+        want = told_by_hand(ticks, 10, 256, 3)
+        own = sorted((r for r in told if r.cloud_id == cloud), key=lambda r: r.tick)
+        got = [
+            (r.resident_chunks, r.resident_points, r.pending_chunks, r.uploaded_chunks, r.evicted_chunks, r.dropped_chunks, r.starved_ticks, r.free_slots, r.blocked_on_full_pool, [(b["chunk_id"], b["slot"]) for b in json.loads(r.slots)])
+            for r in own
+        ]
+        assert got == want and any(w[8] for w in want) and want[-1][5] and want[-1][4]
+
+
+def test_rates_and_quantiles_of_hot_null_and_short_keys(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.randint(1, 900), rng.choice([0.01, 0.05, 0.2, 1.5])) for i in range(400) for k in ["hot", rng.choice(["b", "c", None])]] + [("short", 1, 5, 0.001), ("none", 1, 5, None)]
+    samples = spark.createDataFrame(rows, "k string, at long, points int, seconds double")
+    got = {r.k: r.decode_rate for r in residency.decode_rates(samples, "k", "at").collect()}
+    for key in {r[0] for r in rows}:
+        rate = None
+        for _, _, points, seconds in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            rate = rate if seconds is None else residency.decode_rate(rate, points, seconds)
+        assert got.pop(key) == (rate if rate is None else pytest.approx(rate))
+    assert not got
+    of = {"low": 0.0, "median": 0.5, "p90": 0.9, "top": 1.0}
+    found = {r.k: r for r in tables.quantiles(samples, "k", "seconds", ["at"], of).collect()}
+    for r in samples.groupBy("k").agg(*(F.percentile("seconds", q).alias(n) for n, q in of.items()), F.avg("seconds").alias("mean")).collect():
+        assert [found[r.k][n] for n in (*of, "mean")] == [v if v is None else pytest.approx(v) for v in (r[n] for n in (*of, "mean"))]
+    assert tables.quantiles(samples.limit(0), "k", "seconds", ["at"], of).count() == 0
