@@ -22,9 +22,9 @@ from cloudweave.llm.word_ids import encoder_of
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one length are ranked in cells of about this many, in at most MOST_CELLS cells, so that no length is ranked
-#: by one task and the driver gets at most window * MOST_CELLS counts.
-CELL_ROWS, MOST_CELLS = 1_000, 512
+#: Pieces of one length are ranked in cells of about CELL_ROWS, so that no length is ranked by one task, or in larger ones
+#: (all alike) where that would make over ALL_CELLS of them, so that the driver gets no more than about as many counts.
+CELL_ROWS, ALL_CELLS = 1_000, 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
@@ -96,16 +96,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, PIECES, _PIECES)
 
 
-def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS) -> DataFrame:
+def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS, all_cells: int = ALL_CELLS) -> DataFrame:
     """Adds sequence_id and offset to pieces with doc_id, start and length (1 to window).
 
     A piece of `window` tokens is a sequence by itself. Ranks are taken within (length, cell) and carried on over the
     cells of a length, so a length or document that holds much of the corpus is spread over many tasks. The table of
-    cell counts and the plan have at most window * MOST_CELLS and a few times window rows.
+    cell counts and the plan have at most all_cells + window and a few times window rows.
     """
-    cells = MOST_CELLS
     sizes = {r["length"]: r["n"] for r in pieces_df.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    spread = F.lit([max(1, min(cells, -(-sizes.get(n, 0) // cell_rows))) for n in range(window + 1)])
+    rows = max(cell_rows, -(-sum(sizes.values()) // all_cells))
+    spread = F.lit([max(1, -(-sizes.get(n, 0) // rows)) for n in range(window + 1)])
     cell = F.pmod(F.xxhash64("doc_id", "start"), F.element_at(spread, (F.col("length") + 1).cast("int"))).cast("int")
     celled = pieces_df.withColumn("_cell", cell)
     counts = celled.groupBy("length", "_cell").agg(F.count("*").alias("n")).orderBy("length", "_cell").toPandas()
@@ -124,7 +124,7 @@ def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS
             at += n * m
         seq += repeats
     run = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    cell_key = counts["length"].to_numpy(np.int64) * cells + counts["_cell"].to_numpy(np.int64)
+    cell_key = counts["length"].to_numpy(np.int64) << 32 | counts["_cell"].to_numpy(np.int64)
     cell_before = before.to_numpy(np.int64)
     run_key = run[:, 0] << 44 | run[:, 1]
 
@@ -141,7 +141,7 @@ def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             length, c, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "_cell", "_rank"))
-            rank = rank + cell_before[np.searchsorted(cell_key, length * cells + c)]
+            rank = rank + cell_before[np.searchsorted(cell_key, length << 32 | c)]
             k = np.searchsorted(run_key, length << 44 | rank, side="right") - 1
             _, first, start, times, at = run[k].T
             return {n: batch.column(n) for n in keep} | {"sequence_id": start + (rank - first) // times, "offset": at + (rank - first) % times * length}

@@ -22,8 +22,9 @@ SHARDS = 24
 FIRST_BITS, MORE_BITS = 12, 5
 KEY_BITS = 64
 OVERHEAD = 8
-#: Cells of each shard in which rows are numbered side by side.
-CELLS = 512
+#: Rows of a shard are numbered side by side in cells of about CELL_ROWS, or in larger ones where that would make over
+#: ALL_CELLS of them, as their counts are broadcast.
+CELL_ROWS, ALL_CELLS = 100, 1 << 18
 #: Buckets whose sums one job brings to the driver.
 AT_ONCE = 4096
 
@@ -151,7 +152,7 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text", cell_rows: int = CELL_ROWS, all_cells: int = ALL_CELLS) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard.
 
     A null text has no bytes and the empty text's crc. Rows of equal texts share a shard. Repeated rows get a slot
@@ -163,18 +164,25 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFr
     keyed = docs.drop(*(c for c in docs.columns if c in names and c != text)).withColumns(
         {"size": F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + OVERHEAD, "text_crc32": F.crc32(F.coalesce(body, F.lit("")).cast("binary")), "_key": text_key(body)}
     )
-    groups = written(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "groups", sort_by="key")
+    groups = written(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups", sort_by="key")
     keys, _ = cut_keys(groups, shards)
-    shard = F.size(F.filter(F.lit(keys), lambda k: k <= F.col("_key"))) if keys else F.lit(0)
-    placed = keyed.withColumns({"law": F.lit("bytes"), "shard": shard.cast("int"), "_cell": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).cast("int")}).drop("_key")
+
+    def shard(key: str) -> Column:
+        return (F.size(F.filter(F.lit(keys), lambda k: k <= F.col(key))) if keys else F.lit(0)).cast("int")
+
+    # One number for each shard comes to the driver; a shard of many small texts has many cells.
+    held = {r["shard"]: r["n"] for r in groups.groupBy(shard("key").alias("shard")).agg(F.sum("rows").alias("n")).collect()}
+    each = max(cell_rows, -(-sum(held.values()) // all_cells))
+    cells = F.element_at(F.lit([max(1, -(-held.get(k, 0) // each)) for k in range(shards)]), F.col("shard") + 1)
+    placed = keyed.withColumns({"law": F.lit("bytes"), "shard": shard("_key")}).withColumn("_cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), cells).cast("int")).drop("_key")
     return slotted(placed).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def slotted(placed: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, to rows with shard, _cell and doc_id.
 
-    Rows are numbered in (shard, cell), and each cell begins after the cells before it. The counts of all cells (shards
-    * CELLS of them) are summed up by one small window.
+    Rows are numbered in (shard, cell), and each cell begins after the cells before it. The counts of a shard's
+    cells are summed up by one small window.
     """
     from pyspark.sql import Window
 
@@ -182,7 +190,7 @@ def slotted(placed: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "_cell", before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("doc_id"))
-    # At most shards * CELLS rows are broadcast.
+    # At most ALL_CELLS + shards rows are broadcast.
     return placed.withColumn("slot", own).join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("slot", (F.col("slot") - 1 + F.col("_before")).cast("long")).drop("_cell", "_before")
 
 

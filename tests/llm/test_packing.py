@@ -70,3 +70,20 @@ def test_packs_all_ids(spark):
         assert at <= window
     assert len(windows) <= 1 + sum(r.length for r in got) / window * 1.03
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows, all_cells", [(1000, 1 << 20), (3, 1 << 20), (3, 9)])
+def test_cells_of_any_size_place_every_piece(spark, cell_rows, all_cells):
+    rng = random.Random(4)
+    lengths = [7] * 300 + [64] * 80 + [rng.randint(1, 64) for _ in range(300)]
+    rows = spark.createDataFrame([(i // 2, i, n) for i, n in enumerate(lengths)], "doc_id long, start long, length long")
+    got = packing.place(rows, 64, cell_rows, all_cells).collect()
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.start for r in got) == list(range(len(lengths))) and sorted(windows) == list(range(len(windows)))
+    for pieces in windows.values():
+        ends = [o + n for o, n in sorted(pieces)]
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 64
+    used = sum(repeats for repeats, _ in packing.plan({n: lengths.count(n) for n in set(lengths)}, 64))
+    assert len(windows) == used

@@ -58,3 +58,14 @@ def test_many_levels(spark):
 
 def test_empty_table(spark):
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows, all_cells", [(1, 1 << 18), (1, 10), (1000, 1 << 18)])
+def test_slots_have_no_gaps_whatever_the_cells(spark, cell_rows, all_cells):
+    texts = ["" if i % 3 else f"text {i}" for i in range(600)] + ["long " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slots = defaultdict(list)
+    for r in sharding.sharded(docs, 5, cell_rows=cell_rows, all_cells=all_cells).select("shard", "slot").collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == len(texts) and max(map(len, slots.values())) >= 400
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
