@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudweave.llm.common import table, written
+from cloudweave.operators.tables import pinned
 
 SHARDS = 24
 #: Bits of the hash order that the first level and each further level part.
@@ -174,7 +175,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text", cell_rows
     held = {r["shard"]: r["n"] for r in groups.groupBy(shard("key").alias("shard")).agg(F.sum("rows").alias("n")).collect()}
     each = max(cell_rows, -(-sum(held.values()) // all_cells))
     cells = F.element_at(F.lit([max(1, -(-held.get(k, 0) // each)) for k in range(shards)]), F.col("shard") + 1)
-    placed = keyed.withColumns({"law": F.lit("bytes"), "shard": shard("_key")}).withColumn("_cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), cells).cast("int")).drop("_key")
+    # Pinned, as Spark would else spell them out in filters it infers from the join of slotted(), where text is gone.
+    at_shard = pinned(keyed.withColumn("law", F.lit("bytes")), {"shard": shard("_key")})
+    placed = pinned(at_shard, {"_cell": F.pmod(F.xxhash64("doc_id", "text_crc32"), cells).cast("int")}).drop("_key")
     return slotted(placed).withColumn("grown_shard", F.lit(None).cast("int"))
 
 

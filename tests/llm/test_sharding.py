@@ -61,11 +61,19 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("cell_rows, all_cells", [(1, 1 << 18), (1, 10), (1000, 1 << 18)])
-def test_slots_have_no_gaps_whatever_the_cells(spark, cell_rows, all_cells):
+def test_slots_have_no_gaps_whatever_the_cells(spark, tmp_path, cell_rows, all_cells):
     texts = ["" if i % 3 else f"text {i}" for i in range(600)] + ["long " * 200_000]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     slots = defaultdict(list)
     for r in sharding.sharded(docs, 5, cell_rows=cell_rows, all_cells=all_cells).select("shard", "slot").collect():
         slots[r.shard].append(r.slot)
     assert sum(map(len, slots.values())) == len(texts) and max(map(len, slots.values())) >= 400
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_query_on_a_table(spark, tmp_path):
+    texts = [None, "", "a", "a", "Straße"] * 30
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.size, r.text_crc32) for r in sharding.op8_sharding(spark, str(tmp_path)).collect()}
+    assert got == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
