@@ -1,0 +1,97 @@
+import hashlib
+import random
+import zlib
+
+import duckdb
+
+from cloudweave.llm import prefix_trie
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def plain(rows):
+    """The trie by nested dictionaries of whole paths."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    said = {}
+    for c, t in own.items():
+        t.sort(key=lambda r: r[:2])
+        said[c] = [r[2:] for r in t]
+    members, ends = {}, {}
+    for c in said:
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (c % 100 if c >= 0 else -(-c % 100))
+        path = said.get(base, [])[:h] + said[c][h:]
+        for d in range(len(path) + 1):
+            members.setdefault(tuple(path[:d]), []).append(c)
+        ends.setdefault(tuple(path), []).append(c)
+    out = []
+    for path, m in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        leaves = sum(not any(q[:-1] == p and q for q in members) for p in below)
+        saved = sum((len(members[p]) - 1) * len(p[-1][1]) for p in below if p)
+        digest = hashlib.sha256(",".join(map(str, sorted(ends.get(path, [])))).encode()).hexdigest()
+        out.append((min(m), len(path), min(members[path[:-1]]) if path else None, len(m), len(children), leaves, saved, digest))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def made(seed, ids, most=7, words=4):
+    rng = random.Random(seed)
+    return [(c, k if rng.random() > 0.1 or k else None, rng.choice(["user", "assistant"]), "w🙂" * rng.randrange(words)) for c in ids for k in range(rng.randrange(1, most))]
+
+
+def test_against_whole_paths(spark):
+    rng = random.Random(13)
+    rows = made(1, rng.sample(range(0, 700), 160)) + made(2, [-3, -150, -100, -199, -250, -1]) + made(3, [100, 200], most=12)
+    rows += [(5, None, None, None), (None, 1, "user", "lost"), (10_007, 0, "user", "alone"), (10_007, 1, "user", "alone")]
+    rows += [(c, k, "user", f"same {k}") for c in range(2000, 2090) for k in range(4)]
+    rows = list({(c, t): (c, t, r, x) for c, t, r, x in rows}.values())
+    rows += [(30_000, 1, "user", "twice"), (30_000, 1, "user", "twice")]
+    turns = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", base int, node string")
+    assert found(prefix_trie.trie(turns.repartition(5))) == plain(rows)
+
+
+def test_nodes_sent_in_parts(spark, monkeypatch):
+    rows = made(4, range(0, 230))
+    monkeypatch.setattr(prefix_trie, "COMBINED", 3)
+    monkeypatch.setattr(prefix_trie, "SENT", 7)
+    schema = prefix_trie._NODES
+    assert len(list(prefix_trie._batched(iter([(1, b"a", None, 0, 0, 1, 1, None)] * 8), schema))) == 2
+    turns = prefix_trie.hashed_turns(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values(["base", "conv_id", "turn"], na_position="first")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pandas(turns, preserve_index=False)
+    parts = [r for r in prefix_trie._family_rows(iter([batch])) if r[5] is not None]
+    totals = {}
+    for base, node, *_, n, _, _ in parts:
+        totals[base, node] = totals.get((base, node), 0) + n
+    monkeypatch.setattr(prefix_trie, "COMBINED", 10**9)
+    whole = {(r[0], r[1]): r[5] for r in prefix_trie._family_rows(iter([batch])) if r[5] is not None}
+    assert totals == whole and len(parts) > len(whole)
+    doubled = spark.createDataFrame([tuple(r) for r in parts + [r for r in prefix_trie._family_rows(iter([batch])) if r[7]]], prefix_trie._NODE_ROW)
+    monkeypatch.setattr(prefix_trie, "family_nodes", lambda _: doubled)
+    assert found(prefix_trie.trie(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
+
+
+def test_registered_query_and_sql(spark, tmp_path):
+    rows = made(6, [0, 1, 2, 3, 99, 100, 104, 205, 301]) + [(7, k, "user", f"deep {k % 3}") for k in range(60)]
+    rows = list({(c, t): (c, t, r, x) for c, t, r, x in rows}.values())
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = prefix_trie.op13_prefix_trie(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(prefix_trie.OP13_SQL)
+    assert got.columns == want.columns
+    assert found(got) == sorted(want.fetchall(), key=repr) == plain(rows)
+
+
+def test_empty_table(spark):
+    assert prefix_trie.trie(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert prefix_trie.trie(spark.createDataFrame([(None, 1, "user", "x")], SCHEMA)).count() == 0
