@@ -147,7 +147,8 @@ def family_nodes(turns: DataFrame) -> DataFrame:
 
 def merged(found: DataFrame) -> DataFrame:
     """node, parent, depth, chars, n_convs, conv_id, n_children of all nodes, from the families' nodes."""
-    nodes = found.where("n is not null").groupBy("node").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.min("chars").alias("chars"), F.sum("n").alias("n_convs"), F.min("low").alias("conv_id"))
+    # Rows of a node agree in all that is grouped by; only numbers are left to sum up, which takes no sort.
+    nodes = found.where("n is not null").groupBy("node", "parent", "depth", "chars").agg(F.sum("n").alias("n_convs"), F.min("low").alias("conv_id"))
     children = nodes.where("parent is not null").groupBy(F.col("parent").alias("_up")).agg(F.count("*").alias("n_children"))
     return nodes.join(children, F.col("node") == F.col("_up"), "left").select("node", "parent", "depth", "chars", "n_convs", "conv_id", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"))
 
