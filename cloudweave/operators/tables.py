@@ -68,18 +68,31 @@ def ranked(df: DataFrame, key: str, ties: list[str | Column], name: str, buckets
 
     Rows are cut into ordered ranges of about RANK_ROWS rows by sampled bounds of key and ties together, so a key that
     holds much of all rows is cut by its ties. The sorted ranges are written, numbered within, and moved on by the
-    counts of the ranges before; one count for each range is broadcast. So there are as many tasks as the rows ask for.
+    counts of the ranges before, one number for each range, which the driver reads once. So there are as many tasks as
+    the rows ask for, and the numbers cost no join.
     """
-    spark = df.sparkSession
-    n = buckets or max(spark.sparkContext.defaultParallelism, -(-df.count() // RANK_ROWS))
+    return ranked_counted(df, key, ties, name, buckets, keep)[0]
+
+
+def ranked_counted(df: DataFrame, key: str, ties: list[str | Column], name: str, buckets: int | None = None, keep: list[str] | None = None) -> tuple[DataFrame, int]:
+    """As ranked, and the number of rows."""
+    n = buckets or max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANK_ROWS))
     order = [key, *ties]
     # The number of a row's range, and 33 bits for its place there.
     placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at")), "ranked")
     part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    counts = {r["_part"]: r["_n"] for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
     own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_part", "_at", "_before")
+    return placed.withColumn(name, (own + F.get(longs(before), part.cast("int"))).cast("bigint")).drop("_at"), total
+
+
+def longs(values: list[int]) -> Column:
+    """A constant array of whole numbers, however many."""
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
 
 def ranked_within(df: DataFrame, key: str, ties: list[str | Column], name: str, keep: list[str], of_key: dict[str, Column]) -> DataFrame:

@@ -34,9 +34,12 @@ def _rgba(r: str, gr: str, b: str):
 
 
 def numbered_lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with point_id, the place in the order of all columns of the table."""
-    rows = load(spark, sf_dir, "lineitem")
+    """The same with point_id, the place in the order of all columns of the table.
+
+    Columns behind the last of those that make a point only tell rows apart whose points are equal, so they are not read.
+    """
     places = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *places[3:])
     ordered = ranked(rows, "l_orderkey", [c for c in rows.columns if c != "l_orderkey"], "point_id", keep=places)
     return ordered.select("point_id", *_lineitem_place())
 
