@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
 from cloudweave.model import PackConfig
-from cloudweave.operators.tables import pinned, ranked, written
+from cloudweave.operators.tables import pinned, ranked, ranked_counted, shared_folder, written
 
 AXES = ("x", "y", "z")
+#: Points of a block of a packed cloud, at most, and blocks of one at least (unless there are fewer batches).
+BLOCK_POINTS, LEAST_BLOCKS = 1 << 22, 32
 
 
 @dataclass(frozen=True)
@@ -82,27 +85,39 @@ def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
     return out.where("lod_level is not null").select("pk", "lod_level")
 
 
-def batched(rows: DataFrame, claims: DataFrame, config: PackConfig) -> DataFrame:
-    """lod_level of rows with pk, batch_id by pk, and local_idx in the order of level, then pk.
+def batches_per_block(points: int, config: PackConfig, block_points: int | None = None) -> int:
+    """Whole batches of a block, so that there are enough blocks for tasks, and none of them is large."""
+    batches = -(-points // config.points_per_batch)
+    blocks = max(-(-points // (block_points or BLOCK_POINTS)), LEAST_BLOCKS if block_points is None else 1)
+    return max(1, -(-batches // blocks))
 
-    A batch is points_per_batch rows at most. Claims come to the rows in the one shuffle that puts batches together.
+
+def batched(rows: DataFrame, claims: DataFrame, config: PackConfig, points: int, block_points: int | None = None) -> DataFrame:
+    """lod_level of rows with pk, batch_id by pk, block by batch_id, and local_idx in the order of level, then pk.
+
+    A batch is points_per_batch rows at most. Both sides go to the partition of their block by its number, so blocks are
+    spread evenly, and all that follows (levels, places, boxes, files) is done there without another shuffle. The claims
+    of a block are a hash table, a row for each of its points at most.
     """
-    batch = F.floor(F.col("pk") / F.lit(config.points_per_batch)).cast("bigint").alias("batch_id")
-    both = rows.select("*", batch, F.lit(None).cast("int").alias("_claim"), F.lit(True).alias("_row")).unionByName(claims.select("pk", batch, F.col("lod_level").alias("_claim"), F.lit(False).alias("_row")), allowMissingColumns=True).repartition("batch_id")
-    level = F.coalesce(F.max("_claim").over(Window.partitionBy("batch_id", "pk")), F.lit(config.lod_levels - 1))
-    levelled = both.withColumn("lod_level", level).where("_row").drop("_claim", "_row")
-    return levelled.withColumn("local_idx", F.row_number().over(Window.partitionBy("batch_id").orderBy("lod_level", "pk")).cast("bigint") - 1)
+    per = batches_per_block(points, config, block_points)
+    batch = F.floor(F.col("pk") / F.lit(config.points_per_batch)).cast("bigint")
+    block = F.floor(F.col("pk") / F.lit(config.points_per_batch * per)).cast("int")
+    blocks = max(1, -(-points // (config.points_per_batch * per)))
+    placed = rows.withColumns({"batch_id": batch, "block": block}).repartitionById(blocks, F.col("block"))
+    claimed = claims.select("pk", block.alias("block"), F.col("lod_level").alias("_claim")).repartitionById(blocks, F.col("block")).hint("shuffle_hash")
+    levelled = placed.join(claimed, ["block", "pk"], "left").withColumn("lod_level", F.coalesce("_claim", F.lit(config.lod_levels - 1))).drop("_claim")
+    return levelled.withColumn("local_idx", F.row_number().over(Window.partitionBy("block", "batch_id").orderBy("lod_level", "pk")).cast("bigint") - 1)
 
 
 def zone_maps(rows: DataFrame) -> DataFrame:
     """batch_id, bounds, num_points and lod_cum: how many points have level 0, up to 1, ... up to 7."""
     cum = F.array(*(F.count_if(F.col("lod_level") <= k) for k in range(8)))
-    return rows.groupBy("batch_id").agg(*(f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES), F.count("*").alias("num_points"), cum.alias("lod_cum"))
+    return rows.groupBy("batch_id", *(["block"] if "block" in rows.columns else [])).agg(*(f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES), F.count("*").alias("num_points"), cum.alias("lod_cum"))
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """xyz_low, xyz_med, xyz_high of rows with batch_id, within the bounds of their batches."""
-    w = Window.partitionBy("batch_id")
+    """xyz_low, xyz_med, xyz_high of rows with block and batch_id, within the bounds of their batches."""
+    w = Window.partitionBy("block", "batch_id")
     boxed = rows.withColumns({f"_{n}_{a}": f(a).over(w) for n, f in (("min", F.min), ("max", F.max)) for a in AXES})
     q = [g.quantise30(F.col(a), F.col(f"_min_{a}"), F.col(f"_max_{a}")) for a in AXES]
     gridded = boxed.withColumns({f"_q{a}": c for a, c in zip(AXES, q, strict=True)})
@@ -117,14 +132,18 @@ def shuffled_id(batch_id: Column, n: Column) -> Column:
     return F.when(swaps, mirror).otherwise(batch_id)
 
 
-def shuffle_batches(batches: DataFrame, points_per_batch: int) -> DataFrame:
-    """new_id and first_point of batches (batch_id, num_points) after the shuffle.
+def shuffle_batches(batches: DataFrame, points_per_batch: int, points: int | None = None) -> DataFrame:
+    """new_id and first_point of batches (batch_id, num_points) after the shuffle. points: of all, where they are known.
 
     Only the last batch may be short, so a batch begins at new_id * points_per_batch, less what the last one lacks if
     that comes before it: no running sum over all batches is needed.
     """
-    last = batches.agg(F.max("batch_id").alias("last"), F.max_by("num_points", "batch_id").alias("size")).first()
-    count, size = (last["last"] or 0) + 1, last["size"] or 0
+    if points is None:
+        last = batches.agg(F.max("batch_id").alias("last"), F.max_by("num_points", "batch_id").alias("size")).first()
+        count, size = (last["last"] or 0) + 1, last["size"] or 0
+    else:
+        count = max(1, -(-points // points_per_batch))
+        size = points - (count - 1) * points_per_batch
     n = F.lit(count)
     moved = batches.withColumn("new_id", shuffled_id(F.col("batch_id"), n))
     lacking = F.when(F.col("new_id") > shuffled_id(F.lit(count - 1), n), F.lit(points_per_batch - size)).otherwise(F.lit(0))
@@ -133,27 +152,85 @@ def shuffle_batches(batches: DataFrame, points_per_batch: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class PackedCloud:
+    """points: all points, or, of a cloud with a layout, what `scan` prunes. batches: their zone maps, with their block."""
+
     points: DataFrame
     batches: DataFrame
     bounds: Bounds
     config: PackConfig
 
+    def scan(self, zones: DataFrame) -> DataFrame:
+        """The points of the files in which zones (block, and the level `top` down to which points are wanted) lie.
+
+        Batches follow the Z-order, so what a camera sees is a few ranges of blocks. They are worked out on zone maps, and
+        come to the driver as MOST_RANGES ranges for each level at most; beyond, those with the least gaps are put
+        together. They are conditions on partition columns, so other files are not opened, nor finer levels.
+        """
+        if "block" not in self.points.columns:
+            return self.points
+        wanted = None
+        for top, ranges in block_ranges(zones, self.config.lod_levels).items():
+            inside = None
+            for first, last in ranges:
+                part = F.col("block").between(first, last)
+                inside = part if inside is None else inside | part
+            if inside is not None:
+                seen = (F.col("lod_level") <= top) & inside
+                wanted = seen if wanted is None else wanted | seen
+        return self.points.where(F.lit(False) if wanted is None else wanted)
+
+
+#: Ranges of blocks that a selection reads, for each level; more are put together where the gaps are least.
+MOST_RANGES = 256
+
+
+def block_ranges(zones: DataFrame, levels: int) -> dict[int, list[tuple[int, int]]]:
+    """For each level, the ranges of blocks (first, last) of zones (block, top) that are wanted down to it.
+
+    A block is one row before ranges are found; levels beyond the last are the last.
+    """
+    blocks = zones.groupBy("block").agg(F.least(F.max("top"), F.lit(levels - 1)).alias("top"))
+    step = F.col("block") - F.lag("block").over(Window.partitionBy("top").orderBy("block"))
+    gaps = blocks.withColumn("_gap", F.coalesce(step, F.lit(0)) - 1)
+    # Cut where the gaps are largest; between neighbours there is none.
+    place = F.row_number().over(Window.partitionBy("top").orderBy(F.col("_gap").desc(), "block"))
+    cut = gaps.withColumn("_cut", ((F.col("_gap") > 0) & (place < MOST_RANGES)).cast("int"))
+    run = cut.withColumn("_run", F.sum("_cut").over(Window.partitionBy("top").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    found = run.groupBy("top", "_run").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in found.collect():  # MOST_RANGES for each level at most
+        out.setdefault(r["top"], []).append((r["first"], r["last"]))
+    return {top: sorted(ranges) for top, ranges in out.items()}
+
+
+def written_layout(rows: DataFrame) -> DataFrame:
+    """Writes rows in a folder for each block and level, sorted by batch and place, and reads them back.
+
+    A task writes whole blocks, so there is one file of a block and level, and a filter on these two columns chooses files.
+    """
+    path = f"{shared_folder(rows.sparkSession)}/cloudweave/packed-{uuid.uuid4().hex}"
+    names = [c for c in rows.columns if c not in ("block", "lod_level")]
+    rows.select(*names, "block", "lod_level").sortWithinPartitions("block", "lod_level", "batch_id", "local_idx").write.partitionBy("block", "lod_level").parquet(path)
+    return rows.sparkSession.read.schema(rows.select(*names, "block", "lod_level").schema).parquet(path)
+
 
-def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds | None = None) -> PackedCloud:
+def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds | None = None, block_points: int | None = None) -> PackedCloud:
     """Packs points (point_id, x, y, z, rgba): every point in a batch, batches in their shuffled order.
 
     An empty cloud has no batches and zero bounds. The cloud is written to the shared folder twice: sorted by its ranks,
-    and packed. within: the bounds, where they are known.
+    and packed in files by block (of block_points at most) and level; and its zone maps once. Files follow the Z-order,
+    not the shuffled order in which batches are numbered, as what lies together is seen together. within: the bounds,
+    where they are known.
     """
     b = within or bounds(points)
-    ranks = morton_ranks(points, b)
-    rows = written(quantised(batched(ranks, lod_claims(ranks, b, config), config)), "packed")
+    ranks, total = ranked_counted(morton_keys(points, b), "mk", ["point_id"], "pk")
+    rows = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config), config, total, block_points)))
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:
-        zones = shuffle_batches(zones, config.points_per_batch)
+        zones = shuffle_batches(zones, config.points_per_batch, total)
     else:
         zones = zones.withColumn("new_id", F.col("batch_id")).withColumn("first_point", F.col("batch_id") * config.points_per_batch)
-    return PackedCloud(rows, zones, b, config)
+    return PackedCloud(rows, written(zones, "zones"), b, config)
 
 
 def point_to_batch(indices: DataFrame, batches: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from cloudweave.operators.tables import ranked, written
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
-    """Resident batches in the frustum, with pixel_size, precision, lod_threshold and active_points.
+    """Resident batches in the frustum, with pixel_size, precision, lod_threshold, top (the finest level of a point that is
+    drawn) and active_points.
 
     It works on zone maps alone, so what it drops is never joined to points. A null lod_cum keeps all points.
     """
@@ -22,7 +23,8 @@ def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, mo
     sized = kept.withColumn("pixel_size", g.pixel_size(camera, model, *config.size)).withColumn("precision", g.precision_level(F.col("pixel_size")))
     levelled = sized.withColumn("lod_threshold", g.lod_threshold(F.col("pixel_size"), config))
     top = g.clamp(F.floor(F.col("lod_threshold") + 0.5).cast("int"), 0, 7)
-    return levelled.withColumn("active_points", F.coalesce(F.get("lod_cum", top), F.col("num_points"))).where("active_points > 0")
+    counted = levelled.withColumn("top", F.when(F.col("lod_cum").isNull(), F.lit(7)).otherwise(top))
+    return counted.withColumn("active_points", F.coalesce(F.get("lod_cum", "top"), F.col("num_points"))).where("active_points > 0")
 
 
 def visible_batches_of_files(batches: DataFrame, camera: Camera, config: RasterConfig, models: dict[int, Matrix]) -> DataFrame:
@@ -46,17 +48,22 @@ def kept_level(lod_level: Column, threshold: Column, index: Column, dither: bool
 def select_points(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
     """src_idx (pack index), point_id, decoded x, y, z, rgba and lod_level of the selected points.
 
-    The selection is written to the shared folder: it is asked for by depth and by colour, and by later frames of the
-    same camera.
+    Only the files of blocks and levels that the visible batches ask for are read. The selection is written to the shared
+    folder: it is asked for by depth and by colour, and by later frames of the same camera.
     """
+    return written(selected_points(packed, camera, config, model), "selected")
+
+
+def selected_points(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
+    """As select_points, for one use."""
     zones = written(visible_batches(packed.batches, camera, config, model), "visible")
     # Zone maps are one row for points_per_batch points; Spark chooses the join by their size.
-    joined = packed.points.select("batch_id", "local_idx", "point_id", "xyz_low", "xyz_med", "xyz_high", "rgba", "lod_level").join(zones, "batch_id").where("local_idx < active_points")
+    joined = packed.scan(zones).select("batch_id", "local_idx", "point_id", "xyz_low", "xyz_med", "xyz_high", "rgba", "lod_level").join(zones.drop("block", "top"), "batch_id").where("local_idx < active_points")
     indexed = joined.withColumn("src_idx", F.col("first_point") + F.col("local_idx"))
     chosen = indexed.where(kept_level(F.col("lod_level"), F.col("lod_threshold"), F.col("src_idx"), config.enable_lod_dither))
     words = (F.col("xyz_low"), F.col("xyz_med"), F.col("xyz_high"))
     place = {a: g.decode(k, F.col(f"min_{a}"), F.col(f"max_{a}"), words, F.col("precision")) for k, a in enumerate("xyz")}
-    return written(chosen.select("src_idx", "point_id", "batch_id", "lod_level", "rgba", *(c.alias(a) for a, c in place.items())), "selected")
+    return chosen.select("src_idx", "point_id", "batch_id", "lod_level", "rgba", *(c.alias(a) for a, c in place.items()))
 
 
 def capped(selected: DataFrame, capacity: int) -> DataFrame:

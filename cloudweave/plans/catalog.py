@@ -124,7 +124,7 @@ def _decode(precision: int) -> Query:
     def run(spark, sf_dir):
         c = packed(spark, sf_dir)
         words = (F.col("xyz_low"), F.col("xyz_med"), F.col("xyz_high"))
-        rows = c.points.drop("x", "y", "z").join(c.batches, "batch_id")
+        rows = c.points.drop("x", "y", "z").join(c.batches.drop("block"), "batch_id")
         return rows.select("point_id", *(g.decode(k, F.col(f"min_{a}"), F.col(f"max_{a}"), words, F.lit(precision)).alias(a) for k, a in enumerate("xyz")))
 
     return run
@@ -137,7 +137,7 @@ for _bits, _precision in ((30, 0), (20, 1), (10, 2)):
 @query("udf_decode_by_level", with_(_PACKED, q.quantised(), select=f"SELECT point_id, {q.decoded('lod_level')} FROM wrd"))
 def _(spark, sf_dir):
     c = packed(spark, sf_dir)
-    return features.decode_for_udf(c.points.drop("x", "y", "z").join(c.batches, "batch_id")).select("point_id", "x", "y", "z")
+    return features.decode_for_udf(c.points.drop("x", "y", "z").join(c.batches.drop("block"), "batch_id")).select("point_id", "x", "y", "z")
 
 
 _UNIT = {"r": "l_quantity / 50.0", "g": "l_tax * 10.0", "b": "l_discount * 12.0"}
@@ -165,16 +165,13 @@ def _(spark, sf_dir):
     return src.cube_grid(spark, 24)
 
 
-@query("point_to_batch_range_join", with_(_PACKED, select="SELECT i * 7 AS i, batch_id::BIGINT AS batch_id, (i * 7 - first_point)::BIGINT AS local_idx FROM range((SELECT count(*) // 7 FROM pts)) t(i) JOIN zon ON first_point <= i * 7 AND i * 7 < first_point + num_points"))
-def _(spark, sf_dir):
-    c = packed(spark, sf_dir)
-    n = c.points.count() // 7
-    return pack.point_to_batch(spark.range(n).select((F.col("id") * 7).alias("i")), c.batches)
+_LOOKED_UP = with_(_PACKED, select="SELECT i, batch_id::BIGINT AS batch_id, (i - first_point)::BIGINT AS local_idx FROM range((SELECT count(*) FROM pts)) t(i) JOIN zon ON first_point <= i AND i < first_point + num_points")
 
 
-@query("point_to_batch_all", with_(_PACKED, select="SELECT i, batch_id::BIGINT AS batch_id, (i - first_point)::BIGINT AS local_idx FROM range((SELECT count(*) FROM pts)) t(i) JOIN zon ON first_point <= i AND i < first_point + num_points"))
+@query("point_to_batch_range_join", _LOOKED_UP)
+@query("point_to_batch_all", _LOOKED_UP)
 def _(spark, sf_dir):
-    """Every pack index; point_to_batch_range_join looks up each seventh."""
+    """Every pack index."""
     c = packed(spark, sf_dir)
     return pack.point_to_batch(spark.range(c.points.count()).withColumnRenamed("id", "i"), c.batches)
 
@@ -224,7 +221,7 @@ _SELECTED = [_PACKED, q.quantised(), _VISIBLE, q.selected(IMAGE)]
 
 @query("clod_select", with_(*_SELECTED, select="SELECT src_idx::BIGINT AS src_idx, point_id, lod_level::BIGINT AS lod_level, x, y, z FROM sel"))
 def _(spark, sf_dir):
-    return select.select_points(packed(spark, sf_dir), CLOSE, IMAGE).select("src_idx", "point_id", "lod_level", "x", "y", "z")
+    return select.selected_points(packed(spark, sf_dir), CLOSE, IMAGE).select("src_idx", "point_id", "lod_level", "x", "y", "z")
 
 
 _PLAIN = IMAGE.but(enable_clod=False, enable_lod_dither=False, enable_frustum_culling=False)
@@ -232,12 +229,12 @@ _PLAIN = IMAGE.but(enable_clod=False, enable_lod_dither=False, enable_frustum_cu
 
 @query("clod_off_select", with_(_PACKED, q.quantised(), q.visible(CLOSE, _PLAIN, cull=False), q.selected(_PLAIN), select="SELECT src_idx::BIGINT AS src_idx, point_id FROM sel"))
 def _(spark, sf_dir):
-    return select.select_points(packed(spark, sf_dir), CLOSE, _PLAIN).select("src_idx", "point_id")
+    return select.selected_points(packed(spark, sf_dir), CLOSE, _PLAIN).select("src_idx", "point_id")
 
 
 @query("capacity_overflow", with_(*_SELECTED, select=f"SELECT count(*) AS appended, greatest(count(*) - {CAPACITY}, 0) AS overflow, least(count(*), {CAPACITY}) AS kept FROM sel"))
 def _(spark, sf_dir):
-    return select.selection_stats(select.select_points(packed(spark, sf_dir), CLOSE, IMAGE), CAPACITY)
+    return select.selection_stats(select.selected_points(packed(spark, sf_dir), CLOSE, IMAGE), CAPACITY)
 
 
 @query("capacity_limit", with_(*_SELECTED, select=f"SELECT src_idx::BIGINT AS src_idx, point_id FROM sel ORDER BY src_idx LIMIT {CAPACITY}"))
