@@ -75,14 +75,22 @@ def unword(w: Column, axis: int) -> Column:
     return F.shiftright(w, 10 * axis).bitwiseAND(F.lit(1023).cast("bigint"))
 
 
-def decode(axis: int, low: Column, high: Column, words: tuple[Column, Column, Column], precision: Column) -> Column:
-    """A coordinate from its words: 30 bits at precision 0, 20 at 1, else 10."""
+def decode_step(low: Column, high: Column, precision: Column) -> Column:
+    """The size of a cell that decode() counts in: of 30 bits at precision 0, 20 at 1, else 10."""
     size = F.greatest(high - low, num(TINY))
+    return size / F.when(precision == 0, num(1 << 30)).when(precision == 1, num(1 << 20)).otherwise(num(1 << 10))
+
+
+def decode_cells(axis: int, words: tuple[Column, Column, Column], precision: Column) -> Column:
+    """How many cells a coordinate is from the low side of its box."""
     a, b, c = (unword(w, axis) for w in words)
     fine = F.shiftleft(a, 20).bitwiseOR(F.shiftleft(b, 10)).bitwiseOR(c)
-    mid = F.shiftleft(a, 10).bitwiseOR(b)
-    at = lambda q, bits: q * (size / num(1 << bits)) + low
-    return F.when(precision == 0, at(fine, 30)).when(precision == 1, at(mid, 20)).otherwise(at(a, 10))
+    return F.when(precision == 0, fine).when(precision == 1, F.shiftleft(a, 10).bitwiseOR(b)).otherwise(a)
+
+
+def decode(axis: int, low: Column, high: Column, words: tuple[Column, Column, Column], precision: Column) -> Column:
+    """A coordinate from its words."""
+    return decode_cells(axis, words, precision) * decode_step(low, high, precision) + low
 
 
 def pack_rgba(r: Column, g: Column, b: Column, a: Column) -> Column:
@@ -97,10 +105,8 @@ def channel(rgba: Column, k: int) -> Column:
 
 
 def _times(x: Column, c: int) -> Column:
-    """x * c mod 2**32 without overflow of a bigint."""
-    low = x.bitwiseAND(F.lit(0xFFFF).cast("bigint")) * F.lit(c).cast("bigint")
-    high = F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(c).cast("bigint")).bitwiseAND(F.lit(0xFFFF).cast("bigint")), 16)
-    return (low + high).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    """x * c mod 2**32 of x below 2**32, without overflow of a bigint: a c of over 31 bits counts as c - 2**32."""
+    return (x * F.lit(c - (1 << 32) if c >> 31 else c).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
 
 
 def hash_unit(x: Column) -> Column:
@@ -137,24 +143,32 @@ def in_frustum(m: Matrix) -> Column:
     return keep
 
 
-def pixel_size(camera: Camera, model: Matrix, width: int, height: int) -> Column:
-    """Pixels that a box's diagonal spans at its centre."""
+def view_centre(camera: Camera, model: Matrix) -> dict[str, Column]:
+    """_vx, _vy, _vz of a box's centre as the camera sees it, and the length _diagonal of the box."""
     from cloudweave.model import multiply
 
     low, high = [F.col(f"min_{a}") for a in "xyz"], [F.col(f"max_{a}") for a in "xyz"]
     centre = [(a + b) * num(0.5) for a, b in zip(low, high, strict=True)]
     d = [b - a for a, b in zip(low, high, strict=True)]
-    diagonal = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     to_view = multiply(camera.view, model)
-    v = [transform_row(to_view, k, *centre) for k in range(3)]
+    return {f"_v{a}": transform_row(to_view, k, *centre) for k, a in enumerate("xyz")} | {"_diagonal": F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])}
+
+
+def diagonal_ends(camera: Camera, width: int, height: int) -> dict[str, Column]:
+    """_ax, _ay, _bx, _by: the pixels of a centre (of view_centre), and of the point a diagonal to its right."""
     p = camera.projection
+    out = {}
+    for name, x in (("a", F.col("_vx")), ("b", F.col("_vx") + F.col("_diagonal"))):
+        at = [transform_row(p, k, x, F.col("_vy"), F.col("_vz")) for k in (0, 1, 3)]
+        w = F.greatest(F.abs(at[2]), num(TINY))
+        out |= {f"_{name}x": num(width) * (at[0] / w + 1.0) * 0.5, f"_{name}y": num(height) * (at[1] / w + 1.0) * 0.5}
+    return out
 
-    def screen(x: Column) -> tuple[Column, Column]:
-        w = F.greatest(F.abs(transform_row(p, 3, x, v[1], v[2])), num(TINY))
-        return (num(width) * (transform_row(p, 0, x, v[1], v[2]) / w + 1.0) * 0.5, num(height) * (transform_row(p, 1, x, v[1], v[2]) / w + 1.0) * 0.5)
 
-    (ax, ay), (bx, by) = screen(v[0]), screen(v[0] + diagonal)
-    return F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+def pixel_size() -> Column:
+    """Pixels that a box's diagonal spans at its centre, from diagonal_ends."""
+    dx, dy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def precision_level(pixels: Column) -> Column:

@@ -13,8 +13,8 @@ from cloudweave.model import PackConfig
 from cloudweave.operators.tables import pinned, ranked, ranked_counted, shared_folder, written
 
 AXES = ("x", "y", "z")
-#: Points of a block of a packed cloud, at most, and blocks of one at least (unless there are fewer batches).
-BLOCK_POINTS, LEAST_BLOCKS = 1 << 22, 32
+#: Points of a block of a packed cloud, at most. A cloud has a block for each core at least, if it has as many batches.
+BLOCK_POINTS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,10 @@ def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
     return out.where("lod_level is not null").select("pk", "lod_level")
 
 
-def batches_per_block(points: int, config: PackConfig, block_points: int | None = None) -> int:
+def batches_per_block(points: int, config: PackConfig, cores: int, block_points: int | None = None) -> int:
     """Whole batches of a block, so that there are enough blocks for tasks, and none of them is large."""
     batches = -(-points // config.points_per_batch)
-    blocks = max(-(-points // (block_points or BLOCK_POINTS)), LEAST_BLOCKS if block_points is None else 1)
+    blocks = max(-(-points // (block_points or BLOCK_POINTS)), cores if block_points is None else 1)
     return max(1, -(-batches // blocks))
 
 
@@ -99,7 +99,7 @@ def batched(rows: DataFrame, claims: DataFrame, config: PackConfig, points: int,
     spread evenly, and all that follows (levels, places, boxes, files) is done there without another shuffle. The claims
     of a block are a hash table, a row for each of its points at most.
     """
-    per = batches_per_block(points, config, block_points)
+    per = batches_per_block(points, config, rows.sparkSession.sparkContext.defaultParallelism, block_points)
     batch = F.floor(F.col("pk") / F.lit(config.points_per_batch)).cast("bigint")
     block = F.floor(F.col("pk") / F.lit(config.points_per_batch * per)).cast("int")
     blocks = max(1, -(-points // (config.points_per_batch * per)))

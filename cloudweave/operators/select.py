@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Matrix, RasterConfig
 from cloudweave.operators.pack import PackedCloud
-from cloudweave.operators.tables import ranked, written
+from cloudweave.operators.tables import pinned, ranked, written
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
@@ -20,10 +20,12 @@ def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, mo
     kept = batches.where("state <> 0")
     if config.enable_frustum_culling:
         kept = kept.where(g.in_frustum(camera.clip(model)))
-    sized = kept.withColumn("pixel_size", g.pixel_size(camera, model, *config.size)).withColumn("precision", g.precision_level(F.col("pixel_size")))
-    levelled = sized.withColumn("lod_threshold", g.lod_threshold(F.col("pixel_size"), config))
+    # Step by step, each worked out once: as one expression this is too large for the JVM to compile well.
+    ends = pinned(pinned(kept, g.view_centre(camera, model)), g.diagonal_ends(camera, *config.size)).drop("_vx", "_vy", "_vz", "_diagonal")
+    sized = pinned(ends, {"pixel_size": g.pixel_size()}).drop("_ax", "_ay", "_bx", "_by")
+    levelled = pinned(sized, {"precision": g.precision_level(F.col("pixel_size")), "lod_threshold": g.lod_threshold(F.col("pixel_size"), config)})
     top = g.clamp(F.floor(F.col("lod_threshold") + 0.5).cast("int"), 0, 7)
-    counted = levelled.withColumn("top", F.when(F.col("lod_cum").isNull(), F.lit(7)).otherwise(top))
+    counted = pinned(levelled, {"top": F.when(F.col("lod_cum").isNull(), F.lit(7)).otherwise(top)})
     return counted.withColumn("active_points", F.coalesce(F.get("lod_cum", "top"), F.col("num_points"))).where("active_points > 0")
 
 
@@ -56,13 +58,16 @@ def select_points(packed: PackedCloud, camera: Camera, config: RasterConfig, mod
 
 def selected_points(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
     """As select_points, for one use."""
-    zones = written(visible_batches(packed.batches, camera, config, model), "visible")
-    # Zone maps are one row for points_per_batch points; Spark chooses the join by their size.
+    # What is the same for all points of a batch is worked out on its zone map. These are one row for points_per_batch
+    # points; Spark chooses the join by their size.
+    seen = visible_batches(packed.batches, camera, config, model)
+    steps = {f"_step_{a}": g.decode_step(F.col(f"min_{a}"), F.col(f"max_{a}"), F.col("precision")) for a in "xyz"}
+    zones = written(seen.select("batch_id", *(c for c in ("block", "top") if c in seen.columns), "first_point", "active_points", "lod_threshold", "precision", "min_x", "min_y", "min_z", *(c.alias(n) for n, c in steps.items())), "visible")
     joined = packed.scan(zones).select("batch_id", "local_idx", "point_id", "xyz_low", "xyz_med", "xyz_high", "rgba", "lod_level").join(zones.drop("block", "top"), "batch_id").where("local_idx < active_points")
-    indexed = joined.withColumn("src_idx", F.col("first_point") + F.col("local_idx"))
+    indexed = pinned(joined, {"src_idx": F.col("first_point") + F.col("local_idx")})
     chosen = indexed.where(kept_level(F.col("lod_level"), F.col("lod_threshold"), F.col("src_idx"), config.enable_lod_dither))
     words = (F.col("xyz_low"), F.col("xyz_med"), F.col("xyz_high"))
-    place = {a: g.decode(k, F.col(f"min_{a}"), F.col(f"max_{a}"), words, F.col("precision")) for k, a in enumerate("xyz")}
+    place = {a: g.decode_cells(k, words, F.col("precision")) * F.col(f"_step_{a}") + F.col(f"min_{a}") for k, a in enumerate("xyz")}
     return chosen.select("src_idx", "point_id", "batch_id", "lod_level", "rgba", *(c.alias(a) for a, c in place.items()))
 
 

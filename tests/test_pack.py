@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
-from cloudweave.model import PackConfig
-from cloudweave.operators import pack, tables
+from cloudweave.model import Camera, PackConfig, RasterConfig, look_at, perspective, standard_camera
+from cloudweave.operators import pack, select, tables
 from cloudweave.operators.tables import ranked
 from cloudweave.sources import points as src
 
@@ -169,3 +169,57 @@ def test_levels_of_crowded_and_of_no_voxels(spark):
                     seen.add(cell)
                     claimed[r.pk] = level
         assert [r.lod_level for r in points] == [claimed.get(r.pk, levels - 1) for r in points]
+
+
+def files_read(df):
+    """Bytes of the files that a scan has opened, by its own metric."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("filesSize").value() for i in range(leaves.size()))
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    rows = spark.createDataFrame([r[:4] + (255,) for r in lcg_cloud(30_000, 0xB10C, 20.0)], "point_id bigint, x double, y double, z double, rgba bigint")
+    return rows, pack.pack(rows, PackConfig(points_per_batch=100, coarse_divisions=8), block_points=300)
+
+
+def test_files_hold_ranges_of_batches_by_level(spark, spread):
+    _, packed = spread
+    files = packed.points.groupBy(F.input_file_name().alias("f")).agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high"), F.count_distinct("block", "lod_level").alias("n"), F.min("block").alias("block")).collect()
+    assert len(files) > 100 and all(r.n == 1 and r.high - r.low < 3 and r.low // 3 == r.block for r in files)
+    assert packed.points.count() == 30_000 and {r.block for r in packed.batches.collect()} == set(range(100))
+
+
+def test_a_camera_reads_the_files_it_needs(spark, spread):
+    rows, packed = spread
+    config = RasterConfig(enable_lod_dither=False)
+    narrow = Camera(look_at((8.0, 8.0, 12.0), (8.0, 8.0, 0.0)), perspective(4.0, 1.0, 0.01, 100.0))
+    zones = select.visible_batches(packed.batches, narrow, config)
+    share = zones.count() / packed.batches.count()
+    whole, part = files_read(packed.points.select("rgba")), files_read(packed.scan(zones).select("rgba"))
+    assert 0 < share < 0.06 and part < 0.1 * whole
+    # From afar only coarse levels are wanted, of all blocks.
+    afar = standard_camera((0.0, 0.0, 90.0))
+    zones = select.visible_batches(packed.batches, afar, config.but(lod_bias=-4))
+    assert zones.count() == packed.batches.count() and zones.agg(F.max("top")).first()[0] < 3
+    assert files_read(packed.scan(zones).select("rgba")) < 0.75 * whole
+    for camera in (narrow, afar, standard_camera((3.0, 1.0, 12.0))):
+        loose = pack.PackedCloud(packed.points.drop("block"), packed.batches, packed.bounds, packed.config)
+        got, want = (sorted(tuple(r) for r in select.selected_points(c, camera, RasterConfig()).collect()) for c in (packed, loose))
+        assert got == want and got
+
+
+def test_ranges_of_blocks(spark, monkeypatch):
+    zones = spark.createDataFrame([(b, t) for b, t in [(0, 3), (0, 1), (1, 3), (2, 9), (5, 3), (9, 3), (20, 3), (3, 0), (7, 0)]], "block int, top int")
+    assert pack.block_ranges(zones, 4) == {3: [(0, 2), (5, 5), (9, 9), (20, 20)], 0: [(3, 3), (7, 7)]}
+    monkeypatch.setattr(pack, "MOST_RANGES", 2)
+    assert pack.block_ranges(zones, 4) == {3: [(0, 9), (20, 20)], 0: [(3, 3), (7, 7)]}
+    assert pack.block_ranges(zones.limit(0), 4) == {}
+
+
+def test_nothing_seen_reads_nothing(spark, spread):
+    _, packed = spread
+    away = Camera(look_at((0.0, 0.0, 40.0), (0.0, 0.0, 90.0)), perspective(30.0, 1.0, 0.01, 100.0))
+    assert select.selected_points(packed, away, RasterConfig()).count() == 0
+    assert files_read(packed.scan(select.visible_batches(packed.batches, away, RasterConfig())).select("rgba")) == 0
