@@ -2,7 +2,8 @@
 
 The state of a pool is keyed by cloud: which chunk holds which slots, the free slots, and a queue of chunks that wait.
 Each micro-batch is one tick: removals free slots (and drop waiting chunks), additions are queued, and queued chunks are
-placed in order until the upload limit, a full pool, or the end of the queue. Batch and stream share `Pool`.
+placed in order until the upload limit, a full pool, or the end of the queue. Batch and stream share `Pool`, which keeps
+its tables in memory, or in maps of Spark's state, of which a tick writes only the entries that it changes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,26 @@ TELEMETRY = (
 )
 
 
+class Queue(list):
+    """Chunks that wait, in order."""
+
+    def extend_(self, chunks: list[dict]) -> None:
+        self.extend(chunks)
+
+    def first(self) -> dict | None:
+        return self[0] if self else None
+
+    def done(self) -> None:
+        """Takes the first one out."""
+        del self[0]
+
+    def drop(self, gone: set[str]) -> int:
+        """Takes out the chunks of these names, wherever they are; how many there were."""
+        before = len(self)
+        self[:] = [c for c in self if c["chunk_id"] not in gone]
+        return before - len(self)
+
+
 @dataclass
 class Pool:
     """Slots of points_per_batch points. The free list is last in, first out, with slot 0 first."""
@@ -49,6 +70,15 @@ class Pool:
     blocked: bool = False
     generation: int = 0
     last_error: str | None = None
+    points: int = 0
+    slots_held: int = 0
+    pinned: int = 0
+    #: Slots that the last tick changed, with what they hold now.
+    changed: dict[int, dict] = field(default_factory=dict, compare=False)
+
+    def __post_init__(self) -> None:
+        if type(self.pending) is list:
+            self.pending = Queue(self.pending)
 
     @classmethod
     def new(cls, capacity: int, **options) -> Pool:
@@ -59,7 +89,7 @@ class Pool:
         return cls(**json.loads(text))
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps({k: v for k, v in asdict(self).items() if k != "changed"})
 
     def _needed(self, num_points: int) -> int:
         return max(1, -(-num_points // self.points_per_batch))
@@ -67,12 +97,29 @@ class Pool:
     def add_batches(self, num_points: int) -> list[int]:
         return [self.free.pop() for _ in range(self._needed(num_points))]
 
+    def place(self, chunk: dict) -> None:
+        """Gives a chunk its slots; there must be enough."""
+        name, left = chunk["chunk_id"], chunk["num_points"]
+        slots = self.add_batches(left)
+        self.resident[name] = {"slots": slots, "num_points": chunk["num_points"], "depth": chunk["depth"]}
+        for part, slot in enumerate(slots):
+            self.changed[slot] = {"chunk_id": name, "part": part, "num_points": min(left, self.points_per_batch), "state": 1}
+            left -= self.points_per_batch
+        self.points += chunk["num_points"]
+        self.slots_held += len(slots)
+        self.pinned += chunk["depth"] <= self.pinned_depth
+
     def remove(self, chunk_id: str) -> bool:
         """Frees a resident chunk's slots; removing what isn't there changes nothing."""
         found = self.resident.pop(chunk_id, None)
         if found is None:
             return False
-        self.free += found["slots"]
+        for slot in found["slots"]:
+            self.free.append(slot)
+            self.changed[slot] = {"chunk_id": None, "part": None, "num_points": 0, "state": 0}
+        self.points -= found["num_points"]
+        self.slots_held -= len(found["slots"])
+        self.pinned -= found["depth"] <= self.pinned_depth
         return True
 
     def clear(self) -> None:
@@ -83,46 +130,41 @@ class Pool:
     def replace(self, chunks: list[dict]) -> None:
         """The whole content anew: the pool keeps its identity, its generation goes up."""
         self.clear()
-        self.pending = []
+        self.pending = Queue()
+        emptied = self.changed
         self.apply(chunks, [])
+        self.changed = emptied | self.changed
 
     def apply(self, added: list[dict], removed: list[str]) -> None:
         """One tick: evict, queue, upload, commit."""
         self.tick += 1
+        self.changed = {}
         dirty = False
-        gone = set(removed)
         for chunk_id in removed:
             if self.remove(chunk_id):
                 self.evicted += 1
                 dirty = True
-        if gone:
-            waiting = [c for c in self.pending if c["chunk_id"] not in gone]
-            self.dropped += len(self.pending) - len(waiting)
-            self.pending = waiting
-        self.pending += added
+        if removed:
+            self.dropped += self.pending.drop(set(removed))
+        self.pending.extend_(added)
         self.blocked = False
-        placed = at = 0
-        while at < len(self.pending) and placed < self.upload_limit:
-            chunk = self.pending[at]
-            if chunk["chunk_id"] in self.resident:
-                at += 1
-                continue
-            need = self._needed(chunk["num_points"])
-            if len(self.free) < need:
+        placed = 0
+        while placed < self.upload_limit and (chunk := self.pending.first()) is not None:
+            if chunk["chunk_id"] not in self.resident:
+                need = self._needed(chunk["num_points"])
                 if need > self.capacity:
                     self.last_error = f"chunk {chunk['chunk_id']} needs {need} slots of {self.capacity}"
                     self.dropped += 1
-                    at += 1
-                    continue
-                self.starved += 1
-                self.blocked = True
-                break
-            self.resident[chunk["chunk_id"]] = {"slots": self.add_batches(chunk["num_points"]), "num_points": chunk["num_points"], "depth": chunk["depth"]}
-            self.uploaded += 1
-            placed += 1
-            at += 1
-            dirty = True
-        self.pending = self.pending[at:]
+                elif len(self.free) < need:
+                    self.starved += 1
+                    self.blocked = True
+                    break
+                else:
+                    self.place(chunk)
+                    self.uploaded += 1
+                    placed += 1
+                    dirty = True
+            self.pending.done()
         self.generation += dirty
 
     def batches(self) -> list[dict]:
@@ -137,8 +179,8 @@ class Pool:
 
     def telemetry(self, cloud_id: str) -> dict:
         return {
-            "cloud_id": cloud_id, "tick": self.tick, "resident_chunks": len(self.resident), "resident_batches": sum(len(c["slots"]) for c in self.resident.values()),
-            "resident_points": sum(c["num_points"] for c in self.resident.values()), "pinned_chunks": sum(c["depth"] <= self.pinned_depth for c in self.resident.values()),
+            "cloud_id": cloud_id, "tick": self.tick, "resident_chunks": len(self.resident), "resident_batches": self.slots_held,
+            "resident_points": self.points, "pinned_chunks": self.pinned,
             "pending_chunks": len(self.pending), "uploaded_chunks": self.uploaded, "evicted_chunks": self.evicted, "dropped_chunks": self.dropped, "starved_ticks": self.starved,
             "free_slots": len(self.free), "blocked_on_full_pool": self.blocked, "generation": self.generation, "last_error": self.last_error, "resident": ",".join(sorted(self.resident)), "slots": json.dumps(self.batches()),
         }
@@ -185,32 +227,210 @@ def decode_rates(samples: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def tick_of(rows: pd.DataFrame) -> tuple[list[dict], list[str]]:
-    rows = rows.sort_values("seq", kind="stable")
-    added = [{"chunk_id": r.chunk_id, "depth": int(r.depth), "num_points": int(r.num_points)} for r in rows[rows["op"] == "add"].itertuples()]
-    return added, rows[rows["op"] == "remove"]["chunk_id"].tolist()
+    return _in_order(*_records(rows))
 
 
-def follow(deltas: DataFrame, capacity: int, **options) -> DataFrame:
-    """Telemetry of each cloud's pool after each micro-batch of a stream of DELTA records.
+#: What a pool keeps in its state besides its tables: its own numbers, and the sizes of the tables.
+HEAD = (
+    "tick bigint, uploaded bigint, evicted bigint, dropped bigint, starved bigint, blocked boolean, generation bigint, last_error string, points bigint, slots_held bigint, "
+    "pinned bigint, chunks bigint, placed bigint, height int, first bigint, behind bigint, waiting bigint"
+)
+HEAD_NAMES = [c.split()[0] for c in HEAD.split(", ")]
+
 
-    A pool's slots are one sequence of decisions, so a cloud is one key; clouds are independent of each other.
+class StatePool:
+    """A pool whose tables are maps of Spark's state, so a tick reads and writes what it touches, whatever the pool holds.
+
+    resident: chunk to slots, points, depth and its place in the order of placing. stack: the places of free slots that
+    differ from the first order. queue: place to chunk; where: a waiting chunk's places. Places of chunks that are done or
+    dropped are deleted, and the queue's beginning moves past them, once.
     """
+
+    def __init__(self, handle) -> None:
+        self.head = handle.getValueState("head", HEAD)
+        self.resident = handle.getMapState("resident", "chunk_id string", "slots array<int>, num_points int, depth int, placed bigint")
+        self.stack = handle.getMapState("stack", "place int", "slot int")
+        self.queue = handle.getMapState("queue", "place bigint", "chunk_id string, depth int, num_points int")
+        self.where = handle.getMapState("where", "chunk_id string", "places array<bigint>")
+        self.writes = 0
+
+    def pool(self, capacity: int, **options) -> Pool:
+        head = dict(zip(HEAD_NAMES, self.head.get(), strict=True)) if self.head.exists() else {n: 0 for n in HEAD_NAMES} | {"height": capacity, "last_error": None, "blocked": False}
+        own = {n: head[n] for n in ("tick", "uploaded", "evicted", "dropped", "starved", "blocked", "generation", "last_error", "points", "slots_held", "pinned")}
+        return Pool(capacity, free=_Stack(self, capacity, head["height"]), resident=_Resident(self, head["chunks"], head["placed"]), pending=_Waiting(self, head["first"], head["behind"], head["waiting"]), **own, **options)
+
+    def save(self, pool: Pool) -> None:
+        sizes = {"chunks": pool.resident.chunks, "placed": pool.resident.placed, "height": pool.free.height, "first": pool.pending.at, "behind": pool.pending.behind, "waiting": pool.pending.waiting}
+        self.head.update(tuple((vars(pool) | sizes)[n] for n in HEAD_NAMES))
+        self.writes += 1
+
+    def put(self, table, key: tuple, value: tuple) -> None:
+        table.updateValue(key, value)
+        self.writes += 1
+
+    def drop(self, table, key: tuple) -> None:
+        table.removeKey(key)
+        self.writes += 1
+
+
+class _Stack:
+    """Free slots; a place that was never written holds the slot that was there at first."""
+
+    def __init__(self, state: StatePool, capacity: int, height: int) -> None:
+        self.state, self.capacity, self.height = state, capacity, height
+
+    def __len__(self) -> int:
+        return self.height
+
+    def pop(self) -> int:
+        self.height -= 1
+        found = self.state.stack.getValue((self.height,)) if self.state.stack.containsKey((self.height,)) else None
+        return found[0] if found else self.capacity - 1 - self.height
+
+    def append(self, slot: int) -> None:
+        self.state.put(self.state.stack, (self.height,), (slot,))
+        self.height += 1
+
+
+class _Resident:
+    def __init__(self, state: StatePool, chunks: int, placed: int) -> None:
+        self.state, self.chunks, self.placed = state, chunks, placed
+
+    def __len__(self) -> int:
+        return self.chunks
+
+    def __contains__(self, chunk_id: str) -> bool:
+        return self.state.resident.containsKey((chunk_id,))
+
+    def __setitem__(self, chunk_id: str, chunk: dict) -> None:
+        self.placed += 1
+        self.chunks += 1
+        self.state.put(self.state.resident, (chunk_id,), (chunk["slots"], chunk["num_points"], chunk["depth"], self.placed))
+
+    def pop(self, chunk_id: str, default=None):
+        if chunk_id not in self:
+            return default
+        slots, num_points, depth, _ = self.state.resident.getValue((chunk_id,))
+        self.state.drop(self.state.resident, (chunk_id,))
+        self.chunks -= 1
+        return {"slots": list(slots), "num_points": num_points, "depth": depth}
+
+    def items(self) -> list[tuple[str, dict]]:
+        """All chunks in the order in which they were placed; read for a full telling, never written."""
+        rows = sorted(((v[3], k[0], v) for k, v in self.state.resident.iterator()), key=lambda r: r[0])
+        return [(name, {"slots": list(v[0]), "num_points": v[1], "depth": v[2]}) for _, name, v in rows]
+
+    def __iter__(self):
+        return iter([name for name, _ in self.items()])
+
+
+class _Waiting:
+    def __init__(self, state: StatePool, at: int, behind: int, waiting: int) -> None:
+        self.state, self.at, self.behind, self.waiting = state, at, behind, waiting
+
+    def __len__(self) -> int:
+        return self.waiting
+
+    def _places(self, chunk_id: str) -> list[int]:
+        return list(self.state.where.getValue((chunk_id,))[0]) if self.state.where.containsKey((chunk_id,)) else []
+
+    def extend_(self, chunks: list[dict]) -> None:
+        for c in chunks:
+            self.state.put(self.state.queue, (self.behind,), (c["chunk_id"], c["depth"], c["num_points"]))
+            self.state.put(self.state.where, (c["chunk_id"],), ([*self._places(c["chunk_id"]), self.behind],))
+            self.behind += 1
+            self.waiting += 1
+
+    def first(self) -> dict | None:
+        if not self.waiting:
+            return None
+        while not self.state.queue.containsKey((self.at,)):
+            self.at += 1
+        chunk_id, depth, num_points = self.state.queue.getValue((self.at,))
+        return {"chunk_id": chunk_id, "depth": depth, "num_points": num_points}
+
+    def done(self) -> None:
+        name = self.first()["chunk_id"]
+        rest = [p for p in self._places(name) if p != self.at]
+        self.state.drop(self.state.queue, (self.at,))
+        if rest:
+            self.state.put(self.state.where, (name,), (rest,))
+        else:
+            self.state.drop(self.state.where, (name,))
+        self.at += 1
+        self.waiting -= 1
+
+    def drop(self, gone: set[str]) -> int:
+        dropped = 0
+        for name in gone:
+            places = self._places(name)
+            for p in places:
+                self.state.drop(self.state.queue, (p,))
+            if places:
+                self.state.drop(self.state.where, (name,))
+            dropped += len(places)
+        self.waiting -= dropped
+        return dropped
+
+
+CHANGES = "cloud_id string, tick bigint, generation bigint, slot int, chunk_id string, part int, num_points int, state int"
+CHANGE_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
+
+
+def _changes_of(pool: Pool, cloud: str | None) -> pd.DataFrame:
+    return pd.DataFrame([{"cloud_id": cloud, "tick": pool.tick, "generation": pool.generation, "slot": s} | c for s, c in sorted(pool.changed.items())], columns=CHANGE_NAMES).astype({"chunk_id": object, "part": "Int32"})
+
+
+def _follower(capacity: int, options: dict, tell):
+    """A stateful processor that applies each micro-batch as a tick and yields what tell(pool, cloud) makes of it."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Follow(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getValueState("pool", "json string")
+            self.state = StatePool(handle)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            pool = Pool.from_json(self.state.get()[0]) if self.state.exists() else Pool.new(capacity, **options)
-            pool.apply(*tick_of(pd.concat(list(rows))))
-            self.state.update((pool.to_json(),))
-            yield pd.DataFrame([pool.telemetry(key[0])])
+            pool = self.state.pool(capacity, **options)
+            added, removed = [], []
+            for part in rows:
+                records = _records(part)
+                added += records[0]
+                removed += records[1]
+            pool.apply(*_in_order(added, removed))
+            self.state.save(pool)
+            yield tell(pool, key[0])
 
         def close(self) -> None:
             pass
 
-    return deltas.groupBy("cloud_id").transformWithStateInPandas(Follow(), outputStructType=TELEMETRY, outputMode="Append", timeMode="None")
+    return Follow()
+
+
+def _records(rows: pd.DataFrame) -> tuple[list, list]:
+    """(seq, record) of additions and (seq, chunk) of removals."""
+    added = [(r.seq, {"chunk_id": r.chunk_id, "depth": int(r.depth), "num_points": int(r.num_points)}) for r in rows[rows["op"] == "add"].itertuples()]
+    gone = rows[rows["op"] == "remove"]
+    return added, list(zip(gone["seq"].tolist(), gone["chunk_id"].tolist(), strict=True))
+
+
+def _in_order(added: list, removed: list) -> tuple[list[dict], list[str]]:
+    by_seq = lambda r: r[0]
+    return [c for _, c in sorted(added, key=by_seq)], [c for _, c in sorted(removed, key=by_seq)]
+
+
+def follow(deltas: DataFrame, capacity: int, **options) -> DataFrame:
+    """Telemetry of each cloud's pool after each micro-batch of a stream of DELTA records.
+
+    A pool's slots are one sequence of decisions, so a cloud is one key; clouds are independent of each other. What a
+    tick writes to the state grows with its records; telling all slots reads the whole pool (see follow_changes).
+    """
+    tell = lambda pool, cloud: pd.DataFrame([pool.telemetry(cloud)])
+    return deltas.groupBy("cloud_id").transformWithStateInPandas(_follower(capacity, options, tell), outputStructType=TELEMETRY, outputMode="Append", timeMode="None")
+
+
+def follow_changes(deltas: DataFrame, capacity: int, **options) -> DataFrame:
+    """The slots that each micro-batch changes, with what they hold now: the log of a resident cloud (CHANGES)."""
+    return deltas.groupBy("cloud_id").transformWithStateInPandas(_follower(capacity, options, _changes_of), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
 def _parts(batches: Iterator[pd.DataFrame], tick: str) -> Iterator[tuple]:
@@ -227,16 +447,24 @@ def replay(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> D
     pool, however long the history. Records without a tick are passed by.
     """
     names = [c.split()[0] for c in TELEMETRY.split(", ")]
+    return _replayed(deltas, capacity, tick, options, TELEMETRY, lambda pool, cloud: pd.DataFrame([pool.telemetry(cloud)], columns=names))
+
+
+def replay_changes(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> DataFrame:
+    """As replay, of what follow_changes would tell: the slots that each tick changes."""
+    return _replayed(deltas, capacity, tick, options, CHANGES, _changes_of)
+
 
+def _replayed(deltas: DataFrame, capacity: int, tick: str, options: dict, schema: str, tell) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cloud, ticks in groupby(_parts(batches, tick), key=lambda p: p[0]):
             pool = Pool.new(capacity, **options)
             for _, parts in groupby(ticks, key=lambda p: p[1]):
                 pool.apply(*tick_of(pd.concat([records for _, _, records in parts])))
-                yield pd.DataFrame([pool.telemetry(cloud)], columns=names)
+                yield tell(pool, cloud)
 
     ordered = deltas.where(F.col(tick).isNotNull()).repartition("cloud_id").sortWithinPartitions("cloud_id", tick, "seq")
-    return ordered.mapInPandas(run, TELEMETRY)
+    return ordered.mapInPandas(run, schema)
 
 
 SLOTS = "array<struct<chunk_id: string, slot: int, first_point: bigint, num_points: int, state: int>>"
