@@ -244,12 +244,40 @@ def motion(projected: DataFrame, camera_then: Camera, config: RasterConfig, mode
     return bounded.withColumn("samples", samples).withColumns({"step_x": F.when(streak, F.col("_vx") / between).otherwise(0.0), "step_y": F.when(streak, F.col("_vy") / between).otherwise(0.0)}).drop("_x", "_y", "_z", "_w", "_vx", "_vy", "_len")
 
 
-def nearest_winners(projected: DataFrame, config: RasterConfig, camera: Camera, prefer: str = "min") -> DataFrame:
-    """px, py, depth, src_idx, rgba of the nearest point of each pixel; ties by the least (or greatest) src_idx."""
-    order = -F.col("src_idx") if prefer == "min" else F.col("src_idx")
+#: Indices below this go into one number with a depth.
+NARROW = 1 << 31
+
+
+def nearest_winners(projected: DataFrame, config: RasterConfig, camera: Camera, prefer: str = "min", wide: bool | None = None) -> DataFrame:
+    """px, py, depth, src_idx, rgba of the nearest point of each pixel; ties by the least (or greatest) src_idx.
+
+    Depth and index make one number whose order is theirs, so winners are found by hashed sums without a sort. Where
+    indices are too wide for that, the nearest depth is found first, then the index among the points at that depth. wide:
+    whether they are; looked up if it isn't known.
+    """
     seen = projected.where("depth > 0")
-    centres = seen.groupBy("cx", "cy", "radius").agg(F.max(F.struct("depth", order.alias("o"), "src_idx", "rgba")).alias("m"))
-    return splat(centres, config, camera).groupBy("px", "py").agg(F.max("m").alias("m")).select("px", "py", "m.depth", "m.src_idx", "m.rgba")
+    if wide is None:
+        ends = seen.agg(F.min("src_idx").alias("low"), F.max("src_idx").alias("high")).first()
+        wide = (ends["low"] or 0) < 0 or (ends["high"] or 0) >= NARROW
+    if wide:
+        return _winners_by_depth(seen, config, camera, prefer)
+    place = F.lit(NARROW - 1) - F.col("src_idx") if prefer == "min" else F.col("src_idx")
+    keyed = seen.select("cx", "cy", "radius", "rgba", F.shiftleft(F.col("depth").cast("bigint"), 31).bitwiseOR(place.cast("bigint")).alias("_key"))
+    best = [F.max_by("rgba", "_key").alias("rgba"), F.max("_key").alias("_key")]
+    pixels = splat(keyed.groupBy("cx", "cy", "radius").agg(*best), config, camera).groupBy("px", "py").agg(*best)
+    index = F.col("_key").bitwiseAND(F.lit(NARROW - 1).cast("bigint"))
+    return pixels.select("px", "py", F.shiftright("_key", 31).alias("depth"), (F.lit(NARROW - 1) - index if prefer == "min" else index).alias("src_idx"), "rgba")
+
+
+def _winners_by_depth(seen: DataFrame, config: RasterConfig, camera: Camera, prefer: str) -> DataFrame:
+    best = [F.min_by("rgba", "src_idx").alias("rgba"), F.min("src_idx").alias("src_idx")] if prefer == "min" else [F.max_by("rgba", "src_idx").alias("rgba"), F.max("src_idx").alias("src_idx")]
+
+    def nearest(rows: DataFrame, at: list[str]) -> DataFrame:
+        depths = rows.groupBy(*at).agg(F.max("depth").alias("depth"))
+        return rows.join(_sized(depths, config), [*at, "depth"]).groupBy(*at, "depth").agg(*best)
+
+    centres = written(nearest(seen.select("cx", "cy", "radius", "depth", "src_idx", "rgba"), ["cx", "cy", "radius"]), "centres")
+    return nearest(splat(centres, config, camera), ["px", "py"]).select("px", "py", "depth", "src_idx", "rgba")
 
 
 def accumulate(clouds: list[Cloud], camera: Camera, config: RasterConfig, camera_then: Camera | None = None) -> DataFrame:

@@ -8,23 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cloudweave.model import multiply
-from cloudweave.operators import pack, select
+from cloudweave.model import Cloud, multiply
+from cloudweave.operators import pack, raster, select
 from cloudweave.operators.tables import quantiles, shared_folder
 from cloudweave.plans import sql as q
 from cloudweave.sources import ply
 from cloudweave.sources import points as src
-from cloudweave.streaming import residency, sweep
+from cloudweave.streaming import residency, resident, sweep
 
 BUDGET = 3000
 SIDE = 20
 
 
 def deltas(spark, sf_dir):
-    """Events as change records: a user is a chunk, an error removes it, another event adds it."""
+    """Events as change records: a user is a chunk of one of 16 clouds, an error removes it, another event adds it."""
     e = src.load(spark, sf_dir, "events")
     return e.select(
-        F.lit("cloud").alias("cloud_id"),
+        F.concat(F.lit("cloud-"), F.col("user_id") % 16).alias("cloud_id"),
         F.col("event_id").cast("bigint").alias("seq"),
         F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"),
         F.col("user_id").cast("string").alias("chunk_id"),
@@ -48,27 +48,12 @@ def pinned_counts(spark, sf_dir):
     return r.agg(F.count("*").alias("chunks"), F.sum("num_points").alias("points"), F.count_if(F.col("depth") <= 1).alias("pinned"))
 
 
-def pending_antijoin(spark, sf_dir):
-    """Records that would still be placed: additions whose chunk is neither resident before them nor removed later."""
-    d = deltas(spark, sf_dir)
-    early = residency.latest_residents(d.where("seq % 2 = 0")).select("chunk_id")
-    gone = d.where("seq % 2 = 1 and op = 'remove'").select("chunk_id", F.col("seq").alias("at")).groupBy("chunk_id").agg(F.max("at").alias("at"))
-    late = d.where("seq % 2 = 1 and op = 'add'").join(early, "chunk_id", "left_anti")
-    return late.join(gone.withColumnRenamed("chunk_id", "c"), (F.col("chunk_id") == F.col("c")) & (F.col("seq") < F.col("at")), "left_anti").select("seq", "chunk_id")
-
-
-def evicted_semijoin(spark, sf_dir):
-    d = deltas(spark, sf_dir)
-    early = residency.latest_residents(d.where("seq % 2 = 0"))
-    return early.join(d.where("seq % 2 = 1 and op = 'remove'"), "chunk_id", "left_semi").select("chunk_id", "num_points")
-
-
 def _former(d, column):
     return F.lag(column).over(Window.partitionBy("chunk_id").orderBy("seq"))
 
 
 def pending_all(spark, sf_dir):
-    """As pending_antijoin, of all records: each addition is judged by its chunk's earlier and later records."""
+    """Records that would still be placed: additions whose chunk is neither resident before them nor removed later."""
     d = deltas(spark, sf_dir)
     gone = F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(Window.partitionBy("chunk_id"))
     judged = d.select("seq", "chunk_id", "op", _former(d, "op").alias("former"), gone.alias("gone"))
@@ -82,6 +67,43 @@ def evicted_all(spark, sf_dir):
     return judged.where("op = 'remove' and former = 'add'").select("seq", "chunk_id", F.col("points").alias("num_points"))
 
 
+#: Chunks of the resident clouds' points, clouds, points of a slot, and events of a tick.
+CHUNKS, CLOUDS, SLOT_POINTS, TICK = 256, 16, 64, 100
+
+
+def resident_cloud(spark, sf_dir) -> resident.ResidentCloud:
+    """Line items, in chunks by supplier, that come and go with the events of users of the same numbers."""
+    points = src.numbered_lineitem_points(spark, sf_dir, chunk=F.col("l_suppkey") % CHUNKS)
+    named = points.select(F.concat(F.lit("cloud-"), F.col("chunk") % CLOUDS).alias("cloud_id"), F.col("chunk").cast("string").alias("chunk_id"), "point_id", "x", "y", "z", "rgba")
+    placed = resident.parts(named, SLOT_POINTS)
+    sizes = placed.groupBy("cloud_id", "chunk_id").agg(F.count("*").cast("int").alias("num_points"))
+    e = src.load(spark, sf_dir, "events").select((F.col("user_id") % CHUNKS).cast("string").alias("chunk_id"), F.col("event_id").cast("bigint").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"))
+    records = e.join(F.broadcast(sizes), "chunk_id").select("cloud_id", "seq", "op", "chunk_id", F.lit(0).alias("depth"), "num_points", F.floor(F.col("seq") / TICK).alias("tick"))  # CHUNKS rows
+    # Room for all chunks, so that none has to wait: each may leave one slot not full.
+    total = sizes.agg(F.sum("num_points").alias("n")).first()["n"] or 0
+    log = residency.replay_changes(records, total // SLOT_POINTS + CHUNKS, runs=True, points_per_batch=SLOT_POINTS, upload_limit=CHUNKS)
+    held = resident.ResidentCloud(spark, f"{shared_folder(spark)}/cloudweave/resident-{uuid.uuid4().hex}", SLOT_POINTS)
+    held.commit(log, placed)
+    return held
+
+
+def resident_cloud_image(spark, sf_dir):
+    """What is resident after all events, drawn."""
+    from cloudweave.plans.catalog import CAMERA, IMAGE
+
+    return raster.accumulate([Cloud(resident_cloud(spark, sf_dir).points())], CAMERA, IMAGE)
+
+
+def resident_slots(spark, sf_dir):
+    """Slots and points that each cloud holds after all events."""
+    return resident_cloud(spark, sf_dir).slots().groupBy("cloud_id").agg(F.count("*").alias("slots"), F.sum("num_points").alias("points"), F.count_distinct("chunk_id").alias("chunks"))
+
+
+_RESIDENT = f"""evt AS (SELECT user_id % {CHUNKS} AS chunk, event_id // {TICK} AS tick, event_type <> 'error' AS added FROM events),
+res AS (SELECT chunk FROM evt GROUP BY chunk HAVING max(tick) = max(tick) FILTER (added)),
+cnk AS (SELECT * FROM lineitem WHERE l_suppkey % {CHUNKS} IN (SELECT chunk FROM res))"""
+
+
 def starvation(spark, sf_dir):
     """The pool's own telling of all records, a hundred a tick."""
     d = deltas(spark, sf_dir).withColumn("tick", F.floor(F.col("seq") / 100))
@@ -211,14 +233,17 @@ def queries() -> dict[str, tuple[Callable, str | None]]:
     from cloudweave.plans import catalog as c
 
     take = -(-BUDGET // c.PACK.points_per_batch)
-    early = _LAST.format(where="WHERE seq % 2 = 0")
+    pending = f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id FROM bef WHERE op = 'add' AND coalesce(former, 'remove') <> 'add' AND NOT EXISTS (SELECT 1 FROM del g WHERE g.op = 'remove' AND g.chunk_id = bef.chunk_id AND g.seq > bef.seq)"
+    evicted = f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id, points AS num_points FROM bef WHERE op = 'remove' AND former = 'add'"
     return {
         "pool_apply_delta": (pool_apply_delta, f"WITH {_DELTA}, {_LAST.format(where='')} SELECT chunk_id, depth, num_points FROM lst_ WHERE op = 'add'"),
         "pinned_counts": (pinned_counts, f"WITH {_DELTA}, {_LAST.format(where='')} SELECT count(*) AS chunks, sum(num_points)::BIGINT AS points, count(*) FILTER (depth <= 1) AS pinned FROM lst_ WHERE op = 'add'"),
-        "pending_antijoin": (pending_antijoin, f"WITH {_DELTA}, {early}, res AS (SELECT chunk_id FROM lst_ WHERE op = 'add') SELECT seq, chunk_id FROM del WHERE seq % 2 = 1 AND op = 'add' AND chunk_id NOT IN (SELECT chunk_id FROM res) AND NOT EXISTS (SELECT 1 FROM del g WHERE g.seq % 2 = 1 AND g.op = 'remove' AND g.chunk_id = del.chunk_id AND g.seq > del.seq)"),
-        "evicted_semijoin": (evicted_semijoin, f"WITH {_DELTA}, {early} SELECT chunk_id, num_points FROM lst_ WHERE op = 'add' AND chunk_id IN (SELECT chunk_id FROM del WHERE seq % 2 = 1 AND op = 'remove')"),
-        "pending_all": (pending_all, f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id FROM bef WHERE op = 'add' AND coalesce(former, 'remove') <> 'add' AND NOT EXISTS (SELECT 1 FROM del g WHERE g.op = 'remove' AND g.chunk_id = bef.chunk_id AND g.seq > bef.seq)"),
-        "evicted_all": (evicted_all, f"WITH {_DELTA}, {_BEFORE} SELECT seq, chunk_id, points AS num_points FROM bef WHERE op = 'remove' AND former = 'add'"),
+        "pending_antijoin": (pending_all, pending),
+        "evicted_semijoin": (evicted_all, evicted),
+        "pending_all": (pending_all, pending),
+        "evicted_all": (evicted_all, evicted),
+        "resident_cloud_image": (resident_cloud_image, c.with_(_RESIDENT, q.PTS.replace("FROM lineitem", "FROM cnk"), q.average_pixels(c.CAMERA, c.IMAGE, c.RADIUS), select=q.PIXELS)),
+        "resident_slots": (resident_slots, f"WITH {_RESIDENT}, siz AS (SELECT l_suppkey % {CHUNKS} AS chunk, count(*) AS n FROM cnk GROUP BY 1) SELECT 'cloud-' || (chunk % {CLOUDS}) AS cloud_id, sum((n + {SLOT_POINTS - 1}) // {SLOT_POINTS})::BIGINT AS slots, sum(n)::BIGINT AS points, count(*) AS chunks FROM siz GROUP BY 1"),
         "starvation": (starvation, None),
         "settle_state": (settle_state, _SETTLE),
         "sweep_chunks": (sweep_chunks, "WITH " + c._PACKED + f"\nSELECT new_id::BIGINT AS new_id, num_points, (new_id // {take})::BIGINT AS chunk FROM zon"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
@@ -33,15 +33,15 @@ def _rgba(r: str, gr: str, b: str):
     return byte(r) + F.shiftleft(byte(gr), 8) + F.shiftleft(byte(b), 16) + F.lit(255 << 24).cast("bigint")
 
 
-def numbered_lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with point_id, the place in the order of all columns of the table.
+def numbered_lineitem_points(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """The same with point_id, the place in the order of all columns of the table, and more columns of those that are read.
 
     Columns behind the last of those that make a point only tell rows apart whose points are equal, so they are not read.
     """
     places = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *places[3:])
     ordered = ranked(rows, "l_orderkey", [c for c in rows.columns if c != "l_orderkey"], "point_id", keep=places)
-    return ordered.select("point_id", *_lineitem_place())
+    return ordered.select("point_id", *_lineitem_place(), *(c.alias(n) for n, c in more.items()))
 
 
 def orders_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.operators.tables import ranked_within
+from cloudweave.streaming.slots import FreeSlots
 
 UPLOAD_LIMIT = 32
 #: Share of a new sample in the running decode rate, and the shortest time that makes a sample, in seconds.
@@ -81,8 +82,9 @@ class Pool:
             self.pending = Queue(self.pending)
 
     @classmethod
-    def new(cls, capacity: int, **options) -> Pool:
-        return cls(capacity, free=list(range(capacity - 1, -1, -1)), **options)
+    def new(cls, capacity: int, runs: bool = False, **options) -> Pool:
+        """An empty pool. runs: chunks lie in slots that are together, where there are such."""
+        return cls(capacity, free=FreeSlots(capacity) if runs else list(range(capacity - 1, -1, -1)), **options)
 
     @classmethod
     def from_json(cls, text: str) -> Pool:
@@ -95,6 +97,8 @@ class Pool:
         return max(1, -(-num_points // self.points_per_batch))
 
     def add_batches(self, num_points: int) -> list[int]:
+        if isinstance(self.free, FreeSlots) and (first := self.free.reserve(self._needed(num_points))) is not None:
+            return list(range(first, first + self._needed(num_points)))
         return [self.free.pop() for _ in range(self._needed(num_points))]
 
     def place(self, chunk: dict) -> None:

@@ -81,6 +81,9 @@ class FreeSlots:
         if len(self._stack) > 4 * self.capacity + 64:
             self._stack = [e for e in self._stack if self._stamp.get(e[0]) == e[1] and e[0] in self]
 
+    def append(self, slot: int) -> None:
+        self.release([slot])
+
     def _take(self, first: int, end: int) -> None:
         k = bisect_right(self._first, first) - 1
         a, b = self._first[k], self._end[k]

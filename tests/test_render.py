@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,24 @@ def test_hash_and_planes(spark):
     got = spark.createDataFrame([(v,) for v in values], "v bigint").select(g.hash_unit(F.col("v"))).collect()
     assert [r[0] for r in got] == [plain(v) for v in values]
     assert all(math.isclose(a * a + b * b + c * c, 1) for a, b, c, _ in g.frustum_planes(CAMERA.clip()))
+
+
+@pytest.mark.parametrize("prefer", ["min", "max"])
+@pytest.mark.parametrize("config", [RasterConfig(width=24, height=24, point_size_scale=3.0), RasterConfig(width=24, height=24, point_size_mode=PointSize.WORLD, point_size_scale=0.05, maximum_point_size=5.0)])
+def test_winners_by_key_and_by_depth_agree(spark, prefer, config):
+    rng = random.Random(17)
+    rows = [(i, *(round(rng.uniform(-0.5, 0.5), 1) for _ in range(3)), rng.randrange(1 << 32)) for i in range(3000)]
+    points = spark.createDataFrame(rows, "src_idx bigint, x double, y double, z double, rgba bigint").where("src_idx % 3 <> 1")
+    camera = standard_camera()
+    seen = raster.project(points, camera, config)
+    narrow, by_depth = (raster.nearest_winners(seen, config, camera, prefer, wide=w) for w in (False, True))
+    far = raster.nearest_winners(seen.withColumn("src_idx", F.col("src_idx") + (1 << 40)), config, camera, prefer)
+    got = sorted(map(tuple, narrow.collect()))
+    assert got and got == sorted(map(tuple, by_depth.collect())) == sorted((x, y, d, i - (1 << 40), c) for x, y, d, i, c in far.collect())
+    pixels = {}
+    for r in raster.splat(seen, config, camera).collect():
+        order = (r.depth, -r.src_idx if prefer == "min" else r.src_idx)
+        pixels[r.px, r.py] = max(pixels.get((r.px, r.py), ((-1, 0), 0)), (order, r.rgba))
+    assert got == sorted((x, y, d, abs(i), c) for (x, y), ((d, i), c) in pixels.items() if d > 0)
+    for plan in (narrow, by_depth):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
