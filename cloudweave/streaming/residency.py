@@ -410,6 +410,93 @@ def _follower(capacity: int, options: dict, tell):
     return Follow()
 
 
+#: All that is told of a pool at a time.
+SNAPSHOT = (
+    "cloud_id string, tick bigint, state string, pool_capacity int, free_slots int, resident_chunks bigint, resident_points bigint, pinned_chunks bigint, pending_chunks bigint, "
+    "decode_in_flight bigint, decode_pending bigint, decoded_points_per_second double, uploaded_chunks bigint, evicted_chunks bigint, dropped_chunks bigint, starved_ticks bigint, last_error string"
+)
+SNAPSHOT_NAMES = [c.split()[0] for c in SNAPSHOT.split(", ")]
+#: How long a pool with waiting chunks waits for records before it has a tick without any, in milliseconds.
+IDLE_MS = 200
+
+
+class Clock:
+    """The decode rate by the clock: when it was sampled last, the points since, and the rate."""
+
+    def __init__(self, sampled: int | None = None, points: int = 0, rate: float | None = None) -> None:
+        self.sampled, self.points, self.rate = sampled, points, rate
+
+    def add(self, points: int, now: int) -> None:
+        """Points that were decoded until now (milliseconds); the first call begins the first sample."""
+        if self.sampled is None:
+            self.sampled = now
+            return
+        self.points += points
+        seconds = (now - self.sampled) / 1000
+        if seconds >= LEAST_SAMPLE:
+            self.rate = decode_rate(self.rate, self.points, seconds)
+            self.sampled, self.points = now, 0
+
+
+def follow_snapshots(deltas: DataFrame, capacity: int, idle_ms: int = IDLE_MS, **options) -> DataFrame:
+    """A SNAPSHOT of each cloud's pool after each micro-batch, and after each tick that a timer makes.
+
+    deltas: DELTA records, with any of in_flight, decode_pending (of the source), settled, budget_limited (of the camera's
+    wanted chunks). Rates are by the processing time of micro-batches. A pool with waiting chunks that could be placed
+    goes on without new records: a timer gives it a tick every idle_ms.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    more = [c for c in ("in_flight", "decode_pending", "settled", "budget_limited") if c in deltas.columns]
+
+    class Snapshots(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.state = handle, StatePool(handle)
+            self.clock = handle.getValueState("clock", "sampled bigint, points bigint, rate double")
+            self.told = handle.getValueState("told", "in_flight bigint, decode_pending bigint, settled boolean, budget_limited boolean")
+
+        def _tick(self, key, added: list, removed: list, points: int, told: tuple, now: int) -> pd.DataFrame:
+            pool = self.state.pool(capacity, **options)
+            pool.apply(added, removed)
+            self.state.save(pool)
+            clock = Clock(*self.clock.get()) if self.clock.exists() else Clock()
+            clock.add(points, now)
+            self.clock.update((clock.sampled, clock.points, clock.rate))
+            for timer in list(self.handle.listTimers()):
+                at = timer[0] if isinstance(timer, tuple) else timer
+                if at > now:  # one that has expired goes by itself
+                    self.handle.deleteTimer(at)
+            if len(pool.pending) and not pool.blocked:
+                self.handle.registerTimer(now + idle_ms)
+            in_flight, decode_pending, settled, limited = told
+            row = {
+                "cloud_id": key[0], "tick": pool.tick, "state": settle_state(settled, len(pool.pending) + decode_pending, pool.blocked, limited), "pool_capacity": capacity, "free_slots": len(pool.free),
+                "resident_chunks": len(pool.resident), "resident_points": pool.points, "pinned_chunks": pool.pinned, "pending_chunks": len(pool.pending), "decode_in_flight": in_flight, "decode_pending": decode_pending,
+                "decoded_points_per_second": clock.rate or 0.0, "uploaded_chunks": pool.uploaded, "evicted_chunks": pool.evicted, "dropped_chunks": pool.dropped, "starved_ticks": pool.starved, "last_error": pool.last_error,
+            }
+            return pd.DataFrame([row], columns=SNAPSHOT_NAMES)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            added, removed, last = [], [], {}
+            for part in rows:
+                records = _records(part)
+                added += records[0]
+                removed += records[1]
+                last |= {c: part[c].max() for c in more if part[c].notna().any()}
+            told = (int(last.get("in_flight", 0)), int(last.get("decode_pending", 0)), bool(last.get("settled", True)), bool(last.get("budget_limited", False)))
+            self.told.update(told)
+            yield self._tick(key, *_in_order(added, removed), sum(c["num_points"] for _, c in added), told, timer_values.getCurrentProcessingTimeInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            told = tuple(self.told.get()) if self.told.exists() else (0, 0, True, False)
+            yield self._tick(key, [], [], 0, told, timerValues.getCurrentProcessingTimeInMs())
+
+        def close(self) -> None:
+            pass
+
+    return deltas.groupBy("cloud_id").transformWithStateInPandas(Snapshots(), outputStructType=SNAPSHOT, outputMode="Append", timeMode="ProcessingTime")
+
+
 def _records(rows: pd.DataFrame) -> tuple[list, list]:
     """(seq, record) of additions and (seq, chunk) of removals."""
     added = [(r.seq, {"chunk_id": r.chunk_id, "depth": int(r.depth), "num_points": int(r.num_points)}) for r in rows[rows["op"] == "add"].itertuples()]
