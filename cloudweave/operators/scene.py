@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from dataclasses import replace
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from cloudweave.model import IDENTITY, Camera, Cloud, Matrix, PackConfig, RasterConfig
 from cloudweave.operators import pack, raster, resolve, select
-from cloudweave.streaming.sweep import SelectCache
+from cloudweave.operators.tables import shared_folder
+from cloudweave.operators.versions import Versions
+from cloudweave.streaming.sweep import DurableSweep, EvenSizes, SelectCache
 
 #: Images of more pixels are not brought to the driver as a picture.
 PICTURE_PIXELS = 1 << 26
@@ -22,11 +25,14 @@ class Scene:
     """Clouds by name, in the order in which they were added; packed ones are selected for each camera.
 
     A cloud that is replaced keeps its name and place, and its generation goes up, so cached selections of it are not
-    used again.
+    used again. With lod_points_per_frame packed clouds are swept: each frame of a view selects some batches, as its
+    camera sees them, and draws the last complete sweep. folder: where sweeps are kept; a scene on the same folder goes
+    on with them.
     """
 
-    def __init__(self, config: RasterConfig = RasterConfig()) -> None:
+    def __init__(self, config: RasterConfig = RasterConfig(), folder: str | None = None) -> None:
         self.config = config
+        self._folder = folder
         self._clouds: dict[str, Cloud] = {}
         self._packed: dict[str, pack.PackedCloud] = {}
         self._generation: dict[str, int] = {}
@@ -41,10 +47,12 @@ class Scene:
             self._packed.pop(name, None)
         self._clouds[name] = Cloud(points if "src_idx" in points.columns or "point_id" not in points.columns else points.withColumn("src_idx", F.col("point_id")), model, name, visible)
         self._generation[name] = self._generation.get(name, -1) + 1
+        self.cache.forget(name)
 
     def remove(self, name: str) -> None:
         for table in (self._clouds, self._packed):
             table.pop(name, None)
+        self.cache.forget(name)
 
     def show(self, name: str, visible: bool) -> None:
         self._clouds[name] = replace(self._clouds[name], visible=visible)
@@ -68,21 +76,43 @@ class Scene:
     def generation(self, name: str) -> int:
         return self._generation[name]
 
-    def selected(self, camera: Camera) -> list[Cloud]:
-        """The visible clouds as they are drawn; selections of packed ones come from the cache where nothing changed."""
+    def selected(self, camera: Camera, view: str = "main") -> list[Cloud]:
+        """The visible clouds as they are drawn; selections of packed ones come from the cache where nothing changed, or from
+        the last complete sweep."""
         out = []
         for name in self.visible_clouds:
             c = self._clouds[name]
-            if name in self._packed:
-                points = self.cache.get(name, self._generation[name], camera, self.config, c.model, lambda n=name, m=c.model: select.select_points(self._packed[n], camera, self.config, m))
+            if name in self._packed and self.config.lod_points_per_frame > 0:
+                swept = self.sweep(name, camera, view)
+                swept.advance(self.config)
+                if (points := swept.front) is None:
+                    continue  # a cloud without points
+                c = replace(c, points=points)
+            elif name in self._packed:
+                points = self.cache.get(name, self._generation[name], camera, self.config, c.model, lambda n=name, m=c.model: select.kept_selection(self._packed[n], camera, self.config, m))
                 c = replace(c, points=points)
             out.append(c)
         return out
 
+    def sweep(self, name: str, camera: Camera, view: str = "main") -> DurableSweep:
+        """A cloud's sweep for a view, as the next frame of this camera goes on with it."""
+        packed, model = self._packed[name], self._clouds[name].model
+        if self._folder is None:
+            self._folder = f"{shared_folder(packed.batches.sparkSession)}/cloudweave/sweeps-{uuid.uuid4().hex}"
+        points = packed.batches.agg(F.sum("num_points").alias("n"), F.max(F.when(F.col("num_points") < packed.config.points_per_batch, F.col("new_id"))).alias("short")).first()
+
+        def chosen(first: int, stop: int) -> DataFrame:
+            part = replace(packed, batches=packed.batches.where((F.col("new_id") >= first) & (F.col("new_id") < stop)))
+            return select.selected_points(part, camera, self.config, model)
+
+        folder = "-".join(zlib.crc32(n.encode()).to_bytes(4, "big").hex() for n in (name, view))
+        sizes = EvenSizes(points["n"] or 0, packed.config.points_per_batch, points["short"])
+        return DurableSweep(Versions(packed.batches.sparkSession, f"{self._folder}/{folder}"), sizes, chosen, self.config.lod_points_per_frame, f"{name} {self._generation[name]}")
+
     def render(self, camera: Camera, camera_then: Camera | None = None, view: str = "main") -> DataFrame:
         """The image of a frame; motion is measured from the last frame of the same view, if no other camera is given."""
         then, self._seen[view] = camera_then or self._seen.get(view), camera
-        return resolve.render(self.selected(camera), camera, self.config, then)
+        return resolve.render(self.selected(camera, view), camera, self.config, then)
 
     def forget(self, view: str = "main") -> None:
         """The next frame of a view has none before it."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Matrix, RasterConfig
 from cloudweave.operators.pack import PackedCloud
-from cloudweave.operators.tables import pinned, ranked, written
+from cloudweave.operators.tables import pinned, ranked, written, written_at
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
@@ -53,7 +53,12 @@ def select_points(packed: PackedCloud, camera: Camera, config: RasterConfig, mod
     Only the files of blocks and levels that the visible batches ask for are read. The selection is written to the shared
     folder: it is asked for by depth and by colour, and by later frames of the same camera.
     """
-    return written(selected_points(packed, camera, config, model), "selected")
+    return kept_selection(packed, camera, config, model)[0]
+
+
+def kept_selection(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> tuple[DataFrame, str]:
+    """As select_points, with the path of the table, for one who deletes it."""
+    return written_at(selected_points(packed, camera, config, model), "selected")
 
 
 def selected_points(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloudweave.model import Cloud, multiply
 from cloudweave.operators import pack, raster, select
 from cloudweave.operators.tables import quantiles, shared_folder
+from cloudweave.operators.versions import Versions
 from cloudweave.plans import sql as q
 from cloudweave.sources import ply
 from cloudweave.sources import points as src
@@ -129,26 +130,26 @@ def sweep_chunks(spark, sf_dir):
 
 
 def sweep_publish(spark, sf_dir):
-    """The front set after a first full sweep, a restart, and one sweep in budgeted chunks."""
-    from cloudweave.plans.catalog import CLOSE, IMAGE, packed
+    """The front set after a first full sweep, and one in budgeted chunks that another driver ends."""
+    from cloudweave.plans.catalog import CLOSE, IMAGE, PACK, packed
 
     c = packed(spark, sf_dir)
-    total = c.batches.agg(F.sum("num_points").alias("n")).first()["n"] or 0
-    chunks = sweep.chunk_table(c.batches, max(1, total // 2))
-    # One number for each frame of a sweep, not for each batch.
-    sizes = [r["n"] for r in chunks.groupBy("chunk").agg(F.sum("num_points").alias("n")).orderBy("chunk").collect()]
-    placed = c.batches.join(chunks.select("new_id", "chunk"), "new_id")
+    known = c.batches.agg(F.sum("num_points").alias("n"), F.max(F.when(F.col("num_points") < PACK.points_per_batch, F.col("new_id"))).alias("short")).first()
+    sizes = sweep.EvenSizes(known["n"] or 0, PACK.points_per_batch, known["short"])
 
     def part(first: int, stop: int):
-        chosen = placed.where((F.col("chunk") >= first) & (F.col("chunk") < stop)).drop("chunk")
-        return select.select_points(pack.PackedCloud(c.points, chosen, c.bounds, c.config), CLOSE, IMAGE)
-
-    driver = sweep.SweepDriver(sizes, part, budget=1)
-    driver.advance()
-    driver.restart()
-    while not driver.advance():
+        chosen = c.batches.where((F.col("new_id") >= first) & (F.col("new_id") < stop))
+        return select.selected_points(pack.PackedCloud(c.points, chosen, c.bounds, c.config), CLOSE, IMAGE)
+
+    folder = f"{shared_folder(spark)}/cloudweave/sweep-{uuid.uuid4().hex}"
+    driver = lambda: sweep.DurableSweep(Versions(spark, folder), sizes, part, budget=max(1, (known["n"] or 0) // 2))
+    first = driver()
+    first.advance()
+    first.advance()
+    second = driver()
+    while not second.advance():
         pass
-    return driver.front.select("src_idx", "point_id")
+    return second.front.select("src_idx", "point_id")
 
 
 def running_budget(spark, sf_dir):
