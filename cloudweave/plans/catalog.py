@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -160,9 +161,14 @@ def _(spark, sf_dir):
     return numbered(spark, sf_dir).select("point_id", g.hash_unit(F.col("point_id")).alias("h"))
 
 
-@query("cube_grid", "SELECT i AS point_id, (i % 24) / 23.0::DOUBLE - 0.5 AS x, (i // 24 % 24) / 23.0::DOUBLE - 0.5 AS y, (i // 576) / 23.0::DOUBLE - 0.5 AS z, " + " + ".join(f"(floor(({e}) / 23.0::DOUBLE * 255.0::DOUBLE)::BIGINT << {8 * k})" for k, e in enumerate(("i % 24", "i // 24 % 24", "i // 576"))) + " + 4278190080 AS rgba FROM range(13824) t(i)")
+_AXIS = "greatest(2, floor(cbrt(n))::BIGINT)"
+_GRID = {"x": "i % k", "y": "i // k % k", "z": "i // (k * k)"}
+
+
+@query("cube_grid", f"WITH siz AS (SELECT {_AXIS} AS k FROM (SELECT count(*) AS n FROM part)), grd AS (SELECT i, k FROM siz, range((SELECT k * k * k FROM siz)) t(i)) SELECT i AS point_id, " + ", ".join(f"({e}) / (k - 1)::DOUBLE - 0.5 AS {a}" for a, e in _GRID.items()) + ", " + " + ".join(f"(floor(({e}) / (k - 1)::DOUBLE * 255.0::DOUBLE)::BIGINT << {8 * s})" for s, e in enumerate(_GRID.values())) + " + 4278190080 AS rgba FROM grd")
 def _(spark, sf_dir):
-    return src.cube_grid(spark, 24)
+    """A grid of as many points as there are parts, or somewhat fewer."""
+    return src.cube_grid(spark, max(2, math.floor(round(src.load(spark, sf_dir, "part").count() ** (1 / 3), 9))))
 
 
 _LOOKED_UP = with_(_PACKED, select="SELECT i, batch_id::BIGINT AS batch_id, (i - first_point)::BIGINT AS local_idx FROM range((SELECT count(*) FROM pts)) t(i) JOIN zon ON first_point <= i AND i < first_point + num_points")

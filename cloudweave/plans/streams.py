@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cloudweave.functions import geometry as g
 from cloudweave.model import Cloud, multiply
 from cloudweave.operators import pack, raster, select
 from cloudweave.operators.tables import quantiles, shared_folder
@@ -18,7 +19,6 @@ from cloudweave.sources import points as src
 from cloudweave.streaming import residency, resident, sweep
 
 BUDGET = 3000
-SIDE = 20
 
 
 def deltas(spark, sf_dir):
@@ -112,15 +112,17 @@ def starvation(spark, sf_dir):
 
 
 def settle_state(spark, sf_dir):
-    rows = [(s, p, b, c) for s in (True, False) for p in (0, 3) for b in (True, False) for c in (True, False)]
-    t = spark.createDataFrame(rows, "settled boolean, pending int, blocked boolean, budget boolean")
-    return t.withColumn("state", residency.settle_column(*(F.col(c) for c in ("settled", "pending", "blocked", "budget"))))
+    """Events as moments of a stream: whether it has settled, what waits, and what holds it back."""
+    e = src.load(spark, sf_dir, "events")
+    flags = {"settled": F.col("event_type") != "signup", "pending": (F.col("event_id") % 3).cast("int"), "blocked": F.col("value") > 50, "budget": F.col("user_id") % 2 == 0}
+    t = e.select("event_id", *(c.alias(n) for n, c in flags.items()))
+    return t.withColumn("state", residency.settle_column(*(F.col(c) for c in flags)))
 
 
-_SETTLE = """SELECT s AS settled, p::BIGINT AS pending, b AS blocked, c AS budget,
+_SETTLE = """SELECT event_id, s AS settled, p::BIGINT AS pending, b AS blocked, c AS budget,
 CASE WHEN NOT s OR (p > 0 AND NOT b) THEN 'streaming' WHEN NOT c AND NOT b THEN 'settled(full)'
 ELSE 'settled(clamped(byBudget=' || c::VARCHAR || ', byPool=' || b::VARCHAR || '))' END AS state
-FROM (VALUES (true), (false)) t1(s), (VALUES (0), (3)) t2(p), (VALUES (true), (false)) t3(b), (VALUES (true), (false)) t4(c)"""
+FROM (SELECT event_id, event_type <> 'signup' AS s, event_id % 3 AS p, value > 50 AS b, user_id % 2 = 0 AS c FROM events)"""
 
 
 def sweep_chunks(spark, sf_dir):
@@ -191,43 +193,39 @@ SELECT user_id, round(CASE WHEN len(rates) > 0 THEN list_reduce(rates, lambda a,
 
 
 def frame_matrices(spark, sf_dir):
+    """Orders in clip space, by the product of projection, view and model."""
     from cloudweave.plans.catalog import CAMERA, MOVED
 
     m = multiply(CAMERA.projection, CAMERA.view, MOVED)
-    return spark.createDataFrame([(k, round(v, 9)) for k, v in enumerate(m)], "k int, v double")
+    rows = src.orders_points(spark, sf_dir)
+    return rows.select("point_id", *(F.round(g.transform_row(m, k, *(F.col(a) for a in "xyz")), 9).alias(f"clip_{n}") for k, n in enumerate("xyzw")))
 
 
 def ply_roundtrip(spark, sf_dir):
-    """A grid as a PLY file in the shared folder, read back."""
-    from pyarrow import fs
-
-    grid = [(x / (SIDE - 1) - 0.5, y / (SIDE - 1) - 0.5, z / (SIDE - 1) - 0.5, 255 * x // (SIDE - 1), 255 * y // (SIDE - 1), 255 * z // (SIDE - 1)) for z in range(SIDE) for y in range(SIDE) for x in range(SIDE)]
-    folder = f"{shared_folder(spark)}/cloudweave/ply-{uuid.uuid4().hex}"
-    system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-    system.create_dir(inner)
-    with system.open_output_stream(f"{inner}/grid.ply") as f:
-        f.write(ply.ply_bytes(grid))
-    ply.register(spark)
-    return spark.read.format("ply").option("range_rows", 3000).load(f"{folder}/grid.ply").select("point_id", "x", "y", "z", "r", "g", "b", "a")
+    """Line items as PLY files of both kinds in the shared folder, read back."""
+    points, out = src.lineitem_points(spark, sf_dir), None
+    for kind in ("ascii", "binary_little_endian"):
+        folder = f"{shared_folder(spark)}/cloudweave/ply-{uuid.uuid4().hex}"
+        files = [r["path"] for r in ply.save(points, folder, kind, rows=10_000).collect()]  # a row a file
+        back = ply.load(spark, sorted(files), range_bytes=1 << 20).select(F.lit(kind).alias("kind"), "x", "y", "z", "r", "g", "b", "a")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
-def _grid_sql() -> str:
-    n = SIDE - 1
-    at = {"x": f"(i % {SIDE})", "y": f"(i // {SIDE} % {SIDE})", "z": f"(i // {SIDE * SIDE})"}
-    place = ", ".join(f"({c} / {n}.0::DOUBLE - 0.5::DOUBLE)::REAL::DOUBLE AS {a}" for a, c in at.items())
-    colour = ", ".join(f"(255 * {c} // {n}) / 255.0::DOUBLE AS {k}" for k, c in zip("rgb", at.values(), strict=True))
-    return f"SELECT i AS point_id, {place}, {colour}, 1.0::DOUBLE AS a FROM range({SIDE**3}) t(i)"
+_PLY = "SELECT kind, " + ", ".join(f"{a}::REAL::DOUBLE AS {a}" for a in "xyz") + ", " + ", ".join(f"{q.channel(k)} / CAST(255 AS DOUBLE) AS {n}" for k, n in enumerate("rgb")) + ", CAST(1 AS DOUBLE) AS a FROM pts, (VALUES ('ascii'), ('binary_little_endian')) t(kind)"
 
 
 def _matrix_sql(factors: dict) -> str:
-    """The product of column-major matrices, worked out from their cells."""
+    """Points times the product of column-major matrices, worked out from their cells."""
     cells = ",\n".join(f"{n} AS (SELECT k % 4 AS r, k // 4 AS c, v FROM (VALUES " + ", ".join(f"({k}, {q.d(v)})" for k, v in enumerate(m)) + ") t(k, v))" for n, m in factors.items())
     first, *rest = factors
     steps, done = [], first
     for n in rest:
         steps.append(f"{done}{n} AS (SELECT a.r, b.c, sum(a.v * b.v) AS v FROM {done} a JOIN {n} b ON a.c = b.r GROUP BY a.r, b.c)")
         done += n
-    return f"WITH {cells},\n" + ",\n".join(steps) + f"\nSELECT (c * 4 + r)::BIGINT AS k, round(v, 9) + 0.0 AS v FROM {done}"
+    clip = ", ".join(f"round(sum(v * CASE c WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN z ELSE 1 END) FILTER (r = {k}), 9) + 0.0 AS clip_{n}" for k, n in enumerate("xyzw"))
+    points = q.ORD.replace("SELECT ", "SELECT o_orderkey AS point_id, ", 1)
+    return f"WITH {points}, {cells},\n" + ",\n".join(steps) + f"\nSELECT point_id, {clip} FROM pts2, {done} GROUP BY point_id"
 
 
 def queries() -> dict[str, tuple[Callable, str | None]]:
@@ -255,5 +253,5 @@ def queries() -> dict[str, tuple[Callable, str | None]]:
         "timing_summary": (timing_summary, "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type"),
         "decode_rates": (decode_rates, _RATES),
         "frame_matrices": (frame_matrices, _matrix_sql({"p": c.CAMERA.projection, "v": c.CAMERA.view, "m": c.MOVED})),
-        "ply_roundtrip": (ply_roundtrip, _grid_sql()),
+        "ply_roundtrip": (ply_roundtrip, f"WITH {q.PTS} {_PLY}"),
     }
