@@ -30,9 +30,8 @@ def main(args: list[str] | None = None) -> int:
     from cloudweave.sources import ply, points
 
     spark = SparkSession.builder.getOrCreate()
-    ply.register(spark)
     scene = Scene(RasterConfig(width=given.size, height=given.size))
-    clouds = {p: points.with_rgba(spark.read.format("ply").option("skip_bad_files", "true").load(p)) for p in paths}
+    clouds = {p: points.with_rgba(ply.load(spark, [p], skip_bad_files=True)) for p in paths}
     for name, cloud in clouds.items():
         scene.add(name, cloud, packing=PackConfig(points_per_batch=given.points_per_batch))
     b = pack.union_bounds(list(clouds.values())).first()

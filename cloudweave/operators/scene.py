@@ -8,11 +8,12 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.model import IDENTITY, Camera, Cloud, Matrix, PackConfig, RasterConfig
-from cloudweave.operators import pack, raster, resolve, select
+from cloudweave.operators import features, pack, raster, resolve, select
+from cloudweave.operators.history import DisplacementHistory
 from cloudweave.operators.tables import shared_folder
 from cloudweave.operators.versions import Versions
 from cloudweave.streaming.sweep import DurableSweep, EvenSizes, SelectCache
@@ -37,6 +38,8 @@ class Scene:
         self._packed: dict[str, pack.PackedCloud] = {}
         self._generation: dict[str, int] = {}
         self._seen: dict[str, Camera] = {}
+        self._moves: dict[str, Column] = {}
+        self._history: DisplacementHistory | None = None
         self.cache = SelectCache()
 
     def add(self, name: str, points: DataFrame, model: Matrix = IDENTITY, visible: bool = True, packing: PackConfig | None = None) -> None:
@@ -47,12 +50,19 @@ class Scene:
             self._packed.pop(name, None)
         self._clouds[name] = Cloud(points if "src_idx" in points.columns or "point_id" not in points.columns else points.withColumn("src_idx", F.col("point_id")), model, name, visible)
         self._generation[name] = self._generation.get(name, -1) + 1
-        self.cache.forget(name)
+        self._forget(name)
 
     def remove(self, name: str) -> None:
         for table in (self._clouds, self._packed):
             table.pop(name, None)
+        self._forget(name)
+
+    def _forget(self, name: str) -> None:
+        """Deletes what is kept of a cloud that goes or is replaced."""
+        self._moves.pop(name, None)
         self.cache.forget(name)
+        if self._history:
+            self._history.forget(cloud=name)
 
     def show(self, name: str, visible: bool) -> None:
         self._clouds[name] = replace(self._clouds[name], visible=visible)
@@ -62,6 +72,36 @@ class Scene:
         c = self._clouds[name]
         self._clouds[name] = replace(c, model=model, previous_model=c.model)
 
+    def displace(self, name: str, delta: Column | None) -> None:
+        """Sets how a cloud's points move from now on: a struct of dx, dy, dz of each point; None: not at all.
+
+        With motion blur, each view remembers where its last frame had them; a cloud that isn't packed is stored once in
+        the buckets of that memory.
+        """
+        if delta is None:
+            self._moves.pop(name, None)
+            return
+        if name not in self._moves and name not in self._packed and self.config.motion_blur > 0:
+            c = self._clouds[name]
+            self._clouds[name] = replace(c, points=self._memory(c.points).bucketed(name, c.points))
+        self._moves[name] = delta
+
+    def _memory(self, points: DataFrame) -> DisplacementHistory:
+        if self._history is None:
+            self._history = DisplacementHistory(points.sparkSession)
+        return self._history
+
+    def _moved(self, cloud: Cloud, view: str) -> Cloud:
+        """A cloud with its displacement of this frame, and, for motion, that of the view's last one."""
+        if cloud.name not in self._moves or not self.config.apply_displacement:
+            return cloud
+        points = features.with_displacement(cloud.points, self._moves[cloud.name])
+        if self.config.motion_blur > 0:
+            memory = self._memory(points)
+            now, points = points, memory.with_former(view, cloud.name, points)
+            memory.snapshot(view, cloud.name, now)
+        return replace(cloud, points=points)
+
     def resize(self, width: int, height: int, render_scale: float | None = None) -> None:
         self.config = self.config.but(width=width, height=height, render_scale=render_scale or self.config.render_scale)
 
@@ -112,11 +152,13 @@ class Scene:
     def render(self, camera: Camera, camera_then: Camera | None = None, view: str = "main") -> DataFrame:
         """The image of a frame; motion is measured from the last frame of the same view, if no other camera is given."""
         then, self._seen[view] = camera_then or self._seen.get(view), camera
-        return resolve.render(self.selected(camera, view), camera, self.config, then)
+        return resolve.render([self._moved(c, view) for c in self.selected(camera, view)], camera, self.config, then)
 
     def forget(self, view: str = "main") -> None:
         """The next frame of a view has none before it."""
         self._seen.pop(view, None)
+        if self._history:
+            self._history.forget(view)
 
     def pick(self, name: str, ndc: tuple[float, float], camera: Camera, radius: int = 10) -> int | None:
         """The src_idx of a cloud's point at a place on screen."""

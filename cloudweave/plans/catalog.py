@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Cloud, PackConfig, PointSize, RasterConfig, look_at, multiply, perspective, scale_translate, standard_camera
 from cloudweave.operators import features, pack, raster, resolve, select
+from cloudweave.operators.history import DisplacementHistory
 from cloudweave.plans import sql as q
 from cloudweave.plans import streams
 from cloudweave.sources import points as src
@@ -365,11 +366,11 @@ def _(spark, sf_dir):
     return raster.accumulate([Cloud(tinted(spark, sf_dir, discard=True))], CAMERA, IMAGE.but(apply_tint=True))
 
 
-def _motion_sql() -> str:
-    m, (w, h) = THEN.clip(), BLUR.size
+def _motion_sql(then: Camera = THEN, x: str = "x", y: str = "y", z: str = "z") -> str:
+    m, (w, h) = then.clip(), BLUR.size
     trunc = lambda e: f"trunc({e})::BIGINT"
     half = lambda e: f"(sign({e}) * floor(abs({e}) + 0.5))::BIGINT"
-    return f"""mot_c AS (SELECT *, {q.row(m, 0)} AS ox, {q.row(m, 1)} AS oy, {q.row(m, 3)} AS ow FROM proj),
+    return f"""mot_c AS (SELECT *, {q.row(m, 0, x, y, z)} AS ox, {q.row(m, 1, x, y, z)} AS oy, {q.row(m, 3, x, y, z)} AS ow FROM proj),
 mot_p AS (SELECT *, CASE WHEN ow > 0 THEN ow ELSE 1 END AS sw FROM mot_c),
 mot_v AS (SELECT *, (cx - {trunc(f"(ox / sw * 0.5 + 0.5) * {w}")}) * {q.d(BLUR.motion_blur)} AS vx, (cy - ({h} - 1 - {trunc(f"(oy / sw * 0.5 + 0.5) * {h}")})) * {q.d(BLUR.motion_blur)} AS vy FROM mot_p),
 mot_l AS (SELECT *, sqrt(vx * vx + vy * vy) AS len0 FROM mot_v),
@@ -383,6 +384,25 @@ def _(spark, sf_dir):
     return raster.accumulate([Cloud(line(spark, sf_dir))], CAMERA, BLUR, THEN).drop("depth")
 
 
+def _swing(t: float):
+    """Points that move by where they are, more and more."""
+    return F.struct((F.col("z") * (0.02 * t)).alias("dx"), (F.col("x") * (0.03 * t)).alias("dy"), F.lit(0.0).alias("dz"))
+
+
+def _swung(t: float, x: str, y: str, z: str) -> str:
+    return f"x + z * {q.d(0.02 * t)} AS {x}, y + x * {q.d(0.03 * t)} AS {y}, z + {q.d(0.0)} AS {z}"
+
+
+@query("displaced_motion_image", with_(q.NUM.replace("pts AS", "raw AS", 1), f"pts AS (SELECT {_swung(2.0, 'x', 'y', 'z')}, {_swung(1.0, 'bx', 'by_', 'bz')}, rgba FROM raw)", q.projected("pts", CAMERA, BLUR), q.offsets(RADIUS), _motion_sql(CAMERA, "bx", "by_", "bz"), q.splats(BLUR, "mot"), _oit("spl", "1.0::DOUBLE", "samples"), select="SELECT px, py, sum_r, sum_g, sum_b, cnt FROM oit"))
+def _(spark, sf_dir):
+    """The second frame of one camera, of points that have moved since the first."""
+    memory = DisplacementHistory(spark)
+    points = memory.bucketed("line", numbered(spark, sf_dir))
+    memory.snapshot("main", "line", features.with_displacement(points, _swing(1.0)))
+    moved = memory.with_former("main", "line", features.with_displacement(points, _swing(2.0)))
+    return raster.accumulate([Cloud(moved)], CAMERA, BLUR.but(apply_displacement=True), CAMERA).drop("depth")
+
+
 _REJECT = FINE.but(enable_point_rejection=True)
 
 
