@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
 from cloudweave.model import PackConfig
-from cloudweave.operators.tables import pinned, ranked, ranked_counted, shared_folder, written
+from cloudweave.operators.tables import owned, pinned, ranked, ranked_counted, shared_folder, written
 
 AXES = ("x", "y", "z")
 #: Points of a block of a packed cloud, at most. A cloud has a block for each core at least, if it has as many batches.
@@ -203,15 +203,16 @@ def block_ranges(zones: DataFrame, levels: int) -> dict[int, list[tuple[int, int
     return {top: sorted(ranges) for top, ranges in out.items()}
 
 
-def written_layout(rows: DataFrame) -> DataFrame:
-    """Writes rows in a folder for each block and level, sorted by batch and place, and reads them back.
+def written_layout(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Writes rows in a folder for each block and level, sorted by batch and place, and reads them back; with where they are.
 
     A task writes whole blocks, so there is one file of a block and level, and a filter on these two columns chooses files.
     """
     path = f"{shared_folder(rows.sparkSession)}/cloudweave/packed-{uuid.uuid4().hex}"
     names = [c for c in rows.columns if c not in ("block", "lod_level")]
+    owned.add(path)
     rows.select(*names, "block", "lod_level").sortWithinPartitions("block", "lod_level", "batch_id", "local_idx").write.partitionBy("block", "lod_level").parquet(path)
-    return rows.sparkSession.read.schema(rows.select(*names, "block", "lod_level").schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.select(*names, "block", "lod_level").schema).parquet(path), path
 
 
 def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds | None = None, block_points: int | None = None) -> PackedCloud:
@@ -223,8 +224,10 @@ def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds |
     where they are known.
     """
     b = within or bounds(points)
-    ranks, total = ranked_counted(morton_keys(points, b), "mk", ["point_id"], "pk")
-    rows = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config), config, total, block_points)))
+    with owned(points.sparkSession) as mine:  # the ranks are done with when the cloud is packed
+        ranks, total = ranked_counted(morton_keys(points, b), "mk", ["point_id"], "pk")
+        rows, path = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config), config, total, block_points)))
+        mine.keep(path)
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:
         zones = shuffle_batches(zones, config.points_per_batch, total)

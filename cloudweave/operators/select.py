@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import IDENTITY, Camera, Matrix, RasterConfig
 from cloudweave.operators.pack import PackedCloud
-from cloudweave.operators.tables import pinned, ranked, written, written_at
+from cloudweave.operators.tables import owned, pinned, ranked, written, written_at
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
@@ -58,7 +58,10 @@ def select_points(packed: PackedCloud, camera: Camera, config: RasterConfig, mod
 
 def kept_selection(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> tuple[DataFrame, str]:
     """As select_points, with the path of the table, for one who deletes it."""
-    return written_at(selected_points(packed, camera, config, model), "selected")
+    with owned(packed.batches.sparkSession) as mine:  # the zone maps that were seen are done with
+        out, path = written_at(selected_points(packed, camera, config, model), "selected")
+        mine.keep(path)
+    return out, path
 
 
 def selected_points(packed: PackedCloud, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:

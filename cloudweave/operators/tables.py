@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,12 +29,53 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class owned:
+    """Owns the intermediate tables that are written inside its block, and deletes them when it is left.
+
+    What still reads them must be done by then, or be kept: keep(path) leaves a table to the block around, if there is
+    one. A block of one query's own (with its result written or collected inside) leaves nothing in the shared folder.
+    """
+
+    _open = threading.local()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> owned:
+        owned._stack().append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        owned._stack().remove(self)
+        for path in self.paths:
+            dropped(self.spark, path)
+
+    def keep(self, path: str) -> None:
+        self.paths.remove(path)
+        around = owned._stack().index(self) - 1
+        if around >= 0:
+            owned._stack()[around].paths.append(path)
+
+    @classmethod
+    def _stack(cls) -> list[owned]:
+        if not hasattr(cls._open, "blocks"):
+            cls._open.blocks = []
+        return cls._open.blocks
+
+    @classmethod
+    def add(cls, path: str) -> None:
+        """Gives a written table to the innermost block."""
+        if cls._stack():
+            cls._stack()[-1].paths.append(path)
+
+
 def written_at(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back, with where it is.
 
     The lineage is cut, and a lost executor loses nothing.
     """
     path = f"{shared_folder(df.sparkSession)}/cloudweave/{name}-{uuid.uuid4().hex}"
+    owned.add(path)
     (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

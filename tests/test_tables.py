@@ -1,0 +1,37 @@
+import os
+
+from cloudweave.model import PackConfig, RasterConfig, standard_camera
+from cloudweave.operators import pack, select
+from cloudweave.operators.tables import owned, shared_folder, written, written_at
+from cloudweave.sources import points as src
+
+
+def tables(spark):
+    return set(os.listdir(f"{shared_folder(spark).removeprefix('file://')}/cloudweave"))
+
+
+def test_blocks_own_what_is_written_inside(spark):
+    written(spark.range(1), "outside")
+    before = tables(spark)
+    with owned(spark) as outer:
+        written(spark.range(2), "first")
+        with owned(spark) as inner:
+            written(spark.range(3), "second")
+            kept, path = written_at(spark.range(4), "third")
+            inner.keep(path)
+        assert len(tables(spark) - before) == 2 and kept.count() == 4
+        free, path = written_at(spark.range(5), "free")
+        outer.keep(path)
+    assert len(tables(spark) - before) == 1 and free.count() == 5
+
+
+def test_a_query_of_its_own_leaves_nothing(spark):
+    written(spark.range(1), "outside")
+    before = tables(spark)
+    with owned(spark):
+        cloud = pack.pack(src.cube_grid(spark, 8), PackConfig(points_per_batch=64, coarse_divisions=4))
+        seen = select.select_points(cloud, standard_camera(), RasterConfig()).count()
+        made = {n.rsplit("-", 1)[0] for n in tables(spark) - before}
+    assert seen and made == {"packed", "zones", "selected"} and tables(spark) == before
+    cloud = pack.pack(src.cube_grid(spark, 8), PackConfig(points_per_batch=64, coarse_divisions=4))
+    assert {n.rsplit("-", 1)[0] for n in tables(spark) - before} == {"packed", "zones"} and cloud.points.count() == 512
