@@ -10,9 +10,11 @@ repeated until no piece is left. A piece finds its window from its length and it
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: (all alike) where that would make over ALL_CELLS of them, so that the driver gets no more than about as many counts.
 CELL_ROWS, ALL_CELLS = 1_000, 1 << 20
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: _row numbers the pieces of a run.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _row long"
 _PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
@@ -77,10 +80,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Cuts each text's ids (and end_id) into full windows and one rest: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Cuts each text's ids (and end_id) into full windows and one rest: doc_id, start, length, ids_crc32, doc_tokens, _row."""
 
     def make():
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        number = count(TaskContext.get().partitionId() << 40)
 
         def step(batch: pa.RecordBatch) -> dict:
             rows: list[tuple] = []
@@ -88,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
                 ids += end
                 n = len(ids) // 4
-                rows += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
+                rows += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n, next(number)) for at in range(0, n, window)]
             return dict(zip(_PIECES.names, map(list, zip(*rows, strict=True)), strict=True))
 
         return step
@@ -106,7 +110,9 @@ def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS
     sizes = {r["length"]: r["n"] for r in pieces_df.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = max(cell_rows, -(-sum(sizes.values()) // all_cells))
     spread = F.lit([max(1, -(-sizes.get(n, 0) // rows)) for n in range(window + 1)])
-    cell = F.pmod(F.xxhash64("doc_id", "start"), F.element_at(spread, (F.col("length") + 1).cast("int"))).cast("int")
+    # A document's id may be null in all rows, and rows may repeat, so the number of the written piece counts too.
+    own = [c for c in ("doc_id", "start", "_row") if c in pieces_df.columns]
+    cell = F.pmod(F.xxhash64(*own), F.element_at(spread, (F.col("length") + 1).cast("int"))).cast("int")
     celled = pieces_df.withColumn("_cell", cell)
     counts = celled.groupBy("length", "_cell").agg(F.count("*").alias("n")).orderBy("length", "_cell").toPandas()
     totals = counts.groupby("length")["n"].sum()
@@ -128,9 +134,9 @@ def place(pieces_df: DataFrame, window: int = WINDOW, cell_rows: int = CELL_ROWS
     cell_before = before.to_numpy(np.int64)
     run_key = run[:, 0] << 44 | run[:, 1]
 
-    w = Window.partitionBy("length", "_cell").orderBy("doc_id", "start")
+    w = Window.partitionBy("length", "_cell").orderBy(*own)
     ranked = celled.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    fields = [f for f in pieces_df.schema.fields]
+    fields = [f for f in pieces_df.schema.fields if f.name != "_row"]
     keep = [f.name for f in fields]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType

@@ -33,6 +33,8 @@ NOT_MODIFIED, SAME_PAYLOAD = f"{PROFILES}server-not-modified", f"{PROFILES}ident
 #: The kind that captures give a record whose length is missing, no number, or more than is left of the archive; and
 #: what is put before the profile's last part for revisits that aren't of the not-modified profile.
 MALFORMED, OTHER_REVISIT = "malformed", "revisit:"
+#: The field of records that follow a malformed one of unknown end in their archive.
+UNSURE = "unsure"
 #: Pages after which the times that archived() gives begin again.
 TIMES = 1_000_000
 
@@ -55,12 +57,17 @@ def canonical(url: str | None) -> str:
     return host + (f":{port}" if port and port != PORTS.get(parts.scheme) else "") + (path.rstrip("/") or "/") + (f"?{urlencode(query)}" if query else "")
 
 
+def one_line(value: str) -> str:
+    """A field's value with control characters and spaces as escapes, so that it can't end its line."""
+    return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: quote(m[0], safe=""), value)
+
+
 def record(kind: str, record_id: str, url: str, when: datetime, status: str, headers: list[tuple[str, str]], body: bytes = b"", refers_to: str | None = None, profile: str | None = NOT_MODIFIED) -> bytes:
     """A WARC/1.1 response or revisit record with an HTTP block."""
     http = f"HTTP/1.1 {status}\r\n{''.join(f'{k}: {v}\r\n' for k, v in headers)}\r\n".encode() + body
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", url), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%S.%fZ"))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", one_line(url)), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%S.%fZ"))]
     head += [("WARC-Payload-Digest", f"sha1:{hashlib.sha1(body).hexdigest()}")] if kind == "response" else [("WARC-Profile", profile)] if profile else []
-    head += [("WARC-Refers-To-Target-URI", refers_to)] if refers_to else []
+    head += [("WARC-Refers-To-Target-URI", one_line(refers_to))] if refers_to else []
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(http)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + b"\r\n\r\n"
 
@@ -68,11 +75,14 @@ def record(kind: str, record_id: str, url: str, when: datetime, status: str, hea
 def other_record(kind: str, record_id: str, when: datetime, content_type: str, block: bytes, url: str | None = None) -> bytes:
     """A WARC/1.1 record of another kind (warcinfo, request, metadata)."""
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%SZ"))]
-    head += [("WARC-Target-URI", url)] if url else []
+    head += [("WARC-Target-URI", one_line(url))] if url else []
     head += [("Content-Type", content_type), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+_HEAD_LINE = re.compile(rb"\n\r?\n(?=WARC/1\.)")
+
+
 def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
     head, _, rest = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
@@ -104,10 +114,12 @@ def records(data: bytes):
 
     Only responses and revisits have an HTTP response's head; others, and those of another protocol, have no status and
     no HTTP fields, and their body is the block. A record without a whole number of bytes that are there has the type
-    MALFORMED and no body; the next one is looked for behind its head.
+    MALFORMED and no body; the next one is looked for behind its head, or behind its HTTP body where that tells its own
+    length, at the beginning of a line after an empty one. Where it doesn't, a body that quotes such a head can't be told
+    from a record, so all that follows in the archive has the field UNSURE.
     """
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
+    at, sure = 0, True
+    while (at := _next_head(data, at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
@@ -115,17 +127,35 @@ def records(data: bytes):
         length = fields.get("content-length", "")
         if not re.fullmatch("[0-9]{1,18}", length) or end + 4 + int(length) > len(data):
             yield fields | {"warc-type": MALFORMED}, None, {}, b""
-            at = end + 4
+            at = _behind_http(data, end + 4)
+            sure = sure and at > end + 4
             continue
         block = data[end + 4 : end + 4 + int(length)]
-        if fields.get("warc-type") in HTTP_KINDS and block.startswith(b"HTTP/"):
-            first, headers, body = _head(block)
-            yield fields, _status(first), headers, body
-        else:
-            yield fields, None, {}, block
+        http = fields.get("warc-type") in HTTP_KINDS and block.startswith(b"HTTP/")
+        first, headers, body = _head(block) if http else ("", {}, block)
+        if not sure:
+            fields |= {UNSURE: "1"}
+        yield fields, _status(first) if http else None, headers, body
         at = end + 4 + int(length)
 
 
+def _next_head(data: bytes, at: int) -> int:
+    """Where the next record's head begins: here, or at a line's beginning after an empty line; -1 if nowhere."""
+    if data.startswith(b"WARC/1.", at):
+        return at
+    found = _HEAD_LINE.search(data, max(0, at - 3))
+    return found.end() if found else -1
+
+
+def _behind_http(data: bytes, at: int) -> int:
+    """The end of an HTTP response that begins here and tells its body's length, else here."""
+    end = data.find(b"\r\n\r\n", at) if data.startswith(b"HTTP/", at) else -1
+    if end < 0:
+        return at
+    length = _head(data[at : end + 4])[1].get("content-length", "")
+    return end + 4 + int(length) if re.fullmatch("[0-9]{1,18}", length) and end + 4 + int(length) <= len(data) else at
+
+
 def _kind(fields: dict[str, str]) -> str | None:
     """The type, with the profile of revisits that aren't of the not-modified one (as those without a profile are)."""
     kind, profile = fields.get("warc-type"), fields.get("warc-profile", "").strip("<>").rstrip("/").rpartition("/")[2]
@@ -133,15 +163,16 @@ def _kind(fields: dict[str, str]) -> str | None:
 
 
 CAPTURES = "record_id string, url string, kind string, ts long, status int, headers map<string,string>, body_sha1 string, body_bytes long"
-_CAPTURES = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("kind", pa.string()), ("ts", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body_sha1", pa.string()), ("body_bytes", pa.int64())])
+_CAPTURES = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("kind", pa.string()), ("ts", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body_sha1", pa.string()), ("body_bytes", pa.int64()), ("sure", pa.bool_())])
 
 
 def captures(archives: DataFrame) -> DataFrame:
     """The records of archives (warc binary), by canonical URL, ts in microseconds; null archives have none.
 
     A revisit that names the URL of the response which it refers to goes by that. kind is the record's type, MALFORMED
-    for records that can't be read, and OTHER_REVISIT with the profile's last part for revisits of other profiles.
-    Dates and status codes that aren't such are null. Bodies may be of any length that fits a task's memory.
+    for records that can't be read,  and OTHER_REVISIT with the profile's last part for revisits of other profiles.
+    sure is false behind a malformed record of unknown end: what is there may be a quotation in its body, and a response
+    answers no revisit. Dates and status codes that aren't such are null. Bodies may be of any length that fits a task's memory.
     """
 
     def make():
@@ -153,14 +184,14 @@ def captures(archives: DataFrame) -> DataFrame:
                     kind = _kind(fields)
                     full = kind == "response"
                     named = fields.get("warc-refers-to-target-uri") if kind == "revisit" else None
-                    row = (fields.get("warc-record-id", "").strip("<>"), canonical((named or fields.get("warc-target-uri") or "").strip("<>")), kind, ts, status, list(headers.items()), hashlib.sha1(body).hexdigest() if full else None, len(body))
+                    row = (fields.get("warc-record-id", "").strip("<>"), canonical((named or fields.get("warc-target-uri") or "").strip("<>")), kind, ts, status, list(headers.items()), hashlib.sha1(body).hexdigest() if full else None, len(body), UNSURE not in fields)
                     for name, value in zip(_CAPTURES.names, row, strict=True):
                         out[name].append(value)
             return out
 
         return step
 
-    return map_arrow(archives.select(F.col("warc").cast("binary")), make, CAPTURES, _CAPTURES)
+    return map_arrow(archives.select(F.col("warc").cast("binary")), make, f"{CAPTURES}, sure boolean", _CAPTURES)
 
 
 def _tag(headers: str) -> Column:
@@ -185,18 +216,22 @@ def resolve(found: DataFrame) -> DataFrame:
     span = found.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
     width = max(1, -(-(high - low + 1) // INTERVALS))
-    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull()
+    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & (F.coalesce("sure", F.lit(True)) if "sure" in found.columns else F.lit(True))
     response = F.when(full, F.struct("ts", "record_id", "headers_json", "body_sha1", "body_bytes"))
     # Maps can't be compared; the struct of which the greatest is sought has them as text, behind the time and id.
     other = F.col("kind").startswith(OTHER_REVISIT)
-    own = found.select("record_id", "url", "kind", "ts", "status", "headers", "body_sha1", "body_bytes")
+    own = found.select("record_id", "url", "kind", "ts", "status", "headers", "body_sha1", "body_bytes", *(["sure"] if "sure" in found.columns else []))
     rows = own.where(F.col("kind").isin(*HTTP_KINDS) | other).withColumn("headers_json", F.to_json("headers")).withColumn("_at", F.floor((F.col("ts") - low) / F.lit(width))).withColumn("_full", response)
+    # Rows that are looked up nowhere and answer nothing may be very many of one URL (none), so they go no further.
+    known = F.col("ts").isNotNull() & (F.coalesce("url", F.lit("")) != "") & ~other
+    apart, rows = rows.where(~known), rows.where(known)
     by_interval = rows.groupBy("url", "_at").agg(F.max("_full").alias("_last"))
     carried = by_interval.select("url", "_at", F.max("_last").over(Window.partitionBy("url").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     inside = F.max("_full").over(Window.partitionBy("url", "_at").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1))
     revisits = rows.withColumn("_inside", inside).where(F.col("kind") != "response")
-    joined = revisits.join(carried, ["url", "_at"], "left")
-    paired = joined.withColumn("r", F.when(F.col("ts").isNotNull() & (F.col("url") != "") & ~other, F.coalesce("_inside", "_carried"))).withColumn("theirs", F.from_json("r.headers_json", "map<string,string>"))
+    joined = revisits.join(carried, ["url", "_at"], "left").withColumn("r", F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
+    lost = apart.where(F.col("kind") != "response").withColumn("r", F.lit(None).cast(joined.schema["r"].dataType))
+    paired = joined.unionByName(lost).withColumn("theirs", F.from_json("r.headers_json", "map<string,string>"))
     both_tags = F.col("headers")["etag"].isNotNull() & F.col("theirs")["etag"].isNotNull()
     both_times = F.col("headers")["last-modified"].isNotNull() & F.col("theirs")["last-modified"].isNotNull()
     same = F.when(both_tags, _tag("headers") == _tag("theirs")).when(both_times, F.col("headers")["last-modified"] == F.col("theirs")["last-modified"])

@@ -87,3 +87,18 @@ def test_cells_of_any_size_place_every_piece(spark, cell_rows, all_cells):
         assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 64
     used = sum(repeats for repeats, _ in packing.plan({n: lengths.count(n) for n in set(lengths)}, 64))
     assert len(windows) == used
+
+
+def test_cells_of_null_ids_and_of_one_repeated_row(spark, monkeypatch):
+    path, seen = public_tokenizers.path(packing.TOKENIZER), []
+    for rows in ([(None, f"text {i}") for i in range(300)], [(5, "one row")] * 300):
+        pieces = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).cache()
+        assert pieces.select("_row").distinct().count() == pieces.count() == 300
+        got = packing.place(pieces, 64, cell_rows=10)
+        assert "_row" not in got.columns and len({(r.sequence_id, r.offset) for r in got.collect()}) == 300
+        n = got._jdf.queryExecution().analyzed().toString()
+        seen.append("_cell" in n)
+        lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+        spread = packing.F.pmod(packing.F.xxhash64("doc_id", "start", "_row"), packing.F.lit(max(1, max(lengths.values()) // 10)))
+        assert max(r["count"] for r in pieces.groupBy("length", spread.alias("c")).count().collect()) < 40
+    assert all(seen)

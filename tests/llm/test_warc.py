@@ -129,3 +129,29 @@ def test_ids_of_any_size(spark):
     pages = spark.createDataFrame([(i, f"http://h{k}/", "<p>", "clash") for k, i in enumerate(ids)], "page_id long, url string, html string, warc string")
     got = warc.resolve(warc.captures(warc.archived(pages, others=True))).collect()
     assert len(got) == 3 * len(ids) and sum(r.verdict == "resolved" for r in got) == len(ids)
+
+
+def test_quoted_heads_and_urls_of_several_lines(spark):
+    when = warc.EPOCH + timedelta(days=1)
+    evil = warc.record("response", "evil", "http://evil/", when, "200 OK", [("ETag", "1")], b"x")
+    spoil = lambda r: r.replace(b"Content-Length: ", b"Content-Length: x", 1)
+    told = spoil(warc.record("response", "t", "http://a/", when, "200 OK", [("Content-Length", str(len(evil) + 4))], b"\r\n\r\n" + evil))
+    inline = spoil(warc.record("response", "i", "http://a/", when, "200 OK", [], b"see " + evil))
+    untold = spoil(warc.record("response", "u", "http://a/", when, "200 OK", [], b"\r\n\r\n" + evil))
+    good = warc.record("response", "good", "http://b/", when, "200 OK", [("ETag", "1")], b"body")
+    late = warc.record("revisit", "late", "http://evil/", when + timedelta(minutes=1), "304", [("ETag", "1")])
+    split = warc.record("response", "s", "http://c/\r\nWARC-Type: revisit\r\nx: ", when, "200 OK", [], b"")
+    archives = [told + good, inline + good, untold + good, split, late]
+    found = warc.captures(spark.createDataFrame([(bytearray(a),) for a in archives], "warc binary"))
+    rows = sorted((r.record_id, r.kind, r.sure) for r in found.where("kind <> 'malformed'").collect())
+    assert rows == [("evil", "response", False), ("good", "response", False), ("good", "response", False), ("good", "response", True), ("late", "revisit", True), ("s", "response", True)]
+    assert {r.record_id: r.url for r in found.collect()}["s"].startswith("c/")
+    assert [(r.record_id, r.verdict) for r in warc.resolve(found).collect()] == [("late", "orphan")]
+
+
+def test_rows_that_are_looked_up_nowhere_share_no_task(spark):
+    when = 1_000_000
+    rows = [(f"n{i}", "", "revisit", when, 304) for i in range(400)] + [(f"t{i}", "x/", "revisit", None, 304) for i in range(400)] + [("r", "x/", "response", 5, 200), ("v", "x/", "revisit", 9, 304), ("none", None, "revisit", 9, 304)]
+    found = spark.createDataFrame([(*r, {}, None, 1) for r in rows], "record_id string, url string, kind string, ts long, status int, headers map<string,string>, body_sha1 string, body_bytes long")
+    got = {r.record_id: (r.verdict, r.response_id) for r in warc.resolve(found).collect()}
+    assert got.pop("v") == ("unchecked", "r") and len(got) == 801 and set(got.values()) == {("orphan", None)}
