@@ -81,7 +81,7 @@ def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
     for level in range(claiming):
         voxel = Window.partitionBy(*(f"_c{n}" for n in finest), *(F.shiftright(n, claiming - 1 - level) for n in finest if level))
         least = F.min(F.when(F.col("lod_level").isNull(), F.col("pk"))).over(voxel)
-        out = out.withColumn("_least", least).withColumn("lod_level", F.coalesce("lod_level", F.when(F.col("pk") == F.col("_least"), F.lit(level)))).drop("_least")
+        out = out.withColumn("lod_level", F.coalesce("lod_level", F.when(F.col("pk") == least, F.lit(level))))
     return out.where("lod_level is not null").select("pk", "lod_level")
 
 
