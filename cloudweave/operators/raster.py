@@ -5,9 +5,9 @@ splatted wherever the sums allow it: the largest depth of a pixel is the largest
 sums add up the same way. For depth-tested colour a centre's points are told apart by which pixels of the footprint they
 pass in: nearer points pass wherever farther ones do, so a centre has at most one class for each pixel of its footprint
 (and one for none), and its points are summed by class before the splat. Edge weights are of few kinds, and a class has
-sums for each. So no shuffle moves more than image-sized rows for each task, whatever the number of points. Footprints
-of very many pixels, or of sizes that differ from point to point, know two classes: points that pass everywhere, and
-points that are splatted one by one.
+sums for each. So no shuffle moves more than image-sized rows for each task, whatever the number of points. In footprints
+of very many pixels, or of sizes that differ from point to point, a class is the highest of the limits around its centre
+that a point reaches. Only edge weights of such footprints are splatted point by point.
 """
 
 from __future__ import annotations
@@ -165,11 +165,14 @@ def average_sums(projected: DataFrame, depths: DataFrame, config: RasterConfig,
     asked = _asked(depths, config)
     radius = F.lit(fixed) if fixed is not None else F.explode(F.lit(_radii(config, camera)))
     around = splat(asked.select(F.col("px").alias("cx"), F.col("py").alias("cy"), radius.alias("radius"), "_least"), config, camera)
-    limits = around.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy"), "radius").agg(F.min("_least").alias("_some"), F.max("_least").alias("_all"))
+    limits = around.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy"), "radius").agg(F.min("_least").alias("_some"), F.max("_least").alias("_all"), F.collect_set("_least").alias("_limits"))
     # For each point: whether it counts in the whole footprint, or in some pixels of it.
-    judged = coloured.join(_sized(limits, config), ["cx", "cy", "radius"]).where("ndc_z >= _some")
-    partly = F.when(F.col("ndc_z") < F.col("_all"), F.col("ndc_z"))
-    # One pass over the points: points of a centre that count everywhere are one group, the others a group for each depth.
+    most = len(g.disc(fixed if fixed is not None else max(_radii(config, camera))))
+    small = config.size[0] * config.size[1] * most <= BROADCAST_PIXELS * MASK_PIXELS
+    judged = coloured.join(F.broadcast(limits) if small else limits, ["cx", "cy", "radius"]).where("ndc_z >= _some")
+    # A point between two of the limits around its centre counts where one at the lower of them does.
+    partly = F.when(F.col("ndc_z") < F.col("_all"), F.array_max(F.filter("_limits", lambda v: v <= F.col("ndc_z"))))
+    # One pass over the points: a centre has a group for those that count everywhere, and one for each limit at most.
     centres = judged.groupBy("cx", "cy", "radius", partly.alias("_z")).agg(*_sums())
     rows = splat(centres, config, camera).join(_sized(asked, config), ["px", "py"]).where("_z is null or _z >= _least")
     return _added(rows)

@@ -245,3 +245,21 @@ def test_winners_by_key_and_by_depth_agree(spark, prefer, config):
     assert got == sorted((x, y, d, abs(i), c) for (x, y), ((d, i), c) in pixels.items() if d > 0)
     for plan in (narrow, by_depth):
         assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("config", [RasterConfig(width=40, height=40, point_size_scale=11.0), RasterConfig(width=40, height=40, point_size_mode=PointSize.WORLD, point_size_scale=0.06, maximum_point_size=9.0)])
+def test_wide_footprints_are_summed_by_the_limits_they_reach(spark, config):
+    rng = random.Random(23)
+    rows = [(i, rng.uniform(-0.4, 0.4), rng.uniform(-0.4, 0.4), rng.choice([0.3, rng.uniform(-0.5, 0.5)]), rng.randrange(1 << 32)) for i in range(2500)]
+    points = spark.createDataFrame(rows, "src_idx bigint, x double, y double, z double, rgba bigint")
+    assert not raster._cells(raster._fixed_radius(config, CAMERA))
+    seen = raster.project(points, CAMERA, config)
+    depths = raster.depth_image(seen, config, CAMERA).cache()
+    got = {(r.px, r.py): (r.sum_r, r.sum_g, r.sum_b, r.cnt) for r in raster.average_sums(seen, depths, config, CAMERA).collect()}
+    near, want = {(r.px, r.py): r.depth for r in depths.collect()}, {}
+    for r in raster.splat(seen, config, CAMERA).collect():
+        d = near[r.px, r.py]
+        if d > 0 and r.ndc_z >= d / g.DEPTH_STEPS * (1.0 - config.depth_tolerance):
+            was = want.get((r.px, r.py), (0, 0, 0, 0))
+            want[r.px, r.py] = tuple(a + b for a, b in zip(was, (r.rgba & 255, r.rgba >> 8 & 255, r.rgba >> 16 & 255, 1)))
+    assert got == want and len(got) > 300
