@@ -73,3 +73,20 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_quantity" in schema and "l_partkey" not in schema and "l_shipdate" not in schema
     # points are reduced by centre before they are splatted
     assert plan.index("Generate explode") < plan.rindex("HashAggregate")
+
+
+def test_starvation_against_pools_kept_by_hand(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the generated tables are not here")
+    from test_streaming import told_by_hand
+
+    clouds = {}
+    for r in streams.deltas(spark, SF).orderBy("seq").collect():
+        clouds.setdefault(r.cloud_id, {}).setdefault(r.seq // 100, []).append((r.op, r.chunk_id, r.num_points))
+    told = {}
+    for r in catalog.queries()["starvation"](spark, SF).collect():
+        told.setdefault(r.cloud_id, []).append(r)
+    assert told.keys() == clouds.keys() and len(clouds) > 3
+    for cloud, ticks in clouds.items():
+        got = [(r.resident_chunks, r.resident_points, r.pending_chunks, r.uploaded_chunks, r.evicted_chunks, r.dropped_chunks, r.starved_ticks, r.free_slots, r.blocked_on_full_pool) for r in sorted(told[cloud], key=lambda r: r.tick)]
+        assert got == [t[:9] for t in told_by_hand([ticks[k] for k in sorted(ticks)], 100, 256, 32)]
