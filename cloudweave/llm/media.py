@@ -137,14 +137,17 @@ def interleaved(sequenced: DataFrame, media: DataFrame) -> DataFrame:
 
     items are all of the row's texts and media in their order: position, kind, text, caption, digest, and payload, a
     struct of what media (one row a digest) has for a medium's digest, null for texts and where there is nothing. A row
-    without items has an empty array.
+    without items has an empty array. sequenced is read twice (once for its digests alone), so it should be a written
+    table; so should media, as Spark then may split the references to a digest that many pages name.
     """
     described = [c for c in media.columns if c != "digest"]
-    each = sequenced.select("row_id", "doc_id", F.explode_outer("items").alias("item")).select("row_id", "doc_id", "item.position", "item.kind", "item.text", "item.caption", "item.digest")
-    payloads = media.select("digest", F.struct(*described).alias("payload"))
-    item = F.struct("position", "kind", "text", "caption", "digest", "payload")
-    gathered = _referred(each, payloads).groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("items"))
-    return gathered
+    named = F.array_distinct(F.transform(F.filter("items", lambda i: i["digest"].isNotNull()), lambda i: i["digest"]))
+    refs = sequenced.select("row_id", F.explode(named).alias("digest"))
+    found = refs.join(media.select("digest", F.struct(*described).alias("payload")), "digest")
+    # Each digest of a page once, so a map holds no more than its page does.
+    payloads = found.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("_payloads"))
+    in_place = F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("position", "kind", "text", "caption", "digest")), F.try_element_at("_payloads", i["digest"]).alias("payload")))
+    return sequenced.join(payloads, "row_id", "left").select("row_id", "doc_id", in_place.alias("items"))
 
 
 def store(data: bytes) -> bytes:
@@ -232,12 +235,13 @@ def image_sequences(docs: DataFrame) -> DataFrame:
     doc_id, what is known of the text's image, its position and caption, and items, the whole sequence. Null texts count
     as empty, and an empty text is a row of blanks. Equal texts have equal pages, are stored with one digest and are
     described alike. Repeated rows are repeated, a null doc_id is kept, an empty table gives no rows, and other columns
-    are not looked at. The stored images are written to the shared folder and read back from there.
+    are not looked at. The stored images are written to the shared folder and read back from there; so are
+    the parsed pages, so that none is parsed twice.
     """
     # The rows' own numbers are written with them, so they are the same for all who read them.
     kept = written(stored_documents(docs).withColumn("row_id", F.monotonically_increasing_id()), "media", compression="zstd")
-    media = described(kept.select(F.explode("images.stored").alias("stored")))
-    found = interleaved(sequences(kept.select("row_id", "doc_id", "html"), "row_id"), media)
+    media = written(described(kept.select(F.explode("images.stored").alias("stored"))), "described")
+    found = interleaved(written(sequences(kept.select("row_id", "doc_id", "html"), "row_id"), "sequences", compression="zstd"), media)
     own = found.withColumn("own", F.get(F.filter("items", lambda i: i["kind"] == "media"), F.lit(0)))
     return own.select("doc_id", "own.payload.*", F.col("own.digest").alias("media_sha256"), "own.position", "own.caption", "items")
 
