@@ -63,16 +63,16 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 FIT_BYTES, FIT_TEXT = 32 << 20, 4 << 20
 
 
-def fitting(rows: DataFrame, group: str, order: str, sample: int) -> DataFrame:
+def fitting(rows: DataFrame, group: str, order: str, sample: int, most_bytes: int = FIT_BYTES) -> DataFrame:
     """Of rows (doc_id, text, a group, an order), one of each doc_id, in each group the first by order: at most `sample`
-    whole texts of FIT_BYTES together. Texts of over FIT_TEXT bytes are left out.
+    whole texts of most_bytes together. Texts of over FIT_TEXT bytes are left out.
 
     rows should be few: what may be chosen of a group is ordered in one task.
     """
     single = rows.where(F.octet_length("text") <= FIT_TEXT).groupBy("doc_id", group, order).agg(F.min("text").alias("text"))
     by = Window.partitionBy(group).orderBy(order, "doc_id")
     placed = single.withColumn("_place", F.row_number().over(by)).withColumn("_bytes", F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.where((F.col("_place") <= sample) & (F.col("_bytes") <= FIT_BYTES)).drop("_place", "_bytes")
+    return placed.where((F.col("_place") <= sample) & (F.col("_bytes") <= most_bytes)).drop("_place", "_bytes")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> tuple[list[str], list[int], float]:

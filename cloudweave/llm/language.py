@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm.common import fitting, map_arrow, table, written
+from cloudweave.llm.common import FIT_BYTES, fitting, map_arrow, table, written
 
-#: Labelled texts of a language that the trigram model is fitted on at most, least crc32 of the id first, and languages
-#: that it knows at most, those of the most documents.
-SAMPLE, MOST_LANGUAGES = 400, 200
+#: Labelled texts of a language that the trigram model is fitted on at most, least crc32 of the id first, and bytes of
+#: all languages' texts together; each has an equal share of them (and FIT_BYTES at most).
+SAMPLE, ALL_BYTES = 400, 512 << 20
 BUCKETS = 1 << 14
 #: A text counts as this many trigrams at most (all are read): trigrams of one text are not independent evidence, and
 #: with more weight no other evidence could ever speak against it.
@@ -47,9 +47,10 @@ def trigrams(text: str) -> np.ndarray:
 def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
     """The languages, and log probabilities (languages, BUCKETS) of their trigrams."""
     names = sorted(set(languages))
+    place = {n: i for i, n in enumerate(names)}
     counts = np.full((len(names), BUCKETS), 0.05)
     for text, lang in zip(texts, languages, strict=True):
-        counts[names.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
+        counts[place[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -174,17 +175,19 @@ def identify(pages: DataFrame, names: list[str], model: np.ndarray) -> DataFrame
 
 
 def fit_table(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The trigram model from at most `sample` texts of each of MOST_LANGUAGES languages, within the bounds of fitting().
+    """The trigram model from at most `sample` texts of each language that a document is labelled with.
 
-    Documents are counted by language; then one pass takes those whose crc32 is so small that about twice the sample
+    Texts are within the bounds of fitting(), and of ALL_BYTES for all languages. The model has a row for each language,
+    however many, so it grows with their number alone. Documents are counted by language; then one pass takes those whose crc32 is so small that about twice the sample
     has it, of which fitting() orders each language's.
     """
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string"))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = written(named.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = min(FIT_BYTES, ALL_BYTES // max(1, sizes.count()))
     most = sizes.select("lang", (F.lit(2.0**32) * F.least(F.lit(1.0), (2 * sample + 100) / F.col("n"))).alias("_most"))
     order = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    near = named.withColumn("_order", order).join(F.broadcast(most), "lang").where("_order < _most").drop("_most")
-    rows = fitting(near, "lang", "_order", sample).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
+    near = named.withColumn("_order", order).join(most, "lang").where("_order < _most").drop("_most")
+    rows = fitting(near, "lang", "_order", sample, share).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
