@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ LEAST_MARGINAL = 0.2
 COMMON = 4000
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
+#: Words whose messages are worked out together; texts are taken whole up to it, longer ones in blocks of so many.
+CHAIN_WORDS = 200_000
 #: What a worker remembers of words.
 REMEMBERED = 200_000
 #: Rows of a document's spans that a result holds are those whose marginal reaches this.
@@ -61,68 +64,103 @@ class Field:
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
 
-def marginals(e: np.ndarray, firsts: np.ndarray, pair: np.ndarray, start: np.ndarray, want_pairs: bool = False):
-    """P(tag 1) of each of the chained texts' words: e are log weights of tag 1, firsts the places where texts begin.
+_EVEN = np.array([0.5, 0.5])
 
-    The texts of a batch are one chain in which a first word forgets what came before it. The chain is cut into about
-    sqrt(n) strips that are worked side by side: once to get each strip's 2x2 product, then, with the right message
-    coming in, for the messages themselves. So the Python loop is as long as a strip, however long a text is.
-    """
+
+def _steps(e: np.ndarray, firsts: np.ndarray, pair: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """step[t][i, j]: weight of going from tag i before t to tag j at t, as strips (strips, width, 2, 2), the last one filled up."""
     n = len(e)
-    if not n:
-        return (np.zeros(0), np.zeros((2, 2))) if want_pairs else np.zeros(0)
     width = max(1, math.isqrt(n))
-    strips = -(-n // width)
-    size = width * strips
+    size = width * -(-n // width)
     w = np.ones((size, 2))
     top = np.maximum(e, 0)
     w[:n, 0], w[:n, 1] = np.exp(-top), np.exp(e - top)
-    # step[t][i, j]: weight of going from tag i before t to tag j at t
     step = np.broadcast_to(np.exp(pair), (size, 2, 2)).copy()
     step[firsts] = np.exp(start)
     step[n:] = np.eye(2)
-    step = (step * w[:, None, :]).reshape(strips, width, 2, 2)
-
-    def messages(m: np.ndarray) -> np.ndarray:
-        """Normalised row vectors after each step, for m of shape (strips, width, 2, 2)."""
-        product = np.broadcast_to(np.eye(2), (strips, 2, 2))
-        for t in range(width):
-            product = product @ m[:, t]
-            product = product / product.sum(axis=(1, 2), keepdims=True)
-        into = np.empty((strips, 2))
-        v = np.array([0.5, 0.5])
-        for s in range(strips):
-            into[s] = v
-            v = v @ product[s]
-            v = v / v.sum()
-        out = np.empty((strips, width, 2))
-        v = into
-        for t in range(width):
-            v = (v[:, None, :] @ m[:, t])[:, 0]
-            v = v / v.sum(axis=1, keepdims=True)
-            out[:, t] = v
-        return out.reshape(size, 2)
-
-    ahead = messages(step)
+    return (step * w[:, None, :]).reshape(-1, width, 2, 2)
+
+
+def _messages(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Normalised row vectors after each step of m (strips, width, 2, 2), with v coming in."""
+    strips, width = m.shape[:2]
+    product = np.broadcast_to(np.eye(2), (strips, 2, 2))
+    for t in range(width):
+        product = product @ m[:, t]
+        product = product / product.sum(axis=(1, 2), keepdims=True)
+    into = np.empty((strips, 2))
+    for s in range(strips):
+        into[s] = v
+        v = v @ product[s]
+        v = v / v.sum()
+    out = np.empty((strips, width, 2))
+    v = into
+    for t in range(width):
+        v = (v[:, None, :] @ m[:, t])[:, 0]
+        v = v / v.sum(axis=1, keepdims=True)
+        out[:, t] = v
+    return out.reshape(-1, 2)
+
+
+def _both_ways(m: np.ndarray, n: int, into: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Messages ahead to and behind each of the n words, and the one that goes back out of the first."""
+    ahead = _messages(m, into)[:n]
     # The backward message at t is that of the reversed chain before its own step.
-    back = messages(step.reshape(size, 2, 2)[::-1].transpose(0, 2, 1).reshape(strips, width, 2, 2))[::-1]
-    behind = np.concatenate([back[1:], np.full((1, 2), 0.5)])[:n]
-    p = ahead[:n] * behind
-    p = p / p.sum(axis=1, keepdims=True)
+    back = _messages(m.reshape(-1, 2, 2)[::-1].transpose(0, 2, 1).reshape(m.shape), after)[::-1]
+    return ahead, np.concatenate([back[1:], after[None]])[:n], back[0]
+
+
+def _shares(ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    p = ahead * behind
+    return p[:, 1] / p.sum(axis=1)
+
+
+def marginals(e: np.ndarray, firsts: np.ndarray, pair: np.ndarray, start: np.ndarray, want_pairs: bool = False):
+    """P(tag 1) of each of the chained texts' words: e are log weights of tag 1, firsts the places where texts begin.
+
+    The texts are one chain in which a first word forgets what came before it. The chain is cut into about sqrt(n)
+    strips that are worked side by side: once to get each strip's 2x2 product, then, with the right message coming in,
+    for the messages themselves. So the Python loop is as long as a strip, however long a text is.
+    """
+    n = len(e)
+    if not n:
+        return (np.zeros(0), np.zeros((2, 2))) if want_pairs else np.zeros(0)
+    m = _steps(e, firsts, pair, start)
+    ahead, behind, _ = _both_ways(m, n, _EVEN, _EVEN)
     if not want_pairs:
-        return p[:, 1]
+        return _shares(ahead, behind)
     inner = np.ones(n, bool)
     inner[firsts] = False
     t = np.flatnonzero(inner)
-    joint = ahead[t - 1][:, :, None] * step.reshape(size, 2, 2)[t] * behind[t][:, None, :]
-    return p[:, 1], (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    joint = ahead[t - 1][:, :, None] * m.reshape(-1, 2, 2)[t] * behind[t][:, None, :]
+    return _shares(ahead, behind), (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
+def marginals_of_long(e: np.ndarray, pair: np.ndarray, start: np.ndarray, block: int = CHAIN_WORDS) -> np.ndarray:
+    """As marginals, of one text of any length, with the steps of one block of it at a time.
+
+    A first pass keeps the message that comes into each block; a second one, from the last block to the first, carries
+    the message from behind.
+    """
+    if not len(e):
+        return np.zeros(0)
+    cuts = list(range(0, len(e), block))
+    steps = lambda lo: _steps(e[lo : lo + block], np.zeros(int(lo == 0), np.int64), pair, start)
+    into = [_EVEN]
+    for lo in cuts[:-1]:
+        into.append(_messages(steps(lo), into[-1])[-1])
+    out, after = np.empty(len(e)), _EVEN
+    for lo, v in zip(reversed(cuts), reversed(into), strict=True):
+        ahead, behind, after = _both_ways(steps(lo), len(e[lo : lo + block]), v, after)
+        out[lo : lo + block] = _shares(ahead, behind)
+    return out
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _firsts(lists: list[list]) -> np.ndarray:
+def _firsts(lists: list) -> np.ndarray:
     lengths = np.array([len(x) for x in lists], np.int64)
     return (np.cumsum(lengths) - lengths)[lengths > 0]
 
@@ -263,13 +301,36 @@ class Tagger:
                             known[words[i]] = got[i]
         return np.array(got, float)
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Scores of the texts, and the marginals of all their words with each text's number of words."""
-        words = [tokens(t) for t in texts]
-        lengths = [len(ws) for ws in words]
-        e = np.concatenate([self.emissions(ws) for ws in words]) if words else np.zeros(0)
-        p = marginals(e, _firsts(words), self.field.pair, self.field.start)
-        z = document_features(p, lengths) @ np.array(self.field.calibration)
+    def score(self, texts: list[str], chain: int = CHAIN_WORDS) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Scores of the texts, and the marginals of all their words with each text's number of words.
+
+        Texts are taken in runs of about `chain` words, longer ones each for itself in blocks of so many words, so that
+        what is held of all texts is a number for each word.
+        """
+        field_ = self.field
+        lengths: list[int] = []
+        found, run, held = [np.zeros(0)], [], 0
+
+        def close() -> None:
+            if run:
+                found.append(marginals(np.concatenate(run), _firsts(run), field_.pair, field_.start))
+                run.clear()
+
+        for text in texts:
+            words = (m[0] for m in WORD.finditer(text.lower()))
+            parts = [self.emissions(ws) for ws in iter(lambda: list(islice(words, chain)), [])]
+            lengths.append(sum(map(len, parts)))
+            if held + lengths[-1] > chain:
+                close()
+                held = 0
+            if lengths[-1] > chain:
+                found.append(marginals_of_long(np.concatenate(parts), field_.pair, field_.start, chain))
+            else:
+                run += parts
+                held += lengths[-1]
+        close()
+        p = np.concatenate(found)
+        z = document_features(p, lengths) @ np.array(field_.calibration)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), p, lengths
 
 

@@ -26,6 +26,41 @@ def test_marginals_against_all_taggings():
     assert len(toxicity.marginals(np.zeros(0), np.zeros(0, int), pair, start)) == 0
 
 
+def test_long_texts_in_blocks():
+    rng = np.random.default_rng(7)
+    pair, start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    for n in (0, 1, 4, 5, 9, 10, 11, 1003):
+        e = rng.normal(size=n) * 3
+        want = toxicity.marginals(e, np.zeros(min(1, n), int), pair, start)
+        assert np.allclose(toxicity.marginals_of_long(e, pair, start, 5), want, atol=1e-12)
+    e = rng.normal(size=9) * 3
+    assert np.allclose(toxicity.marginals_of_long(e, pair, start, 4), plain_marginals(e, pair, start))
+
+
+def test_runs_of_texts_give_the_same_scores():
+    rng = random.Random(8)
+    fitted = toxicity.fit([t for _, t, _ in sample()], [x for _, _, x in sample()])
+    texts = ["", *(" ".join(rng.choice(["vilename", "abcde", "rottenish", "gfedc"]) for _ in range(rng.choice([0, 1, 3, 40, 300]))) for _ in range(60)), "", "rottenest " * 2000]
+    want = toxicity.Tagger(fitted).score(texts)
+    alone = [toxicity.Tagger(fitted).score([t]) for t in texts]
+    for chain in (1, 7, 50, 10_000):
+        got = toxicity.Tagger(fitted).score(texts, chain)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and got[2] == want[2]
+    assert np.allclose([a[0][0] for a in alone], want[0]) and sum(want[2]) == len(want[1]) > 5000
+
+
+def test_a_batch_of_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    tagger = toxicity.Tagger(toxicity.Field(weight={"vile": 3.0}, bias=-2.0))
+    texts = ["word vile other thing " * 50_000 for _ in range(8)]  # 1.6 million words, 8.8 MB
+    tracemalloc.start()
+    p = tagger.score(texts)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 1_600_000 and peak < 110 << 20
+
+
 def sample():
     rng = random.Random(6)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(80)]
