@@ -70,3 +70,17 @@ def test_images_of_texts(spark):
     same = [r for r in got if r.doc_id in (6, 7)]
     assert len({repr(r[1:]) for r in same}) == 1 and len(same) == 3
     assert media.image_sequences(docs.limit(0)).count() == 0
+
+
+def test_pages_are_parsed_once_and_texts_are_not_exploded(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    plan = media.image_sequences(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Union" not in plan
+
+
+def test_a_digest_that_many_pages_name(spark):
+    rows = [(k, k, '<img src="sha256:hot">' * (k % 3) + f'<p>t{k}</p><img src="sha256:k{k}"><img src="sha256:hot" alt="last">') for k in range(3000)]
+    table = spark.createDataFrame([("hot", 1), ("k7", 7)], "digest string, size long")
+    found = media.interleaved(media.sequences(spark.createDataFrame(rows, "row_id long, doc_id long, html string"), "row_id"), table)
+    got = {r.row_id: [(i.digest, i.payload.size if i.payload else None) for i in r["items"] if i.kind == "media"] for r in found.collect()}
+    assert got == {k: [("hot", 1)] * (k % 3) + [(f"k{k}", 7 if k == 7 else None), ("hot", 1)] for k in range(3000)}
