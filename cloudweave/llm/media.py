@@ -143,11 +143,13 @@ def interleaved(sequenced: DataFrame, media: DataFrame) -> DataFrame:
     described = [c for c in media.columns if c != "digest"]
     named = F.array_distinct(F.transform(F.filter("items", lambda i: i["digest"].isNotNull()), lambda i: i["digest"]))
     refs = sequenced.select("row_id", F.explode(named).alias("digest"))
+    # A source says no more than its digest, so it needn't be shuffled with the rest.
+    bare = sequenced.select("row_id", "doc_id", F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("position", "kind", "text", "caption", "digest")))).alias("items"))
     found = refs.join(media.select("digest", F.struct(*described).alias("payload")), "digest")
     # Each digest of a page once, so a map holds no more than its page does.
     payloads = found.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("_payloads"))
     in_place = F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("position", "kind", "text", "caption", "digest")), F.try_element_at("_payloads", i["digest"]).alias("payload")))
-    return sequenced.join(payloads, "row_id", "left").select("row_id", "doc_id", in_place.alias("items"))
+    return bare.join(payloads, "row_id", "left").select("row_id", "doc_id", in_place.alias("items"))
 
 
 def store(data: bytes) -> bytes:
@@ -174,8 +176,8 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};" + ",".join(map(str, sums)) + f";{edges};" + ",".join(map(str, bins))
 
 
-STORED = "doc_id long, html string, digest string, images array<struct<digest: string, stored: binary>>"
-_STORED = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("images", pa.list_(pa.struct([("digest", pa.string()), ("stored", pa.binary())])))])
+STORED = f"doc_id long, {ITEMS}, images array<binary>"
+_STORED = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.struct(_ITEM))), ("images", pa.list_(pa.binary()))])
 DESCRIBED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 _DESCRIBED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
 
@@ -191,18 +193,17 @@ def page_of(text: str, digest: str, tail: str) -> str:
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, html (a page that shows the text's image and its last row's), digest (of the first), images of each row."""
+    """doc_id, items (parsed from a page that shows the text's image and its last row's), images (stored) of each row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "html": [], "digest": [], "images": []}
+            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "items": [], "images": []}
             for text in batch.column("text").to_pylist():
                 data = (text or "").encode()
                 images = [store(data), store(data[max(0, len(data) - 1) // ROW * ROW :])]
                 digests = [hashlib.sha256(i).hexdigest() for i in images]
-                out["html"].append(page_of(text or "", *digests))
-                out["digest"].append(digests[0])
-                out["images"].append([{"digest": d, "stored": i} for d, i in zip(digests, images, strict=True)][: len(set(digests))])
+                out["items"].append(parse(page_of(text or "", *digests)))
+                out["images"].append(images[: len(set(digests))])
             return out
 
         return step
@@ -239,9 +240,10 @@ def image_sequences(docs: DataFrame) -> DataFrame:
     the parsed pages, so that none is parsed twice.
     """
     # The rows' own numbers are written with them, so they are the same for all who read them.
-    kept = written(stored_documents(docs).withColumn("row_id", F.monotonically_increasing_id()), "media", compression="zstd")
-    media = written(described(kept.select(F.explode("images.stored").alias("stored"))), "described")
-    found = interleaved(written(sequences(kept.select("row_id", "doc_id", "html"), "row_id"), "sequences", compression="zstd"), media)
+    bare = F.transform("items", lambda i: i.dropFields("source"))
+    kept = written(stored_documents(docs).withColumn("items", bare).withColumn("row_id", F.monotonically_increasing_id()), "media", compression="zstd")
+    media = written(described(kept.select(F.explode("images").alias("stored"))), "described", compression="zstd")
+    found = interleaved(kept.select("row_id", "doc_id", "items"), media)
     own = found.withColumn("own", F.get(F.filter("items", lambda i: i["kind"] == "media"), F.lit(0)))
     return own.select("doc_id", "own.payload.*", F.col("own.digest").alias("media_sha256"), "own.position", "own.caption", "items")
 
