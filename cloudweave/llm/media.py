@@ -138,7 +138,7 @@ def interleaved(sequenced: DataFrame, media: DataFrame) -> DataFrame:
     items are all of the row's texts and media in their order: position, kind, text, caption, digest, and payload, a
     struct of what media (one row a digest) has for a medium's digest, null for texts and where there is nothing. A row
     without items has an empty array. sequenced is read twice (once for its digests alone), so it should be a written
-    table; so should media, as Spark then may split the references to a digest that many pages name.
+    table. Where media is one too, Spark may split the references to a digest that many pages name.
     """
     described = [c for c in media.columns if c != "digest"]
     named = F.array_distinct(F.transform(F.filter("items", lambda i: i["digest"].isNotNull()), lambda i: i["digest"]))
@@ -242,7 +242,7 @@ def image_sequences(docs: DataFrame) -> DataFrame:
     # The rows' own numbers are written with them, so they are the same for all who read them.
     bare = F.transform("items", lambda i: i.dropFields("source"))
     kept = written(stored_documents(docs).withColumn("items", bare).withColumn("row_id", F.monotonically_increasing_id()), "media", compression="zstd")
-    media = written(described(kept.select(F.explode("images").alias("stored"))), "described", compression="zstd")
+    media = described(kept.select(F.explode("images").alias("stored")))
     found = interleaved(kept.select("row_id", "doc_id", "items"), media)
     own = found.withColumn("own", F.get(F.filter("items", lambda i: i["kind"] == "media"), F.lit(0)))
     return own.select("doc_id", "own.payload.*", F.col("own.digest").alias("media_sha256"), "own.position", "own.caption", "items")

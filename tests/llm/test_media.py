@@ -75,7 +75,7 @@ def test_images_of_texts(spark):
 def test_pages_are_parsed_once_and_texts_are_not_exploded(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     plan = media.image_sequences(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" not in plan and "Union" not in plan
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan  # the one that reads the images back
 
 
 def test_a_digest_that_many_pages_name(spark):
