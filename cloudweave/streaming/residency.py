@@ -9,16 +9,19 @@ its tables in memory, or in maps of Spark's state, of which a tick writes only t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.operators.tables import ranked_within
-from cloudweave.streaming.slots import FreeSlots
+from cloudweave.streaming.slots import FreeSlots, Run
 
 UPLOAD_LIMIT = 32
 #: Share of a new sample in the running decode rate, and the shortest time that makes a sample, in seconds.
@@ -32,24 +35,52 @@ TELEMETRY = (
 )
 
 
-class Queue(list):
-    """Chunks that wait, in order."""
+class Queue:
+    """Chunks that wait, in order. Each has a place, and a name knows its places, so dropping chunks looks at no others."""
 
-    def extend_(self, chunks: list[dict]) -> None:
-        self.extend(chunks)
+    def __init__(self, chunks: Iterable[dict] = ()) -> None:
+        self._at: dict[int, dict] = {}
+        self._places: dict[str, deque[int]] = {}
+        self._front = self._behind = 0
+        self.extend_(chunks)
+
+    def __len__(self) -> int:
+        return len(self._at)
+
+    def __iter__(self) -> Iterator[dict]:
+        return iter(self._at.values())
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other) if isinstance(other, (Queue, list)) else NotImplemented
+
+    def extend_(self, chunks: Iterable[dict]) -> None:
+        for c in chunks:
+            self._at[self._behind] = c
+            self._places.setdefault(c["chunk_id"], deque()).append(self._behind)
+            self._behind += 1
 
     def first(self) -> dict | None:
-        return self[0] if self else None
+        if not self._at:
+            return None
+        while self._front not in self._at:
+            self._front += 1
+        return self._at[self._front]
 
     def done(self) -> None:
         """Takes the first one out."""
-        del self[0]
+        name = self.first()["chunk_id"]
+        del self._at[self._front]
+        self._places[name].popleft()
+        if not self._places[name]:
+            del self._places[name]
 
     def drop(self, gone: set[str]) -> int:
         """Takes out the chunks of these names, wherever they are; how many there were."""
-        before = len(self)
-        self[:] = [c for c in self if c["chunk_id"] not in gone]
-        return before - len(self)
+        before = len(self._at)
+        for name in gone:
+            for place in self._places.pop(name, ()):
+                del self._at[place]
+        return before - len(self._at)
 
 
 @dataclass
@@ -62,7 +93,7 @@ class Pool:
     upload_limit: int = UPLOAD_LIMIT
     free: list[int] = field(default_factory=list)
     resident: dict[str, dict] = field(default_factory=dict)
-    pending: list[dict] = field(default_factory=list)
+    pending: Queue | list[dict] = field(default_factory=list)
     tick: int = 0
     uploaded: int = 0
     evicted: int = 0
@@ -74,8 +105,9 @@ class Pool:
     points: int = 0
     slots_held: int = 0
     pinned: int = 0
-    #: Slots that the last tick changed, with what they hold now.
-    changed: dict[int, dict] = field(default_factory=dict, compare=False)
+    #: What the last tick did, in order: a chunk, or None where one went, its slots and its points.
+    changes: list[tuple[str | None, Sequence[int], int]] = field(default_factory=list, compare=False)
+    _texts: dict[str, str] | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if type(self.pending) is list:
@@ -91,24 +123,34 @@ class Pool:
         return cls(**json.loads(text))
 
     def to_json(self) -> str:
-        return json.dumps({k: v for k, v in asdict(self).items() if k != "changed"})
+        return json.dumps({k: v for k, v in asdict(self).items() if k not in ("changes", "_texts")}, default=list)
+
+    @property
+    def changed(self) -> dict[int, dict]:
+        """Slots that the last tick changed, with what they hold now."""
+        out = {}
+        for name, slots, left in self.changes:
+            for part, slot in enumerate(slots):
+                if name is None:
+                    out[slot] = {"chunk_id": None, "part": None, "num_points": 0, "state": 0}
+                else:
+                    out[slot] = {"chunk_id": name, "part": part, "num_points": min(left - part * self.points_per_batch, self.points_per_batch), "state": 1}
+        return out
 
     def _needed(self, num_points: int) -> int:
         return max(1, -(-num_points // self.points_per_batch))
 
-    def add_batches(self, num_points: int) -> list[int]:
+    def add_batches(self, num_points: int) -> Sequence[int]:
         if isinstance(self.free, FreeSlots) and (first := self.free.reserve(self._needed(num_points))) is not None:
-            return list(range(first, first + self._needed(num_points)))
+            return Run(first, first + self._needed(num_points))
         return [self.free.pop() for _ in range(self._needed(num_points))]
 
     def place(self, chunk: dict) -> None:
         """Gives a chunk its slots; there must be enough."""
-        name, left = chunk["chunk_id"], chunk["num_points"]
-        slots = self.add_batches(left)
+        name, slots = chunk["chunk_id"], self.add_batches(chunk["num_points"])
         self.resident[name] = {"slots": slots, "num_points": chunk["num_points"], "depth": chunk["depth"]}
-        for part, slot in enumerate(slots):
-            self.changed[slot] = {"chunk_id": name, "part": part, "num_points": min(left, self.points_per_batch), "state": 1}
-            left -= self.points_per_batch
+        self.changes.append((name, slots, chunk["num_points"]))
+        self._texts = None
         self.points += chunk["num_points"]
         self.slots_held += len(slots)
         self.pinned += chunk["depth"] <= self.pinned_depth
@@ -118,9 +160,13 @@ class Pool:
         found = self.resident.pop(chunk_id, None)
         if found is None:
             return False
-        for slot in found["slots"]:
-            self.free.append(slot)
-            self.changed[slot] = {"chunk_id": None, "part": None, "num_points": 0, "state": 0}
+        if isinstance(self.free, FreeSlots):
+            self.free.release(found["slots"])
+        else:
+            for slot in found["slots"]:
+                self.free.append(slot)
+        self.changes.append((None, found["slots"], 0))
+        self._texts = None
         self.points -= found["num_points"]
         self.slots_held -= len(found["slots"])
         self.pinned -= found["depth"] <= self.pinned_depth
@@ -135,14 +181,14 @@ class Pool:
         """The whole content anew: the pool keeps its identity, its generation goes up."""
         self.clear()
         self.pending = Queue()
-        emptied = self.changed
+        emptied = self.changes
         self.apply(chunks, [])
-        self.changed = emptied | self.changed
+        self.changes = emptied + self.changes
 
     def apply(self, added: list[dict], removed: list[str]) -> None:
         """One tick: evict, queue, upload, commit."""
         self.tick += 1
-        self.changed = {}
+        self.changes = []
         dirty = False
         for chunk_id in removed:
             if self.remove(chunk_id):
@@ -182,11 +228,13 @@ class Pool:
         return out
 
     def telemetry(self, cloud_id: str) -> dict:
+        if self._texts is None:  # they stay as long as nothing comes or goes
+            self._texts = {"resident": ",".join(sorted(self.resident)), "slots": json.dumps(self.batches())}
         return {
             "cloud_id": cloud_id, "tick": self.tick, "resident_chunks": len(self.resident), "resident_batches": self.slots_held,
             "resident_points": self.points, "pinned_chunks": self.pinned,
             "pending_chunks": len(self.pending), "uploaded_chunks": self.uploaded, "evicted_chunks": self.evicted, "dropped_chunks": self.dropped, "starved_ticks": self.starved,
-            "free_slots": len(self.free), "blocked_on_full_pool": self.blocked, "generation": self.generation, "last_error": self.last_error, "resident": ",".join(sorted(self.resident)), "slots": json.dumps(self.batches()),
+            "free_slots": len(self.free), "blocked_on_full_pool": self.blocked, "generation": self.generation, "last_error": self.last_error, **self._texts,
         }
 
 
@@ -230,10 +278,6 @@ def decode_rates(samples: DataFrame, key: str, order: str) -> DataFrame:
     return placed.groupBy(key).agg(F.sum(F.col("_rate") * share).alias("decode_rate"))
 
 
-def tick_of(rows: pd.DataFrame) -> tuple[list[dict], list[str]]:
-    return _in_order(*_records(rows))
-
-
 #: What a pool keeps in its state besides its tables: its own numbers, and the sizes of the tables.
 HEAD = (
     "tick bigint, uploaded bigint, evicted bigint, dropped bigint, starved bigint, blocked boolean, generation bigint, last_error string, points bigint, slots_held bigint, "
@@ -524,11 +568,45 @@ def follow_changes(deltas: DataFrame, capacity: int, **options) -> DataFrame:
     return deltas.groupBy("cloud_id").transformWithStateInPandas(_follower(capacity, options, _changes_of), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
-def _parts(batches: Iterator[pd.DataFrame], tick: str) -> Iterator[tuple]:
-    """(cloud_id, tick, records) in the order of the batches; what a batch's end cuts comes in two."""
-    for rows in batches:
-        for (cloud, at), part in rows.groupby(["cloud_id", tick], sort=False, dropna=False):
-            yield None if pd.isna(cloud) else cloud, at, part
+def _ticks(batches: Iterator[pd.DataFrame], tick: str) -> Iterator[tuple]:
+    """(cloud_id, its ticks as (added, removed)) of sorted batches, wherever they are cut; ticks are read as they are asked for."""
+
+    def parted(records) -> tuple[list[dict], list[str]]:
+        added, removed = [], []
+        for _, _, op, chunk_id, depth, num_points in records:
+            if op == "add":
+                added.append({"chunk_id": chunk_id, "depth": int(depth), "num_points": int(num_points)})
+            elif op == "remove":
+                removed.append(chunk_id)
+        return added, removed
+
+    columns = ("cloud_id", tick, "op", "chunk_id", "depth", "num_points")
+    records = (r for rows in batches for r in zip(*(rows[c].tolist() for c in columns), strict=True))
+    for cloud, own in groupby(records, key=lambda r: None if r[0] != r[0] else r[0]):
+        yield cloud, (parted(part) for _, part in groupby(own, key=itemgetter(1)))
+
+
+#: Rows, and characters of their texts, that a worker hands on at a time, about.
+TOLD_ROWS, TOLD_TEXT = 1000, 1 << 22
+
+
+def _frames(rows: Iterator[dict], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of a bounded size."""
+    held, text = [], 0
+    for row in rows:
+        held.append(row)
+        text += sum(len(v) for v in row.values() if type(v) is str)
+        if len(held) >= TOLD_ROWS or text >= TOLD_TEXT:
+            yield pd.DataFrame(held, columns=names)
+            held, text = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
+def _at_each_tick(pool: Pool, ticks: Iterator[tuple]) -> Iterator[Pool]:
+    for added, removed in ticks:
+        pool.apply(added, removed)
+        yield pool
 
 
 def replay(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> DataFrame:
@@ -538,24 +616,61 @@ def replay(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> D
     pool, however long the history. Records without a tick are passed by.
     """
     names = [c.split()[0] for c in TELEMETRY.split(", ")]
-    return _replayed(deltas, capacity, tick, options, TELEMETRY, lambda pool, cloud: pd.DataFrame([pool.telemetry(cloud)], columns=names))
+
+    def tell(pool: Pool, cloud: str | None, ticks: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        return _frames((p.telemetry(cloud) for p in _at_each_tick(pool, ticks)), names)
+
+    return _replayed(deltas, capacity, tick, options, TELEMETRY, tell)
 
 
 def replay_changes(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> DataFrame:
     """As replay, of what follow_changes would tell: the slots that each tick changes."""
-    return _replayed(deltas, capacity, tick, options, CHANGES, _changes_of)
+
+    def tell(pool: Pool, cloud: str | None, ticks: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        return (_changes_of(p, cloud) for p in _at_each_tick(pool, ticks) if p.changes)
+
+    return _replayed(deltas, capacity, tick, options, CHANGES, tell)
+
+
+def replay_last_changes(deltas: DataFrame, capacity: int, tick: str = "tick", **options) -> DataFrame:
+    """Of what replay_changes tells, the last row of each slot: all that a version after all records needs.
+
+    It has a row for each slot that was ever used, however often chunks came and went.
+    """
+    return _replayed(deltas, capacity, tick, options, CHANGES, _last_changes)
+
+
+def _last_changes(pool: Pool, cloud: str | None, ticks: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    at, since = np.zeros(pool.capacity, np.int64), np.zeros(pool.capacity, np.int64)  # ticks and generations count from 1
+    for p in _at_each_tick(pool, ticks):
+        for _, slots, _ in p.changes:
+            own = slice(slots.first, slots.end) if isinstance(slots, Run) else slots
+            at[own], since[own] = p.tick, p.generation
+
+    def rows(slots: np.ndarray, chunk_id: str | None, part, num_points, state: int) -> pd.DataFrame:
+        values = (cloud, at[slots], since[slots], slots, chunk_id, part, num_points, state)
+        return pd.DataFrame(dict(zip(CHANGE_NAMES, values, strict=True))).astype({"cloud_id": object, "chunk_id": object, "part": "Int32"})
+
+    for name, c in pool.resident.items():
+        slots, part = np.array(c["slots"], np.int32), np.arange(len(c["slots"]), dtype=np.int32)
+        yield rows(slots, name, part, np.minimum(c["num_points"] - part.astype(np.int64) * pool.points_per_batch, pool.points_per_batch), 1)
+        at[slots] = 0
+    emptied = np.flatnonzero(at).astype(np.int32)
+    for k in range(0, len(emptied), 100 * TOLD_ROWS):
+        yield rows(emptied[k : k + 100 * TOLD_ROWS], None, None, 0, 0)
 
 
 def _replayed(deltas: DataFrame, capacity: int, tick: str, options: dict, schema: str, tell) -> DataFrame:
+    """What tell(pool, cloud, ticks) gives of each cloud's new pool."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cloud, ticks in groupby(_parts(batches, tick), key=lambda p: p[0]):
-            pool = Pool.new(capacity, **options)
-            for _, parts in groupby(ticks, key=lambda p: p[1]):
-                pool.apply(*tick_of(pd.concat([records for _, _, records in parts])))
-                yield tell(pool, cloud)
-
-    ordered = deltas.where(F.col(tick).isNotNull()).repartition("cloud_id").sortWithinPartitions("cloud_id", tick, "seq")
-    return ordered.mapInPandas(run, schema)
+        for cloud, ticks in _ticks(batches, tick):
+            yield from tell(Pool.new(capacity, **options), cloud, ticks)
+
+    known = deltas.where(F.col(tick).isNotNull())
+    # By ranges, as hashes of a few clouds meet; each that has its share of the records gets a task of its own.
+    tasks = 4 * deltas.sparkSession.sparkContext.defaultParallelism
+    return known.repartitionByRange(tasks, "cloud_id").sortWithinPartitions("cloud_id", tick, "seq").mapInPandas(run, schema)
 
 
 SLOTS = "array<struct<chunk_id: string, slot: int, first_point: bigint, num_points: int, state: int>>"

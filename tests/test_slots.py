@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cloudweave.streaming.slots import FreeSlots
+from cloudweave.streaming.slots import FreeSlots, Run, runs_of
 
 
 class ByHand:
@@ -65,3 +65,31 @@ def test_a_full_and_an_odd_pool():
         a.release([0, 1, 2])
         assert a.reserve(3) == 0
     assert len(a._stack) <= 4 * 3 + 64 + 3
+
+
+def test_runs_cost_nothing_for_each_slot():
+    a = FreeSlots(1 << 40)
+    assert a.reserve(1 << 38) == 0 and a.reserve(1 << 39) == 1 << 38 and a.pop() == 3 << 38
+    a.release(Run(0, 1 << 38))
+    assert a.pop() == (1 << 38) - 1 and a.reserve(5) == 0 and a.pop() == (1 << 38) - 2 and len(a) == (1 << 39) - 8
+    assert Run(2, 5) == [2, 3, 4] and list(runs_of([4, 5, 6, 2, 1, 2])) == [(4, 7), (2, 3), (1, 3)] and list(runs_of(Run(3, 3))) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_stack_that_is_tidied(seed):
+    rng, n = random.Random(seed), 300
+    a, b, taken = FreeSlots(n), ByHand(n), []
+    for _ in range(1500):
+        size = rng.randint(1, 12)
+        got = a.reserve(size)
+        assert got == b.reserve(size)
+        taken += [list(range(got, got + size))] if got is not None else []
+        if rng.random() < 0.3 and b.free:
+            taken.append([a.pop()])
+            assert taken[-1] == [b.pop()]
+        while taken and (got is None or rng.random() < 0.45):
+            got, back = 0, taken.pop(rng.randrange(len(taken)))
+            a.release(Run(back[0], back[-1] + 1))
+            b.release(back)
+    while b.free:
+        assert a.pop() == b.pop()

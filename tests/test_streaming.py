@@ -223,3 +223,25 @@ def test_rates_and_quantiles_of_hot_null_and_short_keys(spark):
     for r in samples.groupBy("k").agg(*(F.percentile("seconds", q).alias(n) for n, q in of.items()), F.avg("seconds").alias("mean")).collect():
         assert [found[r.k][n] for n in (*of, "mean")] == [v if v is None else pytest.approx(v) for v in (r[n] for n in (*of, "mean"))]
     assert tables.quantiles(samples.limit(0), "k", "seconds", ["at"], of).count() == 0
+
+
+def test_dropping_waiting_chunks_looks_at_no_others():
+    looked = []
+
+    class Chunk(dict):
+        def __getitem__(self, key):
+            looked.append(dict.__getitem__(self, "chunk_id"))
+            return dict.__getitem__(self, key)
+
+    queue = residency.Queue([Chunk(chunk(f"k{k % 700}")) for k in range(1000)])
+    looked.clear()
+    assert queue.drop({"k5", "k650", "nowhere"}) == 3 and len(queue) == 997 and len(looked) <= 3
+    for k in range(5):
+        assert queue.first()["chunk_id"] == f"k{k}"
+        queue.done()
+    assert queue.first()["chunk_id"] == "k6" and len(queue) == 992 and [c["chunk_id"] for c in queue][-1] == "k299"
+    pool = residency.Pool.new(2, upload_limit=1)
+    pool.apply([chunk("a"), chunk("b"), chunk("c"), chunk("d")], [])
+    pool.apply([], ["c"])
+    again = residency.Pool.from_json(pool.to_json())
+    assert again == pool and again.telemetry("x") == pool.telemetry("x") and [c["chunk_id"] for c in again.pending] == ["d"]
