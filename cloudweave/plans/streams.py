@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloudweave.functions import geometry as g
 from cloudweave.model import Cloud, multiply
 from cloudweave.operators import pack, raster, select
-from cloudweave.operators.tables import quantiles, shared_folder
+from cloudweave.operators.tables import quantiles, shared_folder, written
 from cloudweave.operators.versions import Versions
 from cloudweave.plans import sql as q
 from cloudweave.sources import ply
@@ -77,12 +77,13 @@ def resident_cloud(spark, sf_dir) -> resident.ResidentCloud:
     points = src.numbered_lineitem_points(spark, sf_dir, chunk=F.col("l_suppkey") % CHUNKS)
     named = points.select(F.concat(F.lit("cloud-"), F.col("chunk") % CLOUDS).alias("cloud_id"), F.col("chunk").cast("string").alias("chunk_id"), "point_id", "x", "y", "z", "rgba")
     placed = resident.parts(named, SLOT_POINTS)
-    sizes = placed.groupBy("cloud_id", "chunk_id").agg(F.count("*").cast("int").alias("num_points"))
+    # A row for each of CHUNKS; used twice.
+    sizes = written(placed.groupBy("cloud_id", "chunk_id").agg(F.count("*").cast("int").alias("num_points")), "sizes")
     e = src.load(spark, sf_dir, "events").select((F.col("user_id") % CHUNKS).cast("string").alias("chunk_id"), F.col("event_id").cast("bigint").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"))
     records = e.join(F.broadcast(sizes), "chunk_id").select("cloud_id", "seq", "op", "chunk_id", F.lit(0).alias("depth"), "num_points", F.floor(F.col("seq") / TICK).alias("tick"))  # CHUNKS rows
     # Room for all chunks, so that none has to wait: each may leave one slot not full.
     total = sizes.agg(F.sum("num_points").alias("n")).first()["n"] or 0
-    log = residency.replay_changes(records, total // SLOT_POINTS + CHUNKS, runs=True, points_per_batch=SLOT_POINTS, upload_limit=CHUNKS)
+    log = residency.replay_last_changes(records, total // SLOT_POINTS + CHUNKS, runs=True, points_per_batch=SLOT_POINTS, upload_limit=CHUNKS)
     held = resident.ResidentCloud(spark, f"{shared_folder(spark)}/cloudweave/resident-{uuid.uuid4().hex}", SLOT_POINTS)
     held.commit(log, placed)
     return held

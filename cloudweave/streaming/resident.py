@@ -55,7 +55,8 @@ class ResidentCloud:
     def commit(self, changes: DataFrame, points: DataFrame, batch: int | None = None) -> int:
         """A new version after changes (of follow_changes or replay_changes; one generation or more).
 
-        points: those of the chunks that are placed, with part and place (see parts). Others of them are not written.
+        points: those of the chunks that are placed, with part and place (see parts). Others of them are not written, nor
+        those that are gone again by the last change, which no version would show.
         batch: the number of a stream's micro-batch; one that was committed before is not committed again.
         """
         last = self.versions.latest
@@ -63,7 +64,7 @@ class ResidentCloud:
         if batch is not None and now.get("batch") is not None and batch <= now["batch"]:
             return last
         log = written(changes.select(*(c.split()[0] for c in LOG.split(", "))), "changes")
-        placed = log.where("state = 1").select("cloud_id", "generation", "slot", "chunk_id", "part")
+        placed = latest(log).select("cloud_id", "generation", "slot", "chunk_id", "part")
         src = F.col("slot").cast("long") * self.points_per_batch + F.col("place")
         rows = points.join(placed, ["cloud_id", "chunk_id", "part"]).select("cloud_id", "generation", "slot", src.alias("src_idx"), "point_id", "x", "y", "z", "rgba")
         return self.versions.commit({"log": [*now.get("log", []), self.versions.write(log)], "points": [*now.get("points", []), self.versions.write(rows)], "batch": batch if batch is not None else now.get("batch")}, last)

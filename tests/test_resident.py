@@ -187,3 +187,29 @@ def test_runs_for_chunks():
     assert pool.resident["a"]["slots"] == [0, 1, 2] and pool.resident["c"]["slots"] == [6, 7, 8] and sorted(pool.resident["d"]["slots"]) == [3, 4, 5, 9]
     pool.apply([{"chunk_id": "e", "depth": 0, "num_points": 25}], ["d", "a"])
     assert pool.resident["e"]["slots"] == [0, 1, 2] and pool.free.runs == [(3, 6), (9, 10)]
+
+
+def test_a_version_writes_no_points_that_it_does_not_show(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(c, i, rng.choice(["add", "add", "remove"]), f"k{rng.randint(0, 9)}", 0, 25, i // 5) for i in range(200) for c in ("a", "b", None)]
+    records = spark.createDataFrame(rows, residency.DELTA + ", tick int")
+    for runs in (False, True):
+        told = residency.replay_changes(records, 40, points_per_batch=PER, runs=runs)
+        last = residency.replay_last_changes(records, 40, points_per_batch=PER, runs=runs)
+        by_slot, want = {}, {}
+        for r in sorted(told.collect(), key=lambda r: r.tick):
+            want[r.cloud_id, r.slot] = r
+        for r in last.collect():
+            assert (r.cloud_id, r.slot) not in by_slot
+            by_slot[r.cloud_id, r.slot] = r
+        assert by_slot == want and {r.state for r in want.values()} == {0, 1}
+    points, _ = chunk_points(spark, rng, [(c, f"k{k}", 25) for c in "ab" for k in range(10)])
+    placed = resident.parts(points, PER)
+    held = [resident.ResidentCloud(spark, f"file://{tmp_path}/{n}", PER) for n in "xy"]
+    for cloud, log in zip(held, (told, last), strict=True):
+        cloud.commit(log, placed)
+    # All placements of the history are in the first log, but the points only of those that are left.
+    shown = sorted(map(tuple, held[0].points().collect()))
+    assert shown and shown == sorted(map(tuple, held[1].points().collect()))
+    for cloud in held:
+        assert cloud.versions.table(cloud.versions.read()["points"], resident.PLACED).count() == len(shown)
