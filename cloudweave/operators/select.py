@@ -12,10 +12,16 @@ from cloudweave.operators.tables import owned, pinned, ranked, written, written_
 
 
 def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
-    """Resident batches in the frustum, with pixel_size, precision, lod_threshold, top (the finest level of a point that is
-    drawn) and active_points.
+    """The batches of sized_batches that have points to draw.
 
-    It works on zone maps alone, so what it drops is never joined to points. A null lod_cum keeps all points.
+    It works on zone maps alone, so what it drops is never joined to points.
+    """
+    return sized_batches(batches, camera, config, model).where("active_points > 0")
+
+
+def sized_batches(batches: DataFrame, camera: Camera, config: RasterConfig, model: Matrix = IDENTITY) -> DataFrame:
+    """All resident batches in the frustum, with pixel_size, precision, lod_threshold, top (the finest level of a point that
+    is drawn) and active_points, of which there may be none. A null lod_cum keeps all points.
     """
     kept = batches.where("state <> 0")
     if config.enable_frustum_culling:
@@ -26,7 +32,7 @@ def visible_batches(batches: DataFrame, camera: Camera, config: RasterConfig, mo
     levelled = pinned(sized, {"precision": g.precision_level(F.col("pixel_size")), "lod_threshold": g.lod_threshold(F.col("pixel_size"), config)})
     top = g.clamp(F.floor(F.col("lod_threshold") + 0.5).cast("int"), 0, 7)
     counted = pinned(levelled, {"top": F.when(F.col("lod_cum").isNull(), F.lit(7)).otherwise(top)})
-    return counted.withColumn("active_points", F.coalesce(F.get("lod_cum", "top"), F.col("num_points"))).where("active_points > 0")
+    return counted.withColumn("active_points", F.coalesce(F.get("lod_cum", "top"), F.col("num_points")))
 
 
 def visible_batches_of_files(batches: DataFrame, camera: Camera, config: RasterConfig, models: dict[int, Matrix]) -> DataFrame:

@@ -215,7 +215,8 @@ def _(spark, sf_dir):
 
 @query("precision_level", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, precision::BIGINT AS precision, pixel_size FROM vis"))
 def _(spark, sf_dir):
-    return select.visible_batches(packed(spark, sf_dir).batches, CLOSE, IMAGE).select("batch_id", "precision", "pixel_size")
+    """Of every batch in the frustum, also of those whose points are all of levels too fine to be drawn."""
+    return select.sized_batches(packed(spark, sf_dir).batches, CLOSE, IMAGE).select("batch_id", "precision", "pixel_size")
 
 
 @query("prefix_select", with_(_PACKED, _VISIBLE, select="SELECT batch_id::BIGINT AS batch_id, active_points::BIGINT AS active_points FROM vis WHERE active_points > 0"))

@@ -225,3 +225,18 @@ def test_nothing_seen_reads_nothing(spark, spread):
     away = Camera(look_at((0.0, 0.0, 40.0), (0.0, 0.0, 90.0)), perspective(30.0, 1.0, 0.01, 100.0))
     assert select.selected_points(packed, away, RasterConfig()).count() == 0
     assert files_read(packed.scan(select.visible_batches(packed.batches, away, RasterConfig())).select("rgba")) == 0
+
+
+def test_precision_of_batches_that_draw_no_points(spark, spread, monkeypatch):
+    from cloudweave.plans import catalog
+
+    _, packed = spread
+    # The same batches, of which every third has points of the finest level alone.
+    fine = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(k < 3, 0).otherwise(F.col("num_points")))
+    batches = packed.batches.withColumn("lod_cum", F.when(F.col("batch_id") % 3 == 0, fine).otherwise(F.col("lod_cum")))
+    monkeypatch.setattr(catalog, "packed", lambda spark, sf_dir: pack.PackedCloud(packed.points, batches, packed.bounds, packed.config))
+    monkeypatch.setattr(catalog, "IMAGE", catalog.IMAGE.but(lod_bias=-9))
+    ids = lambda df: {r.batch_id for r in df.collect()}
+    inside = ids(batches.where(g.in_frustum(catalog.CLOSE.clip())))
+    assert ids(catalog.queries()["precision_level"](spark, "")) == inside
+    assert ids(catalog.queries()["prefix_select"](spark, "")) == ids(select.visible_batches(batches, catalog.CLOSE, catalog.IMAGE)) < inside
