@@ -13,8 +13,9 @@ from cloudweave.model import PackConfig
 from cloudweave.operators.tables import owned, pinned, ranked, ranked_counted, shared_folder, written
 
 AXES = ("x", "y", "z")
-#: Points of a block of a packed cloud, at most. A cloud has a block for each core at least, if it has as many batches.
-BLOCK_POINTS = 1 << 22
+#: Points of a block of a packed cloud, at most: a task sorts, boxes and writes a block as a whole, so its memory hangs on
+#: this and not on the cloud. A cloud has a block for each core at least, if it has as many batches.
+BLOCK_POINTS = 1 << 19
 
 
 @dataclass(frozen=True)

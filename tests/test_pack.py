@@ -240,3 +240,9 @@ def test_precision_of_batches_that_draw_no_points(spark, spread, monkeypatch):
     inside = ids(batches.where(g.in_frustum(catalog.CLOSE.clip())))
     assert ids(catalog.queries()["precision_level"](spark, "")) == inside
     assert ids(catalog.queries()["prefix_select"](spark, "")) == ids(select.visible_batches(batches, catalog.CLOSE, catalog.IMAGE)) < inside
+
+
+def test_blocks_are_bounded_whatever_the_cloud():
+    config = PackConfig(points_per_batch=512)
+    sizes = [pack.batches_per_block(n, config, 12) * 512 for n in (3_600_000, 36_000_000, 216_000_000)]
+    assert max(sizes) <= 1 << 19 and sizes[2] <= 2 * sizes[0]
