@@ -62,13 +62,21 @@ def voxel_edge(b: Bounds, divisions: int, level: int) -> float:
     return max(max(b.extent), g.TINY) / divisions * 0.5**level
 
 
-def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
-    """pk, lod_level of the rows (with pk) that a level but the finest claims: at each level the unclaimed row of the least
-    pk in each voxel.
+def slices(rows: DataFrame, points: int) -> tuple[DataFrame, int]:
+    """Rows with pk (below points) in partitions of BLOCK_POINTS ranks at most, and how many; a scan's splits hold any number."""
+    size = max(1, min(BLOCK_POINTS, -(-points // rows.sparkSession.sparkContext.defaultParallelism)))
+    count = max(1, -(-points // size))
+    return rows.repartitionById(count, F.floor(F.col("pk") / F.lit(size)).cast("int")), count
+
+
+def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig, points: int) -> DataFrame:
+    """pk, lod_level of the rows (with pk, of `points` ranks) that a level but the finest claims: at each level the unclaimed
+    row of the least pk in each voxel.
 
     A voxel halves from level to level, so those of a finer level lie within one of a coarser, and of the finest voxels
     that claim none but the first few rows, one for each level, can ever be claimed. Only these, with their pk and voxel
     alone, are shuffled (each task sends no more of a voxel), by their coarsest voxel, in which all levels are settled.
+    Voxels are sorted in slices of the ranks, so a task's memory doesn't hang on the cloud or its files.
     """
     claiming = config.lod_levels - 1
     if not claiming:
@@ -76,9 +84,10 @@ def lod_claims(rows: DataFrame, b: Bounds, config: PackConfig) -> DataFrame:
     edge = voxel_edge(b, config.coarse_divisions, claiming - 1)
     finest = {f"_{a}": g.voxel(F.col(a), b.low[k], edge).cast("bigint") for k, a in enumerate(AXES)}
     first = F.row_number().over(Window.partitionBy(*finest).orderBy("pk"))
-    few = pinned(rows, finest).select("pk", *finest).withColumn("_place", first).where(F.col("_place") <= claiming).drop("_place")
+    sliced, count = slices(pinned(rows, finest).select("pk", *finest), points)
+    few = sliced.withColumn("_place", first).where(F.col("_place") <= claiming).drop("_place")
     coarsest = [F.shiftright(n, claiming - 1).alias(f"_c{n}") for n in finest]
-    out = few.select("pk", *finest, *coarsest).repartition(*(f"_c{n}" for n in finest)).withColumn("lod_level", F.lit(None).cast("int"))
+    out = few.select("pk", *finest, *coarsest).repartition(count, *(f"_c{n}" for n in finest)).withColumn("lod_level", F.lit(None).cast("int"))
     for level in range(claiming):
         voxel = Window.partitionBy(*(f"_c{n}" for n in finest), *(F.shiftright(n, claiming - 1 - level) for n in finest if level))
         least = F.min(F.when(F.col("lod_level").isNull(), F.col("pk"))).over(voxel)
@@ -227,7 +236,7 @@ def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds |
     b = within or bounds(points)
     with owned(points.sparkSession) as mine:  # the ranks are done with when the cloud is packed
         ranks, total = ranked_counted(morton_keys(points, b), "mk", ["point_id"], "pk")
-        rows, path = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config), config, total, block_points)))
+        rows, path = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config, total), config, total, block_points)))
         mine.keep(path)
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:
