@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import geometry as g
 from cloudweave.model import PackConfig
-from cloudweave.operators.tables import owned, pinned, ranked, ranked_counted, shared_folder, written
+from cloudweave.operators.tables import file_by_file, owned, pinned, ranked, ranked_counted, shared_folder, written
 
 AXES = ("x", "y", "z")
 #: Points of a block of a packed cloud, at most: a task sorts, boxes and writes a block as a whole, so its memory hangs on
@@ -236,7 +236,8 @@ def pack(points: DataFrame, config: PackConfig = PackConfig(), within: Bounds |
     b = within or bounds(points)
     with owned(points.sparkSession) as mine:  # the ranks are done with when the cloud is packed
         ranks, total = ranked_counted(morton_keys(points, b), "mk", ["point_id"], "pk")
-        rows, path = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config, total), config, total, block_points)))
+        with file_by_file(points.sparkSession):
+            rows, path = written_layout(quantised(batched(ranks, lod_claims(ranks, b, config, total), config, total, block_points)))
         mine.keep(path)
     zones = zone_maps(rows).withColumn("state", F.lit(1)).withColumn("file_index", F.lit(0))
     if config.shuffle_batches:

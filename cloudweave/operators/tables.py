@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,6 +92,21 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def file_by_file(spark: SparkSession) -> Iterator[None]:
+    """Scans of jobs inside take a task for each file, instead of filling splits with files.
+
+    A shuffle to over 200 partitions holds all rows of a task, so a task of many ranges of ranks would be large.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns that are worked out once for each row.
 

@@ -2,7 +2,7 @@ import os
 
 from cloudweave.model import PackConfig, RasterConfig, standard_camera
 from cloudweave.operators import pack, select
-from cloudweave.operators.tables import owned, shared_folder, written, written_at
+from cloudweave.operators.tables import file_by_file, owned, shared_folder, written, written_at
 from cloudweave.sources import points as src
 
 
@@ -35,3 +35,17 @@ def test_a_query_of_its_own_leaves_nothing(spark):
     assert seen and made == {"packed", "zones", "selected"} and tables(spark) == before
     cloud = pack.pack(src.cube_grid(spark, 8), PackConfig(points_per_batch=64, coarse_divisions=4))
     assert {n.rsplit("-", 1)[0] for n in tables(spark) - before} == {"packed", "zones"} and cloud.points.count() == 512
+
+
+def test_ranks_are_read_file_by_file(spark, monkeypatch):
+    rows, path = written_at(spark.range(400).repartition(40), "small")
+    name, read = "spark.sql.files.openCostInBytes", lambda: spark.read.parquet(path).rdd.getNumPartitions()
+    before = spark.conf.get(name)
+    assert read() < 40
+    with file_by_file(spark):
+        assert read() == 40
+    assert spark.conf.get(name) == before and read() < 40
+    seen, layout = [], pack.written_layout
+    monkeypatch.setattr(pack, "written_layout", lambda df: seen.append(spark.conf.get(name)) or layout(df))
+    pack.pack(src.cube_grid(spark, 4), PackConfig(points_per_batch=64, coarse_divisions=4))
+    assert seen == [spark.conf.get("spark.sql.files.maxPartitionBytes")] and spark.conf.get(name) == before
